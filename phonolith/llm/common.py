@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,7 +39,11 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        del df
+        gc.collect()  # shuffle files of what is written now go as soon as the driver's JVM finds their plan unused
+        self.spark._jvm.System.gc()
+        return out
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""

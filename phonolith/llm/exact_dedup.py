@@ -11,10 +11,10 @@ import hashlib
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phonolith.llm.common import Scratch
+from phonolith.llm.common import SPACE, Scratch, broadcast_if_small
 
 SLOTS = 4
 MAX_KICKS = 200
@@ -80,10 +80,14 @@ class CuckooShard:
         return True
 
 
+def digest_column(text: Column) -> Column:
+    """Digest of a text without whitespace; null counts as empty."""
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, ""), 256)
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, text_sha256 of the text without whitespace, n_chars: code points of the text; null text counts as empty."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256).alias("text_sha256"), F.length(text).cast("long").alias("n_chars"))
+    """doc_id, text_sha256 and n_chars (code points of the text) of every row."""
+    return docs.select("doc_id", digest_column(F.col("text")).alias("text_sha256"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n_chars"))
 
 
 def shard_of(n_shards: int):
@@ -147,6 +151,23 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, keys_per_shard: int = 4096
     )
 
 
+def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of equal texts; all columns stay. Rows that repeat a doc_id and text become one."""
+    scratch = Scratch(spark)
+    found = exact_dedup(spark, docs)
+    gone = scratch.keep(found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct(), "gone")
+    repeated = scratch.keep(found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_sha256"), "repeated")
+    sha = digest_column(docs["text"])
+    left = docs.join(broadcast_if_small(gone, gone.count()), docs["doc_id"].eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")
+    times = repeated.count()
+    if not times:
+        return left
+    same = left["doc_id"].eqNullSafe(repeated["doc_id"]) & (digest_column(left["text"]) == repeated["text_sha256"])
+    twice = left.join(broadcast_if_small(repeated, times), same, "left_semi")
+    once = left.join(broadcast_if_small(repeated, times), same, "left_anti")
+    return once.unionByName(twice.withColumn("_sha", digest_column(F.col("text"))).dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
+
+
 # The index as a table: one row per live digest and shard, kept between runs; each change rewrites only the shards it touches.
 
 _KEYS = "shard int, text_sha256 string, doc_id long"
