@@ -154,12 +154,12 @@ def clipped(segments: DataFrame, box: tuple[float, float, float, float]) -> Data
     """Length of each segment within a box (Liang-Barsky); segments outside are left out."""
     w, s, e, n = box
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    low, high = F.lit(0.0), F.lit(1.0)
-    ok = F.lit(True)
+    enters, leaves, ok = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
     for p, q in ((-dx, F.col("x1") - w), (dx, F.lit(e) - F.col("x1")), (-dy, F.col("y1") - s), (dy, F.lit(n) - F.col("y1"))):
-        low = F.when(p < 0, F.greatest(low, q / F.when(p != 0, p))).otherwise(low)
-        high = F.when(p > 0, F.least(high, q / F.when(p != 0, p))).otherwise(high)
+        enters.append(F.when(p < 0, q / p))
+        leaves.append(F.when(p > 0, q / p))
         ok = ok & ((p != 0) | (q >= 0))
+    low, high = F.greatest(*enters), F.least(*leaves)
     meets = (F.greatest("x1", "x2") >= w) & (F.least("x1", "x2") <= e) & (F.greatest("y1", "y2") >= s) & (F.least("y1", "y2") <= n)
     out = segments.where(meets & ok).withColumn("inside_m", geo.length(*ENDS) * (high - low))
     return out.where(F.col("inside_m") > 0)

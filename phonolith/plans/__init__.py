@@ -1,6 +1,6 @@
 """Registered queries: importing the modules fills the registry."""
 
-from phonolith.plans import cells, spatial  # noqa: F401
+from phonolith.plans import cells, graphs, spatial, temporal  # noqa: F401
 from phonolith.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
