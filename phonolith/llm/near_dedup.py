@@ -4,8 +4,11 @@ Nodes are distinct shingle sets, so exact copies cost one node. Banded signature
 are compared batch by batch and the pair is dropped as soon as the posterior that its similarity reaches the
 threshold falls below a chosen miss probability; survivors are confirmed on their full sets.
 
-Large buckets never become all pairs. Each round pairs a member with one hub of a bucket it shares, only across
-classes that are still apart; what is apart after the rounds is compared in full, which is what makes the result whole.
+No bucket becomes all pairs. First, a bucket of up to SMALL nodes gives a forest of its survivors, and members of a
+larger one are compared with a few hubs; the links among these join most of what belongs together. Then, in buckets that
+still hold several classes, the members outside the largest class are compared with all members of other classes, which
+is what makes the result whole. Survivors are confirmed in rounds, the likeliest of each node first, and only while they
+join what is apart.
 """
 
 from __future__ import annotations
@@ -15,13 +18,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phonolith.llm.common import Scratch, shingle_set
+from phonolith.llm.common import Scratch, broadcast_if_small, mix, shingle_set
 from phonolith.llm.components import components
 
 WORDS = 5
@@ -29,9 +31,11 @@ PERCENT = 75
 BANDS, ROWS = 32, 4
 BATCH = 32
 MISS = 1e-7
-#: Full comparison starts once it needs at most so many pairs for each row of a shared bucket, or after the last round.
-SPARE = 2
-ROUNDS = 6
+SMALL = 64
+#: Hubs of each large bucket in its first comparison.
+HUBS = 3
+#: Members of a large bucket that one task compares with its strays.
+CHUNK = 512
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _SHIFTS = np.random.default_rng(8).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64)
@@ -50,7 +54,16 @@ def set_key(hashes: np.ndarray) -> bytes:
     return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
 
 
-_SKETCH = T.StructType().add("doc_id", "long").add("set_key", "binary").add("n_shingles", "long").add("sig", T.ArrayType(T.IntegerType()))
+_SKETCH = T.StructType().add("doc_id", "long").add("text_key", "long").add("set_key", "binary").add("n_shingles", "long").add("sig", "binary").add("bands", T.ArrayType(T.LongType()))
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit bucket for each band of a signature."""
+    rows = sig.view(np.uint32).astype(np.uint64).reshape(BANDS, ROWS)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, i])
+    return key.view(np.int64)
 
 
 def _lists(flat: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.ListArray:
@@ -58,18 +71,21 @@ def _lists(flat: np.ndarray, sizes: list[int], kind: pa.DataType) -> pa.ListArra
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Set keys, band buckets and, for comparison, the lowest byte of each signature position."""
     for batch in batches:
-        keys, sizes, sigs, lens = [], [], [np.zeros(0, np.int32)], []
+        keys, sizes, sigs, bands, lens = [], [], [], [np.zeros(0, np.int64)], []
         for text in batch.column("text"):
             hashes = shingle_set(text.as_py())
             keys.append(set_key(hashes))
             sizes.append(len(hashes))
-            lens.append(len(_MULTIPLIERS) if len(hashes) else 0)
+            lens.append(BANDS if len(hashes) else 0)
+            sig = signature(hashes) if len(hashes) else np.zeros(0, np.int32)
+            sigs.append((sig & 255).astype(np.uint8).tobytes())
             if len(hashes):
-                sigs.append(signature(hashes))
+                bands.append(band_keys(sig))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), _lists(np.concatenate(sigs), lens, pa.int32())],
-            names=["doc_id", "set_key", "n_shingles", "sig"],
+            [batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), _lists(np.concatenate(bands), lens, pa.int64())],
+            names=_SKETCH.names,
         )
 
 
@@ -84,7 +100,7 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes = shingle_set(text.as_py())
             if set_key(hashes) == key.as_py():
                 keys.append(key.as_py())
-                flat.append(hashes.view(np.int64))
+                flat.append(np.sort(hashes.view(np.int64)))
                 sizes.append(len(hashes))
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists(np.concatenate(flat), sizes, pa.int64())], names=["node", "hashes"])
 
@@ -99,16 +115,155 @@ def least_matches(n: int, threshold: float = PERCENT / 100, miss: float = MISS)
     return next(m for m in range(n + 1) if above(m) >= miss)
 
 
-def plausible(a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
-    """Whether no batch of equal signature positions rules the pair out; when() stops at the first batch that does."""
-    possible = F.lit(100) * F.least(size_a, size_b) >= F.lit(PERCENT) * F.greatest(size_a, size_b)
-    same = F.lit(0)
-    out = F.when(~possible, F.lit(False))
-    for upto in range(BATCH, BANDS * ROWS + 1, BATCH):
-        batch = F.zip_with(F.slice(a, upto - BATCH + 1, BATCH), F.slice(b, upto - BATCH + 1, BATCH), lambda x, y: (x == y).cast("int"))
-        same = same + F.aggregate(batch, F.lit(0), lambda s, x: s + x)
-        out = out.when(same < least_matches(upto), F.lit(False))
-    return out.otherwise(F.lit(True))
+_LEAST = [(n, least_matches(n)) for n in range(BATCH, BANDS * ROWS + 1, BATCH)]
+
+
+def matches(x: np.ndarray, y: np.ndarray, size_x: np.ndarray, size_y: np.ndarray) -> np.ndarray:
+    """Equal positions of pairs of signatures (rows of x and y), or -1 where a batch, or the sizes, ruled the pair out."""
+    alive = np.flatnonzero(100 * np.minimum(size_x, size_y) >= PERCENT * np.maximum(size_x, size_y))
+    same = np.zeros(len(alive), np.int64)
+    for upto, least in _LEAST:
+        same = same + (x[alive, upto - BATCH : upto] == y[alive, upto - BATCH : upto]).sum(axis=1)
+        alive, same = alive[same >= least], same[same >= least]
+    out = np.full(len(x), -1)
+    out[alive] = same
+    return out
+
+
+_PAIR = T.StructType().add("a", "binary").add("b", "binary").add("same", "integer")
+
+
+def _pairs(a: list[bytes], b: list[bytes], same: list[int]) -> pa.RecordBatch:
+    ordered = [(x, y) if x < y else (y, x) for x, y in zip(a, b, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in ordered], pa.binary()), pa.array([y for _, y in ordered], pa.binary()), pa.array(same, pa.int32())], names=_PAIR.names)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by keys, as tables of whole groups with the groups' bounds; a group may run over a batch's end."""
+    held = None
+    for batch in _then_none(batches):
+        if batch is not None:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+        if held is None or not held.num_rows:
+            continue
+        columns = [held.column(k).to_numpy() for k in keys]
+        turns = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1
+        bounds = np.concatenate([[0], turns, [held.num_rows]])
+        if batch is not None:  # the last group may go on
+            bounds = bounds[:-1]
+        if len(bounds) > 1:
+            yield held.slice(0, bounds[-1]), bounds
+            held = held.slice(bounds[-1])
+
+
+def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _columns(rows: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(rows.num_rows, BANDS * ROWS)
+    return rows.column("node").to_pylist(), sigs, rows.column("n_shingles").to_numpy()
+
+
+def _compared(i: np.ndarray, j: np.ndarray, sigs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Survivors among the pairs (i, j) and their equal positions."""
+    out = []
+    for k in range(0, len(i), 50_000):
+        x, y = i[k : k + 50_000], j[k : k + 50_000]
+        got = matches(sigs[x], sigs[y], sizes[x], sizes[y])
+        at = got >= 0
+        out.append((x[at], y[at], got[at]))
+    return tuple(np.concatenate([o[n] for o in out]) if out else np.zeros(0, np.int64) for n in range(3))
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each small bucket a forest of its survivors, the likeliest first: enough to join what its links join."""
+    for rows, bounds in _whole_groups(batches, ("bucket",)):
+        nodes, sigs, sizes = _columns(rows)
+        pairs = [np.triu_indices(hi - lo, 1) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+        i, j, same = _compared(np.concatenate([lo + x for lo, (x, _) in zip(bounds, pairs, strict=False)]), np.concatenate([lo + y for lo, (_, y) in zip(bounds, pairs, strict=False)]), sigs, sizes)
+        up = list(range(len(nodes)))
+
+        def top(x: int, up: list[int] = up) -> int:
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        a, b, kept = [], [], []
+        for k in np.argsort(-same, kind="stable"):
+            x, y = top(int(i[k])), top(int(j[k]))
+            if x != y:
+                up[x] = y
+                a.append(nodes[i[k]])
+                b.append(nodes[j[k]])
+                kept.append(int(same[k]))
+        yield _pairs(a, b, kept)
+
+
+def _stray_pairs(rows: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Survivors (i, j, same) between strays and members of other classes within each group of rows, and the nodes."""
+    nodes, sigs, sizes = _columns(rows)
+    stray = np.array(rows.column("stray").to_pylist(), bool)
+    roots, main = rows.column("root").to_pylist(), rows.column("main").to_pylist()
+    number = {r: n for n, r in enumerate({*roots})}
+    of = np.array([number[r] for r in roots])
+    in_main = np.array([r == m for r, m in zip(roots, main, strict=True)])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        s, m = lo + np.flatnonzero(stray[lo:hi]), lo + np.flatnonzero(~stray[lo:hi])
+        i, j = np.repeat(s, len(m)), np.tile(m, len(s))
+        apart = of[i] != of[j]
+        i, j = i[apart], j[apart]
+        # two strays meet in either's chunk; one of the two is enough
+        once = in_main[j] | np.fromiter((nodes[x] < nodes[y] for x, y in zip(i, j, strict=True)), bool, len(i))
+        left.append(i[once])
+        right.append(j[once])
+    return *_compared(np.concatenate(left), np.concatenate(right), sigs, sizes), nodes
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Survivors between a bucket's strays and its members of other classes."""
+    for rows, bounds in _whole_groups(batches, ("bucket", "chunk")):
+        i, j, same, nodes = _stray_pairs(rows, bounds)
+        yield _pairs([nodes[x] for x in i], [nodes[y] for y in j], same.tolist())
+
+
+def _linked_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _across for chunks of large buckets that bring the full sets: links themselves, one for each two classes that meet."""
+    for rows, bounds in _whole_groups(batches, ("bucket", "chunk")):
+        i, j, same, nodes = _stray_pairs(rows, bounds)
+        roots, hashes = rows.column("root").to_pylist(), rows.column("hashes").combine_chunks()
+        met, a, b, kept = set(), [], [], []
+        for k in np.argsort(-same, kind="stable"):
+            x, y = int(i[k]), int(j[k])
+            classes = frozenset((roots[x], roots[y]))
+            if classes not in met and similar(np.asarray(hashes[x].values), np.asarray(hashes[y].values)):
+                met.add(classes)
+                a.append(nodes[x])
+                b.append(nodes[y])
+                kept.append(int(same[k]))
+        yield _pairs(a, b, kept)
+
+
+def similar(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    at = np.minimum(np.searchsorted(q, p), len(q) - 1)
+    both = int((q[at] == p).sum())
+    return 100 * both >= PERCENT * (len(p) + len(q) - both)
+
+
+def _test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Survivors among pairs that come with both signatures and sizes."""
+    for batch in batches:
+        n = batch.num_rows
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, BANDS * ROWS) for c in ("sig_a", "sig_b"))
+        got = matches(x, y, batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+        at = np.flatnonzero(got >= 0)
+        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+        yield _pairs([a[i] for i in at], [b[i] for i in at], got[at].tolist())
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,18 +271,22 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         x, y = batch.column("hashes_a"), batch.column("hashes_b")
         for i in range(batch.num_rows):
-            p, q = np.asarray(x[i].values), np.asarray(y[i].values)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(p) + len(q) - both))
+            keep.append(similar(np.asarray(x[i].values), np.asarray(y[i].values)))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) of distinct pairs(a, b)."""
+def _survivors(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, same) of distinct pairs(a, b) that their signatures do not rule out."""
     sig = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"), F.col("n_shingles").alias(f"n_{x}"))
-    full = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}"))
-    left = pairs.join(sig("a"), "a").join(sig("b"), "b").where(plausible(F.col("sig_a"), F.col("sig_b"), F.col("n_a"), F.col("n_b"))).select("a", "b")
-    return left.join(full("a"), "a").join(full("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirm, "a binary, b binary, linked boolean")
+    return pairs.join(sig("a"), "a").join(sig("b"), "b").mapInArrow(_test, _PAIR)
+
+
+def _linked(scratch: Scratch, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """(a, b) of the distinct pairs whose full sets are similar enough; only the sets asked for are moved."""
+    asked = scratch.keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"asked-{name}")
+    own = sets.join(broadcast_if_small(asked, asked.count()), "node", "left_semi")
+    full = lambda x: own.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}"))
+    return pairs.join(full("a"), "a").join(full("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_confirm, "a binary, b binary, linked boolean").where("linked").select("a", "b")
 
 
 def _ordered(x: str, y: str) -> list[Column]:
@@ -135,59 +294,112 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 
 def near_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame, Scratch]:
-    """sketches (doc_id, set_key, n_shingles) of every row and roots (node, root) of sets that have a near duplicate."""
+    """Every row's sketch (doc_id, text_key, set_key, n_shingles) and every set's (node, doc_id, root), with the scratch they lie in."""
     scratch = Scratch(spark)
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketches = scratch.keep(text.mapInArrow(_sketch, _SKETCH), "sketches")
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketches = scratch.keep(text.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_sketch, _SKETCH), "sketches")
     first = sketches.where("n_shingles > 0").groupBy(F.col("set_key").alias("node"))
-    nodes = scratch.keep(first.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "nodes")
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS)))
-    in_bucket = nodes.select("node", F.explode(bands).alias("bucket"))
+    nodes = scratch.keep(first.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    in_bucket = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = scratch.keep(in_bucket.join(shared, "bucket").select("bucket", "node"), "members")
-    colliding = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    sets = text.join(colliding.withColumnRenamed("doc_id", "own_id"), F.col("doc_id").eqNullSafe(F.col("own_id"))).select("node", "text")
-    sets = scratch.keep(sets.mapInArrow(_full_sets, _SETS).groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
-
-    roots = spark.createDataFrame([], "node binary, root binary")
-    links = spark.createDataFrame([], "a binary, b binary")
-    tried = links
-    rows = members.count()
-    for i in range(ROUNDS + 1):
-        placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")) if i else members.select("*", F.col("node").alias("root"))
-        if i:
-            apart = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-            apart = scratch.keep(apart.where("n * n > own"), f"apart-{i}")
-            todo = apart.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-            if not todo:
-                break
-            placed = placed.join(apart.select("bucket"), "bucket")
-            full = todo <= SPARE * rows or i == ROUNDS
-        else:
-            full = False
-        if full:
-            other = placed.select("bucket", F.col("node").alias("hub"), F.col("root").alias("hub_root"))
-            pairs = placed.join(other, "bucket").where("root <> hub_root and node < hub").select(*_ordered("node", "hub")).distinct()
-        else:
-            hub = placed.groupBy("bucket").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", "bucket", F.lit(i))).alias("hub"))
-            offered = placed.join(hub, "bucket").where("root <> hub.root").groupBy("node", F.col("hub.node").alias("hub")).agg(F.count(F.lit(1)).alias("bands"))
-            best = offered.groupBy("node").agg(F.max_by("hub", F.struct("bands", "hub")).alias("hub"))
-            pairs = best.select(*_ordered("node", "hub")).distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti") if i else pairs
-        pairs = scratch.keep(pairs, f"pairs-{i}")
-        found = scratch.keep(_verify(pairs, nodes, sets).where("linked").select("a", "b"), f"links-{i}")
-        tried, links = tried.union(pairs), links.union(found)
-        if not found.isEmpty():
-            roots = components(scratch, links, f"roots-{i}")
-        if full:
-            break
-    for name in ("sets", "members"):
+    members = scratch.keep(in_bucket.join(shared, "bucket"), "members")
+    signed = lambda rows: rows.join(nodes.select("node", "sig", "n_shingles"), "node")
+    small = signed(members.where(F.col("n") <= SMALL).select("bucket", "node"))
+    close = small.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_forests, _PAIR)
+    large = members.where(F.col("n") > SMALL).select("bucket", "node")
+    if not large.isEmpty():
+        hubs = large.groupBy("bucket").agg(*[F.min_by("node", F.xxhash64("node", "bucket", F.lit(i))).alias(f"h{i}") for i in range(HUBS)])
+        hubs = hubs.select("bucket", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HUBS)]))).alias("hub"))
+        pairs = large.join(hubs, "bucket").where("node <> hub").select(*_ordered("node", "hub")).distinct()
+        close = close.union(_survivors(pairs, nodes))
+    close = scratch.keep(close.groupBy("a", "b").agg(F.max("same").alias("same")), "close")
+    state = _Classes(spark, scratch, nodes, text)
+    state.confirm_all(close, "close")
+
+    # buckets that still hold several classes: members outside the largest one against all members of other classes
+    placed = state.placed(members.select("bucket", "node"), "node")
+    of_class = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = of_class.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    mixed = scratch.keep(placed.join(mixed, "bucket").select("bucket", "node", "root", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), (F.col("n") > SMALL).alias("large")), "mixed")
+    columns = ["bucket", "chunk", "large", "stray", "node", "root", "main"]
+    own = mixed.withColumns({"chunk": F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), "stray": F.lit(False)}).select(*columns)
+    strays = mixed.where("root <> main").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "stray": F.lit(True)}).select(*columns)
+    rows = scratch.keep(signed(own.union(strays)), "late-rows")
+    dealt = lambda rows: rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
+    late = dealt(rows.where(~F.col("large"))).mapInArrow(_across, _PAIR)
+    late = late.groupBy("a", "b").agg(F.max("same").alias("same")).join(close.select("a", "b"), ["a", "b"], "left_anti")
+    state.confirm_all(scratch.keep(late, "late"), "late")
+    # strays of large buckets are confirmed where they meet: their pairs never become rows
+    big = rows.where("large")
+    if not big.isEmpty():
+        state.add_sets(big.select(F.col("node").alias("a"), F.col("node").alias("b")), "large")
+        full = dealt(big.join(state.sets, "node"))
+        state.join(scratch.keep(full.mapInArrow(_linked_across, _PAIR).select("a", "b").distinct(), "late-links"), "large")
+
+    placed = state.placed(nodes.select("node", "doc_id"), "node").select("node", "doc_id", "root")
+    for name in ("members", "close", "mixed", "late", "late-rows"):
         scratch.drop(name)
-    return sketches.select("doc_id", "set_key", "n_shingles"), nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), scratch
+    return sketches.select("doc_id", "text_key", "set_key", "n_shingles"), placed, scratch
+
+
+class _Classes:
+    """Links confirmed so far, the classes they make, and which pairs have been looked at."""
+
+    def __init__(self, spark: SparkSession, scratch: Scratch, nodes: DataFrame, text: DataFrame):
+        self.scratch, self.nodes, self.text = scratch, nodes, text
+        self.links = self.tried = spark.createDataFrame([], "a binary, b binary")
+        self.roots = spark.createDataFrame([], "node binary, root binary")
+        self.sets: DataFrame | None = None
+
+    def add_sets(self, pairs: DataFrame, name: str) -> None:
+        """Shingle sets of the nodes of pairs, taken from one text of each."""
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if self.sets is not None:
+            asked = asked.join(self.sets.select("node"), "node", "left_anti")
+        asked = self.scratch.keep(asked.join(self.nodes.select("node", F.col("doc_id").alias("own_id")), "node"), f"sets-asked-{name}")
+        own = self.text.join(broadcast_if_small(asked, asked.count()), F.col("doc_id").eqNullSafe(F.col("own_id"))).select("node", "text")
+        sets = self.scratch.keep(own.mapInArrow(_full_sets, _SETS).dropDuplicates(["node"]), f"sets-{name}")
+        self.sets = sets if self.sets is None else self.sets.union(sets)
+
+    def confirm_all(self, pairs: DataFrame, name: str) -> None:
+        """Confirms all pairs that are apart: twice the likeliest of each node, then the rest."""
+        if pairs.isEmpty():
+            return
+        self.add_sets(pairs, name)
+        for i in range(2):
+            apart = self.apart(pairs)
+            sides = apart.select(F.col("a").alias("node"), "a", "b", "same").union(apart.select(F.col("b").alias("node"), "a", "b", "same"))
+            best = sides.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+            if not self.confirm(best, f"{name}-{i}"):
+                return
+        self.confirm(self.apart(pairs).select("a", "b"), f"{name}-rest")
+
+    def placed(self, rows: DataFrame, node: str) -> DataFrame:
+        return rows.join(self.roots.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
+
+    def apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs not yet looked at whose ends are in different classes."""
+        one = self.placed(pairs, "a").withColumnRenamed("root", "root_a")
+        return self.placed(one, "b").where("root <> root_a").drop("root", "root_a").join(self.tried, ["a", "b"], "left_anti")
+
+    def confirm(self, pairs: DataFrame, name: str) -> bool:
+        """Confirms pairs and joins classes; False if there were none to confirm."""
+        pairs = self.scratch.keep(pairs, f"pairs-{name}")
+        if pairs.isEmpty():
+            return False
+        self.tried = self.tried.union(pairs)
+        self.join(self.scratch.keep(_linked(self.scratch, pairs, self.sets, name), f"links-{name}"), name)
+        return True
+
+    def join(self, found: DataFrame, name: str) -> None:
+        """Joins the classes that the links found(a, b) connect."""
+        self.links = self.links.union(found)
+        if not found.isEmpty():
+            self.roots = components(self.scratch, self.links, f"roots-{name}")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs.
+    """doc_id, text_key, n_shingles, component_id, kept: one row per row of docs.
 
     Documents are linked when their sets of 5-word shingles (A-Z folded; a shorter text is one shingle) have a Jaccard
     similarity of at least 0.75. component_id is the smallest doc_id reachable. A null, empty or blank text has no
@@ -199,4 +411,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     names = scratch.keep(placed.join(smallest, "root").select(F.col("node").alias("set_key"), "component_id"), "names")
     joined = sketches.join(names, "set_key", "left")
     of = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", of.alias("component_id"), F.col("doc_id").eqNullSafe(of).alias("kept"))
+    return joined.select("doc_id", "text_key", "n_shingles", of.alias("component_id"), F.col("doc_id").eqNullSafe(of).alias("kept"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs with one document of each near-duplicate group, the one with the smallest doc_id; all columns stay.
+
+    Rows that repeat the doc_id that stays, with a text of the same group, stay with it.
+    """
+    scratch = Scratch(spark)
+    gone = scratch.keep(near_dedup(spark, docs).where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct(), "gone")
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"])
+    return docs.join(broadcast_if_small(gone, gone.count()), same, "left_anti")
