@@ -158,7 +158,7 @@ def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     gone = scratch.keep(found.where("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct(), "gone")
     repeated = scratch.keep(found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id", "text_sha256"), "repeated")
     sha = digest_column(docs["text"])
-    left = docs.join(broadcast_if_small(gone, gone.count()), docs["doc_id"].eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")
+    left = docs.join(broadcast_if_small(gone, gone.count()), docs["doc_id"].eqNullSafe(gone["gone_id"]) & (sha == gone["gone_sha"]), "left_anti")
     times = repeated.count()
     if not times:
         return left
