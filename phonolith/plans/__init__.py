@@ -1,6 +1,6 @@
 """Registered queries: importing the modules fills the registry."""
 
-from phonolith.plans import cells, graphs, models, places, quality, scenes, spatial, streams, temporal  # noqa: F401
+from phonolith.plans import cells, graphs, models, places, quality, reports, scenes, spatial, streams, temporal  # noqa: F401
 from phonolith.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
