@@ -212,8 +212,19 @@ def delete(index: DataFrame, docs: DataFrame, n_shards: int = 64) -> DataFrame:
 
 
 def lookup(index: DataFrame, docs: DataFrame, n_shards: int = 64) -> DataFrame:
-    """doc_id, text_sha256, live_id for each row of docs; live_id null when its content isn't live."""
-    live = index.select("text_sha256", F.col("doc_id").alias("live_id"))
+    """doc_id, text_sha256, live_id for each row of docs; live_id null when its content isn't live.
+
+    Each distinct digest is asked for once: the shard's filter answers most that aren't live, a hit is verified.
+    """
+
+    def work(live: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        shard = CuckooShard(len(live))
+        for sha, ident in zip(live.text_sha256, live.doc_id, strict=True):
+            shard.insert(sha, ident)
+        found = [(k, shard.find(k)) for k in asked.text_sha256]
+        return pd.DataFrame([x for x in found if x[1] is not None], columns=["text_sha256", "live_id"])
+
+    live = _change(index, docs, n_shards, "text_sha256 string, live_id long", work)
     return digests(docs).select("doc_id", "text_sha256").join(live, "text_sha256", "left").select("doc_id", "text_sha256", "live_id")
 
 

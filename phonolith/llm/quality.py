@@ -170,12 +170,15 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the rows whose predicted quality is 0; all columns of docs stay."""
+    """docs without the rows whose predicted quality is 0; all columns of docs stay.
+
+    Without labels nothing is rejected; if all labels are 0, everything is.
+    """
     scratch = Scratch(spark)
     stats = with_statistics(docs)
     model = fit(spark, scratch, stats, labels, "quality")
     if not isinstance(model, Model):
-        return docs if model >= THRESHOLD else docs.limit(0) if model < THRESHOLD and model != 0.5 else docs
+        return docs.limit(0) if model == 0.0 else docs
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
