@@ -34,6 +34,8 @@ MISS = 1e-7
 SMALL = 64
 #: Hubs of each large bucket in its first comparison.
 HUBS = 3
+#: Members up to which a bucket that still holds several classes gives pairs; in larger ones links are confirmed in place.
+PAIRED = 16
 #: Members of a large bucket that one task compares with its strays.
 CHUNK = 512
 
@@ -320,7 +322,7 @@ def near_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, Da
     placed = state.placed(members.select("bucket", "node"), "node")
     of_class = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = of_class.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    mixed = scratch.keep(placed.join(mixed, "bucket").select("bucket", "node", "root", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), (F.col("n") > SMALL).alias("large")), "mixed")
+    mixed = scratch.keep(placed.join(mixed, "bucket").select("bucket", "node", "root", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), (F.col("n") > PAIRED).alias("large")), "mixed")
     columns = ["bucket", "chunk", "large", "stray", "node", "root", "main"]
     own = mixed.withColumns({"chunk": F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), "stray": F.lit(False)}).select(*columns)
     strays = mixed.where("root <> main").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "stray": F.lit(True)}).select(*columns)
@@ -349,6 +351,7 @@ class _Classes:
         self.scratch, self.nodes, self.text = scratch, nodes, text
         self.links = self.tried = spark.createDataFrame([], "a binary, b binary")
         self.roots = spark.createDataFrame([], "node binary, root binary")
+        self.n_tried = self.n_roots = 0
         self.sets: DataFrame | None = None
 
     def add_sets(self, pairs: DataFrame, name: str) -> None:
@@ -362,32 +365,33 @@ class _Classes:
         self.sets = sets if self.sets is None else self.sets.union(sets)
 
     def confirm_all(self, pairs: DataFrame, name: str) -> None:
-        """Confirms all pairs that are apart: twice the likeliest of each node, then the rest."""
+        """Confirms all pairs that are apart: first the likeliest of each node, then what is apart after that."""
         if pairs.isEmpty():
             return
         self.add_sets(pairs, name)
-        for i in range(2):
-            apart = self.apart(pairs)
-            sides = apart.select(F.col("a").alias("node"), "a", "b", "same").union(apart.select(F.col("b").alias("node"), "a", "b", "same"))
-            best = sides.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-            if not self.confirm(best, f"{name}-{i}"):
-                return
-        self.confirm(self.apart(pairs).select("a", "b"), f"{name}-rest")
+        apart = self.apart(pairs)
+        sides = apart.select(F.col("a").alias("node"), "a", "b", "same").union(apart.select(F.col("b").alias("node"), "a", "b", "same"))
+        best = sides.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("same", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        if self.confirm(best, f"{name}-best"):
+            self.confirm(self.apart(pairs).select("a", "b"), f"{name}-rest")
 
     def placed(self, rows: DataFrame, node: str) -> DataFrame:
-        return rows.join(self.roots.select(F.col("node").alias(node), "root"), node, "left").withColumn("root", F.coalesce("root", node))
+        """rows with the root of the class that `node` is in, itself if it has no link."""
+        roots = broadcast_if_small(self.roots.select(F.col("node").alias(node), "root"), self.n_roots)
+        return rows.join(roots, node, "left").withColumn("root", F.coalesce("root", node))
 
     def apart(self, pairs: DataFrame) -> DataFrame:
         """Pairs not yet looked at whose ends are in different classes."""
         one = self.placed(pairs, "a").withColumnRenamed("root", "root_a")
-        return self.placed(one, "b").where("root <> root_a").drop("root", "root_a").join(self.tried, ["a", "b"], "left_anti")
+        return self.placed(one, "b").where("root <> root_a").drop("root", "root_a").join(broadcast_if_small(self.tried, self.n_tried), ["a", "b"], "left_anti")
 
     def confirm(self, pairs: DataFrame, name: str) -> bool:
         """Confirms pairs and joins classes; False if there were none to confirm."""
         pairs = self.scratch.keep(pairs, f"pairs-{name}")
-        if pairs.isEmpty():
+        n = pairs.count()
+        if not n:
             return False
-        self.tried = self.tried.union(pairs)
+        self.tried, self.n_tried = self.tried.union(pairs), self.n_tried + n
         self.join(self.scratch.keep(_linked(self.scratch, pairs, self.sets, name), f"links-{name}"), name)
         return True
 
@@ -396,6 +400,7 @@ class _Classes:
         self.links = self.links.union(found)
         if not found.isEmpty():
             self.roots = components(self.scratch, self.links, f"roots-{name}")
+            self.n_roots = self.roots.count()
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -58,6 +58,7 @@ def test_near_components_match_brute_force(spark, large, monkeypatch):
     """With large buckets, members, hubs and strays of several chunks are compared as well."""
     if large:
         monkeypatch.setattr(nd, "SMALL", 3)
+        monkeypatch.setattr(nd, "PAIRED", 2)
         monkeypatch.setattr(nd, "CHUNK", 4)
     rng, texts = random.Random(5), []
     for g in range(12):
