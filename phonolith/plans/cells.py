@@ -12,7 +12,12 @@ from phonolith.plans.registry import query
 from phonolith.sources.fixtures import CELLS
 
 THRESHOLDS = {"road": 40.0, "rail": 40.0, "aircraft": 45.0}
-EAST, NORTH = 530005.0 + F.col("col_i") * 100.0, 179995.0 - F.col("row_i") * 100.0
+
+
+def centre():
+    """Easting and northing of a cell; a function, as columns need a session."""
+    return 530005.0 + F.col("col_i") * 100.0, 179995.0 - F.col("row_i") * 100.0
+
 
 READ = """c as (select *, case when source <> 'aircraft' then 40.0::double end cutoff,
   case when raw = -96 then 'unreported_unknown' when raw = 0 and source <> 'aircraft' then 'verified_below_cutoff'
@@ -91,7 +96,7 @@ def _(cells: DataFrame) -> DataFrame:
 select 'E' || (5005 + 10000 * i) || 'N' || (5005 + 10000 * j) tile, count(*) cells from (
   select floor((530005.0 + col_i * 100.0 - 5005) / 10000)::bigint i, (ceil((179995.0 - row_i * 100.0 - 5005) / 10000) - 1)::bigint j from {t} x) group by 1""")
 def _(cells: DataFrame) -> DataFrame:
-    i, j = geo.owner(EAST, NORTH)
+    i, j = geo.owner(*centre())
     return cells.groupBy(geo.tile_id(i, j).alias("tile")).agg(F.count(F.lit(1)).alias("cells"))
 
 
@@ -162,7 +167,7 @@ select q, r, source, count(lv) value_cells, count(*) filter (status = 'verified_
   round(count(*) filter (lv >= 55) / nullif(count(*) filter (status <> 'unreported_unknown'), 0), 4) share_ge_55
 from g group by 1, 2, 3""")
 def _(cells: DataFrame) -> DataFrame:
-    q, r = geo.hex_key(EAST, NORTH)
+    q, r = geo.hex_key(*centre())
     return op.hexagons(cells, q, r).drop("energy_sum").withColumns(r4("mean_db", "share_ge_55"))
 
 
@@ -170,7 +175,7 @@ def _(cells: DataFrame) -> DataFrame:
 select q, r, i::int corner, round(3000 * sqrt(3) * (q + r / 2) + 3000 * cos(radians(60 * i - 30)), 3) x, round(4500.0 * r + 3000 * sin(radians(60 * i - 30)), 3) y
 from (select distinct q, r from g), (select unnest(range(0, 6)) i)""")
 def _(cells: DataFrame) -> DataFrame:
-    q, r = geo.hex_key(EAST, NORTH)
+    q, r = geo.hex_key(*centre())
     hexes = cells.select(q.alias("q"), r.alias("r")).distinct()
     out = hexes.select("q", "r", F.posexplode(geo.hex_corners(F.col("q"), F.col("r"))).alias("corner", "p"))
     return out.select("q", "r", "corner", F.round("p.x", 3).alias("x"), F.round("p.y", 3).alias("y"))

@@ -43,3 +43,14 @@ def test_query_equals_its_sql(spark, engine, name):
 def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(SQL) <= set(QUERIES) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_names_are_known_without_a_session():
+    """The registry is read before any session exists."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 50)"], cwd=root, capture_output=True, text=True)
+    assert said.stdout.strip().endswith("True"), said.stderr[-500:]
