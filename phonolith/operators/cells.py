@@ -224,23 +224,28 @@ def repeated_values(cells: DataFrame, k: int = 12) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n"), "raw"))).where(F.col("rank") <= k)
 
 
+def _spread(cells: DataFrame, reach: int, **folds: Column) -> DataFrame:
+    """Each cell's values folded over the square of cells within reach, for cells that exist: a row pass, then a column pass.
+
+    Values go out to every place within reach, whether a cell lies there or not, so ragged grids lose nothing.
+    """
+    out = cells
+    for axis in ("col_i", "row_i"):
+        out = out.withColumn(axis, F.explode(F.sequence(F.col(axis) - reach, F.col(axis) + reach))).groupBy(*KEY, "source").agg(*[f.alias(n) for n, f in folds.items()])
+    return cells.select(*KEY, "source").join(out, [*KEY, "source"])
+
+
 def moving_means(cells: DataFrame, reach: int = 2) -> DataFrame:
-    """Mean level over the square of cells within reach, missing cells left out: a row pass, then a column pass, in exact hundredths."""
-    own = cells.withColumns({"v": F.when(F.col("raw") > 0, F.rint(F.col("raw") * 100).cast("long")), "one": (F.col("raw") > 0).cast("long")})
-    row = W.partitionBy("source", "row_i").orderBy("col_i").rangeBetween(-reach, reach)
-    col = W.partitionBy("source", "col_i").orderBy("row_i").rangeBetween(-reach, reach)
-    out = own.withColumns({"v": F.sum("v").over(row), "one": F.sum("one").over(row)})
-    out = out.withColumns({"v": F.sum("v").over(col), "one": F.sum("one").over(col)})
-    return out.select(*KEY, "source", F.col("one").alias("n"), F.when(F.col("one") > 0, F.col("v").cast("double") / 100.0 / F.col("one")).alias("mean_db"))
+    """Mean level over the square of cells within reach, missing cells left out, in exact hundredths."""
+    own = cells.select(*KEY, "source", F.when(F.col("raw") > 0, F.rint(F.col("raw") * 100).cast("long")).alias("v"), (F.col("raw") > 0).cast("long").alias("n"))
+    out = _spread(own, reach, v=F.sum("v"), n=F.sum("n"))
+    return out.select(*KEY, "source", "n", F.when(F.col("n") > 0, F.col("v").cast("double") / 100.0 / F.col("n")).alias("mean_db"))
 
 
 def square_range(cells: DataFrame, reach: int = 1) -> DataFrame:
     """Least and largest reported level in the square of cells within reach."""
-    own = cells.withColumn("v", F.when(F.col("raw") > 0, F.col("raw")))
-    row = W.partitionBy("source", "row_i").orderBy("col_i").rangeBetween(-reach, reach)
-    col = W.partitionBy("source", "col_i").orderBy("row_i").rangeBetween(-reach, reach)
-    out = own.withColumns({"low": F.min("v").over(row), "high": F.max("v").over(row)})
-    return out.withColumns({"low": F.min("low").over(col), "high": F.max("high").over(col)}).select(*KEY, "source", "low", "high")
+    value = F.when(F.col("raw") > 0, F.col("raw"))
+    return _spread(cells.select(*KEY, "source", value.alias("low"), value.alias("high")), reach, low=F.min("low"), high=F.max("high"))
 
 
 def row_clearance(cells: DataFrame, blocked: Column) -> DataFrame:
@@ -254,10 +259,13 @@ def row_clearance(cells: DataFrame, blocked: Column) -> DataFrame:
 def clearance(cells: DataFrame, blocked: Column, reach: int) -> DataFrame:
     """Squared distance in cells to the nearest blocked cell, exact within reach, else null.
 
-    A row pass leaves each row's nearest column distance; the column pass compares the rows within reach.
+    A row pass leaves each place's nearest distance along its row; the column pass adds the rows within reach. Only
+    blocked cells are sent out.
     """
-    rows = row_clearance(cells, blocked).where(F.col("clearance") <= reach)
-    near = rows.select(F.col("row_i").alias("from_row"), "col_i", "source", F.col("clearance").alias("c")).withColumn("row_i", F.explode(F.sequence(F.col("from_row") - reach, F.col("from_row") + reach)))
+    at = cells.where(blocked).select(F.col("row_i").alias("from_row"), F.col("col_i").alias("from_col"), "source")
+    along = at.withColumn("col_i", F.explode(F.sequence(F.col("from_col") - reach, F.col("from_col") + reach)))
+    along = along.groupBy("from_row", "col_i", "source").agg(F.min(F.abs(F.col("from_col") - F.col("col_i"))).alias("c"))
+    near = along.withColumn("row_i", F.explode(F.sequence(F.col("from_row") - reach, F.col("from_row") + reach)))
     best = near.groupBy("row_i", "col_i", "source").agg(F.min((F.col("from_row") - F.col("row_i")) * (F.col("from_row") - F.col("row_i")) + F.col("c") * F.col("c")).alias("d2"))
     out = cells.select(*KEY, "source").join(best, [*KEY, "source"], "left")
     return out.withColumn("d2", F.when(F.col("d2") <= reach * reach, F.col("d2")))
