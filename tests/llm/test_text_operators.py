@@ -1,6 +1,7 @@
 """Mixing, decontamination, personal data, language, URLs, quality, toxicity and licenses."""
 
 import hashlib
+import math
 import random
 from collections import Counter
 
@@ -194,6 +195,43 @@ def test_toxicity_finds_marked_words(spark):
     assert sum(p == t for p, t in held) / len(held) > 0.97
 
 
+def test_toxicity_counts_every_word_and_bigram(spark):
+    """llr against brute force on strings: bigrams seen twice count, and no two words share a count, however many words there are."""
+    rng = random.Random(3)
+    texts = {i: " ".join([*words(i, 8), *(f"rare{rng.randrange(200)} w{i}x{j}" for j in range(60)), *(["vile", "deed"] if i % 3 == 0 else [])]) for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
+    place = {r.doc_id: (r.half, r.fold) for r in docs.select("doc_id", toxicity._half().alias("half"), toxicity.fold("doc_id", toxicity.FOLDS).alias("fold")).collect()}
+    pairs_of = lambda i: list(zip(["", *texts[i].split()], texts[i].split(), strict=False))
+    pair, context, word = ([Counter() for _ in range(4)] for _ in range(3))
+    for i in texts:
+        half, fold = place[i]
+        for c, w in pairs_of(i) if fold != toxicity.HELD_OUT else ():
+            k = 2 * (i % 3 == 0) + half
+            pair[k][c, w] += 1
+            context[k][c] += 1
+            word[k][w] += 1
+    vocabulary = len({w for k in word for w in k})
+    rate = lambda n, expected: (n + toxicity.PRIOR) / (expected + toxicity.PRIOR)
+
+    def likely(c, w, k, h, d=toxicity.DISCOUNT):
+        seen = pair[h].keys() | pair[2 + h].keys()
+        types = Counter(x for _, x in seen)
+        n, total, of_word = pair[h][c, w] + pair[2 + h][c, w], context[h][c] + context[2 + h][c], word[h][w] + word[2 + h][w]
+        shared = max(types[w] - d, 0) / len(seen) + d * len(types) / len(seen) / vocabulary
+        back = shared * rate(word[k][w], of_word * word[k].total() / (word[h].total() + word[2 + h].total()))
+        if not total:
+            return back
+        return max(n - d, 0) / total * rate(pair[k][c, w], n * context[k][c] / total) + d * sum(x == c for x, _ in seen) / total * back
+
+    got = {r.doc_id: r.llr for r in toxicity.toxicity(spark, docs, labels).collect()}
+    for i in list(texts)[:12]:
+        h = 1 - place[i][0]
+        l = sorted(math.log(likely(c, w, 2 + h, h) / likely(c, w, h, h)) for c, w in pairs_of(i))
+        median = (l[(len(l) - 1) // 2] + l[len(l) // 2]) / 2
+        assert abs(got[i] - (sum(l) / len(l) - min(max(median, -toxicity.BASELINE), toxicity.BASELINE))) < 1e-6
+
+
 def test_licenses_match_in_whole_and_in_part(spark, edge_docs, empty_docs):
     notice = licenses.TEMPLATES["apache-2.0-notice"].split()
     texts = {
