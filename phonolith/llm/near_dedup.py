@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +37,7 @@ SMALL = 64
 HUBS = 3
 #: Members up to which a bucket that still holds several classes gives pairs; in larger ones links are confirmed in place.
 PAIRED = 16
-#: Members of a large bucket that one task compares with its strays.
+#: Strays of a bucket, and members that they are compared with, in one cell of the bucket's grid: what a task holds at once.
 CHUNK = 512
 
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -205,37 +206,45 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(a, b, kept)
 
 
+_CELL = ("bucket", "a", "b")
+
+
 def _stray_pairs(rows: pa.Table, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Survivors (i, j, same) between strays and members of other classes within each group of rows, and the nodes."""
+    """Survivors (i, j, same) between members of different classes that meet in a cell of rows, and the nodes; cell by cell."""
     nodes, sigs, sizes = _columns(rows)
-    stray = np.array(rows.column("stray").to_pylist(), bool)
-    roots, main = rows.column("root").to_pylist(), rows.column("main").to_pylist()
+    left, diagonal = (np.array(x.to_pylist(), bool) for x in (rows.column("left"), pc.equal(rows.column("a"), rows.column("b"))))
+    roots = rows.column("root").to_pylist()
     number = {r: n for n, r in enumerate({*roots})}
     of = np.array([number[r] for r in roots])
-    in_main = np.array([r == m for r, m in zip(roots, main, strict=True)])
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    out = [(np.zeros(0, np.int64),) * 3]
     for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        s, m = lo + np.flatnonzero(stray[lo:hi]), lo + np.flatnonzero(~stray[lo:hi])
-        i, j = np.repeat(s, len(m)), np.tile(m, len(s))
+        if diagonal[lo]:
+            i, j = (lo + x for x in np.triu_indices(hi - lo, 1))
+        else:
+            s, m = lo + np.flatnonzero(left[lo:hi]), lo + np.flatnonzero(~left[lo:hi])
+            i, j = np.repeat(s, len(m)), np.tile(m, len(s))
         apart = of[i] != of[j]
-        i, j = i[apart], j[apart]
-        # two strays meet in either's chunk; one of the two is enough
-        once = in_main[j] | np.fromiter((nodes[x] < nodes[y] for x, y in zip(i, j, strict=True)), bool, len(i))
-        left.append(i[once])
-        right.append(j[once])
-    return *_compared(np.concatenate(left), np.concatenate(right), sigs, sizes), nodes
+        out.append(_compared(i[apart], j[apart], sigs, sizes))
+    return *(np.concatenate([o[n] for o in out]) for n in range(3)), nodes
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Survivors between a bucket's strays and its members of other classes."""
-    for rows, bounds in _whole_groups(batches, ("bucket", "chunk")):
+    for rows, bounds in _whole_groups(batches, _CELL):
         i, j, same, nodes = _stray_pairs(rows, bounds)
         yield _pairs([nodes[x] for x in i], [nodes[y] for y in j], same.tolist())
 
 
+def _surviving(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a survivor in their cell: the only ones whose full sets are asked for."""
+    for rows, bounds in _whole_groups(batches, _CELL):
+        i, j, _, _ = _stray_pairs(rows, bounds)
+        yield from rows.take(pa.array(np.unique(np.concatenate([i, j])))).to_batches()
+
+
 def _linked_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As _across for chunks of large buckets that bring the full sets: links themselves, one for each two classes that meet."""
-    for rows, bounds in _whole_groups(batches, ("bucket", "chunk")):
+    """As _across for cells of large buckets that bring the full sets: links themselves, one for each two classes that meet."""
+    for rows, bounds in _whole_groups(batches, _CELL):
         i, j, same, nodes = _stray_pairs(rows, bounds)
         roots, hashes = rows.column("root").to_pylist(), rows.column("hashes").combine_chunks()
         met, a, b, kept = set(), [], [], []
@@ -250,6 +259,20 @@ def _linked_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield _pairs(a, b, kept)
 
 
+def in_cells(mixed: DataFrame) -> DataFrame:
+    """(bucket, a, b, large, left, node, root): the members of mixed buckets by cells, where each stray meets each other member once.
+
+    Strays are dealt into a bucket's first chunks and members of its main class into the next; a cell is a chunk of
+    strays (left) and a chunk of either kind, so neither side grows with the bucket. Cells a = b hold one chunk.
+    """
+    strays, mains = F.ceil((F.col("n") - F.col("most")) / CHUNK).cast("int"), F.ceil(F.col("most") / CHUNK).cast("int")
+    stray, deal = F.col("root") != F.col("main"), F.xxhash64("node")
+    dealt = mixed.withColumns({"strays": strays, "mains": mains, "stray": stray}).withColumn("own", F.when(F.col("stray"), F.pmod(deal, "strays")).otherwise(F.col("strays") + F.pmod(deal, "mains")).cast("int"))
+    other = F.sequence(F.lit(0), F.when(F.col("stray"), F.col("strays") + F.col("mains")).otherwise(F.col("strays")) - 1)
+    met = dealt.withColumn("other", F.explode(other))
+    return met.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "large", (F.col("own") <= F.col("other")).alias("left"), "node", "root")
+
+
 def similar(p: np.ndarray, q: np.ndarray) -> bool:
     """Whether two sorted sets reach the threshold."""
     at = np.minimum(np.searchsorted(q, p), len(q) - 1)
@@ -321,25 +344,23 @@ def near_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, Da
     # buckets that still hold several classes: members outside the largest one against all members of other classes
     placed = state.placed(members.select("bucket", "node"), "node")
     of_class = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = of_class.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    mixed = scratch.keep(placed.join(mixed, "bucket").select("bucket", "node", "root", "main", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"), (F.col("n") > PAIRED).alias("large")), "mixed")
-    columns = ["bucket", "chunk", "large", "stray", "node", "root", "main"]
-    own = mixed.withColumns({"chunk": F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"), "stray": F.lit(False)}).select(*columns)
-    strays = mixed.where("root <> main").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "stray": F.lit(True)}).select(*columns)
-    rows = scratch.keep(signed(own.union(strays)), "late-rows")
-    dealt = lambda rows: rows.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk")
+    mixed = of_class.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    mixed = scratch.keep(placed.join(mixed, "bucket").select("bucket", "node", "root", "main", "n", "most", (F.col("n") > PAIRED).alias("large")), "mixed")
+    rows = scratch.keep(signed(in_cells(mixed)), "late-rows")
+    dealt = lambda rows: rows.repartition(*_CELL).sortWithinPartitions(*_CELL)
     late = dealt(rows.where(~F.col("large"))).mapInArrow(_across, _PAIR)
     late = late.groupBy("a", "b").agg(F.max("same").alias("same")).join(close.select("a", "b"), ["a", "b"], "left_anti")
     state.confirm_all(scratch.keep(late, "late"), "late")
     # strays of large buckets are confirmed where they meet: their pairs never become rows
     big = rows.where("large")
     if not big.isEmpty():
+        big = scratch.keep(dealt(big).mapInArrow(_surviving, big.schema), "late-survivors")
         state.add_sets(big.select(F.col("node").alias("a"), F.col("node").alias("b")), "large")
         full = dealt(big.join(state.sets, "node"))
         state.join(scratch.keep(full.mapInArrow(_linked_across, _PAIR).select("a", "b").distinct(), "late-links"), "large")
 
     placed = state.placed(nodes.select("node", "doc_id"), "node").select("node", "doc_id", "root")
-    for name in ("members", "close", "mixed", "late", "late-rows"):
+    for name in ("members", "close", "mixed", "late", "late-rows", "late-survivors"):
         scratch.drop(name)
     return sketches.select("doc_id", "text_key", "set_key", "n_shingles"), placed, scratch
 

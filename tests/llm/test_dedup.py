@@ -1,6 +1,7 @@
 """Exact and near deduplication against brute force and on edge cases."""
 
 import random
+from collections import Counter
 
 import pytest
 from llm_helpers import components_of, jaccard_links, shingles
@@ -93,3 +94,31 @@ def test_pairs_of_one_set_are_one_node(spark):
     rows = [(i, "the same five words and more") for i in range(40)] + [(100, "THE same five words and more")]
     got = nd.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"))
     assert got.where("kept").count() == 1 and got.agg(F.max("component_id")).first()[0] == 0
+
+
+def test_strays_of_large_buckets_meet_in_bounded_cells(spark, monkeypatch):
+    """No cell holds all strays of a bucket, and each stray meets each other member in one cell."""
+    monkeypatch.setattr(nd, "CHUNK", 8)
+    members = [(1, b"s%d" % i, b"s%d" % i, b"m", 100, 40, True) for i in range(60)] + [(1, b"m%d" % i, b"m", b"m", 100, 40, True) for i in range(40)]
+    mixed = spark.createDataFrame(members, "bucket long, node binary, root binary, main binary, n long, most long, large boolean")
+    cells = {}
+    for r in nd.in_cells(mixed).collect():
+        cells.setdefault((r.a, r.b), []).append((bytes(r.node), r.left))
+    assert max(map(len, cells.values())) < 60
+    met = Counter()
+    for (a, b), rows in cells.items():
+        if a == b:
+            met.update(frozenset((x, y)) for k, (x, _) in enumerate(rows) for y, _ in rows[:k])
+        else:
+            met.update(frozenset((x, y)) for x, of in rows if of for y, left in rows if not left)
+    assert len(met) == 60 * 59 // 2 + 60 * 40 and set(met.values()) == {1}
+
+
+def test_template_like_texts_in_small_cells(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CHUNK", 16)
+    rng, common, texts = random.Random(11), [f"c{i}" for i in range(120)], []
+    for i in range(160):
+        own = [f"o{i // 2}x{j}" for j in range(40)]
+        texts.append(" ".join(common + own[: 38 + i % 2 * 2] + [f"t{rng.randrange(10**9)}"]))
+    got = nd.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(components_of(len(texts), jaccard_links(texts))))
