@@ -2,11 +2,12 @@
 
 Pages that a rule allows seed trust, which flows along links (a trusted host's links are trusted); pages that a rule
 blocks seed distrust, which flows against links (who links to a blocked host is suspect). Both are personalised
-PageRanks with the same damping. A host is blocked when distrust makes up at least half of what reached it.
+PageRanks with the same damping, iterated until they stand still. A host is blocked when distrust makes up at least half of what reached it.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +18,13 @@ from phonolith.llm.common import Scratch
 #: (host, path, verdict) as the rules are given.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DAMPING = 0.85
+#: Rounds go on until no round reaches a new host and the scores of a flow change by no more than this in all ...
+TOLERANCE = 1e-9
+#: ... which is looked at after this many rounds, and then after each.
 STEPS = 10
 BLOCK_SHARE = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LINK = r"""(?i)\bhref\s*=\s*["']?\s*https?(://[^/?#"'\s>]+)"""
+LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?(//[^/?#"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -48,14 +52,14 @@ def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
 def link_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n) between different hosts; n: links."""
     links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(LINK), 1)).alias("url"))
-    return links.select("src", host_of(F.col("url")).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    return links.select("src", host_of(F.concat(F.lit(":"), "url")).alias("dst")).where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(scratch: Scratch, edges: DataFrame, seeds: DataFrame, steps: int = STEPS) -> DataFrame:
+def propagate(scratch: Scratch, edges: DataFrame, seeds: DataFrame, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
     """(flow, host, score): personalised PageRank for flow 't' along edges from trusted and 'd' against edges from blocked hosts.
 
-    seeds: (flow, host, seed) with seeds of a flow summing to 1. Scores are written out each step; contributions of a
-    host with very many links are summed on the map side, and Spark splits its side of the join.
+    seeds: (flow, host, seed) with seeds of a flow summing to 1. Scores are written out each step, and steps go on,
+    after the first `steps`, until no host is new and no flow's scores change by more than tolerance; contributions of a host with very many links are summed on the map side, and Spark splits its side of the join.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("all")).withColumnRenamed("src", "x")
     into = edges.groupBy("dst").agg(F.sum("n").alias("all")).withColumnRenamed("dst", "x")
@@ -66,10 +70,17 @@ def propagate(scratch: Scratch, edges: DataFrame, seeds: DataFrame, steps: int =
     if moves.isEmpty():
         return base
     score = seeds.select("flow", "host", F.col("seed").alias("score"))
-    for i in range(steps):
+    for i in itertools.count():
         moved = score.join(moves, ["flow", "host"]).select("flow", F.col("to").alias("host"), (F.lit(DAMPING) * F.col("score") * F.col("part")).alias("score"))
-        score = scratch.keep(moved.union(base).groupBy("flow", "host").agg(F.sum("score").alias("score")), f"score-{i}")
-    return score
+        last, score = score, scratch.keep(moved.union(base).groupBy("flow", "host").agg(F.sum("score").alias("score")), f"score-{i}")
+        if i + 1 >= steps:
+            both = score.join(last.withColumnRenamed("score", "last"), ["flow", "host"], "full")
+            change = F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("last", F.lit(0.0))))
+            still = both.groupBy("flow").agg((F.max(F.col("last").isNull()) | (change > tolerance)).alias("moving")).where("moving").isEmpty()
+            if still:
+                return score
+        if i:
+            scratch.drop(f"score-{i - 1}")
 
 
 def filter_urls(spark: SparkSession, pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:

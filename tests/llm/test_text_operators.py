@@ -157,6 +157,14 @@ def test_trust_and_distrust_flow_over_links(spark):
         assert all(abs(getattr(got[i], flow) - score.get(got[i].host, 0)) < 1e-9 for i in got)
 
 
+def test_distrust_goes_on_until_it_stands_still(spark):
+    """A host 14 links from the only seed is reached, over links without a scheme."""
+    hosts = ["shop.com", *(f"h{i}.net" for i in range(14))]
+    rows = [(i, f"https://{h}/{'de/' if not i else ''}", f'<a href="//{hosts[i - 1]}/p">' if i else None) for i, h in enumerate(hosts)]
+    got = {r.page_id: r for r in url_filter.filter_urls(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].verdict == "block" and abs(got[i].distrust - 0.15 * 0.85**i) < 1e-8 for i in range(15))
+
+
 @pytest.mark.parametrize("operator, label, least", [(quality.quality, "quality", 0.9)])
 def test_quality_held_out(spark, operator, label, least):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
