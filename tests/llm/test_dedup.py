@@ -59,7 +59,6 @@ def test_near_components_match_brute_force(spark, large, monkeypatch):
     """With large buckets, members, hubs and strays of several chunks are compared as well."""
     if large:
         monkeypatch.setattr(nd, "SMALL", 3)
-        monkeypatch.setattr(nd, "PAIRED", 2)
         monkeypatch.setattr(nd, "CHUNK", 4)
     rng, texts = random.Random(5), []
     for g in range(12):
@@ -99,8 +98,8 @@ def test_pairs_of_one_set_are_one_node(spark):
 def test_strays_of_large_buckets_meet_in_bounded_cells(spark, monkeypatch):
     """No cell holds all strays of a bucket, and each stray meets each other member in one cell."""
     monkeypatch.setattr(nd, "CHUNK", 8)
-    members = [(1, b"s%d" % i, b"s%d" % i, b"m", 100, 40, True) for i in range(60)] + [(1, b"m%d" % i, b"m", b"m", 100, 40, True) for i in range(40)]
-    mixed = spark.createDataFrame(members, "bucket long, node binary, root binary, main binary, n long, most long, large boolean")
+    members = [(1, 0, b"s%d" % i, b"s%d" % i, b"m", 100, 40, 900, 300) for i in range(60)] + [(1, 0, b"m%d" % i, b"m", b"m", 100, 40, 900, 300) for i in range(40)]
+    mixed = spark.createDataFrame(members, "bucket long, band int, node binary, root binary, main binary, n long, most long, weight long, main_weight long")
     cells = {}
     for r in nd.in_cells(mixed).collect():
         cells.setdefault((r.a, r.b), []).append((bytes(r.node), r.left))
@@ -122,3 +121,29 @@ def test_template_like_texts_in_small_cells(spark, monkeypatch):
         texts.append(" ".join(common + own[: 38 + i % 2 * 2] + [f"t{rng.randrange(10**9)}"]))
     got = nd.near_dedup(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(components_of(len(texts), jaccard_links(texts))))
+
+
+def test_a_chunk_gives_a_forest(spark):
+    """300 near copies of one bucket give under 300 pairs in a chunk, and they join what all pairs would join."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sigs = [nd.signature(np.where(rng.random(300) < 0.04, rng.integers(0, 2**63, 300, dtype=np.uint64), base)).tobytes() for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"bucket": [7] * 300, "chunk": pa.array([0] * 300, pa.int32()), "node": [b"n%03d" % i for i in range(300)], "sig": sigs, "n_shingles": [300] * 300})
+    pairs = [p for out in nd._forests(iter([batch])) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)]
+    forest = nd.Forest(300)
+    assert len(pairs) == 299 and all(forest.join(int(a[1:]), int(b[1:])) for a, b in pairs)
+
+
+def test_large_ids_beside_nulls(spark):
+    """Ids above 2**53 come back as they are, whatever else is null."""
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "one two three four five six"), (big + 2, "one two three four five six"), (None, "one two three four five six "), (None, None)], "doc_id long, text string")
+    got = {r.doc_id: r for r in ed.exact_dedup(spark, docs).where("text_sha256 <> '' and doc_id is not null").collect()}
+    assert set(got) == {big, big + 2} and got[big].keep_id is None  # the longest text has no id
+    two = {r.doc_id: r for r in ed.exact_dedup(spark, docs.where("doc_id is not null or text is null")).collect()}
+    assert two[big].keep_id == big and two[big].kept and two[big + 2].keep_id == big and not two[big + 2].kept
+    near = {r.doc_id: r.component_id for r in nd.near_dedup(spark, docs).collect() if r.doc_id}
+    assert near == {big: big, big + 2: big}
