@@ -1,10 +1,12 @@
 """Benchmark decontamination by MinHash containment search.
 
-A long document holds a short test item when it has at least 75 % of the item's shingles. A MinHash of the whole
-document says nothing about that (the Jaccard similarity of 30 shingles within 20,000 is about 0.001), so the sketch is
-the item's: items are partitioned by size, and the partition's size bound sets how many of an item's smallest shingle
-hashes are kept, namely one more than a document may lack. A document that holds the item then meets the sketch for
-sure. Documents that meet a sketch are candidates; they are verified on the shingles themselves.
+A long document holds a short test item when it has at least 75 % of the item's shingles. A MinHash of fixed length says
+nothing about that (30 shingles within 20,000 are a Jaccard similarity of 0.001), so the sketches are scaled: items are
+partitioned by size, an item's sketch is its smallest shingle hashes, one more than a document may lack in its partition,
+and a document's sketch is all its hashes up to the largest that any item of a partition kept. The share of an item's
+sketch found in a document's sketch estimates containment; a document that holds the item to 75 % lacks so few shingles
+that a part of the sketch is there for sure, so asking for that part loses nothing. Candidates are verified on the
+shingles themselves.
 """
 
 from __future__ import annotations
@@ -38,16 +40,21 @@ def item_shingles(items: DataFrame) -> DataFrame:
     return split.where("s is not null").select("item_id", F.size("s").cast("long").alias("n_item"), "s")
 
 
+def _may_lack(n: Column) -> Column:
+    """Shingles of n that a document may lack and still hold 75 %."""
+    return (n - F.ceil(n * PERCENT / 100)).cast("int")
+
+
 def sketches(items: DataFrame) -> DataFrame:
-    """(item_id, hash): for each item its smallest shingle hashes, as many as its size partition asks for.
+    """(item_id, part, least, hash): for each item its smallest shingle hashes, as many as its size partition asks for.
 
-    A partition holds the sizes from a power of two up to the next; of u shingles a document may lack
-    u - ceil(0.75 u), and that never falls as u grows, so the bound of the partition serves all its items.
+    A partition holds the sizes from a power of two up to the next; what a document may lack never falls with the size,
+    so the partition's bound serves all its items. least: hashes of the sketch that a document with 75 % has for sure.
     """
-    hashed = items.select("item_id", words(F.col("text")).alias("w")).select("item_id", F.sort_array(F.array_distinct(shingles(F.col("w"), True))).alias("h"))
-    upper = F.pow(F.lit(2.0), F.floor(F.log2(F.size("h").cast("double"))) + 1) - 1
-    depth = (upper - F.ceil(upper * PERCENT / 100) + 1).cast("int")
-    return hashed.where("h is not null").select("item_id", F.explode(F.slice("h", 1, depth)).alias("hash"))
+    hashed = items.select("item_id", words(F.col("text")).alias("w")).select("item_id", F.sort_array(F.array_distinct(shingles(F.col("w"), True))).alias("h")).where("h is not null")
+    part = F.floor(F.log2(F.size("h").cast("double"))).cast("int")
+    kept = hashed.withColumn("part", part).withColumn("n", F.size("h")).withColumn("kept", F.slice("h", 1, _may_lack(F.pow(F.lit(2.0), F.col("part") + 1) - 1) + 1))
+    return kept.select("item_id", "part", (F.size("kept") - _may_lack(F.col("n"))).alias("least"), F.explode("kept").alias("hash"))
 
 
 def text_key(text: Column) -> Column:
@@ -65,15 +72,17 @@ def contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame) -> Data
     scratch = Scratch(spark)
     of_items = scratch.keep(item_shingles(items).select("item_id", "n_item", F.explode("s").alias("shingle")), "items")
     sketch = scratch.keep(sketches(items), "sketch")
+    n_sketch, upper = sketch.agg(F.count(F.lit(1)), F.max("hash")).first()
     own = docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text")
-    grams = own.select("doc_id", "text_key", words(F.col("text")).alias("w")).select("doc_id", "text_key", F.explode(shingles(F.col("w"), True)).alias("hash"))
-    met = grams.join(broadcast_if_small(sketch, sketch.count()), "hash").select("doc_id", "text_key", "item_id").distinct()
-    met = scratch.keep(met, "candidates")
+    grams = own.select("doc_id", "text_key", words(F.col("text")).alias("w")).select("doc_id", "text_key", F.explode(F.array_distinct(F.filter(shingles(F.col("w"), True), lambda h: h <= F.lit(upper)))).alias("hash"))
+    met = grams.join(broadcast_if_small(sketch, n_sketch), "hash").groupBy("doc_id", "text_key", "item_id").agg(F.count(F.lit(1)).alias("found"), F.first("least").alias("least"))
+    met = scratch.keep(met.where("found >= least").select("doc_id", "text_key", "item_id"), "candidates")
     who = met.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))
     texts = own.join(broadcast_if_small(who, who.count()), same, "left_semi").dropDuplicates(["doc_id", "text_key"])
     held = texts.select("doc_id", "text_key", words(F.col("text")).alias("w")).select("doc_id", "text_key", F.explode(F.array_distinct(shingles(F.col("w"), False))).alias("shingle"))
-    found = held.join(broadcast_if_small(of_items, of_items.count()), "shingle").groupBy("doc_id", "text_key", "item_id").agg(F.first("n_item").alias("n_item"), F.count(F.lit(1)).alias("n_shared"))
+    n_items, letters = of_items.agg(F.count(F.lit(1)), F.coalesce(F.avg(F.length("shingle")), F.lit(0.0))).first()
+    found = held.join(broadcast_if_small(of_items, n_items, 64 + int(4 * letters)), "shingle").groupBy("doc_id", "text_key", "item_id").agg(F.first("n_item").alias("n_item"), F.count(F.lit(1)).alias("n_shared"))
     return found.where(F.lit(100) * F.col("n_shared") >= F.lit(PERCENT) * F.col("n_item")).withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
