@@ -107,6 +107,35 @@ def test_redaction(spark, edge_docs):
     assert pii.personal_data(edge_docs).count() == edge_docs.count()
 
 
+def test_personal_data_context_and_countries(spark, edge_docs, empty_docs):
+    texts = ["see v1.2.3.4 here", "host 1.2.3.4 here", "pay NO9386011117947 now", "bank MT84MALT011000012345MTLCAST001S ok"]
+    got = {r.doc_id: r for r in pii.digest_columns(pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    assert float(got[0].scores) < 0.6 < float(got[1].scores) and got[2].spans.startswith("iban:4:19") and got[3].spans.startswith("iban:5:36")
+    assert pii.personal_data(empty_docs).count() == 0
+    clash = spark.createDataFrame([(1, "mail a@b.co now", "s", 2)], "doc_id long, text string, spans string, start int")
+    assert pii.redact(clash).collect() == [(1, "mail [EMAIL] now", "s", 2)]
+
+
+def test_url_edges(spark):
+    """Repeated rows, hosts of thousands of labels, long urls and columns with names of ours."""
+    long = "https://" + "a." * 8000 + "example.org/es/" + "x" * 50_000
+    rows = [(1, long, "h", 0), (1, long, "h", 0), (None, "https://a.com/fr/", "h", 0), (2, None, "h", 0)]
+    got = url_filter.filter_urls(spark, spark.createDataFrame(rows, "page_id long, url string, host string, n int").selectExpr("*", "cast(null as string) html")).collect()
+    assert sorted((str(r.page_id), str(r.rule), r.verdict) for r in got) == [("1", "example.org/es/", "block")] * 2 + [("2", "None", "allow"), ("None", "com/fr/", "allow")]
+
+
+def test_every_contaminated_document_is_a_candidate(spark):
+    """At exactly 75 % of an item, whichever shingles are lacking, enough of its sketch is found."""
+    items = {n: words(n, n + 4) for n in (4, 8, 13, 20, 31, 40)}
+    docs = {}
+    for n, w in items.items():
+        keep = -(-n * 3 // 4)
+        for start in range(n - keep + 1):
+            docs[len(docs)] = (" ".join(["pad"] * 30 + w[start : start + keep + 4] + ["end"] * 30), n)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark, spark.createDataFrame([(i, t) for i, (t, _) in docs.items()], "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")).collect()}
+    assert got >= {(i, n) for i, (_, n) in docs.items()}
+
+
 def test_language_held_out_and_mixtures(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = language.identify(spark, docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -184,9 +213,68 @@ def test_isotonic_never_falls():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    x = rng.random(500)
-    knots, values = quality.isotonic(x, (rng.random(500) < x).astype(float), 50)
-    assert (np.diff(values) >= 0).all() and (np.diff(knots) > 0).all() and abs(values.mean() - 0.5) < 0.2
+    x = rng.random(500).round(2)
+    y = (rng.random(500) < x).astype(float)
+    knots, values = quality.isotonic(x, y)
+    assert (np.diff(values) > 0).all() and (np.diff(knots) > 0).all()
+    # least squares among non-decreasing fits: no pool can be cut so that its left part lies below its right part
+    fit = np.array([values[np.argmin(np.abs(knots - k))] for k in knots])
+    assert (fit == values).all() and abs((np.interp(x, knots, values) - y).mean()) < 0.05
+
+
+def test_quality_is_the_kernel_ridge_it_stands_for():
+    """Inner products of the features are near the Gaussian kernel, and the normal equations give ridge's weights."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=(80, quality.N_STATS))
+    features = quality.fourier(z, np.zeros(quality.N_STATS), np.ones(quality.N_STATS))
+    kernel = np.exp(-((z[:, None] - z[None]) ** 2).sum(axis=2) / (2 * quality.N_STATS))
+    assert np.abs(features[:, :-1] @ features[:, :-1].T - kernel).mean() < 0.1
+    y = rng.random(80)
+    weights = quality._solve(features.T @ np.column_stack([features, y]))
+    slope = features.T @ (features @ weights - y) + np.append(quality.RIDGE * weights[:-1], 1e-9 * weights[-1])
+    assert np.abs(slope).max() < 1e-6
+
+
+BIG = 2**53 + 1
+
+
+@pytest.mark.parametrize("name", ["language", "quality", "toxicity", "licenses"])
+def test_large_ids_beside_nulls(spark, name):
+    """Ids above 2**53 come back as they are, with a null id in the same batch."""
+    text = "Released under the MIT License. Some more words here."
+    docs = spark.createDataFrame([(BIG, text, "en"), (None, text, "en"), (BIG + 2, text, "en")], "doc_id long, text string, lang string").coalesce(1)
+    labels = spark.createDataFrame([(BIG, 1, 1), (BIG + 2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {
+        "language": lambda: language.identify(spark, docs), "quality": lambda: quality.quality(spark, docs, labels), "toxicity": lambda: toxicity.toxicity(spark, docs, labels), "licenses": lambda: licenses.license_scan(docs),
+    }[name]()
+    assert {r.doc_id for r in got.collect()} == {BIG, None, BIG + 2}
+
+
+def test_words_in_blocks_are_the_words_of_the_whole(monkeypatch):
+    from phonolith.llm import common
+
+    text = " ".join(words(5, 3000)) + " " + "x" * 5000 + "\n" + "é!" * 50
+    whole = [common.word_hashes(text, strip) for strip in (False, True)]
+    monkeypatch.setattr(common, "_BLOCK", 64)
+    for strip in (False, True):
+        assert (common.word_hashes(text, strip) == whole[strip]).all() and len(whole[strip]) == len(text.split())
+    assert len({*whole[0].tolist()}) == len({*text.split()})
+
+
+def test_mixture_shares_are_the_likeliest():
+    """Shares of expectation-maximisation against a grid over all mixtures of three languages."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    likely = rng.dirichlet(np.full(40, 0.3), 3).T + 1e-4
+    likely /= likely.sum(axis=0)
+    cells = np.concatenate([rng.choice(40, 300, p=likely[:, 0]), rng.choice(40, 100, p=likely[:, 2])])
+    got = language.languages_of(cells, likely)
+    grid = [(a / 50, b / 50, 1 - (a + b) / 50) for a in range(51) for b in range(51 - a)]
+    best = max(grid, key=lambda g: np.log(likely[cells] @ np.array(g)).sum())
+    assert set(got) == {0, 2} and all(abs(got.get(k, 0) - best[k]) < 0.05 for k in range(3))
 
 
 def test_toxicity_finds_marked_words(spark):
@@ -203,41 +291,50 @@ def test_toxicity_finds_marked_words(spark):
     assert sum(p == t for p, t in held) / len(held) > 0.97
 
 
-def test_toxicity_counts_every_word_and_bigram(spark):
-    """llr against brute force on strings: bigrams seen twice count, and no two words share a count, however many words there are."""
+def test_toxicity_against_brute_force_on_strings(spark, monkeypatch):
+    """Each class's probabilities sum to 1 after every context, and llr is the mean of their log ratios, with words and bigrams above and below each bound."""
+    monkeypatch.setattr(toxicity, "SHARE", 2e-3)
+    monkeypatch.setattr(toxicity, "LEAST", 0.5)
+    monkeypatch.setattr(toxicity, "HEAD", 20)
     rng = random.Random(3)
-    texts = {i: " ".join([*words(i, 8), *(f"rare{rng.randrange(200)} w{i}x{j}" for j in range(60)), *(["vile", "deed"] if i % 3 == 0 else [])]) for i in range(60)}
+    texts = {i: " ".join([*words(i, 8), *(f"rare{rng.randrange(200)} w{i}x{j}" for j in range(60)), *(["vile", "deed"] * 3 if i % 3 == 0 else ["good", "deed"])]) for i in range(90)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in texts], "doc_id long, toxic int")
-    place = {r.doc_id: (r.half, r.fold) for r in docs.select("doc_id", toxicity._half().alias("half"), toxicity.fold("doc_id", toxicity.FOLDS).alias("fold")).collect()}
-    pairs_of = lambda i: list(zip(["", *texts[i].split()], texts[i].split(), strict=False))
-    pair, context, word = ([Counter() for _ in range(4)] for _ in range(3))
+    held = {r.doc_id: r.out for r in docs.selectExpr("doc_id", f"crc32(cast(cast(doc_id as string) as binary)) % {toxicity.FOLDS} = {toxicity.HELD_OUT} or pmod(xxhash64(doc_id, 9), {toxicity.CALIBRATES}) = 0 as out").collect()}
+    steps = lambda i: list(zip(["<s>", *texts[i].split()], [*texts[i].split(), "</s>"], strict=True))
+    pair, word, context = ([Counter(), Counter()] for _ in range(3))
     for i in texts:
-        half, fold = place[i]
-        for c, w in pairs_of(i) if fold != toxicity.HELD_OUT else ():
-            k = 2 * (i % 3 == 0) + half
-            pair[k][c, w] += 1
-            context[k][c] += 1
-            word[k][w] += 1
-    vocabulary = len({w for k in word for w in k})
-    rate = lambda n, expected: (n + toxicity.PRIOR) / (expected + toxicity.PRIOR)
-
-    def likely(c, w, k, h, d=toxicity.DISCOUNT):
-        seen = pair[h].keys() | pair[2 + h].keys()
-        types = Counter(x for _, x in seen)
-        n, total, of_word = pair[h][c, w] + pair[2 + h][c, w], context[h][c] + context[2 + h][c], word[h][w] + word[2 + h][w]
-        shared = max(types[w] - d, 0) / len(seen) + d * len(types) / len(seen) / vocabulary
-        back = shared * rate(word[k][w], of_word * word[k].total() / (word[h].total() + word[2 + h].total()))
-        if not total:
-            return back
-        return max(n - d, 0) / total * rate(pair[k][c, w], n * context[k][c] / total) + d * sum(x == c for x, _ in seen) / total * back
-
+        for h, w in steps(i) if not held[i] else ():
+            pair[i % 3 == 0][h, w] += 1
+            word[i % 3 == 0][w] += 1
+            context[i % 3 == 0][h] += 1
+    seen, d, k = pair[0] + pair[1], toxicity.DISCOUNT, toxicity.KAPPA
+    types, totals = Counter(w for _, w in seen), [x.total() for x in word]
+    least = min(totals)
+    followers = {}
+    for h, w in seen:
+        followers.setdefault(h, []).append(w)
+    vocabulary = [*types, "never seen"]
+    p = {w: max(types[w] - d, 0) / len(seen) + d * len(types) / len(seen) / len(vocabulary) for w in vocabulary}
+    r = [{w: (word[c][w] + k) / ((word[0][w] + word[1][w]) * totals[c] / sum(totals) + k) for w in vocabulary} for c in (0, 1)]
+
+    def shared(h, w):
+        n = context[0][h] + context[1][h]
+        return max(seen[h, w] - d, 0) / n + d * len(followers[h]) / n * p[w] if n else p[w]
+
+    def distribution(h, c):
+        z = sum(shared(h, w) * r[c][w] for w in vocabulary)
+        own = {w: pair[c][h, w] * least / totals[c] for w in vocabulary}
+        size, a = sum(own.values()), toxicity.SHARE * least
+        rest = sum(min(x, a) for x in own.values()) / size if size else 1.0
+        return {w: (max(own[w] - a, 0) / size if size else 0) + rest * shared(h, w) * r[c][w] / z for w in vocabulary}
+
+    of = {(h, c): distribution(h, c) for h in {h for i in range(6) for h, _ in steps(i)} for c in (0, 1)}
+    assert all(abs(sum(x.values()) - 1) < 1e-9 for x in of.values())
     got = {r.doc_id: r.llr for r in toxicity.toxicity(spark, docs, labels).collect()}
-    for i in list(texts)[:12]:
-        h = 1 - place[i][0]
-        l = sorted(math.log(likely(c, w, 2 + h, h) / likely(c, w, h, h)) for c, w in pairs_of(i))
-        median = (l[(len(l) - 1) // 2] + l[len(l) // 2]) / 2
-        assert abs(got[i] - (sum(l) / len(l) - min(max(median, -toxicity.BASELINE), toxicity.BASELINE))) < 1e-6
+    for i in range(6):
+        l = [math.log(of[h, 1].get(w, of[h, 1]["never seen"]) / of[h, 0].get(w, of[h, 0]["never seen"])) for h, w in steps(i)]
+        assert abs(got[i] - sum(l) / len(l)) < 1e-9
 
 
 def test_licenses_match_in_whole_and_in_part(spark, edge_docs, empty_docs):
@@ -250,6 +347,8 @@ def test_licenses_match_in_whole_and_in_part(spark, edge_docs, empty_docs):
     found = Counter((r.doc_id, r.license) for r in got)
     assert found[1, "mit-line"] == 1 and found[2, "mit-line"] == 1 and found[6, "cc-by-nc-4.0-line"] == 2 and found[4, "apache-2.0-notice"] == 1 and not any(d in (3, 7, 8) for d, _ in found)
     assert (5, "apache-2.0-notice") not in found and (5, "apache-2.0-line") in found
+    whole = spark.createDataFrame([(1, f"before {licenses.TEMPLATES['bsd-3-clause']} after"), (2, licenses.TEMPLATES["mit"].replace("Software", "Program"))], "doc_id long, text string")
+    assert {(r.doc_id, r.license) for r in licenses.license_scan(whole).collect()} >= {(1, "bsd-3-clause"), (1, "bsd-2-clause"), (2, "mit")}
     one = next(r for r in got if r.doc_id == 1)
     assert texts[1][one.start : one.end] == "Released under the MIT License." and one.coverage == 1.0
     assert licenses.license_scan(edge_docs).count() == 0 and licenses.license_scan(empty_docs).count() == 0
