@@ -30,38 +30,78 @@ def ranked(places: DataFrame) -> DataFrame:
     return places.withColumn("len", F.length("name")).withColumn("i", within).join(F.broadcast(offset), ["tier", "len"]).select("id", "name", "tier", (F.col("before") + F.col("i")).alias("rank"))
 
 
+# Words that are typed short and what they stand for.
+ABBREVIATIONS = {
+    "rd": ("road",), "st": ("street", "saint"), "saint": ("st",), "ave": ("avenue",), "av": ("avenue",), "ln": ("lane",), "cl": ("close",), "cres": ("crescent",), "cresc": ("crescent",), "dr": ("drive",), "gdns": ("gardens",), "gr": ("grove",), "gro": ("grove",),
+    "pk": ("park",), "pl": ("place",), "sq": ("square",), "ter": ("terrace",), "terr": ("terrace",), "ct": ("court",), "mt": ("mount",), "gt": ("great",), "lt": ("little",), "hts": ("heights",), "mws": ("mews",), "wk": ("walk",),
+}
+# What a fit costs (starts with all that was typed; with its first word; has that later; only the place it is in), and a word found nowhere.
+FIT_COSTS, MISS_COST = (0, 1, 2, 8), 2
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
+
+
 def index(places: DataFrame) -> DataFrame:
-    """(token, id): every word of a folded name and its prefixes of one to three letters, marked by a trailing *."""
-    words = F.array_distinct(F.split(fold(F.col("name")), " "))
+    """(token, id): every word of a name and of the place it is in, and its prefixes of one to three letters, marked by a trailing *."""
+    words = F.array_distinct(F.concat(_words(F.col("name")), _words(F.col("detail"))))
     prefixes = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length(w))), lambda n: F.concat(F.substring(w, F.lit(1), n), F.lit("*")))))
     return places.select("id", F.explode(F.array_distinct(F.concat(words, prefixes))).alias("token"))
 
 
+def typed_words(queries: DataFrame) -> DataFrame:
+    """queries with `typed`: folded words, leading house numbers left out; queries without a word are dropped."""
+    house = lambda w: w.rlike("^[0-9]+[a-z]?$")
+    w = F.col("typed")
+    first = F.coalesce(F.array_position(F.transform(w, lambda x: ~house(x)), True), F.lit(0))
+    kept = F.when(first == 0, F.slice(w, F.size(w), 1)).otherwise(F.slice(w, first.cast("int"), F.size(w)))
+    return queries.withColumn("typed", _words(F.col("words"))).where(F.size("typed") > 0).withColumn("typed", kept)
+
+
 def search(queries: DataFrame, places: DataFrame, k: int = 8) -> DataFrame:
-    """The k best places for each query(query_id, words): all words but the last whole, the last a prefix of a word.
+    """The k best places for each query(query_id, words, near_x, near_y): every word is in the name or in the place it lies in.
 
-    Candidates come from the token index, by equality; longer prefixes are checked on the name. Best: whole-name match,
-    then tier, shorter name, id.
+    places: id, name, detail (what it lies in), tier, x, y. The last word may be a beginning, short forms count as what
+    they stand for. Best: cost (fit, tier and misses), then distance to the nearest 100 m, shorter name, id. One word that
+    is only in places' details counts only if no name has it. Candidates come from the index by each query's rarest word,
+    so common words bring no rows; the other words are checked on the candidate.
     """
-    folded = queries.select("query_id", fold(F.col("words")).alias("q"))
-    parts = folded.withColumn("w", F.split("q", " ")).where("q <> ''")
-    last = F.element_at("w", -1)
-    tokens = F.array_distinct(F.concat(F.slice("w", 1, F.size("w") - 1), F.array(F.concat(F.substring(last, 1, 3), F.lit("*")))))
-    asked = parts.select("query_id", "q", last.alias("last"), F.size(tokens).alias("need"), F.explode(tokens).alias("token"))
-    hits = asked.join(index(places), "token").groupBy("query_id", "q", "last", "need", "id").agg(F.count(F.lit(1)).alias("have")).where("have = need")
-    named = hits.join(places, "id").withColumn("folded", fold(F.col("name")))
-    named = named.where(F.concat(F.lit(" "), F.col("folded")).contains(F.concat(F.lit(" "), F.col("last"))))
-    cost = F.when(F.col("folded") == F.col("q"), 0).when(F.col("folded").startswith(F.col("q")), 1).otherwise(2)
-    order = W.partitionBy("query_id").orderBy("cost", "tier", F.length("name"), "id")
-    return named.withColumn("cost", cost).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "name", "cost")
-
-
-def first_of_name(found: DataFrame, most: int = 3) -> DataFrame:
-    """At most `most` results of one name for a query, the best one's name exempt; ranks close up."""
+    asked = typed_words(queries)
+    short = F.create_map(*[x for a, full in ABBREVIATIONS.items() for x in (F.lit(a), F.array(*[F.lit(w) for w in full]))])
+    options = lambda w: F.concat(F.array(w), F.coalesce(F.try_element_at(short, w), F.array().cast("array<string>")))
+    last = F.size("typed") - 1
+    tokens = lambda w, i: F.concat(F.when(i == last, F.array(F.concat(F.substring(w, 1, 3), F.lit("*")))).otherwise(F.array(w)), F.slice(options(w), 2, 9))
+    postings = index(places)
+    terms = asked.select("query_id", F.posexplode(F.transform("typed", lambda w, i: tokens(w, i))).alias("term", "tokens")).select("query_id", "term", F.explode("tokens").alias("token"))
+    counts = postings.join(terms.select("token").distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    weighed = terms.join(counts, "token", "left").groupBy("query_id", "term").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    rarest = weighed.groupBy("query_id").agg(F.min_by("term", F.struct("n", "term")).alias("term"))
+    met = terms.join(rarest, ["query_id", "term"], "left_semi").join(postings, "token").select("query_id", "id").distinct()
+    rows = met.join(asked, "query_id").join(places, "id").withColumns({"own": _words(F.col("name")), "around": _words(F.col("detail"))})
+    final = F.element_at("typed", -1)
+    heard = lambda among, w, i: F.exists(among, lambda x: F.array_contains(options(w), x) | ((i == last) & x.startswith(w)))
+    rows = rows.where(F.forall(F.transform("typed", lambda w, i: heard(F.concat("own", "around"), w, i)), lambda x: x))
+    starts = F.transform("own", lambda x: F.exists(options(F.element_at("typed", 1)), lambda o: x.startswith(o)))
+    whole = (F.slice("own", F.lit(1), last) == F.slice("typed", F.lit(1), last)) & (F.size("own") > last) & F.coalesce(F.get("own", last).startswith(final), F.lit(False))
+    fit = F.when(whole, 0).when(F.get(starts, F.lit(0)), 1).when(F.exists(starts, lambda x: x), 2).otherwise(3)
+    found = lambda among, w: F.exists(among, lambda x: F.exists(options(w), lambda o: x.startswith(o)))
+    missed = F.size(F.filter("typed", lambda w: ~found(F.col("own"), w) & ~found(F.col("around"), w)))
+    cost = F.element_at(F.array(*[F.lit(c) for c in FIT_COSTS]), F.col("fit") + 1) + F.col("tier") + MISS_COST * missed
+    far = F.round(F.sqrt((F.col("x") - F.col("near_x")) ** 2 + (F.col("y") - F.col("near_y")) ** 2) / 100) * 100
+    rows = rows.withColumn("fit", fit).withColumns({"cost": cost.cast("int"), "far": F.coalesce(far, F.lit(0.0)), "best_fit": F.min("fit").over(W.partitionBy("query_id"))})
+    rows = rows.where((F.size("typed") > 1) | (F.col("best_fit") == 3) | (F.col("fit") < 3))
+    order = W.partitionBy("query_id").orderBy("cost", "far", F.length("name"), "id")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "name", "cost")
+
+
+def first_of_name(found: DataFrame, most: int = 3, k: int = 8) -> DataFrame:
+    """k results of each query with at most `most` of one name, the best one's name exempt; others follow where that leaves fewer."""
     order = W.partitionBy("query_id", "name").orderBy("rank")
     top = F.first("name").over(W.partitionBy("query_id").orderBy("rank"))
-    kept = found.withColumns({"nth": F.row_number().over(order), "top": top}).where((F.col("nth") <= most) | (F.col("name") == F.col("top")))
-    return kept.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).drop("nth", "top")
+    later = found.withColumns({"nth": F.row_number().over(order), "top": top}).withColumn("later", (F.col("nth") > most) & (F.col("name") != F.col("top")))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("later", "rank"))
+    return later.withColumn("rank", rank).where(F.col("rank") <= k).drop("nth", "top", "later")
 
 
 def districts(places: DataFrame) -> DataFrame:
@@ -75,10 +115,12 @@ def districts(places: DataFrame) -> DataFrame:
 def by_prefix(queries: DataFrame, places: DataFrame) -> DataFrame:
     """Codes that start with each query's key; a query that ends in a digit does not go on into a longer number.
 
-    Joined by equality on the first four characters, so a query is compared with few codes.
+    Joined by equality on the key's first letters, four at most, so a query is compared with few codes, and a short key,
+    such as a district's, finds all of its codes.
     """
-    q = queries.where(F.length("key") >= 4).withColumn("head", F.substring("key", 1, 4))
-    p = places.withColumn("head", F.substring("code", 1, 4))
+    q = queries.where("key <> ''").withColumn("head", F.substring("key", 1, 4))
+    lengths = q.select(F.length("head").alias("n")).distinct()
+    p = places.crossJoin(F.broadcast(lengths)).withColumn("head", F.substring(F.col("code"), F.lit(1), F.col("n")))  # four lengths at most
     after = F.substring(F.col("code"), F.length("key") + 1, F.lit(1))
     goes_on = F.col("key").rlike("[0-9]$") & after.rlike("[0-9]")
-    return q.join(p, "head").where(F.col("code").startswith(F.col("key")) & ~goes_on).select("query_id", "code")
+    return q.join(p, "head").where((F.length("head") == F.col("n")) & F.col("code").startswith(F.col("key")) & ~goes_on).select("query_id", "code")

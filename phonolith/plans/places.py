@@ -23,28 +23,38 @@ def _(places):
 
 
 def asked(places):
+    """Every 50th place as a query: the first word of its name and the start of its last, or of its brand; a house number before some."""
     words = F.split(op.fold(F.col("name")), " ")
-    text = F.concat_ws(" ", F.element_at(words, 1), F.substring(F.element_at(words, -1), 1, 2))
-    return places.where("id % 37 = 1").select(F.col("id").alias("query_id"), text.alias("words"))
+    end = F.when(F.col("id") % 3 == 0, F.substring(F.element_at(F.split(op.fold(F.col("district")), " "), -1), 1, 2)).otherwise(F.substring(F.element_at(words, -1), 1, 2))
+    text = F.concat_ws(" ", F.when(F.col("id") % 100 == 0, "12a"), F.when(F.col("id") % 7 != 0, F.element_at(words, 1)), end)
+    return places.where("id % 50 = 0").select(F.col("id").alias("query_id"), text.alias("words"), F.lit(540000.0).alias("near_x"), F.lit(180000.0).alias("near_y"))
 
 
-SEARCH = f"""p as (select *, {FOLD.format('name')} folded from {P} x),
-q as (select id query_id, string_split(folded, ' ')[1] a, left(string_split(folded, ' ')[-1], 2) b from p where id % 37 = 1),
-m as (select q.query_id, q.a || ' ' || q.b q, p.* from q join p on list_contains(string_split(p.folded, ' '), q.a) and len(list_filter(string_split(p.folded, ' '), lambda w: starts_with(w, q.b))) > 0),
-c as (select *, case when folded = q then 0 when starts_with(folded, q) then 1 else 2 end::int cost from m),
-r as (select query_id, row_number() over (partition by query_id order by cost, tier, length(name), id)::int rank, id, name, cost from c)"""
+def with_detail(places):
+    return places.withColumnRenamed("district", "detail")
+
+
+SEARCH = f"""p as (select *, string_split({FOLD.format('name')}, ' ') own, list_filter(string_split({FOLD.format('district')}, ' '), lambda w: w <> '') around from {P} x),
+a as (select id query_id, list_filter([case when id % 7 <> 0 then own[1] end, case when id % 3 = 0 then left(around[-1], 2) else left(own[-1], 2) end], lambda w: w is not null and w <> '') w from p where id % 50 = 0),
+q as (select query_id, case when len(w) > 1 and regexp_matches(w[1], '^[0-9]+[a-z]?$') then w[2:] else w end w from a),
+m as (select q.query_id, q.w, p.* exclude (around), p.around from q join p on (len(q.w) = 1 or list_contains(list_concat(p.own, p.around), q.w[1])) and len(list_filter(list_concat(p.own, p.around), lambda x: starts_with(x, q.w[-1]))) > 0),
+f as (select *, case when own[1:len(w) - 1] = w[1:len(w) - 1] and len(own) >= len(w) and starts_with(own[len(w)], w[-1]) then 0 when starts_with(own[1], w[1]) then 1 when len(list_filter(own, lambda x: starts_with(x, w[1]))) > 0 then 2 else 3 end fit,
+  len(list_filter(w, lambda t: len(list_filter(list_concat(own, around), lambda x: starts_with(x, t))) = 0)) missed, round(sqrt(pow(x - 540000, 2) + pow(y - 180000, 2)) / 100) * 100 far from m),
+c as (select *, ((case fit when 3 then 8 else fit end) + tier + 2 * missed)::int cost, min(fit) over (partition by query_id) best_fit from f),
+r as (select query_id, row_number() over (partition by query_id order by cost, far, length(name), id)::int rank, id, name, cost from c where len(w) > 1 or best_fit = 3 or fit < 3)"""
 
 
 @query("jn27_tk4_place_search", PLACES, "with " + SEARCH + " select * from r where rank <= 8")
 def _(places):
-    return op.search(asked(places), places)
+    return op.search(asked(places), with_detail(places))
 
 
 @query("wn9_names_at_most_three", PLACES, "with " + SEARCH + """,
-f as (select *, row_number() over (partition by query_id, name order by rank) nth, first(name) over (partition by query_id order by rank) top from r where rank <= 30)
-select query_id, row_number() over (partition by query_id order by rank)::int rank, id, name, cost from f where nth <= 3 or name = top""")
+g as (select *, row_number() over (partition by query_id, name order by rank) nth, first(name) over (partition by query_id order by rank) top from r where rank <= 1000),
+o as (select query_id, row_number() over (partition by query_id order by nth > 3 and name <> top, rank)::int rank, id, name, cost from g)
+select * from o where rank <= 8""")
 def _(places):
-    return op.first_of_name(op.search(asked(places), places, 30))
+    return op.first_of_name(op.search(asked(places), with_detail(places), 1000))
 
 
 @query("ag34_districts", PLACES, """
@@ -55,11 +65,11 @@ def _(places):
 
 
 @query("jn28_code_prefixes", PLACES, """
-with c as (select id query_id, left(upper(replace(district, '#', '')) || (id % 40), 7) "key" from {t} x where id % 11 = 0), k as (select distinct upper(replace(district, '#', '')) || (id % 40) || 'AB' code from {t} x)
-select query_id, code from c, k where length("key") >= 4 and starts_with(code, "key") and not (regexp_matches("key", '[0-9]$') and regexp_matches(substr(code, length("key") + 1, 1), '[0-9]'))""")
+with c as (select id query_id, left(upper(replace(district, '#', '')) || (id % 40), 2 + (id // 50 % 12)::int) "key" from {t} x where id % 50 = 0), k as (select distinct upper(replace(district, '#', '')) || (id % 40) || 'AB' code from {t} x)
+select query_id, code from c, k where starts_with(code, "key") and not (regexp_matches("key", '[0-9]$') and regexp_matches(substr(code, length("key") + 1, 1), '[0-9]'))""")
 def _(places):
     code = F.concat(F.upper(F.regexp_replace("district", "#", "")), (F.col("id") % 40).cast("string"))
-    queries = places.where("id % 11 = 0").select(F.col("id").alias("query_id"), F.substring(code, 1, 7).alias("key"))
+    queries = places.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.substring(code, F.lit(1), (2 + F.floor(F.col("id") / 50) % 12).cast("int")).alias("key"))
     return op.by_prefix(queries, places.select(F.concat(code, F.lit("AB")).alias("code")).distinct())
 
 
