@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Lattice of 10 km squares, metres; earth radius of web maps.
@@ -54,27 +55,83 @@ def pixel(x: Column, y: Column, zoom: int) -> tuple[Column, Column]:
     return F.floor((x + half) / size).cast("long"), F.floor((half - y) / size).cast("long")
 
 
+# WGS84 and Airy 1830 axes, the shift between them (metres, parts per million, seconds of arc).
+WGS84_AXES, AIRY_AXES = (6378137.0, 6356752.314245), (6377563.396, 6356256.909)
+SHIFT_M, SHIFT_PPM, SHIFT_ARC = (-446.448, 125.157, -542.060), 20.4894, (-0.1502, -0.2470, -0.8421)
+_RX, _RY, _RZ = (a * math.pi / 180 / 3600 for a in SHIFT_ARC)
+_S = 1 + SHIFT_PPM * 1e-6
+_TURN = np.array([[_S, -_RZ, _RY], [_RZ, _S, -_RX], [-_RY, _RX, _S]])
+
+
+def _cartesian(phi: Column, lam: Column, axes: tuple[float, float]) -> list[Column]:
+    a, b = axes
+    e2 = 1 - (b / a) ** 2
+    nu = a / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi))
+    return [nu * F.cos(phi) * F.cos(lam), nu * F.cos(phi) * F.sin(lam), (1 - e2) * nu * F.sin(phi)]
+
+
+def _turned(xyz: list[Column], turn: np.ndarray) -> list[Column]:
+    return [sum((float(r) * c for r, c in zip(row, xyz, strict=True)), F.lit(0.0)) for row in turn]
+
+
+def _geodetic(x: Column, y: Column, z: Column, axes: tuple[float, float]) -> tuple[Column, Column]:
+    """Latitude (Bowring's formula) and longitude of a point near the ellipsoid, in radians."""
+    a, b = axes
+    e2, flat = 1 - (b / a) ** 2, F.sqrt(x * x + y * y)
+    theta = F.atan2(z * a, flat * b)
+    sin, cos = F.sin(theta), F.cos(theta)
+    return F.atan2(z + e2 / (1 - e2) * b * sin * sin * sin, flat - e2 * a * cos * cos * cos), F.atan2(y, x)
+
+
 def grid_from_wgs84(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """British National Grid easting and northing by a seven-parameter shift; metres, good to about 5 m."""
-    a1, b1, a2, b2 = 6378137.0, 6356752.314245, 6377563.396, 6356256.909
-    e1, e2 = 1 - (b1 / a1) ** 2, 1 - (b2 / a2) ** 2
-    sec = math.pi / 180 / 3600
-    tx, ty, tz, s = -446.448, 125.157, -542.060, 1 + 20.4894e-6
-    rx, ry, rz = -0.1502 * sec, -0.2470 * sec, -0.8421 * sec
-    p, q = F.radians(lat), F.radians(lon)
-    nu = a1 / F.sqrt(1 - e1 * F.sin(p) * F.sin(p))
-    x, y, z = nu * F.cos(p) * F.cos(q), nu * F.cos(p) * F.sin(q), (1 - e1) * nu * F.sin(p)
-    x, y, z = tx + s * x - rz * y + ry * z, ty + rz * x + s * y - rx * z, tz - ry * x + rx * y + s * z
-    flat = F.sqrt(x * x + y * y)
-    phi = F.atan2(z, flat * (1 - e2))
-    for _ in range(4):
-        phi = F.atan2(z + e2 * a2 / F.sqrt(1 - e2 * F.sin(phi) * F.sin(phi)) * F.sin(phi), flat)
-    lam = F.atan2(y, x)
-    return _transverse_mercator(phi, lam, a2, b2, e2)
-
-
-def _transverse_mercator(phi: Column, lam: Column, a: float, b: float, e2: float) -> tuple[Column, Column]:
+    """British National Grid easting and northing by a seven-parameter shift; metres, good to about 5 m.
+
+    For single points; on tables with_grid keeps the steps apart.
+    """
+    xyz = [c + t for c, t in zip(_turned(_cartesian(F.radians(lat), F.radians(lon), WGS84_AXES), _TURN), SHIFT_M, strict=True)]
+    return _transverse_mercator(*_geodetic(*xyz, AIRY_AXES))
+
+
+def with_grid(df: DataFrame, lon: str, lat: str) -> DataFrame:
+    """df with the easting and northing of its points, as grid_from_wgs84 gives them; in steps, as each is used many times in the next."""
+    xyz = [c + t for c, t in zip(_turned(_cartesian(F.radians(lat), F.radians(lon), WGS84_AXES), _TURN), SHIFT_M, strict=True)]
+    out = df.withColumns(dict(zip(("_x", "_y", "_z"), xyz, strict=True)))
+    phi, lam = _geodetic(*(F.col(c) for c in ("_x", "_y", "_z")), AIRY_AXES)
+    east, north = _transverse_mercator(F.col("_phi"), F.col("_lam"))
+    return out.withColumns({"_phi": phi, "_lam": lam}).select(*df.columns, east.alias("easting"), north.alias("northing"))
+
+
+def wgs84_from_grid(df: DataFrame, east: str, north: str) -> DataFrame:
+    """df with lon and lat of its grid points: the inverse of with_grid, to less than a millimetre.
+
+    Redfearn's inverse series from the footpoint latitude, the shift turned round, and Bowring's formula. In steps, as
+    columns, because each step's results are used many times over in the next.
+    """
+    (a2, b2), e2 = AIRY_AXES, 1 - (AIRY_AXES[1] / AIRY_AXES[0]) ** 2
+    f0, phi0, lam0, n0, e0 = 0.9996012717, math.radians(49), math.radians(-2), -100000.0, 400000.0
+    n = (a2 - b2) / (a2 + b2)
+    scale = a2 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    # the arc's series twice: from the equator to the origin, and turned round
+    arc0 = scale * (phi0 - (1.5 * n - 9 / 16 * n**3) * math.sin(2 * phi0) + 15 / 16 * n**2 * math.sin(4 * phi0) - 35 / 48 * n**3 * math.sin(6 * phi0))
+    mu = ((F.col(north) - n0) / f0 + arc0) / scale
+    foot = mu + (1.5 * n - 27 / 32 * n**3) * F.sin(2 * mu) + 21 / 16 * n**2 * F.sin(4 * mu) + 151 / 96 * n**3 * F.sin(6 * mu)
+    out = df.withColumn("_foot", foot)
+    sin = F.sin("_foot")
+    out = out.withColumns({"_nu": a2 * f0 / F.sqrt(1 - e2 * sin * sin), "_rho": a2 * f0 * (1 - e2) * F.pow(1 - e2 * sin * sin, F.lit(-1.5)), "_t": F.tan("_foot"), "_d": F.col(east) - e0})
+    nu, rho, t, d = (F.col(c) for c in ("_nu", "_rho", "_t", "_d"))
+    eta2, sec = nu / rho - 1, 1 / F.cos("_foot")
+    phi = F.col("_foot") - t / (2 * rho * nu) * d**2 + t / (24 * rho * nu**3) * (5 + 3 * t**2 + eta2 - 9 * t**2 * eta2) * d**4 - t / (720 * rho * nu**5) * (61 + 90 * t**2 + 45 * t**4) * d**6
+    lam = lam0 + sec / nu * d - sec / (6 * nu**3) * (nu / rho + 2 * t**2) * d**3 + sec / (120 * nu**5) * (5 + 28 * t**2 + 24 * t**4) * d**5 - sec / (5040 * nu**7) * (61 + 662 * t**2 + 1320 * t**4 + 720 * t**6) * d**7
+    out = out.withColumns({"_phi": phi, "_lam": lam})
+    out = out.withColumns({k: c - t for k, c, t in zip(("_x", "_y", "_z"), _cartesian(F.col("_phi"), F.col("_lam"), AIRY_AXES), SHIFT_M, strict=True)})
+    out = out.withColumns(dict(zip(("_u", "_v", "_w"), _turned([F.col(c) for c in ("_x", "_y", "_z")], np.linalg.inv(_TURN)), strict=True)))
+    phi, lam = _geodetic(*(F.col(c) for c in ("_u", "_v", "_w")), WGS84_AXES)
+    return out.select(*df.columns, F.degrees(lam).alias("lon"), F.degrees(phi).alias("lat"))
+
+
+def _transverse_mercator(phi: Column, lam: Column) -> tuple[Column, Column]:
     """Redfearn's series with the National Grid's origin 49 N 2 W, scale and false origin."""
+    (a, b), e2 = AIRY_AXES, 1 - (AIRY_AXES[1] / AIRY_AXES[0]) ** 2
     f0, phi0, lam0, n0, e0 = 0.9996012717, math.radians(49), math.radians(-2), -100000.0, 400000.0
     n = (a - b) / (a + b)
     sin, cos, tan = F.sin(phi), F.cos(phi), F.tan(phi)

@@ -2,28 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phonolith.sources.scratch import written
+
 #: Cells along one side of the tiles that are labelled in one go; a tile is bounded whatever the input.
 TILE = 64
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Written to the folder the executors share and read again: cuts lineage between rounds."""
-    spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
-    path = f"{root.rstrip('/')}/cells-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _label_tile(pdf: pd.DataFrame, eight: bool) -> pd.DataFrame:
     """Local labels of one tile's cells by union-find; a label is the smallest cell number of the tile's piece."""
     order = np.argsort(pdf["cell"].to_numpy(), kind="stable")
@@ -56,18 +46,18 @@ def components(cells: DataFrame, width: int, eight: bool = False) -> DataFrame:
     tile = [F.floor(F.col(c) / TILE).cast("long").alias(f"t_{c}") for c in ("row_i", "col_i")]
     own = cells.select("group", "row_i", "col_i", cell.alias("cell"))
     local = own.groupBy("group", *tile).applyInPandas(lambda pdf: _label_tile(pdf, eight), "group string, row_i long, col_i long, local long")
-    local = _written(local)
+    local = written(local)
     steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if eight else [])]
     there = F.explode(F.array(*[F.struct((F.col("row_i") + r).alias("row_i"), (F.col("col_i") + c).alias("col_i")) for r, c in steps]))
     border = local.where((F.col("row_i") % TILE == TILE - 1) | (F.col("col_i") % TILE == TILE - 1) | (F.col("col_i") % TILE == 0))
     look = border.select("group", F.col("local").alias("a"), there.alias("at")).select("group", "a", F.col("at.row_i").alias("row_i"), F.col("at.col_i").alias("col_i"))
     touch = look.join(local.select("group", "row_i", "col_i", F.col("local").alias("b")), ["group", "row_i", "col_i"]).where("a <> b").select("group", "a", "b").distinct()
-    both = _written(touch.union(touch.select("group", "b", "a")).distinct())
-    label = _written(local.select("group", F.col("local").alias("a"), F.col("local").alias("root")).distinct())
+    both = written(touch.union(touch.select("group", "b", "a")).distinct())
+    label = written(local.select("group", F.col("local").alias("a"), F.col("local").alias("root")).distinct())
     while True:
         near = both.join(label.select("group", F.col("a").alias("b"), "root"), ["group", "b"]).groupBy("group", "a").agg(F.min("root").alias("near"))
         new = label.join(near, ["group", "a"], "left").select("group", "a", F.least("root", F.coalesce("near", "root")).alias("root"), (F.coalesce("near", "root") < F.col("root")).alias("changed"))
-        new = _written(new)
+        new = written(new)
         label = new.select("group", "a", "root")
         if new.where("changed").isEmpty():
             break

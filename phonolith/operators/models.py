@@ -79,6 +79,14 @@ def censored_regression(df: DataFrame, features: Sequence[str], level: str, belo
     return beta, math.exp(log_sd)
 
 
+def least_squares(df: DataFrame, features: Sequence[str], level: str) -> np.ndarray:
+    """Ordinary least squares, constant first: products are summed on the executors, the driver solves for the coefficients."""
+    columns = [F.lit(1.0), *[F.col(f).cast("double") for f in features]]
+    k, y = len(columns), F.col(level).cast("double")
+    got = df.dropna(subset=[*features, level]).agg(*[F.sum(a * b).alias(f"p{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns)], *[F.sum(a * y).alias(f"q{i}") for i, a in enumerate(columns)]).first()
+    return np.linalg.lstsq(np.array(got[: k * k], float).reshape(k, k), np.array(got[k * k :], float), rcond=None)[0]
+
+
 def normal_cdf(z: Column) -> Column:
     """Abramowitz and Stegun 7.1.26, good to 1.5e-7."""
     x = F.abs(z) / math.sqrt(2)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from phonolith.plans.registry import query
 from phonolith.sources import fixtures as fx
+from phonolith.sources.scratch import streamed
 from phonolith.streaming import intervals as op
 
 
@@ -14,3 +15,23 @@ with h as (select *, unnest(range(start_s // 7200, (end_s - 1) // 7200 + 1)) w f
 select receiver_id, w * 7200 from_s, sum(s)::bigint observed_s, round(10 * log10(sum(s * pow(10, level_db / 10)) / sum(s)), 4) laeq_db from c group by 1, 2""")
 def _(x):
     return op.windowed_levels(x, 7200).select("receiver_id", F.unix_seconds("from_ts").alias("from_s"), "observed_s", F.round("laeq_db", 4).alias("laeq_db"))
+
+
+@query("sm1_level_stream", fx.INTERVALS, """
+with h as (select *, unnest(range(start_s // 7200, (end_s - 1) // 7200 + 1)) w from {t} x), c as (select *, least(end_s, (w + 1) * 7200) - greatest(start_s, w * 7200) s from h)
+select receiver_id, w * 7200 from_s, sum(s)::bigint observed_s, round(10 * log10(sum(s * pow(10, level_db / 10)) / sum(s)), 4) laeq_db from c group by 1, 2""")
+def _(x):
+    """The whole table as a stream: every window's last state."""
+    out = streamed(x, lambda s: op.windowed_levels(s, 7200), "complete")
+    last = out.agg(F.max("batch")).first()[0]
+    return out.where(F.col("batch") == last).select("receiver_id", F.unix_seconds("from_ts").alias("from_s"), "observed_s", F.round("laeq_db", 4).alias("laeq_db"))
+
+
+@query("sm2_quiet_stream", fx.INTERVALS, """
+with i as (select *, lag(end_s) over o prev, lag(level_db) over o prev_level from {t} x window o as (partition by receiver_id order by start_s, end_s)),
+b as (select *, sum(case when level_db < 40 and prev_level < 40 and prev = start_s then 0 else 1 end) over (partition by receiver_id order by start_s, end_s rows unbounded preceding) run from i),
+l as (select receiver_id, run, sum(end_s - start_s) filter (level_db < 40) s, max(end_s) upto_s from b group by 1, 2)
+select receiver_id, coalesce(max(s), 0)::bigint longest_quiet_s, max(upto_s) upto_s from l group by 1""")
+def _(x):
+    out = streamed(x, op.quiet_runs, "update")
+    return out.groupBy("receiver_id").agg(F.max_by("longest_quiet_s", "batch").alias("longest_quiet_s"), F.max_by("upto_s", "batch").alias("upto_s"))

@@ -53,7 +53,7 @@ select cast(mod(user_id,50) as bigint) count_point_id, cast(ts as date) count_da
 from {events} group by 1,2,3,4
 """
 
-_TABLES = {"orders", "supplier", "customer", "part", "events"}
+_TABLES = {"orders", "supplier", "customer", "part", "events", "nation"}
 
 
 def derived(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
