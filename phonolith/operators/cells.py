@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -179,10 +180,52 @@ def semantic_checks(bounds: DataFrame, by: Sequence[str | Column]) -> DataFrame:
     )
 
 
+def tile_columns(side: int = 10) -> list[Column]:
+    """Row and column of the tile that a cell lies in."""
+    return [F.floor(F.col("row_i") / side).cast("long").alias("tile_row"), F.floor(F.col("col_i") / side).cast("long").alias("tile_col")]
+
+
+#: Value that stands for no data in the bands of the coarse product, and the range in which a level is possible.
+BAND_NODATA, POSSIBLE_DB = -9999.0, (0.0, 150.0)
+
+
+def band_checks(bands: DataFrame, by: list[Column], cutoffs: tuple[float, float], tolerance: float = 1e-5) -> DataFrame:
+    """Sixteen counts of what should not be in the coarse bands, per group, and whether the group is sound.
+
+    bands: land, combined_lower, road_rail_upper, airport_lower, airport_fraction, combined_upper. cutoffs: reporting
+    thresholds of road and rail, whose energy sum no upper bound may lie below. Missing data on land is counted and allowed.
+    """
+    levels, whole = ("combined_lower", "road_rail_upper", "airport_lower", "combined_upper"), ("combined_lower", "road_rail_upper", "airport_lower", "airport_fraction", "combined_upper")
+    land, infinite = F.col("land"), float("inf")
+    finite = {c: F.coalesce(~F.isnan(c) & (F.abs(F.col(c)) != infinite), F.lit(False)) for c in whole}
+    known = {c: land & finite[c] & (F.col(c) != BAND_NODATA) for c in whole}
+    lower, upper, airport, part, top = (F.col(c) for c in whole)
+    floor = 10 * math.log10(sum(10 ** (x / 10) for x in cutoffs))
+    count = F.count_if
+    total = lambda conditions: sum((count(c) for c in conditions), F.lit(0))
+    counts = {
+        "outside_values": total(~land & ~F.coalesce(F.col(c) == BAND_NODATA, F.lit(False)) for c in whole), "not_finite": total(~finite[c] for c in whole), "nodata_on_land": total(land & F.coalesce(F.col(c) == BAND_NODATA, F.lit(False)) for c in whole),
+        "fraction_missing": count(land & ~known["airport_fraction"]), "fraction_out_of_range": count(known["airport_fraction"] & ((part < -tolerance) | (part > 1 + tolerance))),
+        "fraction_zero_with_airport": count(land & (part == 0) & known["airport_lower"]), "fraction_without_airport": count(known["airport_fraction"] & (part > 0) & ~known["airport_lower"]),
+        "airport_without_combined": count(known["airport_lower"] & ~known["combined_lower"]), "combined_below_airport": count(known["combined_lower"] & known["airport_lower"] & (lower + tolerance < airport)),
+        "upper_missing": count(land & ~known["road_rail_upper"]), "upper_below_floor": count(known["road_rail_upper"] & (upper + tolerance < floor)),
+        "impossible": total(known[c] & ~F.col(c).between(*POSSIBLE_DB) for c in levels), "zeros": total(known[c] & (F.col(c) == 0) for c in levels),
+        "combined_upper_missing": count(land & ~known["combined_upper"]), "combined_upper_below_lower": count(known["combined_upper"] & known["combined_lower"] & (top + tolerance < lower)),
+        "combined_upper_below_road_rail": count(known["combined_upper"] & known["road_rail_upper"] & (top + tolerance < upper)),
+    }
+    out = bands.groupBy(*by).agg(F.count(F.lit(1)).alias("cells"), *[c.cast("long").alias(k) for k, c in counts.items()])
+    faults = sum((F.col(k) for k in counts if k != "nodata_on_land"), F.lit(0))
+    return out.withColumn("sound", faults == 0)
+
+
+def require_sound(checks: DataFrame) -> DataFrame:
+    """checks as they are; reading them fails at the first group that is not sound."""
+    return checks.withColumn("sound", F.when(F.col("sound"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("bands are not sound: "), F.to_json(F.struct(*checks.columns)))).cast("boolean")))
+
+
 def availability(cells: DataFrame, qualification: DataFrame) -> DataFrame:
     """Cells by source, qualification of their tile and availability, with subtotals (null: all)."""
-    tile = (F.floor(F.col("row_i") / 10) * 1000 + F.floor(F.col("col_i") / 10)).cast("long")
-    own = read(cells).withColumn("tile", tile).join(qualification, ["tile", "source"], "left").withColumn("qualification", F.coalesce("qualification", F.lit("not_assessed")))
+    own = read(cells).select("*", *tile_columns()).join(qualification, ["tile_row", "tile_col", "source"], "left").withColumn("qualification", F.coalesce("qualification", F.lit("not_assessed")))
     kind = F.when(F.col("status") == "reported_model_value", "value").when(F.col("status") == "verified_below_cutoff", "below").otherwise("missing")
     return own.withColumn("availability", kind).rollup("source", "qualification", "availability").agg(F.count(F.lit(1)).alias("n"))
 
@@ -190,8 +233,8 @@ def availability(cells: DataFrame, qualification: DataFrame) -> DataFrame:
 def band_qualification(states: DataFrame, depends: DataFrame) -> DataFrame:
     """Qualification of a derived band from its sources' states: rejected withholds it, outside limits it."""
     severity = F.when(F.col("state") == "rejected", 2).when(F.col("state") == "outside", 1).otherwise(0)
-    worst = states.join(F.broadcast(depends), "source").groupBy("tile", "band").agg(F.max(severity).alias("worst"))
-    return worst.select("tile", "band", F.when(F.col("worst") == 2, "withheld").when(F.col("worst") == 1, "limited").otherwise("qualified").alias("qualification"))
+    worst = states.join(F.broadcast(depends), "source").groupBy("tile_row", "tile_col", "band").agg(F.max(severity).alias("worst"))
+    return worst.select("tile_row", "tile_col", "band", F.when(F.col("worst") == 2, "withheld").when(F.col("worst") == 1, "limited").otherwise("qualified").alias("qualification"))
 
 
 def joint_support(cells: DataFrame) -> DataFrame:
@@ -204,9 +247,9 @@ def joint_support(cells: DataFrame) -> DataFrame:
 
 def extremes(cells: DataFrame, k: int = 20) -> DataFrame:
     """The k loudest and k quietest reported cells of each source; rows of a tile are cut to k before the final ranking."""
-    own = cells.where("raw > 0").withColumn("tile", (F.floor(F.col("row_i") / 10) * 1000 + F.floor(F.col("col_i") / 10)).cast("long"))
+    own = cells.where("raw > 0").select("*", *tile_columns())
     own = own.withColumn("direction", F.explode(F.array(F.lit("high"), F.lit("low")))).withColumn("order", F.when(F.col("direction") == "high", -F.col("raw")).otherwise(F.col("raw")))
-    first = F.row_number().over(W.partitionBy("source", "direction", "tile").orderBy("order", *KEY))
+    first = F.row_number().over(W.partitionBy("source", "direction", "tile_row", "tile_col").orderBy("order", *KEY))
     last = F.row_number().over(W.partitionBy("source", "direction").orderBy("order", *KEY))
     return own.withColumn("n", first).where(F.col("n") <= k).withColumn("rank", last).where(F.col("rank") <= k).select("source", "direction", "rank", *KEY, "raw")
 

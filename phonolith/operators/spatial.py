@@ -35,12 +35,12 @@ def near_pairs(points: DataFrame, segments: DataFrame, radius: float, size: floa
     return pairs.withColumn("dist", geo.distance(F.col("x"), F.col("y"), *[F.col(c) for c in ENDS])).where(F.col("dist") <= radius)
 
 
-def exposure(points: DataFrame, segments: DataFrame, radius: float, floor: float = 10.0) -> DataFrame:
-    """Per point: segments within radius, sum of flow / d^2, the nearest distance and the line energy (flow x integral)."""
+def exposure(points: DataFrame, segments: DataFrame, radius: float, floor: float = 10.0, within: Sequence[int] = ()) -> DataFrame:
+    """Per point: segments within radius (and within each smaller one), sum of flow / d^2, the nearest distance and the line energy (flow x integral)."""
     pairs = near_pairs(points, segments, radius)
     d = F.greatest("dist", F.lit(floor))
     whole = geo.line_integral(F.col("x"), F.col("y"), *[F.col(c) for c in ENDS], floor=floor)
-    return pairs.groupBy("receptor_id").agg(F.count(F.lit(1)).alias("segments"), F.min("dist").alias("nearest"), F.sum(F.col("flow") / (d * d)).alias("benchmark"), F.sum(F.col("flow") * F.greatest(whole, F.lit(0.0))).alias("line_energy"))
+    return pairs.groupBy("receptor_id").agg(F.count(F.lit(1)).alias("segments"), F.min("dist").alias("nearest"), F.sum(F.col("flow") / (d * d)).alias("benchmark"), F.sum(F.col("flow") * F.greatest(whole, F.lit(0.0))).alias("line_energy"), *[F.count_if(F.col("dist") <= r).alias(f"within_{r}") for r in within])
 
 
 def nearest(points: DataFrame, segments: DataFrame, key: str, other: str, rings: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -168,7 +168,7 @@ def clipped(segments: DataFrame, box: tuple[float, float, float, float]) -> Data
 def one_way(links: DataFrame, evidence: DataFrame, corridor: float = 10.0, turn: float = 25.0, probes: int = 7) -> DataFrame:
     """Links on which every probe lies within the corridor of evidence of the same road and heading.
 
-    evidence: e_no, x1..y2; a link is supported when all of its probes are, and its sign is the side the headings agree on.
+    evidence: e_no, x1..y2; a link is supported when all of its probes are. roads.one_way_signs says in which direction.
     """
     heading = geo.orientation(*[F.col(c) for c in ENDS])
     at = samples(links, probes).join(links.select("link_id", "road_no", heading.alias("heading")), "link_id")
@@ -194,16 +194,27 @@ def crossings(paths: DataFrame, barriers: DataFrame, size: float = 500.0) -> Dat
 
 
 def parallel(links: DataFrame, reach: float = 60.0, turn: float = 20.0, share: float = 0.5, size: float = 1000.0) -> DataFrame:
-    """Pairs of links that run side by side: within reach, alike in direction, overlapping by at least share of both."""
+    """Pairs of links that run side by side: within reach, alike in direction, overlapping by at least share of both.
+
+    A link goes into each bucket that its box, widened by reach, meets, and is paired with the links whose own box meets
+    that bucket; a pair is taken in the bucket of its common box's lower left corner only, however long its links are.
+    """
     mid = lambda a, b: (F.col(a) + F.col(b)) / 2
-    own = links.select("link_id", *ENDS, mid("x1", "x2").alias("x"), mid("y1", "y2").alias("y"), geo.length(*ENDS).alias("len"), geo.orientation(*[F.col(c) for c in ENDS]).alias("angle"))
-    other = own.select(*[F.col(c).alias(f"o_{c}") for c in ("link_id", "x", "y", "len", "angle", *ENDS)])
-    around = lambda c: F.sequence(F.floor(F.col(c) / size).cast("long") - 1, F.floor(F.col(c) / size).cast("long") + 1)
-    near = own.select("*", *_bucket(F.col("x"), F.col("y"), size)).join(other.withColumn("bx", F.explode(around("o_x"))).withColumn("by", F.explode(around("o_y"))), ["bx", "by"])
+    own = links.select("link_id", *ENDS, geo.length(*ENDS).alias("len"), geo.orientation(*[F.col(c) for c in ENDS]).alias("angle"))
+    low, high = lambda a, b, wide: F.least(a, b) - wide, lambda a, b, wide: F.greatest(a, b) + wide
+
+    def held(rows: DataFrame, wide: float, x: tuple[str, str], y: tuple[str, str]) -> DataFrame:
+        span = lambda a, b: F.sequence(F.floor(low(a, b, wide) / size).cast("long"), F.floor(high(a, b, wide) / size).cast("long"))
+        return rows.withColumn("bx", F.explode(span(*x))).withColumn("by", F.explode(span(*y)))
+
+    other = own.select(*[F.col(c).alias(f"o_{c}") for c in own.columns], mid("x1", "x2").alias("o_x"), mid("y1", "y2").alias("o_y"))
+    near = held(own, reach, ("x1", "x2"), ("y1", "y2")).join(held(other, 0.0, ("o_x1", "o_x2"), ("o_y1", "o_y2")), ["bx", "by"])
+    corner = [F.floor(F.greatest(low(a, b, reach), F.least(c, d)) / size) for a, b, c, d in (("x1", "x2", "o_x1", "o_x2"), ("y1", "y2", "o_y1", "o_y2"))]
+    near = near.where((corner[0] == F.col("bx")) & (corner[1] == F.col("by")))
     ux, uy = (F.col("x2") - F.col("x1")) / F.col("len"), (F.col("y2") - F.col("y1")) / F.col("len")
     on = lambda a, b: (F.col(a) - F.col("x1")) * ux + (F.col(b) - F.col("y1")) * uy
-    low, high = F.least(on("o_x1", "o_y1"), on("o_x2", "o_y2")), F.greatest(on("o_x1", "o_y1"), on("o_x2", "o_y2"))
-    overlap = F.greatest(F.lit(0.0), F.least(high, F.col("len")) - F.greatest(low, F.lit(0.0)))
+    first, last = F.least(on("o_x1", "o_y1"), on("o_x2", "o_y2")), F.greatest(on("o_x1", "o_y1"), on("o_x2", "o_y2"))
+    overlap = F.greatest(F.lit(0.0), F.least(last, F.col("len")) - F.greatest(first, F.lit(0.0)))
     off = geo.distance(F.col("o_x"), F.col("o_y"), *[F.col(c) for c in ENDS])
     out = near.where("link_id <> o_link_id and len > 0 and o_len > 0").withColumns({"overlap": overlap, "off": off})
     alike = geo.orientation_difference(F.col("angle"), F.col("o_angle")) <= turn

@@ -84,14 +84,14 @@ def hour_profile(counts: DataFrame) -> DataFrame:
 
 
 def hourly_reports(reports: DataFrame, start: str, hours: int) -> DataFrame:
-    """One report for each clock hour: of those nearest to it (half hours go forward) good ones first, then the closest, then the lowest number.
+    """One report for each clock hour: of those nearest to it (half hours go forward) good ones first, then the closest, then synoptic ones, then the lowest number.
 
-    reports: report_id, ts, good. Hours without a report stay, with nulls.
+    reports: report_id, ts, good (strict quality), synoptic (report type). Hours without a report stay, with nulls.
     """
     slot = F.date_trunc("hour", F.col("ts") + F.expr("interval 30 minutes"))
     own = reports.withColumn("slot", slot)
     off = F.abs(F.unix_micros("ts") - F.unix_micros("slot"))
-    order = W.partitionBy("slot").orderBy(F.desc("good"), off, "report_id")
+    order = W.partitionBy("slot").orderBy(F.desc("good"), off, F.desc("synoptic"), "report_id")
     best = own.withColumns({"n": F.row_number().over(order), "reports": F.count(F.lit(1)).over(W.partitionBy("slot"))}).where("n = 1")
     spine = reports.sparkSession.range(hours).select((F.lit(start).cast("timestamp") + F.make_interval(hours=F.col("id").cast("int"))).alias("slot"))
     return spine.join(best.select("slot", "report_id", "good", "reports"), "slot", "left")

@@ -222,28 +222,57 @@ def _(cells: DataFrame) -> DataFrame:
     return op.semantic_checks(bounds_of(cells), [F.floor(F.col("row_i") / 10).cast("long").alias("tile_row")])
 
 
+#: The coarse product's bands, with every kind of fault in some places.
+BANDS = """
+select cast(floor(k / 120.0) as bigint) row_i, mod(k, 120) col_i, mod(k, 10) <> 0 land,
+  case when mod(k, 31) = 0 then cast(-9999 as double) when mod(k, 211) = 0 then cast('NaN' as double) when mod(k, 227) = 0 then cast(151 as double) when mod(k, 223) = 0 then cast(0 as double) when mod(k, 10) = 0 and mod(k, 3) <> 0 then cast(-9999 as double) else cast(50 + mod(v, 30) as double) end combined_lower,
+  case when mod(k, 229) = 0 or (mod(k, 10) = 0 and mod(k, 3) <> 0) then cast(-9999 as double) when mod(k, 233) = 0 then cast(42 as double) else cast(45 + mod(v, 35) as double) end road_rail_upper,
+  case when mod(k, 10) = 0 or mod(v, 4) <> 0 then cast(-9999 as double) else cast(50 + mod(v, 33) as double) end airport_lower,
+  case when mod(k, 10) = 0 or mod(k, 239) = 0 then cast(-9999 as double) when mod(k, 241) = 0 then cast(1.5 as double) when mod(v, 4) = 0 and mod(k, 37) <> 0 then cast(mod(v, 8) + 1 as double) / 16 when mod(k, 41) = 0 then cast(0.25 as double) else cast(0 as double) end airport_fraction,
+  case when mod(k, 10) = 0 or mod(k, 251) = 0 then cast(-9999 as double) else cast(60 + mod(v, 40) as double) end combined_upper
+from (select o_orderkey k, cast(round(o_totalprice * 100) as bigint) v from {orders}) q
+"""
+
+
+@query("ag11_band_checks", BANDS, """
+with k as (select *, isfinite(combined_lower) f0, isfinite(road_rail_upper) f1, isfinite(airport_lower) f2, isfinite(airport_fraction) f3, isfinite(combined_upper) f4 from {t} x),
+v as (select *, land and f0 and combined_lower <> -9999 v0, land and f1 and road_rail_upper <> -9999 v1, land and f2 and airport_lower <> -9999 v2, land and f3 and airport_fraction <> -9999 v3, land and f4 and combined_upper <> -9999 v4 from k),
+c as (select row_i // 10 tile_row, count(*) cells,
+  count(*) filter (not land and combined_lower <> -9999) + count(*) filter (not land and road_rail_upper <> -9999) + count(*) filter (not land and airport_lower <> -9999) + count(*) filter (not land and airport_fraction <> -9999) + count(*) filter (not land and combined_upper <> -9999) outside_values,
+  count(*) filter (not f0) + count(*) filter (not f1) + count(*) filter (not f2) + count(*) filter (not f3) + count(*) filter (not f4) not_finite,
+  count(*) filter (land and combined_lower = -9999) + count(*) filter (land and road_rail_upper = -9999) + count(*) filter (land and airport_lower = -9999) + count(*) filter (land and airport_fraction = -9999) + count(*) filter (land and combined_upper = -9999) nodata_on_land,
+  count(*) filter (land and not v3) fraction_missing, count(*) filter (v3 and (airport_fraction < -1e-5 or airport_fraction > 1 + 1e-5)) fraction_out_of_range, count(*) filter (land and airport_fraction = 0 and v2) fraction_zero_with_airport,
+  count(*) filter (v3 and airport_fraction > 0 and not v2) fraction_without_airport, count(*) filter (v2 and not v0) airport_without_combined, count(*) filter (v0 and v2 and combined_lower + 1e-5 < airport_lower) combined_below_airport,
+  count(*) filter (land and not v1) upper_missing, count(*) filter (v1 and road_rail_upper + 1e-5 < 10 * log10(2e4)) upper_below_floor,
+  count(*) filter (v0 and combined_lower not between 0 and 150) + count(*) filter (v1 and road_rail_upper not between 0 and 150) + count(*) filter (v2 and airport_lower not between 0 and 150) + count(*) filter (v4 and combined_upper not between 0 and 150) impossible,
+  count(*) filter (v0 and combined_lower = 0) + count(*) filter (v1 and road_rail_upper = 0) + count(*) filter (v2 and airport_lower = 0) + count(*) filter (v4 and combined_upper = 0) zeros,
+  count(*) filter (land and not v4) combined_upper_missing, count(*) filter (v4 and v0 and combined_upper + 1e-5 < combined_lower) combined_upper_below_lower, count(*) filter (v4 and v1 and combined_upper + 1e-5 < road_rail_upper) combined_upper_below_road_rail from v group by 1)
+select *, outside_values + not_finite + fraction_missing + fraction_out_of_range + fraction_zero_with_airport + fraction_without_airport + airport_without_combined + combined_below_airport + upper_missing + upper_below_floor + impossible + zeros + combined_upper_missing + combined_upper_below_lower + combined_upper_below_road_rail = 0 sound from c""")
+def _(bands: DataFrame) -> DataFrame:
+    return op.band_checks(bands, [F.floor(F.col("row_i") / 10).cast("long").alias("tile_row")], (40.0, 40.0))
+
+
 def states_of(cells: DataFrame) -> DataFrame:
     """A state for each tile and source, made from the tile's number."""
-    tile = (F.floor(F.col("row_i") / 10) * 1000 + F.floor(F.col("col_i") / 10)).cast("long")
-    own = cells.select(tile.alias("tile"), "source").distinct()
-    n = F.col("tile") + F.length("source")
+    own = cells.select(*op.tile_columns(), "source").distinct()
+    n = F.col("tile_row") * 1000 + F.col("tile_col") + F.length("source")
     return own.withColumn("state", F.when(n % 7 == 0, "rejected").when(n % 5 == 0, "outside").otherwise("accepted"))
 
 
-STATES = """s as (select distinct (row_i // 10) * 1000 + col_i // 10 tile, source from {t} x),
-st as (select *, case when (tile + length(source)) % 7 = 0 then 'rejected' when (tile + length(source)) % 5 = 0 then 'outside' else 'accepted' end state from s)"""
+STATES = """s as (select distinct row_i // 10 tile_row, col_i // 10 tile_col, source from {t} x),
+st as (select *, case when (tile_row * 1000 + tile_col + length(source)) % 7 = 0 then 'rejected' when (tile_row * 1000 + tile_col + length(source)) % 5 = 0 then 'outside' else 'accepted' end state from s)"""
 
 
 @query("ag12_availability_rollup", CELLS, "with " + READ + ", " + STATES + """
 select source, state qualification, case status when 'reported_model_value' then 'value' when 'verified_below_cutoff' then 'below' else 'missing' end availability, count(*) n
-from c join st using (source) where st.tile = (row_i // 10) * 1000 + col_i // 10 group by rollup (source, qualification, availability)""")
+from c join st using (source) where st.tile_row = row_i // 10 and st.tile_col = col_i // 10 group by rollup (source, qualification, availability)""")
 def _(cells: DataFrame) -> DataFrame:
-    return op.availability(cells, states_of(cells).select("tile", "source", F.col("state").alias("qualification")))
+    return op.availability(cells, states_of(cells).select("tile_row", "tile_col", "source", F.col("state").alias("qualification")))
 
 
 @query("ag13_band_qualification", CELLS, "with " + STATES + """, d(source, band) as (values ('road', 'road_rail_upper'), ('rail', 'road_rail_upper'), ('aircraft', 'airport_lower'), ('road', 'combined_lower'), ('rail', 'combined_lower'), ('aircraft', 'combined_lower'))
-select tile, band, case max(case state when 'rejected' then 2 when 'outside' then 1 else 0 end) when 2 then 'withheld' when 1 then 'limited' else 'qualified' end qualification
-from st join d using (source) group by 1, 2""")
+select tile_row, tile_col, band, case max(case state when 'rejected' then 2 when 'outside' then 1 else 0 end) when 2 then 'withheld' when 1 then 'limited' else 'qualified' end qualification
+from st join d using (source) group by 1, 2, 3""")
 def _(cells: DataFrame) -> DataFrame:
     depends = [("road", "road_rail_upper"), ("rail", "road_rail_upper"), ("aircraft", "airport_lower"), *[(s, "combined_lower") for s in op.SOURCES]]
     return op.band_qualification(states_of(cells), cells.sparkSession.createDataFrame(depends, "source string, band string"))
@@ -350,7 +379,7 @@ def _(cells: DataFrame) -> DataFrame:
 
 
 @query("jn1_jn25_places_compared", CELLS, "with " + READ + """,
-p as (select row_i, col_i, dense_rank() over (order by row_i, col_i) - 1 place from (select distinct row_i, col_i from c where (row_i * 120 + col_i) % 1009 = 5)),
+p as (select row_i, col_i, dense_rank() over (order by row_i, col_i) - 1 place from (select distinct row_i, col_i from c where (row_i * 120 + col_i) % 50 = 0)),
 a as (select place, source, status, lv, case when lv is not null then lv when status = 'verified_below_cutoff' then cutoff end up from p join c using (row_i, col_i)),
 j as (select a.*, f.lv lv0, f.up up0 from a join a f on a.source = f.source and f.place = 0)
 select place, source, status, lv value_db, round(lv - up0, 4) lower_db, round(up - lv0, 4) upper_db,
@@ -358,8 +387,11 @@ select place, source, status, lv value_db, round(lv - up0, 4) lower_db, round(up
 def _(cells: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
-    places = cells.select("row_i", "col_i").where((F.col("row_i") * 120 + F.col("col_i")) % 1009 == 5).distinct()
-    places = places.withColumn("place", F.row_number().over(W.orderBy("row_i", "col_i")) - 1)
+    places = cells.select("row_i", "col_i").where((F.col("row_i") * 120 + F.col("col_i")) % 50 == 0).distinct()
+    first = W.partitionBy("row_i").orderBy("col_i")
+    before = F.sum("n").over(W.orderBy("row_i")) - F.col("n")  # a row per row of cells
+    rows = places.groupBy("row_i").agg(F.count(F.lit(1)).alias("n")).select("row_i", before.alias("before"))
+    places = places.withColumn("nth", F.row_number().over(first)).join(rows, "row_i").select("row_i", "col_i", (F.col("before") + F.col("nth") - 1).alias("place"))
     out = op.place_differences(places, cells).drop("upper_inclusive")
     return out.withColumns({**r4("lower_db", "upper_db"), "lower_inclusive": F.coalesce("lower_inclusive", F.lit(False)), "place": F.col("place").cast("long")})
 

@@ -20,12 +20,12 @@ def _(cells):
 
 
 @query("ag28_retries", CELLS, """
-with a as (select row_i // 10 tile, case when col_i % 5 = 0 then 'HTTP 503 busy' when col_i % 7 = 0 then 'Read Timeout' when col_i % 11 = 0 then 'reset' when col_i % 3 = 0 then 'HTTP 404' end message from {t} x where source = 'road')
+with a as (select row_i // 10 tile, case when col_i % 5 = 0 then 'HTTP 503 busy' when col_i % 7 = 0 then 'Read Timeout' when col_i % 11 = 0 then 'reset' when col_i % 3 = 0 then 'HTTP 404' end message from {t} x)
 select case when message is null then 'success' when message like '%503%' then 'http_503' when message like '%404%' then 'http_404' when message like '%Timeout%' then 'timeout' else 'other' end kind, count(*) attempts, count(distinct tile) tiles from a group by 1""")
 def _(cells):
     c = F.col("col_i")
     message = F.when(c % 5 == 0, "HTTP 503 busy").when(c % 7 == 0, "Read Timeout").when(c % 11 == 0, "reset").when(c % 3 == 0, "HTTP 404")
-    return op.retries(cells.where("source = 'road'").select(F.floor(F.col("row_i") / 10).alias("tile"), message.alias("message")))
+    return op.retries(cells.select(F.floor(F.col("row_i") / 10).alias("tile"), message.alias("message")))
 
 
 @query("ag29_quadrant_minima", CELLS, """

@@ -60,9 +60,9 @@ select cast(mod(p_partkey, 200) as bigint) path, p_partkey seq, cast(10 * (1 + m
 
 
 @query("ag37_path_ground", PARTS, """
-select path, sum(length) length, sum(case when code in (30, 40, 50, 80) then 0.0::double else length end) "unknown", case when count(*) filter (code not in (30, 40, 50, 80)) = 0 then sum(case when code in (30, 40) then length else 0 end) / sum(length) end ground from {t} x where path < 150 or code in (30, 40, 50, 80) group by 1""")
+select path, sum(length) length, sum(case when code in (30, 40, 50, 80) then 0.0::double else length end) "unknown", case when count(*) filter (code not in (30, 40, 50, 80)) = 0 then sum(case when code in (30, 40) then length else 0 end) / sum(length) end ground from {t} x group by 1""")
 def _(parts):
-    return op.path_ground(parts.where("path < 150 or code in (30, 40, 50, 80)").select("path", "code", "length"))
+    return op.path_ground(parts.select("path", "code", "length"))
 
 
 @query("wn15_merged_runs", PARTS, """
@@ -83,7 +83,7 @@ def _(parts):
 
 
 SURVEYS = """
-select cast(mod(o_orderkey, 3000) as bigint) pixel, o_orderkey survey, cast(1 + mod(o_custkey, 2) as bigint) resolution, cast(mod(o_custkey * 7, 900) as bigint) first_day, cast(mod(o_custkey * 7, 900) + mod(o_orderkey, 30) as bigint) last_day from {orders} where mod(o_orderkey, 5) < 2
+select cast(mod(o_orderkey, 3000) as bigint) pixel, o_orderkey survey, cast(1 + mod(o_custkey, 2) as bigint) resolution, cast(mod(o_custkey * 7, 900) as bigint) first_day, cast(mod(o_custkey * 7, 900) + mod(o_orderkey, 30) as bigint) last_day from {orders}
 """
 
 

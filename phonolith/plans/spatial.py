@@ -29,11 +29,11 @@ def count_points(spark, d):
 @query("jn4_exposure", sql="with " + RL + """
 select receptor_id, count(*) segments, round(min(dist), 4) nearest, round(sum(flow / pow(greatest(dist, 10.0), 2)), 6) benchmark,
   round(sum(flow * greatest(0.0, case when len > 0 then asinh((len - ((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/len) / sqrt(pow(((x-x1)*(y2-y1)-(y-y1)*(x2-x1))/len, 2) + 100))
-    - asinh(-((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/len / sqrt(pow(((x-x1)*(y2-y1)-(y-y1)*(x2-x1))/len, 2) + 100)) else 0.0 end)), 2) line_energy
+    - asinh(-((x-x1)*(x2-x1)+(y-y1)*(y2-y1))/len / sqrt(pow(((x-x1)*(y2-y1)-(y-y1)*(x2-x1))/len, 2) + 100)) else 0.0 end)), 2) line_energy, count(*) filter (dist <= 250) within_250, count(*) filter (dist <= 500) within_500, count(*) filter (dist <= 1000) within_1000
 from rl where dist <= 2000 group by 1""")
 def _(spark, d):
-    out = op.exposure(get(spark, d, fx.RECEPTORS), get(spark, d, fx.LINKS), 2000.0)
-    return out.select("receptor_id", "segments", F.round("nearest", 4).alias("nearest"), F.round("benchmark", 6).alias("benchmark"), F.round("line_energy", 2).alias("line_energy"))
+    out = op.exposure(get(spark, d, fx.RECEPTORS), get(spark, d, fx.LINKS), 2000.0, within=(250, 500, 1000))
+    return out.select("receptor_id", "segments", "within_250", "within_500", "within_1000", F.round("nearest", 4).alias("nearest"), F.round("benchmark", 6).alias("benchmark"), F.round("line_energy", 2).alias("line_energy"))
 
 
 @query("jn5_nearest_link", sql="with " + RL + """

@@ -89,15 +89,15 @@ def _(x):
 
 
 @query("jn17_hourly_reports", sql="""
-with r as (select event_id report_id, ts, event_type <> 'error' good, date_trunc('hour', ts + interval 30 minutes) slot from events where user_id % 7 = 0),
-b as (select *, row_number() over (partition by slot order by good desc, abs(epoch_us(ts) - epoch_us(slot)), report_id) n, count(*) over (partition by slot) reports from r),
-h as (select (select date_trunc('day', min(ts)) from events) + interval 1 hour * i.range slot from range(0, 240) i)
+with r as (select event_id report_id, ts, event_type <> 'error' good, user_id % 3 = 0 synoptic, date_trunc('hour', ts + interval 30 minutes) slot from events),
+b as (select *, row_number() over (partition by slot order by good desc, abs(epoch_us(ts) - epoch_us(slot)), synoptic desc, report_id) n, count(*) over (partition by slot) reports from r),
+h as (select s slot from range((select date_trunc('day', min(ts)) from events), (select max(ts) + interval 30 minutes from events), interval 1 hour) t(s))
 select h.slot, b.report_id, b.good, b.reports from h left join b on b.slot = h.slot and b.n = 1""")
 def _(spark, d):
     events = spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    start = events.agg(F.date_trunc("day", F.min("ts")).cast("string")).first()[0]
-    reports = events.where("user_id % 7 = 0").select(F.col("event_id").alias("report_id"), "ts", (F.col("event_type") != "error").alias("good"))
-    return op.hourly_reports(reports, start, 240)
+    start, hours = events.agg(F.date_trunc("day", F.min("ts")).alias("a"), F.max("ts").alias("b")).select(F.col("a").cast("string"), F.ceil((F.unix_micros("b") + 1_800_000_000 - F.unix_micros("a")) / 3_600_000_000)).first()
+    reports = events.select(F.col("event_id").alias("report_id"), "ts", (F.col("event_type") != "error").alias("good"), (F.col("user_id") % 3 == 0).alias("synoptic"))
+    return op.hourly_reports(reports, start, hours)
 
 
 @query("prj19_prj28_air", sql="""
