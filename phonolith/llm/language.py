@@ -10,18 +10,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from phonolith.llm.common import fold, mix
 
 FOLDS, HELD_OUT = 5, 0
-#: Trigrams are counted in so many hashed cells per language, which bounds the model: cells x languages.
+#: Trigrams are counted in so many hashed cells per language ...
 CELLS = 1 << 16
-MAX_LANGUAGES = 256
+#: ... or, for more than 256 languages, in so many fewer that the model has at most this number of cells.
+ALL_CELLS = 1 << 24
 SMOOTH = 0.5
-STEPS = 10
+#: Expectation-maximisation goes on until no share changes by more than this.
+STILL = 1e-4
 #: Languages with less than this share after the first inference are not tried in a set.
 LEAST_SHARE = 0.02
 _letters: list[np.ndarray] = []
@@ -46,56 +48,68 @@ def trigrams(text: str | None) -> np.ndarray:
     return (mix(packed) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def infer(cells: np.ndarray, counts: np.ndarray, likely: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, float]:
-    """Proportions of the columns of likely (cells x languages) in a document, and its log-likelihood."""
-    rows = likely[cells]
-    share = np.full(rows.shape[1], 1 / rows.shape[1]) if start is None else start
+def infer(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Proportions of the languages in a document and its log-likelihood; rows: likelihoods of its trigrams by language."""
+    share = np.full(rows.shape[1], 1 / rows.shape[1])
     n = counts.sum()
-    for _ in range(STEPS):
-        mixed = rows @ share
-        share = share * ((counts / mixed) @ rows) / n
-    return share, float(counts @ np.log(rows @ share))
+    while True:
+        new = share * ((counts / (rows @ share)) @ rows) / n
+        change, share = np.abs(new - share).max(), new
+        if change <= STILL:
+            return share, float(counts @ np.log(rows @ share))
 
 
 def languages_of(cells: np.ndarray, likely: np.ndarray) -> dict[int, float]:
-    """Shares of the chosen set of languages, by column of likely."""
+    """Shares of the chosen set of languages, by column of likely (cells x languages).
+
+    Languages with a share worth trying are added one at a time, each time the one that raises the likelihood most, as
+    long as it rises by more than the penalty.
+    """
     cells, counts = np.unique(cells, return_counts=True)
-    counts = counts.astype(float)
-    share, _ = infer(cells, counts, likely)
-    order = [k for k in np.argsort(-share, kind="stable") if share[k] >= LEAST_SHARE] or [int(np.argmax(share))]
-    best, cost = {int(order[0]): 1.0}, -float(counts @ np.log(likely[cells, order[0]]))
-    for size in range(2, len(order) + 1):
-        part = share[order[:size]]
-        got, gain = infer(cells, counts, likely[:, order[:size]], part / part.sum())
-        penalised = -gain + 0.5 * (size - 1) * np.log(counts.sum())
-        if penalised >= cost:
+    rows, counts = likely[cells].astype(float), counts.astype(float)
+    share, _ = infer(rows, counts)
+    left = [int(k) for k in np.argsort(-share, kind="stable") if share[k] >= LEAST_SHARE] or [int(np.argmax(share))]
+    penalty = 0.5 * np.log(counts.sum())
+    chosen, found, best = [], None, -np.inf
+    while left:
+        tried = [(infer(rows[:, [*chosen, k]], counts), k) for k in left]
+        (shares, gain), k = max(tried, key=lambda x: x[0][1])
+        if chosen and gain - penalty <= best:
             break
-        best, cost = {int(k): float(s) for k, s in zip(order, got, strict=False)}, penalised
-    return best
+        chosen.append(k)
+        left.remove(k)
+        found, best = shares, gain
+    return dict(zip(chosen, map(float, found), strict=True))
 
 
 def train(own: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and the table of trigram probabilities (cells x languages) of own(lang, text)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for pdf in batches:
-            for lang, text in zip(pdf.lang, pdf.text, strict=True):
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
                 total = sums.setdefault(lang, np.zeros(CELLS, np.int64))
-                cells, times = np.unique(trigrams(text), return_counts=True)
+                cells, times = np.unique(trigrams(text.as_py()), return_counts=True)
                 total[cells] += times
         for lang, total in sums.items():
             at = np.flatnonzero(total)
-            yield pd.DataFrame({"lang": lang, "cell": at.astype(np.int32), "n": total[at]})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(at), pa.string()), "cell": at.astype(np.int32), "n": total[at]})
+
+    def packed(rows: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS, np.int64)
+        total[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
+        return pa.table({"lang": rows.column("lang")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    summed = own.mapInPandas(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    if own.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    found = summed.toPandas()
-    names = sorted(found.lang.unique())
-    table = np.full((CELLS, len(names)), SMOOTH)
-    table[found.cell.to_numpy(int), found.lang.map({x: i for i, x in enumerate(names)}).to_numpy(int)] += found.n.to_numpy(float)
-    return names, table / table.sum(axis=0, keepdims=True) if names else table
+    summed = own.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    found = {r.lang: bytes(r.counts) for r in summed.groupBy("lang").applyInArrow(packed, "lang string, counts binary").toLocalIterator()}
+    names = sorted(found)
+    cells = min(CELLS, 1 << int(np.log2(ALL_CELLS / max(1, len(names)))))
+    table = np.empty((cells, len(names)), np.float32)
+    for i, name in enumerate(names):
+        total = np.frombuffer(found.pop(name), np.int64).reshape(-1, cells).sum(axis=0) + SMOOTH
+        table[:, i] = total / total.sum()
+    return names, table
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -109,22 +123,20 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     known = docs.where(F.col("lang").isNotNull() & (fold("doc_id", FOLDS) != HELD_OUT))
     names, table = train(known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")))
-    model = spark.sparkContext.broadcast((names, table))  # CELLS x at most MAX_LANGUAGES doubles
+    model = spark.sparkContext.broadcast((names, table))  # at most ALL_CELLS numbers of 4 bytes
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double, mixture string")
+    def said(texts: pa.Array) -> pa.Array:
         names, table = model.value
-        for pdf in batches:
-            rows = []
-            for text in pdf.text:
-                cells = trigrams(text)
-                shares = languages_of(cells, table) if len(cells) and names else {}
-                top = min(shares, key=lambda k: (-shares[k], k), default=None)
-                said = ",".join(f"{names[k]}:{s:.3f}" for k, s in sorted(shares.items(), key=lambda x: (-x[1], x[0])))
-                rows.append(("und", 0.0, "") if top is None else (names[top], min(1.0, shares[top]), said))
-            out = pd.DataFrame(rows, columns=["lang_pred", "score", "mixture"])
-            out.insert(0, "doc_id", pdf.doc_id.to_numpy())
-            yield out
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = own.mapInPandas(work, "doc_id long, lang_pred string, score double, mixture string")
+        rows = []
+        for text in texts:
+            cells = trigrams(text.as_py()) & (len(table) - 1) if names else ()
+            shares = languages_of(cells, table) if len(cells) else {}
+            top = min(shares, key=lambda k: (-shares[k], k), default=None)
+            mixture = ",".join(f"{names[k]}:{s:.3f}" for k, s in sorted(shares.items(), key=lambda x: (-x[1], x[0])))
+            rows.append(("und", 0.0, "") if top is None else (names[top], min(1.0, shares[top]), mixture))
+        kinds = {"lang_pred": pa.string(), "score": pa.float64(), "mixture": pa.string()}
+        return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
+
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), said(F.col("text").cast("string")).alias("s")).select("doc_id", "s.*")
     return found.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score", "mixture")
