@@ -64,10 +64,14 @@ def components(cells: DataFrame, width: int, eight: bool = False) -> DataFrame:
     return local.join(label.withColumnRenamed("a", "local"), ["group", "local"]).select("group", "row_i", "col_i", F.col("root").alias("component"))
 
 
-def summary(labelled: DataFrame, least: int) -> DataFrame:
-    """Size, bounds and id of components of at least `least` cells, ordered by size, then position."""
+def summary(labelled: DataFrame, least: int, side: int = 10) -> DataFrame:
+    """Size, bounds, range of levels, tiles touched and id of components of at least `least` cells, ordered by size, then position.
+
+    labelled: group, component, row_i, col_i, raw.
+    """
+    tile = F.struct(F.floor(F.col("row_i") / side), F.floor(F.col("col_i") / side))
     out = labelled.groupBy("group", "component").agg(
-        F.count(F.lit(1)).alias("cells"), F.min("row_i").alias("top"), F.max("row_i").alias("bottom"), F.min("col_i").alias("left"), F.max("col_i").alias("right")
+        F.count(F.lit(1)).alias("cells"), F.min("raw").alias("min_db"), F.max("raw").alias("max_db"), F.countDistinct(tile).alias("tiles"), F.min("row_i").alias("top"), F.max("row_i").alias("bottom"), F.min("col_i").alias("left"), F.max("col_i").alias("right")
     ).where(F.col("cells") >= least)
     rank = F.row_number().over(W.partitionBy("group").orderBy(F.desc("cells"), "top", "left", "component"))
     ident = F.substring(F.sha2(F.concat_ws(":", "group", "component", "cells"), 256), 1, 16)

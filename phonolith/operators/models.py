@@ -114,8 +114,8 @@ def stratified(df: DataFrame, strata: Sequence[str], key: str, count: int, seed:
     return out.withColumn("weight", F.col("_all") / F.least(F.col("_all"), F.lit(count))).drop("_n", "_all")
 
 
-def error_metrics(df: DataFrame, by: Sequence[str], observed: str, predicted: str, weight: str) -> DataFrame:
-    """Weighted MAE, RMSE, bias, effective n, and Spearman's correlation as the correlation of average ranks."""
+def error_metrics(df: DataFrame, by: Sequence[str], observed: str, predicted: str, weight: str, chance: str | None = None, happened: str | None = None) -> DataFrame:
+    """Weighted MAE, RMSE, bias, effective n, Spearman's correlation as the correlation of average ranks, and the Brier score of a chance."""
     group = list(by)
     average = lambda c: F.rank().over(W.partitionBy(*group).orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(*group, c)) - 1) / 2
     e, w = F.col(predicted) - F.col(observed), F.col(weight)
@@ -124,6 +124,7 @@ def error_metrics(df: DataFrame, by: Sequence[str], observed: str, predicted: st
         F.count(F.lit(1)).alias("n"), (F.sum(w * F.abs("_e")) / F.sum(w)).alias("mae"), F.sqrt(F.sum(w * F.col("_e") * F.col("_e")) / F.sum(w)).alias("rmse"),
         (F.sum(w * F.col("_e")) / F.sum(w)).alias("bias"), F.percentile(F.abs("_e"), F.lit(0.5)).alias("median_ae"), F.percentile(F.abs("_e"), F.lit(0.9)).alias("p90"),
         (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective_n"), F.corr("_ro", "_rp").alias("spearman"),
+        *([(F.sum(w * (F.col(chance) - F.col(happened).cast("double")) ** 2) / F.sum(w)).alias("brier")] if chance and happened else []),
     )
 
 

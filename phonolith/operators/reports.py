@@ -27,17 +27,20 @@ def retries(attempts: DataFrame) -> DataFrame:
 
 
 def quadrant_minima(cells: DataFrame, row_mid: int, col_mid: int) -> DataFrame:
-    """Least reported level of each quadrant of a source's extract, and how far the quadrants' minima lie apart."""
+    """Reported levels of each quadrant of a source's extract: the least and how often it stands, quantiles, and how far the quadrants' minima lie apart."""
     quadrant = F.concat(F.when(F.col("row_i") < row_mid, "N").otherwise("S"), F.when(F.col("col_i") < col_mid, "W").otherwise("E"))
-    low = cells.where("raw > 0").groupBy("source", quadrant.alias("quadrant")).agg(F.min("raw").alias("min_db"), F.count(F.lit(1)).alias("cells"))
+    low = cells.where("raw > 0").groupBy("source", quadrant.alias("quadrant")).agg(F.min("raw").alias("min_db"), F.count(F.lit(1)).alias("cells"), *[F.percentile("raw", F.lit(p)).alias(f"p{round(100 * p)}") for p in (0.05, 0.5, 0.95)])
+    quarter = cells.where("raw > 0").groupBy("source", quadrant.alias("quadrant"), F.col("raw").alias("min_db")).agg(F.count(F.lit(1)).alias("at_min"))
+    low = low.join(quarter, ["source", "quadrant", "min_db"])
     return low.withColumn("spread_db", F.max("min_db").over(W.partitionBy("source")) - F.min("min_db").over(W.partitionBy("source")))
 
 
 def shift_stability(cells: DataFrame, step: int) -> DataFrame:
-    """Share of cells whose class stays the same `step` cells to the east, per source."""
+    """Share of cells whose class stays the same `step` cells to the east, west, south and north, per source."""
     own = cells.withColumn("class", ac.display_class(F.col("raw"), ac.zero_cutoff(F.col("source"), F.lit("Lden")))).select("source", "row_i", "col_i", "class")
-    other = own.select("source", "row_i", (F.col("col_i") - step).alias("col_i"), F.col("class").alias("o"))
-    return own.join(other, ["source", "row_i", "col_i"]).groupBy("source").agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.col("class") == F.col("o")).cast("double")).alias("same"))
+    ways = F.explode(F.array(*[F.struct(F.lit(w).alias("way"), F.lit(r).alias("r"), F.lit(c).alias("c")) for w, r, c in (("east", 0, step), ("west", 0, -step), ("south", step, 0), ("north", -step, 0))]))
+    other = own.select("source", "row_i", "col_i", ways.alias("w"), F.col("class").alias("o")).select("source", (F.col("row_i") - F.col("w.r")).alias("row_i"), (F.col("col_i") - F.col("w.c")).alias("col_i"), "w.way", "o")
+    return own.join(other, ["source", "row_i", "col_i"]).groupBy("source", "way").agg(F.count(F.lit(1)).alias("pairs"), F.avg((F.col("class") == F.col("o")).cast("double")).alias("same"))
 
 
 def top_of_group(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:

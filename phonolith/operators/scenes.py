@@ -66,18 +66,26 @@ def case_spread(levels: DataFrame) -> DataFrame:
     return levels.groupBy("road").agg((F.max("db") - F.min("db")).alias("spread_db"))
 
 
-def barrier(tag: Column, wall: Column) -> Column:
-    """Category of a mapped barrier; none of them is taken for an acoustic screen."""
-    return (
-        F.when(wall == "noise_barrier", "explicit_noise_barrier_candidate").when(tag.isin("wall", "retaining_wall"), "generic_wall_candidate")
-        .when(tag.isin("fence", "wire_fence"), "generic_fence_candidate").otherwise("other_barrier_tag_no_acoustic_classification")
-    )
+#: What mapped things may stand for, by tag and value; none of them is taken for an acoustic screen.
+BARRIER_KINDS = {
+    ("barrier", "wall"): "wall", ("barrier", "retaining_wall"): "wall", ("barrier", "fence"): "fence", ("barrier", "wire_fence"): "fence", ("man_made", "embankment"): "bank", ("man_made", "dyke"): "bank",
+    ("wall", "noise_barrier"): "screen",
+}
+
+
+def barrier(**tags: Column) -> Column:
+    """Kind of a mapped barrier from its tags, the most telling tag first: wall, then man_made, then barrier; other if none is known."""
+    known = F.create_map(*[x for (tag, value), kind in BARRIER_KINDS.items() for x in (F.lit(f"{tag}={value}"), F.lit(kind))])
+    kinds = [F.try_element_at(known, F.concat(F.lit(f"{t}="), F.coalesce(tags[t], F.lit("")))) for t in ("wall", "man_made", "barrier") if t in tags]
+    return F.coalesce(*kinds, F.lit("other"))
 
 
 def height(text: Column) -> Column:
-    """Metres of an explicit positive height, else null."""
-    found = F.regexp_extract(F.trim(text), r"^(\d+(?:\.\d+)?|\.\d+)\s*m?$", 1).try_cast("double")
-    return F.when(found > 0, found)
+    """(metres, state) of a height as mapped: metres only where a bare number or one in metres is written, and it is positive."""
+    bare = F.trim(F.regexp_replace(F.trim(F.lower(text)), "(metres|metre|m)$", ""))
+    number = F.when(F.translate(bare, "0123456789.", "") == "", bare.try_cast("double"))
+    state = F.when(F.coalesce(text, F.lit("")) == "", "not_mapped").when(number > 0, "metres").when(number.isNotNull(), "not_positive").otherwise("not_in_metres")
+    return F.struct(F.when(number > 0, number).alias("metres"), state.alias("state"))
 
 
 def path_ground(parts: DataFrame) -> DataFrame:
@@ -101,20 +109,21 @@ def merged_runs(parts: DataFrame) -> DataFrame:
 def survey_winner(covers: DataFrame) -> DataFrame:
     """The survey of each pixel that has the resolution of all its rivals and began after each of them ended; else none.
 
-    covers: pixel, survey, resolution, first_day, last_day. A survey that is not its pixel's newest loses, so it is
-    enough to compare the one that begins last with the latest end of the others.
+    covers: pixel, survey, resolution, first_day, last_day. A survey that is not its pixel's newest loses, so the one that
+    begins last is held against how many had not ended by then: itself alone.
     """
-    ends = F.collect_list("last_day")
-    out = covers.groupBy("pixel").agg(F.count(F.lit(1)).alias("surveys"), F.countDistinct("resolution").alias("resolutions"), F.max_by(F.struct("survey", "first_day", "last_day"), F.struct("first_day", "survey")).alias("last"), ends.alias("ends"))
-    older = F.size(F.filter("ends", lambda e: e >= F.col("last.first_day"))) <= 1  # its own end is the one that is not older
-    return out.select("pixel", "surveys", F.when((F.col("surveys") == 1) | ((F.col("resolutions") == 1) & older), F.col("last.survey")).alias("winner"))
+    last = covers.groupBy("pixel").agg(F.count(F.lit(1)).alias("surveys"), F.countDistinct("resolution").alias("resolutions"), F.max_by(F.struct("survey", "first_day"), F.struct("first_day", "survey")).alias("last"))
+    running = covers.join(last.select("pixel", F.col("last.first_day").alias("begins")), "pixel").groupBy("pixel").agg(F.count_if(F.col("last_day") >= F.col("begins")).alias("running"))
+    wins = (F.col("surveys") == 1) | ((F.col("resolutions") == 1) & (F.col("running") <= 1))
+    return last.join(running, "pixel").select("pixel", "surveys", F.when(wins, F.col("last.survey")).alias("winner"))
 
 
 def wind_sectors(hours: DataFrame, bearing: float, half: float = 60.0, least: float = 0.5) -> DataFrame:
     """Hours of each period with wind towards a bearing, and the bounds that the unknown hours leave. hours: period, speed, wind_from."""
-    off = F.abs(F.pmod(F.col("wind_from") + (180 - bearing + 180), F.lit(360.0)) - 180)
+    # the wind's heading, opposite to where it comes from, against the bearing: the cosine of the angle between the two
+    along = -F.cos(F.radians(F.col("wind_from") - bearing)) - F.cos(F.radians(F.lit(half)))
     unknown = F.col("speed").isNull() | ((F.col("speed") >= least) & F.col("wind_from").isNull())
-    out = hours.groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.count_if(unknown).alias("unknown"), F.count_if(~unknown & (F.col("speed") >= least) & (off <= half)).alias("downwind"))
+    out = hours.groupBy("period").agg(F.count(F.lit(1)).alias("n"), F.count_if(unknown).alias("unknown"), F.count_if(~unknown & (F.col("speed") >= least) & (along >= -1e-9)).alias("downwind"), F.count_if(F.col("speed") < least).alias("calm"))
     return out.withColumns({"lower": F.col("downwind") / F.col("n"), "upper": (F.col("downwind") + F.col("unknown")) / F.col("n")})
 
 

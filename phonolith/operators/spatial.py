@@ -95,10 +95,11 @@ def impute(links: DataFrame, direct: DataFrame, points: DataFrame) -> DataFrame:
     return out.select("link_id", F.coalesce("flow", "no_flow", "class_flow", "all_flow").alias("flow"), method.alias("method"))
 
 
-def link_counts(points: DataFrame, links: DataFrame, limit: float = 10.0, margin: float = 15.0, clear: float = 20.0, search: float = 25.0) -> DataFrame:
+def link_counts(points: DataFrame, links: DataFrame, limit: float = 10.0, margin: float = 15.0, clear: float = 20.0, search: float = 25.0, occupied: DataFrame | None = None) -> DataFrame:
     """One decision for each count point: accepted onto its one plausible link, or rejected with the first reason.
 
-    Every link within search counts as a rival, whatever its class; two points accepted onto one link reject both.
+    Every link within search counts as a rival, whatever its class; two points accepted onto one link reject both, and a
+    link in occupied(link_id) has its count already.
     """
     pairs = near_pairs(points, links, search)
     length = geo.length(*ENDS)
@@ -107,10 +108,14 @@ def link_counts(points: DataFrame, links: DataFrame, limit: float = 10.0, margin
     ranked = pairs.withColumns({"n": F.row_number().over(order), "runner_up": F.lead("dist").over(order), "clearance": F.least(at, length - at)}).where("n = 1")
     first = ranked.select("point_id", "link_id", "road_class", "dist", "clearance", (F.col("runner_up") - F.col("dist")).alias("margin"))
     out = points.select("point_id", "flow").join(first, "point_id", "left")
+    taken = F.lit(False)
+    if occupied is not None:
+        out = out.join(occupied.select("link_id").distinct().withColumn("taken", F.lit(True)), "link_id", "left")
+        taken = F.coalesce("taken", F.lit(False))
     reason = (
         F.when(F.col("flow") <= 200, "invalid_traffic").when(F.col("dist").isNull() | (F.col("dist") > limit), "no_road_within_distance_limit")
         .when(F.col("road_class") != "minor", "nearest_road_class_incompatible").when(F.col("clearance") < clear, "near_link_endpoint_or_junction")
-        .when(F.col("margin") < margin, "competing_road_ambiguous").otherwise("unique_local_geometric_support")
+        .when(F.col("margin") < margin, "competing_road_ambiguous").when(taken, "link_has_a_count").otherwise("unique_local_geometric_support")
     )
     out = out.withColumn("reason", reason)
     ok = F.col("reason") == "unique_local_geometric_support"
@@ -150,6 +155,14 @@ def samples(segments: DataFrame, count: int) -> DataFrame:
     return out.select("link_id", "i", (F.col("x1") + (F.col("x2") - F.col("x1")) * t).alias("x"), (F.col("y1") + (F.col("y2") - F.col("y1")) * t).alias("y"))
 
 
+def spaced_samples(segments: DataFrame, spacing: float) -> DataFrame:
+    """Points every `spacing` metres along each segment from its start, with their chainage; the end only where it falls on one."""
+    length = geo.length(*ENDS)
+    out = segments.withColumn("len", length).withColumn("i", F.explode(F.sequence(F.lit(0), F.floor(F.col("len") / spacing + 1e-9).cast("int"))))
+    t = F.when(F.col("len") > 0, F.least(F.lit(1.0), F.col("i") * spacing / F.col("len"))).otherwise(0.0)
+    return out.select("link_id", "i", (F.col("i") * spacing).alias("chainage"), (F.col("x1") + (F.col("x2") - F.col("x1")) * t).alias("x"), (F.col("y1") + (F.col("y2") - F.col("y1")) * t).alias("y"))
+
+
 def clipped(segments: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """Length of each segment within a box (Liang-Barsky); segments outside are left out."""
     w, s, e, n = box

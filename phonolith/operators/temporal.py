@@ -57,23 +57,32 @@ def hourly(intervals: DataFrame) -> DataFrame:
     return out.select(RX, "hour", "observed_s", ac.energy_to_db(F.col("energy") / F.col("observed_s")).alias("laeq_db"))
 
 
+def sum_if_known(column: Column) -> Column:
+    """The sum, or null if any value is missing: a part is not given out as the whole."""
+    return F.when(F.count(column) == F.count(F.lit(1)), F.sum(column))
+
+
 def survey_days(counts: DataFrame) -> DataFrame:
     """Each count point's survey day: directions, hours, whether 07-19 is complete in both directions, totals."""
     day = F.col("hr").between(7, 18)
     out = counts.groupBy("count_point_id", "count_date").agg(
         F.countDistinct("direction").alias("directions"), F.countDistinct("hr").alias("hours"),
-        F.countDistinct(F.when(day, F.struct("direction", "hr"))).alias("day_cells"), F.sum("flow").alias("flow"), F.sum("hgv").alias("hgv"),
+        F.countDistinct(F.when(day, F.struct("direction", "hr"))).alias("day_cells"), sum_if_known(F.col("flow")).alias("flow"), sum_if_known(F.col("hgv")).alias("hgv"),
     )
     return out.withColumn("complete_07_19", F.col("day_cells") == 12 * F.col("directions")).drop("day_cells")
 
 
-def directional(counts: DataFrame) -> DataFrame:
-    """Directions of each count point against its total: share of the larger one and a status."""
+def directional(counts: DataFrame, totals: DataFrame, allowed: float = 1.0) -> DataFrame:
+    """Directions of each count point against its published total: share of the larger one, what the sum lacks, and a status.
+
+    totals: count_point_id, total. A residual of rounding is allowed.
+    """
     by = counts.groupBy("count_point_id", "direction").agg(F.sum("flow").alias("flow"))
     out = by.groupBy("count_point_id").agg(F.count(F.lit(1)).alias("directions"), F.sum("flow").alias("flow"), F.max("flow").alias("larger"))
+    out = out.join(totals, "count_point_id", "left").withColumn("residual", F.col("total") - F.col("flow"))
     share = F.col("larger") / F.col("flow")
-    status = F.when(F.col("directions") == 1, "single_direction").when(share > 0.6, "unbalanced").otherwise("balanced")
-    return out.select("count_point_id", "directions", "flow", share.alias("larger_share"), status.alias("status"))
+    status = F.when(F.col("residual").isNull(), "no_total").when(F.abs("residual") > allowed, "residual_too_large").when(F.col("directions") == 1, "single_direction").when(share > 0.6, "unbalanced").otherwise("balanced")
+    return out.select("count_point_id", "directions", "flow", share.alias("larger_share"), "residual", status.alias("status"))
 
 
 def hour_profile(counts: DataFrame) -> DataFrame:

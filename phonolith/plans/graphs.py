@@ -28,11 +28,13 @@ def _(cells):
 
 
 @query("ag15_wn8_component_summary", CELLS, REACH % ("raw > 0 and raw < 52", FOUR) + """,
-s as (select source, component, count(*) cells, min(cell // 120) top, max(cell // 120) bottom, min(cell % 120) "left", max(cell % 120) "right" from l group by 1, 2 having count(*) >= 4)
-select source "group", component, cells, top, bottom, "left", "right", row_number() over (partition by source order by cells desc, top, "left", component)::int rank,
+s as (select source, component, count(*) cells, min(cell // 120) top, max(cell // 120) bottom, min(cell % 120) "left", max(cell % 120) "right", min(raw) min_db, max(raw) max_db, count(distinct (cell // 120 // 10) * 12 + cell % 120 // 10) tiles
+  from l join {t} x using (source) where x.row_i = cell // 120 and x.col_i = cell % 120 group by 1, 2 having count(*) >= 4)
+select source "group", component, cells, min_db, max_db, tiles, top, bottom, "left", "right", row_number() over (partition by source order by cells desc, top, "left", component)::int rank,
   left(sha256(source || ':' || component || ':' || cells), 16) component_id from s""")
 def _(cells):
-    return op.summary(op.components(quiet(cells), 120), 4)
+    levels = cells.select(F.col("source").alias("group"), "row_i", "col_i", "raw")
+    return op.summary(op.components(quiet(cells), 120).join(levels, ["group", "row_i", "col_i"]), 4)
 
 
 @query("rs3_outline_lengths", CELLS, REACH % ("raw > 0 and raw < 52", FOUR) + """

@@ -26,6 +26,17 @@ def _(rows):
     return out.withColumns({c: F.round(c, 6) for c in ("mae", "rmse", "bias", "median_ae", "p90", "effective_n", "spearman")})
 
 
+@query("ag30_band_slices", ROWS, """
+with b as (select *, floor(observed / 10)::bigint * 10 band, weight / 5 chance, predicted > 30 loud from {t} x),
+r as (select *, predicted - observed e, rank() over (partition by band order by observed) + (count(*) over (partition by band, observed) - 1) / 2 ro, rank() over (partition by band order by predicted) + (count(*) over (partition by band, predicted) - 1) / 2 rp from b)
+select band, count(*) n, round(sum(weight * abs(e)) / sum(weight), 6) mae, round(sqrt(sum(weight * e * e) / sum(weight)), 6) rmse, round(sum(weight * e) / sum(weight), 6) bias, round(quantile_cont(abs(e), 0.5), 6) median_ae,
+  round(quantile_cont(abs(e), 0.9), 6) p90, round(sum(weight) * sum(weight) / sum(weight * weight), 6) effective_n, round(corr(ro, rp), 6) spearman, round(sum(weight * pow(chance - loud::int, 2)) / sum(weight), 6) brier from r group by 1""")
+def _(rows):
+    own = rows.withColumns({"band": F.floor(F.col("observed") / 10) * 10, "chance": F.col("weight") / 5, "loud": F.col("predicted") > 30})
+    out = op.error_metrics(own, ["band"], "observed", "predicted", "weight", "chance", "loud")
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("band", "n")})
+
+
 @query("ag32_calibration_bins", ROWS, """
 with r as (select *, ntile(10) over (partition by region order by predicted, "key")::int bin from {t} x)
 select region, bin, count(*) n, round(avg(predicted), 6) predicted, round(avg((observed > 30)::int), 6) observed from r group by 1, 2""")

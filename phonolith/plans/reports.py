@@ -29,15 +29,16 @@ def _(cells):
 
 
 @query("ag29_quadrant_minima", CELLS, """
-with q as (select source, case when row_i < 60 then 'N' else 'S' end || case when col_i < 60 then 'W' else 'E' end quadrant, min(raw) min_db, count(*) cells from {t} x where raw > 0 group by 1, 2)
-select *, round(max(min_db) over (partition by source) - min(min_db) over (partition by source), 4) spread_db from q""")
+with q as (select source, case when row_i < 60 then 'N' else 'S' end || case when col_i < 60 then 'W' else 'E' end quadrant, min(raw) min_db, count(*) cells, quantile_cont(raw, 0.05) p5, quantile_cont(raw, 0.5) p50, quantile_cont(raw, 0.95) p95, max(n) filter (raw = m) at_min
+  from (select *, min(raw) over (partition by source, row_i < 60, col_i < 60) m, count(*) over (partition by source, row_i < 60, col_i < 60, raw) n from {t} x where raw > 0) y group by 1, 2)
+select source, quadrant, min_db, cells, at_min, round(p5, 4) p5, round(p50, 4) p50, round(p95, 4) p95, round(max(min_db) over (partition by source) - min(min_db) over (partition by source), 4) spread_db from q""")
 def _(cells):
-    return op.quadrant_minima(cells, 60, 60).withColumn("spread_db", F.round("spread_db", 4))
+    return op.quadrant_minima(cells, 60, 60).withColumns({c: F.round(c, 4) for c in ("spread_db", "p5", "p50", "p95")})
 
 
 @query("ag44_shift_stability", CELLS, """
 with k as (select source, row_i, col_i, case when raw = -96 then 1 when raw = 0 then case when source <> 'aircraft' then 2 else 1 end else 3 + least(7, greatest(0, floor((raw - 35) / 5)))::int end k from {t} x)
-select a.source, count(*) pairs, round(avg((a.k = b.k)::int), 6) same from k a join k b on a.source = b.source and a.row_i = b.row_i and b.col_i = a.col_i + 2 group by 1""")
+select a.source, way, count(*) pairs, round(avg((a.k = b.k)::int), 6) same from k a, (values ('east', 0, 2), ('west', 0, -2), ('south', 2, 0), ('north', -2, 0)) w(way, r, c), k b where a.source = b.source and b.row_i = a.row_i + r and b.col_i = a.col_i + c group by 1, 2""")
 def _(cells):
     return op.shift_stability(cells, 2).withColumn("same", F.round("same", 6))
 

@@ -73,13 +73,16 @@ def _(parts):
 
 
 @query("prj21_barrier_tags", PARTS, """
-select seq, case when name like 'red%' then 'explicit_noise_barrier_candidate' when kind = 'ECONOMY' then 'generic_wall_candidate' when kind = 'SMALL' then 'generic_fence_candidate' else 'other_barrier_tag_no_acoustic_classification' end category,
-  case when seq % 3 = 0 and length > 0 then length end height_m from {t} x""")
+select seq, case when name like 'red%' then 'screen' when kind = 'PROMO' then 'bank' when kind = 'ECONOMY' then 'wall' when kind = 'SMALL' then 'fence' else 'other' end category,
+  case when seq % 5 = 0 and length > 0 then length when seq % 5 = 1 then length + 0.5 end height_m, case seq % 5 when 0 then case when length > 0 then 'metres' else 'not_positive' end when 1 then 'metres' when 2 then 'not_in_metres' when 3 then 'not_mapped' else 'not_in_metres' end height_state from {t} x""")
 def _(parts):
     tag = F.when(F.col("kind") == "ECONOMY", "wall").when(F.col("kind") == "SMALL", "fence").otherwise("hedge")
-    text = F.when(F.col("seq") % 3 == 0, F.concat(F.col("length").cast("int").cast("string"), F.lit(" m"))).when(F.col("seq") % 3 == 1, "2-3").otherwise("6 ft")
+    n, metres = F.col("seq") % 5, F.col("length").cast("int").cast("string")
+    text = F.when(n == 0, F.concat(metres, F.lit(" m"))).when(n == 1, F.concat(metres, F.lit(".5"))).when(n == 2, "2-3").when(n == 4, "6 ft")
     wall = F.when(F.col("name").startswith("red"), "noise_barrier")
-    return parts.select("seq", op.barrier(tag, F.coalesce(wall, F.lit(""))).alias("category"), op.height(text).alias("height_m"))
+    bank = F.when(F.col("kind") == "PROMO", "embankment")
+    found = parts.select("seq", op.barrier(barrier=tag, man_made=bank, wall=wall).alias("category"), op.height(text).alias("h"))
+    return found.select("seq", "category", F.col("h.metres").alias("height_m"), F.col("h.state").alias("height_state"))
 
 
 SURVEYS = """
@@ -96,7 +99,7 @@ def _(covers):
 @query("ag24_wind_sectors", sql="""
 with h as (select case when hour(ts) between 7 and 18 then 'day' when hour(ts) between 19 and 22 then 'evening' else 'night' end period, case when event_id % 11 = 0 then null else "value" / 10 end speed, case when event_id % 7 = 0 then null else event_id * 37 % 360 end f from events),
 k as (select *, speed is null or (speed >= 0.5 and f is null) u from h)
-select period, count(*) n, count(*) filter (u) "unknown", count(*) filter (not u and speed >= 0.5 and abs((f + 180 - 90 + 180) % 360 - 180) <= 60) downwind, round(count(*) filter (not u and speed >= 0.5 and abs((f + 180 - 90 + 180) % 360 - 180) <= 60) / count(*), 6) "lower",
+select period, count(*) n, count(*) filter (u) "unknown", count(*) filter (speed < 0.5) calm, count(*) filter (not u and speed >= 0.5 and abs((f + 180 - 90 + 180) % 360 - 180) <= 60) downwind, round(count(*) filter (not u and speed >= 0.5 and abs((f + 180 - 90 + 180) % 360 - 180) <= 60) / count(*), 6) "lower",
   round((count(*) filter (u) + count(*) filter (not u and speed >= 0.5 and abs((f + 180 - 90 + 180) % 360 - 180) <= 60)) / count(*), 6) "upper" from k group by 1""")
 def _(spark, d):
     from phonolith.operators.temporal import period_of

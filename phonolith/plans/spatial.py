@@ -136,6 +136,13 @@ def _(links):
     return op.samples(links, 4).withColumns({c: F.round(c, 4) for c in ("x", "y")})
 
 
+@query("prj16_spaced_samples", fx.LINKS, f"""
+with q as (select *, {LEN} len from {{t}} x), k as (select *, unnest(range(0, floor(len / 30 + 1e-9)::bigint + 1))::int i from q)
+select link_id, i, i * 30.0::double chainage, round(x1 + (x2 - x1) * case when len > 0 then least(1.0, i * 30 / len) else 0 end, 4) x, round(y1 + (y2 - y1) * case when len > 0 then least(1.0, i * 30 / len) else 0 end, 4) y from k""")
+def _(links):
+    return op.spaced_samples(links, 30.0).withColumns({c: F.round(c, 4) for c in ("x", "y")})
+
+
 PROXY = {"light": (70.0, 30.0, 65.0, 5.0), "hgv": (78.0, 25.0, 80.0, 8.0)}  # rolling level and slope, propulsion level and slope
 
 

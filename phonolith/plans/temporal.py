@@ -51,17 +51,18 @@ def _(x):
 
 
 @query("ag19_survey_days", COUNTS, """
-select count_point_id, count_date, count(distinct direction) directions, count(distinct hr) "hours", sum(flow)::bigint flow, sum(hgv)::bigint hgv,
+select count_point_id, count_date, count(distinct direction) directions, count(distinct hr) "hours", sum(flow)::bigint flow, case when count(*) filter (hr % 11 = 5 and count_point_id % 3 = 0) = 0 then sum(hgv) end::bigint hgv,
   count(distinct direction || hr) filter (hr between 7 and 18) = 12 * count(distinct direction) complete_07_19 from {t} x group by 1, 2""")
 def _(x):
-    return op.survey_days(x)
+    return op.survey_days(x.withColumn("hgv", F.when(~((F.col("hr") % 11 == 5) & (F.col("count_point_id") % 3 == 0)), F.col("hgv"))))
 
 
 @query("ag20_directional_share", COUNTS, """
 with b as (select count_point_id, direction, sum(flow) f from {t} x group by 1, 2), p as (select count_point_id, count(*) directions, sum(f)::bigint flow, max(f) / sum(f) s from b group by 1)
-select count_point_id, directions, flow, round(s, 6) larger_share, case when directions = 1 then 'single_direction' when s > 0.6 then 'unbalanced' else 'balanced' end status from p""")
+select count_point_id, directions, flow, round(s, 6) larger_share, case when count_point_id % 7 <> 6 then count_point_id % 4 end residual, case when count_point_id % 7 = 6 then 'no_total' when count_point_id % 4 > 1 then 'residual_too_large' when directions = 1 then 'single_direction' when s > 0.6 then 'unbalanced' else 'balanced' end status from p""")
 def _(x):
-    return op.directional(x).withColumn("larger_share", F.round("larger_share", 6))
+    totals = x.where("count_point_id % 7 <> 6").groupBy("count_point_id").agg((F.sum("flow") + F.first("count_point_id") % 4).alias("total"))
+    return op.directional(x, totals).withColumn("larger_share", F.round("larger_share", 6))
 
 
 @query("ag41_wn10_hour_profile", COUNTS, """
