@@ -19,7 +19,7 @@ from phonolith.llm.common import Scratch
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DAMPING = 0.85
 #: Rounds go on until no round reaches a new host and the scores of a flow change by no more than this in all ...
-TOLERANCE = 1e-9
+TOLERANCE = 1e-6
 #: ... which is looked at after this many rounds, and then after each.
 STEPS = 10
 BLOCK_SHARE = 0.5
@@ -40,10 +40,13 @@ def rules_table(spark: SparkSession, rules: Sequence[tuple[str, str, str]]) -> D
 
 
 def rules_by_host(hosts: DataFrame, rules: DataFrame) -> DataFrame:
-    """(host, rules): for each host the rules of it and of the domains it lies in, the longest rule first."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    near = hosts.select("host", F.explode(F.array_distinct(suffixes)).alias("rule_host")).join(rules, "rule_host")
+    """(host, rules): for each host the rules of it and of the domains it lies in, the longest rule first.
+
+    A host is asked for as many of its last labels as the longest rule has, so long hosts cost no more than their length.
+    """
+    most = rules.agg(F.coalesce(F.max(F.size(F.split("rule_host", r"\."))), F.lit(1))).first()[0]
+    suffixes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(most)), lambda i: F.call_function("substring_index", F.col("host"), F.lit("."), -i)))
+    near = hosts.select("host", F.explode(suffixes).alias("rule_host")).join(F.broadcast(rules), "rule_host")  # the rules came from the driver
     rule = F.concat("rule_host", "rule_path")
     made = F.struct((-F.length(rule)).alias("short"), rule.alias("rule"), F.col("rule_path").alias("path"), F.col("rule_verdict").alias("verdict"))
     return near.groupBy("host").agg(F.sort_array(F.collect_list(made)).alias("rules"))
