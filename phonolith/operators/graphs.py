@@ -146,8 +146,8 @@ def patches(cells: DataFrame, side: int, every: int) -> DataFrame:
     """
     own = cells.withColumns({"br": F.floor(F.col("row_i") / every).cast("long"), "bc": F.floor(F.col("col_i") / every).cast("long")})
     span = every - 1 - side
-    off_c = (1 + F.pmod(F.xxhash64("br", "bc", F.lit(1)), F.lit(max(1, span)))).cast("long")
-    off_r = (1 + F.pmod(F.xxhash64("br", "bc", F.lit(0)), F.lit(max(1, span)))).cast("long")
+    draw = lambda axis: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(axis), "br", "bc").cast("binary")), 1, 8), 16, 10).cast("long") % max(1, span)
+    off_r, off_c = 1 + draw("row"), 1 + draw("col")
     r, c = F.col("row_i") - F.col("br") * every - off_r, F.col("col_i") - F.col("bc") * every - off_c
     held = own.where(r.between(0, side - 1) & c.between(0, side - 1)).withColumn("patch", F.concat_ws(":", "br", "bc"))
     whole = held.where("raw > 0").groupBy("source", "patch").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == side * side)

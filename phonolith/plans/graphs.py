@@ -61,3 +61,19 @@ def _(cells):
 def _(cells):
     held = op.patches(cells.where("source <> 'aircraft'"), 2, 6)
     return op.patch_errors(op.interpolated(cells, held, 2))
+
+
+@query("rs5_ag33_patch_estimates", CELLS, """
+with b as (select *, row_i // 6 br, col_i // 6 bc from {t} x where source <> 'aircraft'),
+o as (select *, 1 + ('0x' || substr(md5('row:' || br || ':' || bc), 1, 8))::bigint % 3 off_r, 1 + ('0x' || substr(md5('col:' || br || ':' || bc), 1, 8))::bigint % 3 off_c from b),
+h as (select source, br, bc, row_i, col_i, raw, count(*) filter (raw > 0) over (partition by source, br, bc) known from o where row_i - br * 6 - off_r between 0 and 1 and col_i - bc * 6 - off_c between 0 and 1),
+w as (select * from h where known = 4),
+g as (select distinct w.source, w.br, w.bc, x.row_i kr, x.col_i kc, x.raw v from w join {t} x on x.source = w.source and abs(x.row_i - w.row_i) <= 1 and abs(x.col_i - w.col_i) <= 1 where x.raw > 0 and not exists (select 1 from w y where y.source = w.source and y.br = w.br and y.bc = w.bc and y.row_i = x.row_i and y.col_i = x.col_i)),
+r as (select w.source, w.row_i, w.col_i, w.raw, v, pow(w.row_i - kr, 2) + pow(w.col_i - kc, 2) d2, row_number() over (partition by w.source, w.row_i, w.col_i order by pow(w.row_i - kr, 2) + pow(w.col_i - kc, 2), kr, kc) n from w join g using (source, br, bc)),
+e as (select source, row_i, col_i, raw, max(v) filter (n = 1) nearest, sum(v / d2) filter (n <= 8) / sum(1 / d2) filter (n <= 8) idw from r group by 1, 2, 3, 4),
+m as (select source, 'nearest' "method", nearest - raw d from e union all select source, 'idw', idw - raw from e)
+select source, "method", count(*) n, round(sqrt(avg(d * d)), 6) rmse, round(avg(d), 6) bias, round(quantile_cont(abs(d), 0.9), 6) p90 from m group by 1, 2""")
+def _(cells):
+    held = op.patches(cells.where("source <> 'aircraft'"), 2, 6)
+    out = op.patch_errors(op.interpolated(cells, held, 2)).where("method <> 'harmonic'")
+    return out.withColumns({c: F.round(c, 6) for c in ("rmse", "bias", "p90")})
