@@ -68,7 +68,9 @@ def schedule(spark: SparkSession, quotas: Sequence[int]) -> DataFrame:
     starts = [sum(quotas[:i]) for i in range(len(quotas))] if len(quotas) < 1000 else _cumulative(quotas)
     own = [(i, a, a + q) for i, (a, q) in enumerate(zip(starts, quotas, strict=True)) if q]
     spans = spark.createDataFrame(own, "sid int, lo long, hi long")
-    spans = spans.select("*", F.explode(F.sequence(F.shiftright("lo", cell), F.shiftright(F.col("hi") - 1, cell))).alias("cell"))
+    for level in (2 * cell, cell):  # in two steps, so no array is as long as a source has cells
+        spans = spans.select("sid", F.explode(F.sequence(F.shiftright("lo", level), F.shiftright(F.col("hi") - 1, level))).alias("cell"), "lo", "hi")
+        spans = spans.select("sid", "cell", F.greatest("lo", F.shiftleft("cell", level)).alias("lo"), F.least("hi", F.shiftleft(F.col("cell") + 1, level)).alias("hi"))
     reverse = F.conv(F.reverse(F.lpad(F.bin("id"), max(1, bits), "0")), 2, 10).cast("long")
     points = spark.range(n).select(F.col("id").alias("point"), reverse.alias("slot"), F.shiftright("id", cell).alias("cell"))
     placed = points.join(spans, "cell").where("point >= lo and point < hi").select("sid", "slot")
