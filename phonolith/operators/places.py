@@ -67,10 +67,10 @@ def search(queries: DataFrame, places: DataFrame, k: int = 8) -> DataFrame:
     is only in places' details counts only if no name has it. Candidates come from the index by each query's rarest word,
     so common words bring no rows; the other words are checked on the candidate.
     """
-    asked = typed_words(queries)
     short = F.create_map(*[x for a, full in ABBREVIATIONS.items() for x in (F.lit(a), F.array(*[F.lit(w) for w in full]))])
     options = lambda w: F.concat(F.array(w), F.coalesce(F.try_element_at(short, w), F.array().cast("array<string>")))
-    last = F.size("typed") - 1
+    asked = typed_words(queries).withColumn("ways", F.transform("typed", options))  # once a query, not once a candidate
+    last, ways = F.size("typed") - 1, lambda i: F.get("ways", i)
     tokens = lambda w, i: F.concat(F.when(i == last, F.array(F.concat(F.substring(w, 1, 3), F.lit("*")))).otherwise(F.array(w)), F.slice(options(w), 2, 9))
     postings = index(places)
     terms = asked.select("query_id", F.posexplode(F.transform("typed", lambda w, i: tokens(w, i))).alias("term", "tokens")).select("query_id", "term", F.explode("tokens").alias("token"))
@@ -78,15 +78,19 @@ def search(queries: DataFrame, places: DataFrame, k: int = 8) -> DataFrame:
     weighed = terms.join(counts, "token", "left").groupBy("query_id", "term").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
     rarest = weighed.groupBy("query_id").agg(F.min_by("term", F.struct("n", "term")).alias("term"))
     met = terms.join(rarest, ["query_id", "term"], "left_semi").join(postings, "token").select("query_id", "id").distinct()
-    rows = met.join(asked, "query_id").join(places, "id").withColumns({"own": _words(F.col("name")), "around": _words(F.col("detail"))})
+    split = places.select("id", "name", "tier", "x", "y", _words(F.col("name")).alias("own"), _words(F.col("detail")).alias("around"))  # once a place, not once a candidate
+    # candidates are small rows with much work on each, so their partitions are not joined by size
+    spark = places.sparkSession
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = met.join(asked, "query_id").repartition(spread, "id").join(split, "id")
     final = F.element_at("typed", -1)
-    heard = lambda among, w, i: F.exists(among, lambda x: F.array_contains(options(w), x) | ((i == last) & x.startswith(w)))
+    heard = lambda among, w, i: F.exists(among, lambda x: F.array_contains(ways(i), x) | ((i == last) & x.startswith(w)))
     rows = rows.where(F.forall(F.transform("typed", lambda w, i: heard(F.concat("own", "around"), w, i)), lambda x: x))
-    starts = F.transform("own", lambda x: F.exists(options(F.element_at("typed", 1)), lambda o: x.startswith(o)))
+    starts = F.transform("own", lambda x: F.exists(ways(F.lit(0)), lambda o: x.startswith(o)))
     whole = (F.slice("own", F.lit(1), last) == F.slice("typed", F.lit(1), last)) & (F.size("own") > last) & F.coalesce(F.get("own", last).startswith(final), F.lit(False))
     fit = F.when(whole, 0).when(F.get(starts, F.lit(0)), 1).when(F.exists(starts, lambda x: x), 2).otherwise(3)
-    found = lambda among, w: F.exists(among, lambda x: F.exists(options(w), lambda o: x.startswith(o)))
-    missed = F.size(F.filter("typed", lambda w: ~found(F.col("own"), w) & ~found(F.col("around"), w)))
+    found = lambda among, i: F.exists(among, lambda x: F.exists(ways(i), lambda o: x.startswith(o)))
+    missed = F.size(F.filter("typed", lambda w, i: ~found(F.col("own"), i) & ~found(F.col("around"), i)))
     cost = F.element_at(F.array(*[F.lit(c) for c in FIT_COSTS]), F.col("fit") + 1) + F.col("tier") + MISS_COST * missed
     far = F.round(F.sqrt((F.col("x") - F.col("near_x")) ** 2 + (F.col("y") - F.col("near_y")) ** 2) / 100) * 100
     rows = rows.withColumn("fit", fit).withColumns({"cost": cost.cast("int"), "far": F.coalesce(far, F.lit(0.0)), "best_fit": F.min("fit").over(W.partitionBy("query_id"))})

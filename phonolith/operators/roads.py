@@ -87,7 +87,8 @@ def one_way_signs(links: DataFrame, evidence: DataFrame, corridor: float = 10.0,
     pairs = near_pairs(spread(probes, 0.05, 0.9), lines, corridor).where("road_no = e_no")
     pairs = pairs.withColumn("least", F.min("dist").over(W.partitionBy("link_id", "i"))).where(F.col("dist") <= F.col("least") + slack)
     ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    cos = (F.col("lx") * ex + F.col("ly") * ey) / (F.sqrt(F.col("lx") * F.col("lx") + F.col("ly") * F.col("ly")) * F.sqrt(ex * ex + ey * ey))
+    both = F.sqrt(F.col("lx") * F.col("lx") + F.col("ly") * F.col("ly")) * F.sqrt(ex * ex + ey * ey)
+    cos = (F.col("lx") * ex + F.col("ly") * ey) / F.nullif(both, F.lit(0.0))  # a link or line without length has no heading
     signs = pairs.withColumn("cos", cos).groupBy("link_id").agg(
         F.countDistinct("i").alias("probes"), F.count_if(F.abs("cos") < F.cos(F.radians(F.lit(turn)))).alias("turned"),
         F.min(F.signum("cos") * F.col("e_sign")).alias("low"), F.max(F.signum("cos") * F.col("e_sign")).alias("high"),
@@ -95,7 +96,7 @@ def one_way_signs(links: DataFrame, evidence: DataFrame, corridor: float = 10.0,
     out = links.select("link_id").join(covered, "link_id", "left").join(signs, "link_id", "left")
     reason = (
         F.when(F.col("covered").isNull(), "no_line").when(F.col("covered") < cover, "not_covered").when(F.coalesce("probes", F.lit(0)) < probes, "probe_without_line")
-        .when(F.col("turned") > 0, "headings_differ").when(F.col("low") != F.col("high"), "signs_differ").otherwise("supported")
+        .when((F.col("turned") > 0) | F.col("low").isNull(), "headings_differ").when(F.col("low") != F.col("high"), "signs_differ").otherwise("supported")
     )
     return out.select("link_id", F.coalesce("covered", F.lit(0.0)).alias("covered"), reason.alias("status"), F.when(reason == "supported", F.col("low").cast("int")).alias("sign"))
 

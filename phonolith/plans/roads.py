@@ -88,9 +88,9 @@ p as (select link_id, road_no, 'cover' kind, i, x1 + (x2 - x1) * (i / 40.0::doub
 q as (select *, case when (ex2-ex1)*(ex2-ex1)+(ey2-ey1)*(ey2-ey1) > 0 then least(1.0, greatest(0.0, ((x-ex1)*(ex2-ex1)+(y-ey1)*(ey2-ey1))/((ex2-ex1)*(ex2-ex1)+(ey2-ey1)*(ey2-ey1)))) else 0.0 end t from p join e on road_no = e_no),
 g as (select *, min(dist) over (partition by link_id, kind, i) least_d from (select *, sqrt(pow(x-(ex1+t*(ex2-ex1)),2)+pow(y-(ey1+t*(ey2-ey1)),2)) dist from q) z where dist <= 10),
 c as (select link_id, count(distinct i) / 41.0::double covered from g where kind = 'cover' group by 1),
-v as (select *, (lx*(ex2-ex1)+ly*(ey2-ey1)) / (sqrt(lx*lx+ly*ly) * sqrt((ex2-ex1)*(ex2-ex1)+(ey2-ey1)*(ey2-ey1))) co from g where kind = 'probe' and dist <= least_d + 2),
+v as (select *, (lx*(ex2-ex1)+ly*(ey2-ey1)) / nullif(sqrt(lx*lx+ly*ly) * sqrt((ex2-ex1)*(ex2-ex1)+(ey2-ey1)*(ey2-ey1)), 0) co from g where kind = 'probe' and dist <= least_d + 2),
 s as (select link_id, count(distinct i) probes, count(*) filter (abs(co) < cos(radians(25.0))) turned, min(sign(co) * e_sign) low, max(sign(co) * e_sign) high from v group by 1),
-r as (select l.link_id, covered, low, case when covered is null then 'no_line' when covered < 0.95 then 'not_covered' when coalesce(probes, 0) < 7 then 'probe_without_line' when turned > 0 then 'headings_differ' when low <> high then 'signs_differ' else 'supported' end status from l left join c using (link_id) left join s using (link_id))
+r as (select l.link_id, covered, low, case when covered is null then 'no_line' when covered < 0.95 then 'not_covered' when coalesce(probes, 0) < 7 then 'probe_without_line' when turned > 0 or low is null then 'headings_differ' when low <> high then 'signs_differ' else 'supported' end status from l left join c using (link_id) left join s using (link_id))
 select link_id, round(coalesce(covered, 0), 6) covered, status, case when status = 'supported' then low::int end sign from r""")
 def _(spark, d):
     links = fx.derived(spark, d, fx.LINKS)
