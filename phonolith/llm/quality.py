@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -160,12 +160,6 @@ def fit(spark: SparkSession, scratch: Scratch, docs: DataFrame, labels: DataFram
     return Model(mean, sd, _solve(by_half[0] + by_half[1]), knots, values)
 
 
-def score_of(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str) -> Column:
-    """The score of each row of docs, as a column."""
-    model = fit(spark, Scratch(spark), docs, labels, label)
-    return model.scorer()(F.col("text").cast("string")) if isinstance(model, Model) else F.lit(model)
-
-
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """doc_id, held_out, score, predicted: one row per row of docs.
 
@@ -174,15 +168,18 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
     its larger label. Without labels of both kinds every score is the share of label 1, or 0.5 without any. An empty
     table gives an empty result. Other columns are ignored.
     """
-    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_of(spark, docs, labels, label).alias("score"))
+    model = fit(spark, Scratch(spark), docs, labels, label)
+    score = model.scorer()(F.col("text").cast("string")) if isinstance(model, Model) else F.lit(model)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score.alias("score"))
     return scored.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows whose predicted quality is 0; all columns of docs stay.
 
-    Without labels nothing is rejected; if all labels are 0, everything is.
+    Without labels to learn from nothing is rejected; if all of them are 0, everything is.
     """
-    if labels.where("quality in (0, 1)").isEmpty():
-        return docs
-    return docs.where(score_of(spark, docs, labels, "quality") >= THRESHOLD)
+    model = fit(spark, Scratch(spark), docs, labels, "quality")
+    if not isinstance(model, Model):
+        return docs.limit(0) if model == 0.0 else docs
+    return docs.where(model.scorer()(F.col("text").cast("string")) >= THRESHOLD)

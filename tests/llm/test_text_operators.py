@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -207,6 +208,9 @@ def test_quality_edges(spark, edge_docs, empty_docs):
         assert f(spark, edge_docs, labels).count() == edge_docs.count() and f(spark, empty_docs, labels).count() == 0
         assert {r.score for r in f(spark, edge_docs, labels.limit(0)).collect()} == {0.5}
     assert quality.keep_good(spark, edge_docs, labels.limit(0)).count() == edge_docs.count()
+    held_out = next(i for i in range(1, 99) if zlib.crc32(str(i).encode()) % quality.FOLDS == quality.HELD_OUT)
+    only_held = spark.createDataFrame([(held_out, 1)], "doc_id long, quality int")  # nothing may be learned from it
+    assert quality.keep_good(spark, edge_docs, only_held).count() == edge_docs.count()
 
 
 def test_isotonic_never_falls():
