@@ -105,6 +105,11 @@ def band_word(level: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in WORDS]), band(level) + 1)
 
 
+def band_label(level: Column, below: Column, land: Column, withheld: Column) -> Column:
+    """What a place is said to have: outside and withheld come before any value, and what lies below the cutoff is not silence."""
+    return F.when(~land, "outside").when(withheld, "withheld").when(level.isNotNull(), band_word(level)).when(below, "below reporting, not silence").otherwise("no data")
+
+
 def who_limit(source: Column, metric: Column) -> Column:
     out = None
     for (s, m), limit in WHO_LIMITS.items():

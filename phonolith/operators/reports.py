@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,12 +80,12 @@ def speeds(roads: DataFrame, table: DataFrame) -> DataFrame:
     return out.select("link_id", "vehicle", speed.alias("speed_kmh"), basis.alias("basis"))
 
 
-def transmission(hours: DataFrame, distances: list[float]) -> DataFrame:
-    """Traffic-weighted share of energy left after absorption, by distance and period. hours: period, weight, alpha (dB/km)."""
+def transmission(hours: DataFrame, distances: list[float], by: Sequence[str] = ("period",)) -> DataFrame:
+    """Traffic-weighted share of energy left after absorption, by distance and period, or also vehicle group and band. hours: those, weight, alpha (dB/km)."""
     grid = F.explode(F.array(*[F.lit(x) for x in distances]))
     own = hours.withColumn("distance", grid)
     left = ac.db_to_energy(-F.col("alpha") * F.col("distance") / 1000.0)
-    return own.groupBy("distance", "period").agg((F.sum(F.col("weight") * left) / F.sum("weight")).alias("left"))
+    return own.groupBy("distance", *by).agg((F.sum(F.col("weight") * left) / F.sum("weight")).alias("left"))
 
 
 def outside_dropped(cells: DataFrame, inside: Column) -> DataFrame:

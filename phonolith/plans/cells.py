@@ -92,6 +92,14 @@ def _(cells: DataFrame) -> DataFrame:
     return op.read(cells).groupBy("source", word.alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("prj26_band_labels", CELLS, "with " + READ + """
+select source, case when row_i % 9 = 4 then 'outside' when col_i % 13 = 0 then 'withheld' when raw > 0 then ['Very quiet', 'Quiet', 'Fairly quiet', 'Moderate', 'Noticeable', 'Loud', 'Very loud', 'Extremely loud'][band + 1]
+  when status = 'verified_below_cutoff' then 'below reporting, not silence' else 'no data' end "label", count(*) n from c group by 1, 2""")
+def _(cells: DataFrame) -> DataFrame:
+    label = ac.band_label(F.col("level"), F.col("status") == "verified_below_cutoff", F.col("row_i") % 9 != 4, F.col("col_i") % 13 == 0)
+    return op.read(cells).groupBy("source", label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("prj8_owner_tiles", CELLS, """
 select 'E' || (5005 + 10000 * i) || 'N' || (5005 + 10000 * j) tile, count(*) cells from (
   select floor((530005.0 + col_i * 100.0 - 5005) / 10000)::bigint i, (ceil((179995.0 - row_i * 100.0 - 5005) / 10000) - 1)::bigint j from {t} x) group by 1""")

@@ -100,6 +100,17 @@ def _(spark, d):
     return op.transmission(hours, [50.0, 200.0, 1000.0]).withColumn("left", F.round("left", 6))
 
 
+@query("ag23_band_transmission", sql="""
+with h as (select case when hour(ts) between 7 and 18 then 'day' when hour(ts) between 19 and 22 then 'evening' else 'night' end period, event_type vehicle_group, (1 + event_id % 5)::double weight, band, "value" / 10 * band / 1000 alpha from events, (values (250), (1000), (4000)) b(band))
+select distance, period, vehicle_group, band, round(sum(weight * pow(10, -alpha * distance / 10000)) / sum(weight), 6) "left" from h, (values (50.0::double), (200.0), (1000.0)) g(distance) group by 1, 2, 3, 4""")
+def _(spark, d):
+    from phonolith.operators.temporal import period_of
+
+    e = spark.read.parquet(f"{d}/events.parquet").withColumn("band", F.explode(F.array(F.lit(250), F.lit(1000), F.lit(4000))))
+    hours = e.select(period_of(F.hour("ts")).alias("period"), F.col("event_type").alias("vehicle_group"), "band", (1 + F.col("event_id") % 5).cast("double").alias("weight"), (F.col("value") / 10 * F.col("band") / 1000).alias("alpha"))
+    return op.transmission(hours, [50.0, 200.0, 1000.0], ("period", "vehicle_group", "band")).withColumn("left", F.round("left", 6))
+
+
 @query("rs10_outside_dropped", CELLS, """
 select source, count(*) cells, count(*) filter (raw = -96) nodata from {t} x where not (raw = -96 and not (row_i + col_i between 20 and 180)) group by 1""")
 def _(cells):
