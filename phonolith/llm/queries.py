@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from phonolith.llm.common import table
+from phonolith.llm.conversations import repair_damaged
 from phonolith.llm.decontaminate import contaminated
 from phonolith.llm.exact_dedup import exact_dedup
 from phonolith.llm.language import identify
 from phonolith.llm.licenses import license_scan
 from phonolith.llm.mixing import mix
 from phonolith.llm.near_dedup import near_dedup
+from phonolith.llm.periodic_runs import find_runs, run_digests, with_loops
 from phonolith.llm.pii import digest_columns, personal_data
 from phonolith.llm.quality import quality
 from phonolith.llm.toxicity import toxicity
@@ -32,6 +34,8 @@ QUERIES = {
     "op8_quality": lambda spark, d: quality(spark, table(spark, d, "documents"), table(spark, d, "labels")),
     "op9_toxicity": lambda spark, d: toxicity(spark, table(spark, d, "documents"), table(spark, d, "labels")),
     "op10_license_scan": lambda spark, d: license_scan(table(spark, d, "documents")),
+    "op11_conversation_repair": lambda spark, d: repair_damaged(spark, table(spark, d, "conversations")),
+    "op12_periodic_runs": lambda spark, d: run_digests(find_runs(with_loops(table(spark, d, "documents")))),
 }
 
 SQL = {
