@@ -24,6 +24,16 @@ select s_suppkey link_id, s_nationkey road_no,
 from {supplier}
 """
 
+#: Lines of 2 to 7 points that bend; those of every tenth link end in a part of their own, some points repeat.
+VERTICES = """
+select s_suppkey link_id, s_nationkey road_no, cast(case when mod(s_suppkey,10)=0 and k>=3 then 1 else 0 end as int) part, k seq,
+  case when mod(s_suppkey,5)=0 then 'motorway' when mod(s_suppkey,5)=1 then 'a_road' else 'minor' end road_class,
+  cast(530000+mod(s_suppkey*7919,20000)+k*(mod(s_suppkey*37,200)-100)+mod(s_suppkey*(k+3)*31,120) as double) x,
+  cast(170000+mod(s_suppkey*104729,20000)+k*(mod(s_suppkey*53,200)-100)+case when mod(s_suppkey,7)=0 then 0 else mod(s_suppkey*(k+5)*17,90) end as double) y,
+  cast(500+mod(s_suppkey*7873,40000) as double) flow, cast(mod(s_suppkey*131,400) as double) hgv_flow
+from {supplier} cross join (values (0),(1),(2),(3),(4),(5),(6)) v(k) where k < 2+mod(s_suppkey,6)
+"""
+
 RECEPTORS = """
 select c_custkey receptor_id, c_nationkey region_id,
   cast(530000+mod(c_custkey*15485863,20000) as double) x, cast(170000+mod(c_custkey*32452843,20000) as double) y,
