@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +23,34 @@ def summary(intervals: DataFrame, quiet_db: float = 40.0) -> DataFrame:
     return out.select(RX, "observed_s", "gaps", "max_db", "quiet_s", (F.col("observed_s") / (F.col("to_s") - F.col("from_s"))).alias("coverage"), laeq.alias("laeq_db"), F.when(F.col("gaps") == 0, laeq).alias("laeq_full_db"))
 
 
+def window_summary(intervals: DataFrame, windows: DataFrame, quiet_db: float = 40.0) -> DataFrame:
+    """Each receiver's intervals against the window it was to be observed in; one row a window, also for one without intervals.
+
+    windows: receiver_id, window_start_s, window_end_s, one a receiver. Levels are interval energy means. `status` names the
+    first fault: no_window, empty_window, invalid_interval (missing or endless values, an end not after its start),
+    outside_window, overlap; summaries of a faulty receiver are null, as nothing may be repaired. laeq_full_db needs every
+    second of the window covered, its ends included.
+    """
+    order = W.partitionBy(RX).orderBy("start_s", "end_s")
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf"))
+    own = intervals.select(RX, "start_s", "end_s", "level_db", F.lag("end_s").over(order).alias("before"), F.lit(True).alias("heard")).join(windows.withColumn("known", F.lit(True)), RX, "full")
+    heard = F.coalesce("heard", F.lit(False))
+    valid = finite("start_s") & finite("end_s") & finite("level_db") & (F.col("end_s") > F.col("start_s"))
+    reach, s = F.col("window_end_s") - F.col("window_start_s"), F.col("end_s") - F.col("start_s")
+    kinds = F.when(F.col("known").isNull(), 1).when(~(finite("window_start_s") & finite("window_end_s")) | (reach <= 0), 2).when(heard & ~valid, 3)
+    kinds = kinds.when(heard & ((F.col("start_s") < F.col("window_start_s")) | (F.col("end_s") > F.col("window_end_s"))), 4).when(heard & (F.col("before") > F.col("start_s")), 5).otherwise(6)
+    out = own.withColumns({"kind": kinds, "s": F.when(heard, s)}).groupBy(RX).agg(
+        F.min("kind").alias("kind"), F.coalesce(F.sum("s"), F.lit(0)).alias("observed_s"), F.max(reach).alias("window_s"), F.max("level_db").alias("max_db"),
+        F.sum(F.col("s") * ac.db_to_energy(F.col("level_db"))).alias("energy"), F.coalesce(F.sum(F.when(F.col("level_db") < quiet_db, F.col("s"))), F.lit(0)).alias("quiet_s"),
+    )
+    names = F.element_at(F.array(*(F.lit(x) for x in ("no_window", "empty_window", "invalid_interval", "outside_window", "overlap", "summarised"))), F.col("kind"))
+    ok = F.col("kind") == 6
+    laeq = F.when(ok & (F.col("observed_s") > 0), ac.energy_to_db(F.col("energy") / F.col("observed_s")))
+    full = F.col("observed_s") == F.col("window_s")  # without overlaps, within the window: nothing is missing
+    said = {"observed_s": F.col("observed_s"), "missing_s": F.col("window_s") - F.col("observed_s"), "coverage": F.col("observed_s") / F.col("window_s"), "complete": full, "max_db": F.col("max_db"), "quiet_s": F.col("quiet_s")}
+    return out.select(RX, names.alias("status"), *(F.when(ok, c).alias(n) for n, c in said.items()), laeq.alias("laeq_db"), F.when(full, laeq).alias("laeq_full_db"))
+
+
 def exceedance(intervals: DataFrame, shares: dict[str, float]) -> DataFrame:
     """Duration-weighted levels by the inverse distribution: the first level, from low to high, whose time reaches a share."""
     level = intervals.groupBy(RX, "level_db").agg(F.sum(F.col("end_s") - F.col("start_s")).alias("s"))
@@ -115,6 +143,40 @@ def calendar_weights(spark, profile: DataFrame, year: int) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("weekday", "hr", "times", (F.coalesce("share", F.lit(0.0)) / F.col("total")).alias("weight"))
 
 
+def civil_hours(spark: SparkSession, year: int, zone: str = "Europe/London") -> DataFrame:
+    """Every elapsed hour of a year: slot (hours since its start in UTC), utc, local, weekday (1: Sunday), hr, repeated, period.
+
+    The clock is the zone's: in autumn an hour comes twice (the second time it is `repeated`), in spring one is missing.
+    Times are without zone, so the session's own plays no part.
+    """
+    begin = f"timestamp_ntz'{year}-01-01 00:00:00'"
+    hours = spark.sql(f"select explode(sequence({begin}, timestamp_ntz'{year}-12-31 23:00:00', interval 1 hour)) utc")
+    local = lambda at: f"convert_timezone('UTC', '{zone}', {at})"
+    ahead = lambda at: f"timestampdiff(minute, {at}, {local(at)})"
+    own = hours.select(F.expr(f"timestampdiff(hour, {begin}, utc)").alias("slot"), "utc", F.expr(local("utc")).alias("local"), F.expr(f"{ahead('utc')} < {ahead('(utc - interval 1 hour)')}").alias("repeated"))
+    return own.select("slot", "utc", "local", F.dayofweek("local").cast("long").alias("weekday"), F.hour("local").cast("long").alias("hr"), "repeated").withColumn("period", period_of(F.col("hr")))
+
+
+def hourly_weights(spark: SparkSession, indices: DataFrame, year: int, night: float = 1.0, zone: str = "Europe/London") -> DataFrame:
+    """Each elapsed hour's part of a year's flow, for every vehicle group of indices(vehicle_group, weekday, hr, index).
+
+    An index applies to every hour of its weekday and civil hour, those of the night times `night`; the whole year is
+    normalised, so weights of a group add up to 1. A group needs one finite index for each of 168 hours and a positive sum.
+    """
+    if not 0 < night < float("inf"):
+        raise ValueError("the night's factor must be positive")
+    index = F.col("index").cast("double")
+    good = index.isNotNull() & ~F.isnan(index) & (F.abs(index) < float("inf")) & F.col("weekday").between(1, 7) & F.col("hr").between(0, 23)
+    kinds = indices.groupBy("vehicle_group").agg(F.count_if(good).alias("good"), F.count(F.lit(1)).alias("rows"), F.count_distinct(F.when(good, F.struct("weekday", "hr"))).alias("hours"), F.sum(index).alias("sum"))
+    bad = kinds.where("good <> 168 or rows <> 168 or hours <> 168 or not sum > 0").limit(5).collect()
+    if bad:
+        raise ValueError(f"incomplete profiles: {sorted(str(r.vehicle_group) for r in bad)}")
+    # the year against the profile is a fixed 8,784 rows at most; only the number of groups grows
+    own = F.broadcast(civil_hours(spark, year, zone)).join(indices.select("vehicle_group", "weekday", "hr", index.alias("index")), ["weekday", "hr"])
+    raw = own.withColumn("raw", F.col("index") * F.when(F.col("period") == "night", night).otherwise(1.0))
+    return raw.withColumn("weight", F.col("raw") / F.sum("raw").over(W.partitionBy("vehicle_group"))).drop("raw", "index")
+
+
 def period_of(hour: Column) -> Column:
     """Day 07-19, evening 19-23, night otherwise."""
     return F.when(hour.between(7, 18), "day").when(hour.between(19, 22), "evening").otherwise("night")

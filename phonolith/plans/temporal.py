@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from phonolith.functions import acoustics as ac
 from phonolith.operators import temporal as op
 from phonolith.plans.registry import query
+from phonolith.sources import fixtures as fx
 from phonolith.sources.fixtures import COUNTS, INTERVALS
 
 NEIGHBOURS = "i as (select *, end_s - start_s s, lag(end_s) over o prev, lag(level_db) over o prev_level from {t} x window o as (partition by receiver_id order by start_s, end_s))"
@@ -20,6 +21,31 @@ def _(x):
     return op.summary(x).withColumns({c: F.round(c, n) for c, n in (("coverage", 6), ("laeq_db", 4), ("laeq_full_db", 4))})
 
 
+#: Windows of full hours about what was heard; some begin too late, some end with the last interval, some receivers have none.
+WINDOWS = """
+select receiver_id, cast(floor(min(start_s) / 3600.0) * 3600 as bigint) + case when mod(receiver_id, 5) = 1 then 7200 else 0 end window_start_s,
+  case when mod(receiver_id, 4) = 0 then max(end_s) else cast(ceil(max(end_s) / 3600.0) * 3600 as bigint) + 3600 end window_end_s from ({t}) q where mod(receiver_id, 11) <> 3 group by receiver_id
+"""
+
+
+@query("ag25_observation_windows", sql=f"""
+with w as ({WINDOWS.replace("{t}", fx.plain(INTERVALS))}),
+r as (select distinct receiver_id from ({fx.plain(INTERVALS)}) q),
+i as (select r.receiver_id, x.start_s, x.end_s, x.level_db, x.end_s - x.start_s s, window_start_s a, window_end_s b, lag(x.end_s) over (partition by r.receiver_id order by x.start_s, x.end_s) before
+  from r join ({fx.plain(INTERVALS)}) x on x.receiver_id = r.receiver_id left join w on w.receiver_id = r.receiver_id),
+g as (select receiver_id, case when max(a) is null then 'no_window' when max(b) <= max(a) then 'empty_window' when count(*) filter (start_s < a or end_s > b) > 0 then 'outside_window'
+    when count(*) filter (before > start_s) > 0 then 'overlap' else 'summarised' end status,
+  sum(s)::bigint observed, max(b - a) whole, max(level_db) top, coalesce(sum(s) filter (level_db < 40), 0)::bigint quiet, sum(s * pow(10, level_db / 10)) energy from i group by 1)
+select receiver_id, status, case when status = 'summarised' then observed end observed_s, case when status = 'summarised' then whole - observed end missing_s,
+  case when status = 'summarised' then round(observed / whole, 6) end coverage, case when status = 'summarised' then observed = whole end complete, case when status = 'summarised' then top end max_db,
+  case when status = 'summarised' then quiet end quiet_s, case when status = 'summarised' then round(10 * log10(energy / observed), 4) end laeq_db,
+  case when status = 'summarised' and observed = whole then round(10 * log10(energy / observed), 4) end laeq_full_db from g""")
+def _(spark, d):
+    heard = fx.derived(spark, d, INTERVALS)
+    windows = spark.sql(WINDOWS.replace("({t}) q", "{t}"), t=heard)
+    return op.window_summary(heard, windows).withColumns({c: F.round(c, n) for c, n in (("coverage", 6), ("laeq_db", 4), ("laeq_full_db", 4))})
+
+
 @query("ag26_wn7_exceedance", INTERVALS, """
 with l as (select receiver_id, level_db, sum(end_s - start_s) s from {t} x group by 1, 2),
 r as (select *, sum(s) over (partition by receiver_id order by level_db) upto, sum(s) over (partition by receiver_id) whole from l)
@@ -82,6 +108,38 @@ def _(x):
     return op.calendar_weights(x.sparkSession, profile, 2021).withColumn("weight", F.round("weight", 8))
 
 
+#: Indices by weekday and civil hour from the counts; an hour never counted has an index of 1.
+CURVES = """b as (select dayofweek(count_date) + {one} weekday, hr, sum(flow) flow, sum(hgv) hgv from {t} x group by 1, 2),
+g as (select d.n weekday, h.n hr from {days} d cross join {hours} h),
+c as (select g.weekday, g.hr, 1.0 + coalesce(flow, 0) flow, 1.0 + coalesce(hgv, 0) hgv from g left join b on b.weekday = g.weekday and b.hr = g.hr),
+p as (select 'all' vehicle_group, weekday, hr, cast(flow as double) idx from c union all select 'heavy', weekday, hr, cast(hgv as double) from c)"""
+ONE_YEAR = CURVES.replace("{one}", "1").replace("{days}", "(select range n from range(1, 8))").replace("{hours}", "(select range n from range(0, 24))") + """,
+u as (select range slot, timestamp '2021-01-01' + range * interval 1 hour utc from range(0, 8760)),
+l as (select *, utc + case when utc >= timestamp '2021-03-28 01:00' and utc < timestamp '2021-10-31 01:00' then interval 1 hour else interval 0 hour end local, utc = timestamp '2021-10-31 01:00' repeated from u),
+y as (select slot, dayofweek(local) + 1 weekday, hour(local) hr, repeated, case when hour(local) between 7 and 18 then 'day' when hour(local) between 19 and 22 then 'evening' else 'night' end period from l),
+w as (select y.*, vehicle_group, idx * case when period = 'night' then 1.5::double else 1.0::double end raw from y join p on p.weekday = y.weekday and p.hr = y.hr),
+z as (select *, raw / sum(raw) over (partition by vehicle_group) weight from w)"""
+
+
+def yearly(counts):
+    spark = counts.sparkSession
+    curves = CURVES.replace("{one}", "0").replace("{days}", "(select explode(sequence(1, 7)) n)").replace("{hours}", "(select explode(sequence(0, 23)) n)").replace("{t} x", "{t}")
+    indices = spark.sql("with " + curves + " select vehicle_group, weekday, hr, idx as index from p", t=counts)
+    return op.hourly_weights(spark, indices, 2021, 1.5)
+
+
+@query("jn18_civil_year", COUNTS, "with " + ONE_YEAR + """
+select slot, weekday, hr, repeated, period, vehicle_group, round(weight, 10) weight from z""")
+def _(x):
+    return yearly(x).select("slot", "weekday", "hr", "repeated", "period", "vehicle_group", F.round("weight", 10).alias("weight"))
+
+
+@query("jn18_period_fractions", COUNTS, "with " + ONE_YEAR + """
+select vehicle_group, period, count(*) "hours", round(sum(weight), 8) fraction from z group by 1, 2""")
+def _(x):
+    return yearly(x).groupBy("vehicle_group", "period").agg(F.count(F.lit(1)).alias("hours"), F.round(F.sum("weight"), 8).alias("fraction"))
+
+
 @query("ag21_period_flows", COUNTS, """
 with p as (select count_point_id, coalesce(sum(flow) filter (hr between 7 and 18), 0)::bigint "day", coalesce(sum(flow) filter (hr between 19 and 22), 0)::bigint evening, coalesce(sum(flow) filter (hr < 7 or hr = 23), 0)::bigint night from {t} x group by 1)
 select *, round(("day" + sqrt(10) * evening + 10 * night) / 24, 4) den_flow from p""")
