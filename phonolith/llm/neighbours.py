@@ -125,11 +125,12 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def inner_products(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Sums of products in double precision, component after component."""
+    """Sums of products in double precision, component after component; what overflows to no number counts as minus infinity."""
     out = np.zeros(len(one))
-    for i in range(one.shape[1]):
-        out += one[:, i] * two[:, i]
-    return out
+    with np.errstate(all="ignore"):
+        for i in range(one.shape[1]):
+            out += one[:, i] * two[:, i]
+    return np.where(np.isnan(out), -np.inf, out)
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -187,12 +188,13 @@ class _Best:
         self.n, self.of = n, {}
 
     def add(self, queries: np.ndarray, query_keys: list[bytes], matrix: np.ndarray, keys: bytes, ids: list[list], leaf: int) -> None:
-        scores = queries @ matrix.T
-        top = np.argpartition(-scores, self.n - 1, 1)[:, : self.n] if matrix.shape[0] > self.n else np.broadcast_to(np.arange(len(matrix)), scores.shape)
-        value = np.take_along_axis(scores, top, 1)
+        with np.errstate(all="ignore"):
+            scores = np.nan_to_num(queries @ matrix.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
+            slack = 1e-12 * np.sqrt((queries**2).sum(1) * (matrix**2).sum(1).max())  # order of addition differs
         floor = np.array([self.of[q][-1][0] if len(self.of.get(q, ())) == self.n else -math.inf for q in query_keys])
-        row, place = np.nonzero(~(value < floor[:, None] - 1e-9 * np.abs(floor[:, None])) if np.isfinite(floor).any() else np.ones_like(value, bool))
-        entry = top[row, place]
+        if len(matrix) > self.n:
+            floor = np.maximum(floor, np.partition(scores, -self.n, 1)[:, -self.n])
+        row, entry = np.nonzero(~(scores < (floor - slack)[:, None]))  # with all that tie
         exact = inner_products(queries[row], matrix[entry])
         new: dict[int, list] = {}
         for r, e, x in zip(row.tolist(), entry.tolist(), exact.tolist(), strict=True):

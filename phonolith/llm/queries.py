@@ -12,6 +12,7 @@ from phonolith.llm.language import identify
 from phonolith.llm.licenses import license_scan
 from phonolith.llm.mixing import mix
 from phonolith.llm.near_dedup import near_dedup
+from phonolith.llm.neighbours import nearest
 from phonolith.llm.periodic_runs import find_runs, run_digests, with_loops
 from phonolith.llm.pii import digest_columns, personal_data
 from phonolith.llm.quality import quality
@@ -36,6 +37,7 @@ QUERIES = {
     "op10_license_scan": lambda spark, d: license_scan(table(spark, d, "documents")),
     "op11_conversation_repair": lambda spark, d: repair_damaged(spark, table(spark, d, "conversations")),
     "op12_periodic_runs": lambda spark, d: run_digests(find_runs(with_loops(table(spark, d, "documents")))),
+    "op13_nearest_neighbours": lambda spark, d: nearest(spark, table(spark, d, "embeddings"), "vec_id % 20 = 0"),
 }
 
 SQL = {
