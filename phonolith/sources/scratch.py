@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,33 @@ def streamed(df: DataFrame, work, mode: str) -> DataFrame:
     stream = out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     stream.awaitTermination()
     return spark.read.option("basePath", f"{root}/out").schema(out.schema.add("batch", "long")).parquet(f"{root}/out")
+
+
+def streamed_in_turn(frames: Sequence[DataFrame], work, mode: str, rocks: bool = False) -> tuple[DataFrame, list[dict]]:
+    """What `work` gives for a stream whose batches are the frames, in this order, and each batch's figures.
+
+    Every frame arrives as files and is taken in by a run of the stream that goes on from the last one's checkpoint. Results
+    have the number of the run as `batch`. Figures: `dropped` late groups of rows and `state` rows held, from the operators
+    of state, over the micro-batches of the run. rocks: state in RocksDB, for this stream only.
+    """
+    spark, root = frames[0].sparkSession, folder(frames[0].sparkSession)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    figures = []
+    try:
+        if rocks:
+            spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+        for i, frame in enumerate(frames):
+            frame.write.parquet(f"{root}/in/run-{i}")
+            out = work(spark.readStream.schema(frame.schema).option("recursiveFileLookup", "true").parquet(f"{root}/in"))
+
+            def keep(rows: DataFrame, micro: int, i: int = i) -> None:
+                rows.write.mode("overwrite").parquet(f"{root}/out/batch={i}/micro={micro}")
+
+            stream = out.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+            stream.awaitTermination()
+            held = [op for p in stream.recentProgress for op in p["stateOperators"]]
+            figures.append({"batch": i, "dropped": sum(op["numRowsDroppedByWatermark"] for op in held), "state": held[-1]["numRowsTotal"] if held else 0})
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.option("basePath", f"{root}/out").schema(out.schema.add("batch", "long").add("micro", "long")).parquet(f"{root}/out"), figures

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from phonolith.functions import acoustics as ac
@@ -48,3 +49,58 @@ def quiet_runs(intervals: DataFrame, quiet_db: float = 40.0) -> DataFrame:
         yield pd.DataFrame({"receiver_id": [key[0]], "longest_quiet_s": [int(longest)], "upto_s": [int(last)]})
 
     return intervals.groupBy("receiver_id").applyInPandasWithState(update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+class QuietTime(StatefulProcessor):
+    """State of a receiver: the quiet run it is in, the end of what was heard, the longest run. It ends `idle_s` after that end.
+
+    A timer for the end is set anew with every batch, so state is held for receivers that are still heard and no others.
+    """
+
+    def __init__(self, quiet_db: float, idle_s: int):
+        self.quiet_db, self.idle_ms = quiet_db, idle_s * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.heard = handle.getValueState("heard", "run_s long, last_end long, longest long")
+
+    def _said(self, key: tuple, kind: str, start: int | None, end: int, longest: int) -> pd.DataFrame:
+        return pd.DataFrame({"receiver_id": [key[0]], "kind": [kind], "start_s": pd.array([start], "Int64"), "end_s": [end], "longest_quiet_s": [longest]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        run, last, longest = self.heard.get() if self.heard.exists() else (0, None, 0)
+        own = pd.concat(list(rows)).sort_values(["start_s", "end_s"])
+        late = []
+        for start, end, level in zip(own.start_s, own.end_s, own.level_db, strict=True):
+            if last is not None and start < last:
+                late.append((int(start), int(end)))
+                continue
+            run = (run if start == last else 0) + (end - start) if level < self.quiet_db else 0
+            last, longest = int(end), max(longest, int(run))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last * 1000 + self.idle_ms)
+        self.heard.update((int(run), last, longest))
+        for start, end in late:
+            yield self._said(key, "late", start, end, longest)
+        yield self._said(key, "heard", None, last, longest)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        _, last, longest = self.heard.get()
+        self.heard.clear()
+        yield self._said(key, "ended", None, last, longest)
+
+    def close(self) -> None:
+        pass
+
+
+def quiet_time(intervals: DataFrame, quiet_db: float = 40.0, late: str = "1 hour", idle_s: int = 86400) -> DataFrame:
+    """receiver_id, kind, start_s, end_s, longest_quiet_s of an interval stream, one row a receiver and batch and more.
+
+    heard: the longest run below quiet_db so far, up to end_s; late: an interval that begins before the end of what was
+    heard, which changes nothing; ended: nothing was heard for idle_s, the receiver's state is gone, and what it sends next
+    begins anew. Intervals that begin before the watermark are dropped and counted by Spark. Needs the RocksDB state store.
+    """
+    own = intervals.select("receiver_id", "start_s", "end_s", "level_db", F.timestamp_seconds("start_s").alias("at")).withWatermark("at", late)
+    schema = "receiver_id long, kind string, start_s long, end_s long, longest_quiet_s long"
+    return own.groupBy("receiver_id").transformWithStateInPandas(QuietTime(quiet_db, idle_s), schema, "Update", "EventTime")
