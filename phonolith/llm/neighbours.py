@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -182,16 +183,17 @@ def _dealt(entries: DataFrame, tree, width: int, longest: float) -> DataFrame:
 
 
 class _Best:
-    """The best entries of each query so far: score, least id, key, ids, leaf."""
+    """The best entries of the queries of some blocks so far: score, least id, key, ids, leaf."""
 
     def __init__(self, n: int):
-        self.n, self.of = n, {}
+        self.n, self.of, self.held = n, {}, 0
 
-    def add(self, queries: np.ndarray, query_keys: list[bytes], matrix: np.ndarray, keys: bytes, ids: list[list], leaf: int) -> None:
+    def add(self, block: int, queries: np.ndarray, query_keys: list[bytes], matrix: np.ndarray, keys: bytes, ids: list[list], leaf: int) -> None:
         with np.errstate(all="ignore"):
             scores = np.nan_to_num(queries @ matrix.T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
             slack = 1e-12 * np.sqrt((queries**2).sum(1) * (matrix**2).sum(1).max())  # order of addition differs
-        floor = np.array([self.of[q][-1][0] if len(self.of.get(q, ())) == self.n else -math.inf for q in query_keys])
+        own = self.of.setdefault(block, {})
+        floor = np.array([own[q][-1][0] if len(own.get(q, ())) == self.n else -math.inf for q in query_keys])
         if len(matrix) > self.n:
             floor = np.maximum(floor, np.partition(scores, -self.n, 1)[:, -self.n])
         row, entry = np.nonzero(~(scores < (floor - slack)[:, None]))  # with all that tie
@@ -200,38 +202,68 @@ class _Best:
         for r, e, x in zip(row.tolist(), entry.tolist(), exact.tolist(), strict=True):
             new.setdefault(r, []).append((x, ids[e][0], keys[KEY * e : KEY * e + KEY], ids[e], leaf))
         for r, found in new.items():
-            found += self.of.get(query_keys[r], [])
-            found.sort(key=lambda h: (-h[0], h[1] is None, h[1] or 0))
-            self.of[query_keys[r]] = found[: self.n]
+            self.put(block, query_keys[r], found)
 
-    def rows(self) -> pa.RecordBatch:
-        flat = [(q, *h) for q, found in self.of.items() for h in found]
-        columns = list(zip(*flat, strict=True)) or [[]] * 6
-        kinds = {"query": pa.binary(), "score": pa.float64(), "least": pa.int64(), "key": pa.binary(), "ids": pa.list_(pa.int64()), "leaf": pa.int64()}
-        self.of = {}
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+    def put(self, block: int, query: bytes, found: list) -> None:
+        own = self.of.setdefault(block, {})
+        self.held += query not in own
+        own[query] = sorted(found + own.get(query, []), key=lambda h: (-h[0], h[1] is None, h[1] or 0))[: self.n]
 
+    def packed(self) -> pa.RecordBatch:
+        """One row a block, and nothing is held any more."""
+        rows = [(block, *zip(*((q, *h) for q, found in own.items() for h in found), strict=True)) for block, own in self.of.items() if own]
+        columns = list(zip(*rows, strict=True)) or [[]] * 7
+        self.of, self.held = {}, 0
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, PACKED.values(), strict=True)], list(PACKED))
 
-BEST = "query binary, score double, least long, key binary, ids array<long>, leaf long"
 
+PACKED = {"block": pa.int64(), "query": pa.list_(pa.binary()), "score": pa.list_(pa.float64()), "least": pa.list_(pa.int64()), "key": pa.list_(pa.binary()), "ids": pa.list_(pa.list_(pa.int64())), "leaf": pa.list_(pa.int64())}
+PARTIAL = "block long, query array<binary>, score array<double>, least array<long>, key array<binary>, ids array<array<long>>, leaf array<long>"
+FOUND = "query binary, keys array<binary>, leaves array<long>, hits array<struct<score:double,own:boolean,vec_id:long>>"
 
-def _best_entries(found: DataFrame, n: int) -> DataFrame:
-    nth = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), F.col("least").asc_nulls_last()))
-    return found.withColumn("nth", nth).where(F.col("nth") <= n)
+
+def _merged(partial: DataFrame, n: int) -> DataFrame:
+    """Each query's n best entries and, of the rows these stand for, the n best. A task holds one block's at a time."""
+
+    def out(block: dict) -> pa.RecordBatch:
+        rows = []
+        for query, found in block.items():
+            each = sorted(((h[0], h[2] == query, i) for h in found for i in h[3]), key=lambda x: (-x[0], x[2] is None, x[2] or 0))[:n]
+            rows.append((query, [h[2] for h in found], [h[4] for h in found], [{"score": s, "own": own, "vec_id": i} for s, own, i in each]))
+        hits = pa.list_(pa.struct([("score", pa.float64()), ("own", pa.bool_()), ("vec_id", pa.int64())]))
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), hits), strict=True)], ["query", "keys", "leaves", "hits"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, now = _Best(n), None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, *lists = (c[i].as_py() for c in batch.columns)
+                if block != now and best.of:
+                    yield out(best.of.pop(now, {}))
+                now, own = block, {}
+                for query, *hit in zip(*lists, strict=True):
+                    own.setdefault(query, []).append(tuple(hit))
+                for query, found in own.items():
+                    best.put(block, query, found)
+        if best.of:
+            yield out(best.of[now])
+
+    return partial.repartition("block").sortWithinPartitions("block").mapInArrow(work, FOUND)
 
 
 def _exact(leaves: DataFrame, width: int, keys: list[bytes], queries: np.ndarray, n: int) -> DataFrame:
-    """The n best entries of a bounded set of queries, over all leaves."""
+    """The best entries of a bounded set of queries, one block, over all leaves."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(n)
         for batch in batches:
             for i in range(batch.num_rows):
                 leaf, own, matrix, ids = (batch.column(c)[i].as_py() for c in range(4))
-                best.add(queries, keys, np.frombuffer(matrix).reshape(-1, width), own, ids, leaf)
-        yield best.rows()
+                best.add(0, queries, keys, np.frombuffer(matrix).reshape(-1, width), own, ids, leaf)
+        yield best.packed()
 
-    return _best_entries(leaves.mapInArrow(work, BEST), n)
+    return _merged(leaves.mapInArrow(work, PARTIAL), n)
 
 
 def calibrated(tree: Tree, leaves: DataFrame, width: int, sample: list, k: int, recall: float) -> tuple[int, float]:
@@ -242,9 +274,10 @@ def calibrated(tree: Tree, leaves: DataFrame, width: int, sample: list, k: int,
     keys, queries = [bytes(r.key) for r in sample], _filled([r.vector for r in sample], width)
     order = {q: {leaf: i for i, leaf in enumerate(visits)} for q, visits in zip(keys, tree.visits(_directions(queries), n_leaves), strict=True)}
     places: dict[bytes, list[int]] = {}
-    for r in _exact(leaves, width, keys, queries, k + 1).select("query", "key", "leaf").collect():
-        if r.query != r.key:
-            places.setdefault(bytes(r.query), []).append(order[bytes(r.query)][r.leaf])
+    for r in _exact(leaves, width, keys, queries, k + 1).select("query", "keys", "leaves").collect():
+        others = [order[bytes(r.query)][leaf] for key, leaf in zip(r["keys"], r.leaves, strict=True) if key != r.query]
+        if others:
+            places[bytes(r.query)] = others
     for most in range(1, n_leaves + 1):
         got = np.array([np.mean(np.array(p) < most) for p in places.values()] or [1.0])
         if got.mean() - 2 * got.std() / math.sqrt(len(got)) >= recall:
@@ -286,6 +319,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column | str, k:
     most, _ = calibrated(tree, leaves, width, few, k, recall)
 
     def travel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
@@ -294,27 +328,25 @@ def nearest(spark: SparkSession, vectors: DataFrame, is_query: Column | str, k:
                 for i, visited in enumerate(sent.value.visits(_directions(matrix), most)):
                     for leaf in visited:
                         to.setdefault(leaf, []).append(i)
-                rows = [(leaf, b"".join(keys[i] for i in own), matrix[own].tobytes()) for leaf, own in to.items()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["leaf", "asked", "questions"])
+                rows = [(leaf, block, b"".join(keys[i] for i in own), matrix[own].tobytes()) for leaf, own in to.items()]
+                block += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["leaf", "block", "asked", "questions"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(k + 1)
         for batch in batches:
             for i in range(batch.num_rows):
-                leaf, own, matrix, ids, keys, questions = (batch.column(c)[i].as_py() for c in range(6))
+                leaf, own, matrix, ids, block, keys, questions = (batch.column(c)[i].as_py() for c in range(7))
                 keys = [keys[j : j + KEY] for j in range(0, len(keys), KEY)]
-                best.add(np.frombuffer(questions).reshape(-1, width), keys, np.frombuffer(matrix).reshape(-1, width), own, ids, leaf)
-                if len(best.of) > HELD:
-                    yield best.rows()
-        yield best.rows()
-
-    # blocks are numbered before the join, so a leaf that many visit is many rows and not one group
-    met = leaves.join(queries.select("key", "vector").mapInArrow(travel, "leaf long, asked binary, questions binary"), "leaf")
-    found = _best_entries(met.select("leaf", "keys", "matrix", "ids", "asked", "questions").mapInArrow(search, BEST), k + 1)
-    each = found.select("query", "score", (F.col("key") == F.col("query")).alias("own"), F.explode("ids").alias("vec_id"))
-    nth = F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last()))
-    each = each.withColumn("nth", nth).where(F.col("nth") <= k + 1)
-    lists = each.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("nth", "score", "own", "vec_id"))).alias("hits"))
+                best.add(block, np.frombuffer(questions).reshape(-1, width), keys, np.frombuffer(matrix).reshape(-1, width), own, ids, leaf)
+                if best.held > HELD:
+                    yield best.packed()
+        yield best.packed()
+
+    # a block and leaf are one row, so a leaf that many visit is many rows and not one group
+    dealt = queries.select("key", "vector").coalesce(max(1, math.ceil(n_queries / BLOCK)))
+    met = leaves.join(dealt.mapInArrow(travel, "leaf long, block long, asked binary, questions binary"), "leaf")
+    lists = _merged(met.select("leaf", "keys", "matrix", "ids", "block", "asked", "questions").mapInArrow(search, PARTIAL), k + 1)
     joined = asked.select(F.col("vec_id").alias("query_id"), "key").join(lists, F.col("key") == F.col("query"))
     self = F.expr("coalesce(array_position(transform(hits, h -> h.own and h.vec_id <=> query_id), true), 0)")
     rest = joined.withColumn("self", self).withColumn("hits", F.expr(f"slice(if(self > 0, filter(hits, (h, i) -> i + 1 <> self), hits), 1, {k})"))
