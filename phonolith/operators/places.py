@@ -11,8 +11,8 @@ MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿŵŷ", "a
 
 
 def fold(name: Column) -> Column:
-    """Lower case, without marks and apostrophes, words of letters and digits parted by one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.translate(F.lower(name), MARKED, PLAIN), "['’]", ""), "[^a-z0-9]+", " "))
+    """Lower case, without marks and apostrophes, & as a word, words of letters and digits parted by one space."""
+    return F.trim(F.regexp_replace(F.replace(F.regexp_replace(F.translate(F.lower(name), MARKED, PLAIN), "['’`]", ""), F.lit("&"), F.lit(" and ")), "[^a-z0-9]+", " "))
 
 
 def reference(name: Column) -> Column:
@@ -44,25 +44,25 @@ def _words(text: Column) -> Column:
 
 
 def index(places: DataFrame) -> DataFrame:
-    """(token, id): every word of a name and of the place it is in, and its prefixes of one to three letters, marked by a trailing *."""
-    words = F.array_distinct(F.concat(_words(F.col("name")), _words(F.col("detail"))))
+    """(token, id): every word of a name, of the place it is in and of its county, and its prefixes of one to three letters, marked by a trailing *."""
+    words = F.array_distinct(F.concat(_words(F.col("name")), _words(F.col("detail")), _words(F.col("county"))))
     prefixes = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.least(F.lit(3), F.length(w))), lambda n: F.concat(F.substring(w, F.lit(1), n), F.lit("*")))))
     return places.select("id", F.explode(F.array_distinct(F.concat(words, prefixes))).alias("token"))
 
 
 def typed_words(queries: DataFrame) -> DataFrame:
-    """queries with `typed`: folded words, leading house numbers left out; queries without a word are dropped."""
-    house = lambda w: w.rlike("^[0-9]+[a-z]?$")
+    """queries with `typed`: folded words, leading house numbers, flats and units left out; queries without a word are dropped."""
+    house = lambda w: w.rlike("^([0-9]+[a-z]?|flat|unit|apartment)$")
     w = F.col("typed")
     first = F.coalesce(F.array_position(F.transform(w, lambda x: ~house(x)), True), F.lit(0))
     kept = F.when(first == 0, F.slice(w, F.size(w), 1)).otherwise(F.slice(w, first.cast("int"), F.size(w)))
     return queries.withColumn("typed", _words(F.col("words"))).where(F.size("typed") > 0).withColumn("typed", kept)
 
 
-def search(queries: DataFrame, places: DataFrame, k: int = 8) -> DataFrame:
-    """The k best places for each query(query_id, words, near_x, near_y): every word is in the name or in the place it lies in.
+def search(queries: DataFrame, places: DataFrame, k: int | None = 8) -> DataFrame:
+    """The k best places (None: all that match) for each query(query_id, words, near_x, near_y): every word is in the name, the place it lies in or its county.
 
-    places: id, name, detail (what it lies in), tier, x, y. The last word may be a beginning, short forms count as what
+    places: id, name, detail (what it lies in), county, tier, x, y. A word that only the county has is a miss. The last word may be a beginning, short forms count as what
     they stand for. Best: cost (fit, tier and misses), then distance to the nearest 100 m, shorter name, id. One word that
     is only in places' details counts only if no name has it. Candidates come from the index by each query's rarest word,
     so common words bring no rows; the other words are checked on the candidate.
@@ -72,20 +72,21 @@ def search(queries: DataFrame, places: DataFrame, k: int = 8) -> DataFrame:
     asked = typed_words(queries).withColumn("ways", F.transform("typed", options))  # once a query, not once a candidate
     last, ways = F.size("typed") - 1, lambda i: F.get("ways", i)
     tokens = lambda w, i: F.concat(F.when(i == last, F.array(F.concat(F.substring(w, 1, 3), F.lit("*")))).otherwise(F.array(w)), F.slice(options(w), 2, 9))
+    places = places if "county" in places.columns else places.withColumn("county", F.lit(""))
     postings = index(places)
     terms = asked.select("query_id", F.posexplode(F.transform("typed", lambda w, i: tokens(w, i))).alias("term", "tokens")).select("query_id", "term", F.explode("tokens").alias("token"))
     counts = postings.join(terms.select("token").distinct(), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     weighed = terms.join(counts, "token", "left").groupBy("query_id", "term").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
     rarest = weighed.groupBy("query_id").agg(F.min_by("term", F.struct("n", "term")).alias("term"))
     met = terms.join(rarest, ["query_id", "term"], "left_semi").join(postings, "token").select("query_id", "id").distinct()
-    split = places.select("id", "name", "tier", "x", "y", _words(F.col("name")).alias("own"), _words(F.col("detail")).alias("around"))  # once a place, not once a candidate
+    split = places.select("id", "name", "tier", "x", "y", _words(F.col("name")).alias("own"), _words(F.col("detail")).alias("around"), _words(F.col("county")).alias("county"))  # once a place, not once a candidate
     # candidates are small rows with much work on each, so their partitions are not joined by size
     spark = places.sparkSession
     spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = met.join(asked, "query_id").repartition(spread, "id").join(split, "id")
     final = F.element_at("typed", -1)
     heard = lambda among, w, i: F.exists(among, lambda x: F.array_contains(ways(i), x) | ((i == last) & x.startswith(w)))
-    rows = rows.where(F.forall(F.transform("typed", lambda w, i: heard(F.concat("own", "around"), w, i)), lambda x: x))
+    rows = rows.where(F.forall(F.transform("typed", lambda w, i: heard(F.concat("own", "around", "county"), w, i)), lambda x: x))
     starts = F.transform("own", lambda x: F.exists(ways(F.lit(0)), lambda o: x.startswith(o)))
     whole = (F.slice("own", F.lit(1), last) == F.slice("typed", F.lit(1), last)) & (F.size("own") > last) & F.coalesce(F.get("own", last).startswith(final), F.lit(False))
     fit = F.when(whole, 0).when(F.get(starts, F.lit(0)), 1).when(F.exists(starts, lambda x: x), 2).otherwise(3)
@@ -96,7 +97,8 @@ def search(queries: DataFrame, places: DataFrame, k: int = 8) -> DataFrame:
     rows = rows.withColumn("fit", fit).withColumns({"cost": cost.cast("int"), "far": F.coalesce(far, F.lit(0.0)), "best_fit": F.min("fit").over(W.partitionBy("query_id"))})
     rows = rows.where((F.size("typed") > 1) | (F.col("best_fit") == 3) | (F.col("fit") < 3))
     order = W.partitionBy("query_id").orderBy("cost", "far", F.length("name"), "id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "name", "cost")
+    out = rows.withColumn("rank", F.row_number().over(order)).select("query_id", "rank", "id", "name", "cost")
+    return out if k is None else out.where(F.col("rank") <= k)
 
 
 def first_of_name(found: DataFrame, most: int = 3, k: int = 8) -> DataFrame:

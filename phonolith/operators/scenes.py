@@ -66,26 +66,39 @@ def case_spread(levels: DataFrame) -> DataFrame:
     return levels.groupBy("road").agg((F.max("db") - F.min("db")).alias("spread_db"))
 
 
-#: What mapped things may stand for, by tag and value; none of them is taken for an acoustic screen.
-BARRIER_KINDS = {
-    ("barrier", "wall"): "wall", ("barrier", "retaining_wall"): "wall", ("barrier", "fence"): "fence", ("barrier", "wire_fence"): "fence", ("man_made", "embankment"): "bank", ("man_made", "dyke"): "bank",
-    ("wall", "noise_barrier"): "screen",
-}
+# What a mapped thing may be, by tag and value, the first that holds; words and states as published.
+BARRIER_RULES = (
+    ("wall", "noise_barrier", "explicit_noise_barrier_candidate"), ("barrier", "wall", "generic_wall_candidate"), ("barrier", "retaining_wall", "generic_wall_candidate"),
+    ("barrier", "fence", "generic_fence_candidate"), ("barrier", "wire_fence", "generic_fence_candidate"), ("man_made", "embankment", "embankment_candidate"),
+)
+NO_BARRIER = "other_barrier_tag_no_acoustic_classification"
+METRES, NO_HEIGHT, NOT_POSITIVE, NOT_METRES = "explicit_metres_unverified", "missing", "nonpositive_or_nonfinite", "ambiguous_or_unhandled_units"
+
 
+def barrier_rules(spark: SparkSession) -> DataFrame:
+    """The rules as a dimension: priority, tag, value, category."""
+    return spark.createDataFrame([(i, *rule) for i, rule in enumerate(BARRIER_RULES)], "priority int, tag string, value string, category string")
 
-def barrier(**tags: Column) -> Column:
-    """Kind of a mapped barrier from its tags, the most telling tag first: wall, then man_made, then barrier; other if none is known."""
-    known = F.create_map(*[x for (tag, value), kind in BARRIER_KINDS.items() for x in (F.lit(f"{tag}={value}"), F.lit(kind))])
-    kinds = [F.try_element_at(known, F.concat(F.lit(f"{t}="), F.coalesce(tags[t], F.lit("")))) for t in ("wall", "man_made", "barrier") if t in tags]
-    return F.coalesce(*kinds, F.lit("other"))
 
+def barriers(features: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """feature_id, category, height_m and height_state of features(feature_id, tags map); a wall on an embankment is a wall.
 
-def height(text: Column) -> Column:
-    """(metres, state) of a height as mapped: metres only where a bare number or one in metres is written, and it is positive."""
-    bare = F.trim(F.regexp_replace(F.trim(F.lower(text)), "(metres|metre|m)$", ""))
-    number = F.when(F.translate(bare, "0123456789.", "") == "", bare.try_cast("double"))
-    state = F.when(F.coalesce(text, F.lit("")) == "", "not_mapped").when(number > 0, "metres").when(number.isNotNull(), "not_positive").otherwise("not_in_metres")
-    return F.struct(F.when(number > 0, number).alias("metres"), state.alias("state"))
+    None of them is taken for an acoustic screen. The rules are rows, joined by tag and value; the lowest priority counts.
+    """
+    rules = barrier_rules(features.sparkSession) if rules is None else rules
+    tags = features.select("feature_id", F.explode("tags").alias("tag", "value"))
+    best = tags.join(F.broadcast(rules), ["tag", "value"]).groupBy("feature_id").agg(F.min_by("category", "priority").alias("category"))  # six rules
+    own = features.select("feature_id", tagged_height(F.try_element_at("tags", F.lit("height"))).alias("h")).join(best, "feature_id", "left")
+    return own.select("feature_id", F.coalesce("category", F.lit(NO_BARRIER)).alias("category"), F.col("h.metres").alias("height_m"), F.col("h.state").alias("height_state"))
+
+
+def tagged_height(text: Column) -> Column:
+    """(metres, state) of a height as tagged: a bare decimal number, or one with m after it; all else is not read as metres."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    number = F.when(bare.rlike(r"^([0-9]+(\.[0-9]+)?|\.[0-9]+)\s*m?$"), F.regexp_extract(bare, r"^[0-9.]+", 0).try_cast("double"))
+    known = (number > 0) & (number < float("inf"))
+    state = F.when(F.coalesce(bare, F.lit("")) == "", NO_HEIGHT).when(number.isNull(), NOT_METRES).when(known, METRES).otherwise(NOT_POSITIVE)
+    return F.struct(F.when(known, number).alias("metres"), state.alias("state"))
 
 
 def path_ground(parts: DataFrame) -> DataFrame:

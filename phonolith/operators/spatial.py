@@ -99,7 +99,7 @@ def link_counts(points: DataFrame, links: DataFrame, limit: float = 10.0, margin
     """One decision for each count point: accepted onto its one plausible link, or rejected with the first reason.
 
     Every link within search counts as a rival, whatever its class; two points accepted onto one link reject both, and a
-    link in occupied(link_id) has its count already.
+    link in occupied(link_id) has its count already. linkage.link_counts has the whole policy, over lines that bend.
     """
     pairs = near_pairs(points, links, search)
     length = geo.length(*ENDS)
@@ -114,8 +114,8 @@ def link_counts(points: DataFrame, links: DataFrame, limit: float = 10.0, margin
         taken = F.coalesce("taken", F.lit(False))
     reason = (
         F.when(F.col("flow") <= 200, "invalid_traffic").when(F.col("dist").isNull() | (F.col("dist") > limit), "no_road_within_distance_limit")
-        .when(F.col("road_class") != "minor", "nearest_road_class_incompatible").when(F.col("clearance") < clear, "near_link_endpoint_or_junction")
-        .when(F.col("margin") < margin, "competing_road_ambiguous").when(taken, "link_has_a_count").otherwise("unique_local_geometric_support")
+        .when(F.col("road_class") != "minor", "nearest_road_class_incompatible").when(taken, "existing_direct_evidence_protected")
+        .when(F.col("clearance") < clear, "near_link_endpoint_or_junction").when(F.col("margin") < margin, "competing_road_ambiguous").otherwise("unique_local_geometric_support")
     )
     out = out.withColumn("reason", reason)
     ok = F.col("reason") == "unique_local_geometric_support"

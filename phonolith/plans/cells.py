@@ -370,12 +370,12 @@ def _(cells: DataFrame) -> DataFrame:
 
 @query("rs7_rs9_mosaic_faults", CELLS, """
 with p as (select * from {t} x where (row_i * 120 + col_i) % 211 <> 0 union all select * from {t} x where (row_i * 120 + col_i) % 307 = 0),
-w as (select r.range row_i, c.range col_i, s.source from range(0, (select max(row_i) from {t} x)) r, range(0, 120) c, (values ('road'), ('rail'), ('aircraft')) s(source))
+w as (select r.range row_i, c.range col_i, s.source from range(0, (select max(row_i) + 1 from {t} x)) r, range(0, 120) c, (values ('road'), ('rail'), ('aircraft')) s(source))
 select w.row_i, w.col_i, w.source, count(p.raw) times from w left join p using (row_i, col_i, source) group by 1, 2, 3 having count(p.raw) <> 1""")
 def _(cells: DataFrame) -> DataFrame:
     n = F.col("row_i") * 120 + F.col("col_i")
     parts = cells.where(n % 211 != 0).union(cells.where(n % 307 == 0))
-    return op.mosaic(parts, cells.agg(F.max("row_i")).first()[0], 120)
+    return op.mosaic(parts, cells.agg(F.max("row_i")).first()[0] + 1, 120)
 
 
 @query("ag42_coarse_bounds", CELLS, "with " + BOUNDS + """

@@ -10,7 +10,7 @@ from phonolith.plans.registry import query
 from phonolith.sources import fixtures as fx
 
 PLACES = """
-select p_partkey id, concat(p_name, ' ', p_type) as name, cast(mod(p_size, 4) as bigint) tier, p_brand district,
+select p_partkey id, concat(p_name, ' ', p_type) as name, cast(mod(p_size, 4) as bigint) tier, p_brand district, concat('County ', mod(p_partkey, 7)) county,
   cast(530000+mod(p_partkey*7919,20000) as double) x, cast(170000+mod(p_partkey*104729,20000) as double) y from {part}
 """
 P = f"({fx.plain(PLACES)})"
@@ -23,10 +23,10 @@ def _(places):
 
 
 def asked(places):
-    """Every 50th place as a query: the first word of its name and the start of its last, or of its brand; a house number before some."""
+    """Every 50th place as a query: the first word of its name and the start of its last, of its brand or of its county; a house number or a flat before some."""
     words = F.split(op.fold(F.col("name")), " ")
-    end = F.when(F.col("id") % 3 == 0, F.substring(F.element_at(F.split(op.fold(F.col("district")), " "), -1), 1, 2)).otherwise(F.substring(F.element_at(words, -1), 1, 2))
-    text = F.concat_ws(" ", F.when(F.col("id") % 100 == 0, "12a"), F.when(F.col("id") % 7 != 0, F.element_at(words, 1)), end)
+    end = F.when(F.col("id") % 200 == 0, "count").when(F.col("id") % 3 == 0, F.substring(F.element_at(F.split(op.fold(F.col("district")), " "), -1), 1, 2)).otherwise(F.substring(F.element_at(words, -1), 1, 2))
+    text = F.concat_ws(" ", F.when(F.col("id") % 100 == 0, F.when(F.col("id") % 200 == 0, "Flat 7").otherwise("12a")), F.when(F.col("id") % 7 != 0, F.element_at(words, 1)), end)
     return places.where("id % 50 = 0").select(F.col("id").alias("query_id"), text.alias("words"), F.lit(540000.0).alias("near_x"), F.lit(180000.0).alias("near_y"))
 
 
@@ -34,10 +34,10 @@ def with_detail(places):
     return places.withColumnRenamed("district", "detail")
 
 
-SEARCH = f"""p as (select *, string_split({FOLD.format('name')}, ' ') own, list_filter(string_split({FOLD.format('district')}, ' '), lambda w: w <> '') around from {P} x),
-a as (select id query_id, list_filter([case when id % 7 <> 0 then own[1] end, case when id % 3 = 0 then left(around[-1], 2) else left(own[-1], 2) end], lambda w: w is not null and w <> '') w from p where id % 50 = 0),
+SEARCH = f"""p as (select *, string_split({FOLD.format('name')}, ' ') own, list_filter(string_split({FOLD.format('district')}, ' '), lambda w: w <> '') around, list_filter(string_split({FOLD.format('county')}, ' '), lambda w: w <> '') far_around from {P} x),
+a as (select id query_id, list_filter([case when id % 7 <> 0 then own[1] end, case when id % 200 = 0 then 'count' when id % 3 = 0 then left(around[-1], 2) else left(own[-1], 2) end], lambda w: w is not null and w <> '') w from p where id % 50 = 0),
 q as (select query_id, case when len(w) > 1 and regexp_matches(w[1], '^[0-9]+[a-z]?$') then w[2:] else w end w from a),
-m as (select q.query_id, q.w, p.* exclude (around), p.around from q join p on (len(q.w) = 1 or list_contains(list_concat(p.own, p.around), q.w[1])) and len(list_filter(list_concat(p.own, p.around), lambda x: starts_with(x, q.w[-1]))) > 0),
+m as (select q.query_id, q.w, p.* exclude (around), p.around from q join p on (len(q.w) = 1 or list_contains(list_concat(p.own, p.around, p.far_around), q.w[1])) and len(list_filter(list_concat(p.own, p.around, p.far_around), lambda x: starts_with(x, q.w[-1]))) > 0),
 f as (select *, case when own[1:len(w) - 1] = w[1:len(w) - 1] and len(own) >= len(w) and starts_with(own[len(w)], w[-1]) then 0 when starts_with(own[1], w[1]) then 1 when len(list_filter(own, lambda x: starts_with(x, w[1]))) > 0 then 2 else 3 end fit,
   len(list_filter(w, lambda t: len(list_filter(list_concat(own, around), lambda x: starts_with(x, t))) = 0)) missed, round(sqrt(pow(x - 540000, 2) + pow(y - 180000, 2)) / 100) * 100 far from m),
 c as (select *, ((case fit when 3 then 8 else fit end) + tier + 2 * missed)::int cost, min(fit) over (partition by query_id) best_fit from f),
@@ -50,11 +50,11 @@ def _(places):
 
 
 @query("wn9_names_at_most_three", PLACES, "with " + SEARCH + """,
-g as (select *, row_number() over (partition by query_id, name order by rank) nth, first(name) over (partition by query_id order by rank) top from r where rank <= 1000),
+g as (select *, row_number() over (partition by query_id, name order by rank) nth, first(name) over (partition by query_id order by rank) top from r),
 o as (select query_id, row_number() over (partition by query_id order by nth > 3 and name <> top, rank)::int rank, id, name, cost from g)
 select * from o where rank <= 8""")
 def _(places):
-    return op.first_of_name(op.search(asked(places), with_detail(places), 1000))
+    return op.first_of_name(op.search(asked(places), with_detail(places), None))
 
 
 @query("ag34_districts", PLACES, """

@@ -72,17 +72,23 @@ def _(parts):
     return op.merged_runs(parts)
 
 
+HEIGHTS = ("2", " 2.5 m ", ".5m", "0", "3 metres", "5.", "6 ft", "2-3", "", None, "0.0", "+2", "1e1", "12m", "7,5")
+
+
 @query("prj21_barrier_tags", PARTS, """
-select seq, case when name like 'red%' then 'screen' when kind = 'PROMO' then 'bank' when kind = 'ECONOMY' then 'wall' when kind = 'SMALL' then 'fence' else 'other' end category,
-  case when seq % 5 = 0 and length > 0 then length when seq % 5 = 1 then length + 0.5 end height_m, case seq % 5 when 0 then case when length > 0 then 'metres' else 'not_positive' end when 1 then 'metres' when 2 then 'not_in_metres' when 3 then 'not_mapped' else 'not_in_metres' end height_state from {t} x""")
+with h as (select * from (values (0, 2.0, 'explicit_metres_unverified'), (1, 2.5, 'explicit_metres_unverified'), (2, 0.5, 'explicit_metres_unverified'), (3, null, 'nonpositive_or_nonfinite'), (4, null, 'ambiguous_or_unhandled_units'),
+  (5, null, 'ambiguous_or_unhandled_units'), (6, null, 'ambiguous_or_unhandled_units'), (7, null, 'ambiguous_or_unhandled_units'), (8, null, 'missing'), (9, null, 'missing'), (10, null, 'nonpositive_or_nonfinite'), (11, null, 'ambiguous_or_unhandled_units'),
+  (12, null, 'ambiguous_or_unhandled_units'), (13, 12.0, 'explicit_metres_unverified'), (14, null, 'ambiguous_or_unhandled_units')) v(k, m, s))
+select x.seq feature_id, case when name like 'red%' then 'explicit_noise_barrier_candidate' when kind = 'ECONOMY' or kind = 'PROMO' and seq % 2 = 0 then 'generic_wall_candidate' when kind = 'SMALL' then 'generic_fence_candidate' when kind = 'PROMO' or kind = 'LARGE' and seq % 3 = 0 then 'embankment_candidate'
+  else 'other_barrier_tag_no_acoustic_classification' end category, m::double height_m, s height_state from {t} x join h on h.k = x.seq % 15""")
 def _(parts):
-    tag = F.when(F.col("kind") == "ECONOMY", "wall").when(F.col("kind") == "SMALL", "fence").otherwise("hedge")
-    n, metres = F.col("seq") % 5, F.col("length").cast("int").cast("string")
-    text = F.when(n == 0, F.concat(metres, F.lit(" m"))).when(n == 1, F.concat(metres, F.lit(".5"))).when(n == 2, "2-3").when(n == 4, "6 ft")
-    wall = F.when(F.col("name").startswith("red"), "noise_barrier")
-    bank = F.when(F.col("kind") == "PROMO", "embankment")
-    found = parts.select("seq", op.barrier(barrier=tag, man_made=bank, wall=wall).alias("category"), op.height(text).alias("h"))
-    return found.select("seq", "category", F.col("h.metres").alias("height_m"), F.col("h.state").alias("height_state"))
+    """Walls on embankments, dykes, hedges; heights as people write them."""
+    kind, even = F.col("kind"), F.col("seq") % 2 == 0
+    barrier = F.when(kind == "ECONOMY", "wall").when((kind == "PROMO") & even, "retaining_wall").when(kind == "SMALL", "wire_fence").when(kind == "STANDARD", "hedge")
+    made = F.when(kind == "PROMO", "embankment").when(kind == "LARGE", F.when(F.col("seq") % 3 == 0, "embankment").otherwise("dyke"))
+    height = F.get(F.array(*(F.lit(h) for h in HEIGHTS)), (F.col("seq") % len(HEIGHTS)).cast("int"))
+    tags = F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in (("barrier", barrier), ("man_made", made), ("wall", F.when(F.col("name").startswith("red"), "noise_barrier")), ("height", height)))), lambda e: e["value"].isNotNull()))
+    return op.barriers(parts.select(F.col("seq").alias("feature_id"), tags.alias("tags")))
 
 
 SURVEYS = """
