@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from phonolith.sources.scratch import written
+from phonolith.sources.scratch import folder, removed, written
 
 #: Cells along one side of the tiles that are labelled in one go; a tile is bounded whatever the input.
 TILE = 64
@@ -40,7 +42,7 @@ def components(cells: DataFrame, width: int, eight: bool = False) -> DataFrame:
     """(group, row_i, col_i, component) of cells(group, row_i, col_i): 4- or 8-neighbour components within a group.
 
     A component is named by its smallest cell number (row x width + col). Tiles are labelled in one task each; labels
-    of touching tiles are then joined by passing the smallest label on until nothing changes.
+    of touching tiles are then joined: see contracted.
     """
     cell = F.col("row_i") * width + F.col("col_i")
     tile = [F.floor(F.col(c) / TILE).cast("long").alias(f"t_{c}") for c in ("row_i", "col_i")]
@@ -53,17 +55,33 @@ def components(cells: DataFrame, width: int, eight: bool = False) -> DataFrame:
     look = border.select("group", F.col("local").alias("a"), there.alias("at")).select("group", "a", F.col("at.row_i").alias("row_i"), F.col("at.col_i").alias("col_i"))
     touch = look.join(local.select("group", "row_i", "col_i", F.col("local").alias("b")), ["group", "row_i", "col_i"]).where("a <> b").select("group", "a", "b").distinct()
     both = written(touch.union(touch.select("group", "b", "a")).distinct())
-    label = written(local.select("group", F.col("local").alias("a"), F.col("local").alias("root")).distinct())
-    while True:
-        near = both.join(label.select("group", F.col("a").alias("b"), "root"), ["group", "b"]).groupBy("group", "a").agg(F.min("root").alias("near"))
-        new = label.join(near, ["group", "a"], "left").select("group", "a", F.least("root", F.coalesce("near", "root")).alias("root"), (F.coalesce("near", "root") < F.col("root")).alias("changed"))
-        new = written(new)
-        label = new.select("group", "a", "root")
-        if new.where("changed").isEmpty():
-            break
+    label = contracted(both, local.select("group", F.col("local").alias("a")).distinct())
     return local.join(label.withColumnRenamed("a", "local"), ["group", "local"]).select("group", "row_i", "col_i", F.col("root").alias("component"))
 
 
+def contracted(both: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(group, a, root) for every node of nodes(group, a): the smallest node it reaches over both(group, a, b), edges either way.
+
+    Each round hooks every label under the smallest label that its members see, then halves the way to the top by taking
+    labels of labels twice; chains of any length need rounds by their logarithm, not by their length. Only labels that an
+    edge still parts are looked at, and a round's table is removed when the next one stands.
+    """
+    spark, home = both.sparkSession, folder(both.sparkSession)
+    label = written(nodes.withColumn("root", F.col("a")), f"{home}/0")
+    for i in count(1):
+        of = lambda a, root: label.select("group", F.col("a").alias(a), F.col("root").alias(root))  # noqa: B023, E731
+        apart = both.join(of("a", "ra"), ["group", "a"]).join(of("b", "rb"), ["group", "b"]).where("ra <> rb")
+        hooks = written(apart.groupBy("group", F.greatest("ra", "rb").alias("top")).agg(F.min(F.least("ra", "rb")).alias("under")), f"{home}/hooks-{i}")
+        if hooks.isEmpty():
+            return label
+        for _ in range(2):
+            hooks = hooks.alias("h").join(hooks.select("group", F.col("top").alias("under"), F.col("under").alias("further")), ["group", "under"], "left").select("group", "top", F.coalesce("further", "under").alias("under"))
+        moved = label.join(hooks.select("group", F.col("top").alias("root"), "under"), ["group", "root"], "left").select("group", "a", F.coalesce("under", "root").alias("root"))
+        label = written(moved, f"{home}/{i}")
+        removed(spark, f"{home}/{i - 1}")
+        removed(spark, f"{home}/hooks-{i}")
+
+
 def summary(labelled: DataFrame, least: int, side: int = 10) -> DataFrame:
     """Size, bounds, range of levels, tiles touched and id of components of at least `least` cells, ordered by size, then position.
 
@@ -125,8 +143,11 @@ def outlines(labelled: DataFrame) -> DataFrame:
     return edges(labelled).groupBy("group", "component").applyInPandas(_rings, schema)
 
 
-def enclosed(cells: DataFrame, width: int, height: int, unknown: str = "raw = -96") -> DataFrame:
-    """Unknown components (8 neighbours) that do not touch the grid's border, with the range of levels around them."""
+def enclosed(cells: DataFrame, width: int, height: int, unknown: str = "raw = -96", cutoff: float = 40.0) -> DataFrame:
+    """Unknown components (8 neighbours) that do not touch the grid's border, with the range of levels around them.
+
+    `size` and `ring` are their classes: cells, and whether every level around lies within 5 dB of the reporting cutoff.
+    """
     own = cells.where(unknown).select(F.col("source").alias("group"), "row_i", "col_i")
     labelled = components(own, width, eight=True)
     inner = labelled.groupBy("group", "component").agg(F.count(F.lit(1)).alias("cells"), F.min(F.least("row_i", "col_i")).alias("low"), F.max("row_i").alias("bottom"), F.max("col_i").alias("right"))
@@ -135,8 +156,21 @@ def enclosed(cells: DataFrame, width: int, height: int, unknown: str = "raw = -9
     ring = labelled.join(inner, ["group", "component"]).select("group", "component", "cells", around.alias("at")).select("group", "component", "cells", "at.*").distinct()
     level = cells.where("raw > 0").select(F.col("source").alias("group"), "row_i", "col_i", "raw")
     out = ring.join(level, ["group", "row_i", "col_i"], "left").groupBy("group", "component", "cells").agg(F.count("raw").alias("ring_cells"), F.min("raw").alias("ring_min"), F.max("raw").alias("ring_max"))
-    size = F.when(F.col("cells") == 1, "one").when(F.col("cells") <= 4, "few").otherwise("many")
-    return out.withColumn("size", size)
+    return out.withColumns({"size": size_class(F.col("cells")), "ring": ring_class(F.col("ring_max"), cutoff)})
+
+
+# Classes of sizes and rings.
+def size_class(cells: Column) -> Column:
+    return F.when(cells <= 4, "1-4").when(cells <= 25, "5-25").when(cells <= 100, "26-100").when(cells <= 1000, "101-1000").otherwise("over-1000")
+
+
+def ring_class(highest: Column, cutoff: float) -> Column:
+    return F.when(highest <= cutoff + 5, "lowest_5db_band").otherwise("higher_reported_ring")
+
+
+def inventory(inner: DataFrame) -> DataFrame:
+    """Components of each group, size and ring, with their cells."""
+    return inner.groupBy("group", "size", "ring").agg(F.count(F.lit(1)).alias("components"), F.sum("cells").alias("cells"))
 
 
 def patches(cells: DataFrame, side: int, every: int) -> DataFrame:
@@ -154,6 +188,80 @@ def patches(cells: DataFrame, side: int, every: int) -> DataFrame:
     return held.join(whole.select("source", "patch"), ["source", "patch"]).select("source", "patch", "row_i", "col_i", "raw")
 
 
+def _window(column: Column, key: str, reach: int, by: list[str], how=F.max) -> Column:
+    """how of a column over cells at most `reach` away along one axis."""
+    return how(column).over(W.partitionBy("source", *by).orderBy(key).rangeBetween(-reach, reach))
+
+
+def candidate_squares(cells: DataFrame, size: int, cutoff: float = 40.0) -> DataFrame:
+    """Middles of squares of size x size cells whose cells and one-cell ring are all reported (raw > 0), with their stratum.
+
+    The stratum comes from the ring alone: near_reporting_floor if its highest level is within 5 dB of the cutoff. size is
+    odd. Counts and maxima over squares are windows along rows, then along columns, so no cell is copied to its neighbours.
+    """
+    half = size // 2 + 1
+    own = cells.where("raw > 0").select("source", "row_i", "col_i", "raw")
+    one = F.count(F.lit(1)).over(W.partitionBy("source", "row_i").orderBy("col_i").rangeBetween(-half, half))
+    along = own.withColumns({"full": F.when(one == size + 2, 1).otherwise(0), "level": _window(F.col("raw"), "col_i", half, ["row_i"])})
+    tall = along.withColumns({"rows": _window(F.col("full"), "row_i", half, ["col_i"], F.sum), "tall": _window(F.col("raw"), "row_i", half, ["col_i"])})
+    # the ring: the row-wide maxima above and below, the column-tall maxima left and right
+    far = lambda c, key, by, d: F.first(c).over(W.partitionBy("source", by).orderBy(key).rangeBetween(d, d))
+    sides = [far("level", "row_i", "col_i", -half), far("level", "row_i", "col_i", half), far("tall", "col_i", "row_i", -half), far("tall", "col_i", "row_i", half)]
+    ring = tall.withColumn("ring_max", F.greatest(*sides)).where(F.col("rows") == size + 2)
+    return ring.select("source", "row_i", "col_i", "ring_max", F.when(F.col("ring_max") <= cutoff + 5, "near_reporting_floor").otherwise("higher_reported").alias("stratum"))
+
+
+def disjoint_squares(candidates: DataFrame, size: int, width: int, height: int, seed: str = "") -> DataFrame:
+    """Candidates whose squares, rings included, do not overlap, and to which none could be added.
+
+    Candidates draw a number from their place, those of the near_reporting_floor stratum first. In each round those with the
+    least number of all that they overlap are taken and what they overlap goes, so the set is what taking them one by one
+    would give, whatever the partitions. Least numbers and hits pass over the raster (width x height cells) in windows along
+    rows and columns: a round is two shuffles of cells, and rounds grow with the logarithm of the candidates.
+    """
+    spark, home, reach = candidates.sparkSession, folder(candidates.sparkSession), size + 1
+    turn = F.struct(F.when(F.col("stratum") == "near_reporting_floor", 0).otherwise(1).alias("s"), F.xxhash64(F.lit(seed), "source", "row_i", "col_i").alias("h"), "row_i", "col_i")
+    grid = spark.range(width * height).select(F.floor(F.col("id") / width).cast("long").alias("row_i"), F.pmod("id", F.lit(width)).alias("col_i"))
+    grid = grid.crossJoin(F.broadcast(candidates.select("source").distinct()))  # noise sources: a fixed few
+    key = ["source", "row_i", "col_i"]
+    left = written(grid.join(candidates.withColumn("turn", turn).select(*key, "turn"), key, "left").withColumn("won", F.lit(False)), f"{home}/0")
+    row = W.partitionBy("source", "row_i").orderBy("col_i").rangeBetween(-reach, reach)
+    column = W.partitionBy("source", "col_i").orderBy("row_i").rangeBetween(-reach, reach)
+    for i in count(1):
+        if left.where("turn is not null").isEmpty():
+            break
+        low = left.withColumn("low", F.min("turn").over(row)).withColumn("low", F.min("low").over(column))
+        now = low.withColumn("now", F.coalesce(F.col("turn") == F.col("low"), F.lit(False)))
+        hit = now.withColumn("hit", F.max("now").over(column)).withColumn("hit", F.max("hit").over(row))
+        left = written(hit.select(*key, F.when(~F.col("hit"), F.col("turn")).alias("turn"), (F.col("won") | F.col("now")).alias("won")), f"{home}/{i}")
+        removed(spark, f"{home}/{i - 1}")
+    return left.where("won").select(*key).join(candidates, key)
+
+
+def hidden_cells(squares: DataFrame, cells: DataFrame, size: int) -> DataFrame:
+    """source, patch, row_i, col_i, raw of the cells within each square's ring."""
+    half = size // 2
+    span = lambda c: F.explode(F.sequence(F.col(c) - half, F.col(c) + half))
+    inner = squares.select("source", F.concat_ws(":", F.lit(size), "row_i", "col_i").alias("patch"), "row_i", "col_i").withColumn("r", span("row_i")).withColumn("c", span("col_i"))
+    return inner.select("source", "patch", F.col("r").alias("row_i"), F.col("c").alias("col_i")).join(cells.select("source", "row_i", "col_i", "raw"), ["source", "row_i", "col_i"])
+
+
+def patch_summary(estimates: DataFrame, strata: DataFrame) -> DataFrame:
+    """Errors by source, size, stratum and method: over cells, and the 90 % of patches' own mean errors.
+
+    strata: source, patch, size, stratum.
+    """
+    long = estimates.select("source", "patch", F.expr("stack(3, 'nearest', nearest, 'idw8', idw, 'harmonic_db', harmonic) as (method, estimate)"), "raw")
+    e = F.col("estimate") - F.col("raw")
+    patch = long.withColumn("e", e).groupBy("source", "patch", "method").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("e")).alias("mae"), F.sum("e").alias("sum"), F.sum(F.col("e") * F.col("e")).alias("squares"), F.max(F.abs("e")).alias("most"))
+    of = patch.join(strata, ["source", "patch"]).groupBy("source", "size", "stratum", "method")
+    cells = F.sum("n")
+    return of.agg(
+        F.count(F.lit(1)).alias("patches"), cells.alias("cells"), (F.sum(F.col("mae") * F.col("n")) / cells).alias("mae"), F.sqrt(F.sum("squares") / cells).alias("rmse"), (F.sum("sum") / cells).alias("bias"),
+        F.percentile("mae", F.lit(0.9)).alias("patch_mae_p90"), F.max("most").alias("max_abs"),
+    )
+
+
 def _solve_patch(pdf: pd.DataFrame) -> pd.DataFrame:
     """Nearest, inverse-distance and harmonic estimates of one patch's hidden cells from the cells around it."""
     hidden, known = pdf[pdf.hidden], pdf[~pdf.hidden & (pdf.raw > 0)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from phonolith.operators import graphs as op
 from phonolith.plans.registry import query
 from phonolith.sources.fixtures import CELLS
+from phonolith.sources.scratch import written
 
 #: Labels by walking from each quiet cell to every cell it reaches; UNION keeps a pair once, so the walk ends.
 REACH = """with recursive q as (select source, row_i, col_i, row_i * 120 + col_i cell from {t} x where %s),
@@ -46,25 +47,52 @@ def _(cells):
     return rings.groupBy("group", "component").agg(F.sum(F.size("points")).alias("sides"), F.sum(sign * F.col("area")).alias("area"))
 
 
-@query("rs4_enclosed_unknown", CELLS, REACH % ("raw = -96 and source <> 'aircraft'", EIGHT) + """,
+@query("rs4_enclosed_unknown", CELLS)
+def _(cells):
+    """Every source; the aircraft's unknown cells join up over most of the grid, which is too slow as SQL."""
+    return op.enclosed(cells, 120, cells.agg(F.max("row_i")).first()[0] + 1)
+
+
+@query("rs4_enclosed_roads", CELLS, REACH % ("raw = -96 and source <> 'aircraft'", EIGHT) + """,
 g as (select source, component, count(*) cells from l group by 1, 2 having min(cell // 120) > 0 and min(cell % 120) > 0 and max(cell // 120) < (select max(row_i) from {t} x) and max(cell % 120) < 119),
-n as (select distinct g.source, g.component, g.cells, cell // 120 + r.range row_i, cell % 120 + c.range col_i from g join l using (source, component), range(-1, 2) r, range(-1, 2) c where r.range <> 0 or c.range <> 0)
-select n.source "group", n.component, n.cells, count(x.raw) ring_cells, min(x.raw) ring_min, max(x.raw) ring_max, case when n.cells = 1 then 'one' when n.cells <= 4 then 'few' else 'many' end size
-from n left join {t} x on x.source = n.source and x.row_i = n.row_i and x.col_i = n.col_i and x.raw > 0 group by 1, 2, 3""")
+n as (select distinct g.source, g.component, g.cells, cell // 120 + r.range row_i, cell % 120 + c.range col_i from g join l using (source, component), range(-1, 2) r, range(-1, 2) c where r.range <> 0 or c.range <> 0),
+k as (select n.source "group", n.component, n.cells, case when n.cells <= 4 then '1-4' when n.cells <= 25 then '5-25' when n.cells <= 100 then '26-100' when n.cells <= 1000 then '101-1000' else 'over-1000' end size,
+  case when max(x.raw) <= 45 then 'lowest_5db_band' else 'higher_reported_ring' end ring from n left join {t} x on x.source = n.source and x.row_i = n.row_i and x.col_i = n.col_i and x.raw > 0 group by 1, 2, 3)
+select "group", size, ring, count(*) components, sum(cells)::bigint cells from k group by 1, 2, 3""")
+def _(cells):
+    """Classes of enclosed unknown components, of the two sources whose reporting cutoff is 40 dB."""
+    height = cells.agg(F.max("row_i")).first()[0] + 1
+    return op.inventory(op.enclosed(cells.where("source <> 'aircraft'"), 120, height))
+
+
+SIZES = (1, 3)
+
+
+@query("rs5_disjoint_squares", CELLS)
 def _(cells):
-    own = cells.where("source <> 'aircraft'")
     height = cells.agg(F.max("row_i")).first()[0] + 1
-    return op.enclosed(own, 120, height)
+    found = [op.disjoint_squares(op.candidate_squares(cells, n), n, 120, height).withColumn("size", F.lit(n)) for n in SIZES]
+    return found[0].unionByName(found[1])
+
+
+@query("rs5_rs6_ag33_patch_summary", CELLS)
+def _(cells):
+    height, parts = cells.agg(F.max("row_i")).first()[0] + 1, []
+    for n in SIZES:
+        squares = written(op.disjoint_squares(op.candidate_squares(cells, n), n, 120, height))
+        strata = squares.select("source", F.concat_ws(":", F.lit(n), "row_i", "col_i").alias("patch"), F.lit(n).alias("size"), "stratum")
+        parts.append(op.patch_summary(op.interpolated(cells, op.hidden_cells(squares, cells, n), n), strata))
+    return parts[0].unionByName(parts[1])
 
 
 @query("rs5_rs6_ag33_patch_errors", CELLS)
 def _(cells):
-    held = op.patches(cells.where("source <> 'aircraft'"), 2, 6)
+    held = op.patches(cells, 2, 6)
     return op.patch_errors(op.interpolated(cells, held, 2))
 
 
 @query("rs5_ag33_patch_estimates", CELLS, """
-with b as (select *, row_i // 6 br, col_i // 6 bc from {t} x where source <> 'aircraft'),
+with b as (select *, row_i // 6 br, col_i // 6 bc from {t} x),
 o as (select *, 1 + ('0x' || substr(md5('row:' || br || ':' || bc), 1, 8))::bigint % 3 off_r, 1 + ('0x' || substr(md5('col:' || br || ':' || bc), 1, 8))::bigint % 3 off_c from b),
 h as (select source, br, bc, row_i, col_i, raw, count(*) filter (raw > 0) over (partition by source, br, bc) known from o where row_i - br * 6 - off_r between 0 and 1 and col_i - bc * 6 - off_c between 0 and 1),
 w as (select * from h where known = 4),
@@ -74,6 +102,6 @@ e as (select source, row_i, col_i, raw, max(v) filter (n = 1) nearest, sum(v / d
 m as (select source, 'nearest' "method", nearest - raw d from e union all select source, 'idw', idw - raw from e)
 select source, "method", count(*) n, round(sqrt(avg(d * d)), 6) rmse, round(avg(d), 6) bias, round(quantile_cont(abs(d), 0.9), 6) p90 from m group by 1, 2""")
 def _(cells):
-    held = op.patches(cells.where("source <> 'aircraft'"), 2, 6)
+    held = op.patches(cells, 2, 6)
     out = op.patch_errors(op.interpolated(cells, held, 2)).where("method <> 'harmonic'")
     return out.withColumns({c: F.round(c, 6) for c in ("rmse", "bias", "p90")})
