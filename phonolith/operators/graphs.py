@@ -111,36 +111,96 @@ def edges(labelled: DataFrame) -> DataFrame:
     return out.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("r1", "c1", "r2", "c2")]).where("n = 1").select("group", "component", "r1", "c1", "r2", "c2")
 
 
-def _rings(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Closed rings of one component's outline; at a corner that two cells share the ring turns right."""
-    out: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for a, b, x, y in zip(pdf.r1, pdf.c1, pdf.r2, pdf.c2, strict=True):
-        out.setdefault((int(a), int(b)), []).append((int(x), int(y)))
-    rings = []
-    while out:
-        first = min(out)
-        ring, at, heading = [first], first, None
-        while True:
-            ways = out[at]
-            if heading is not None and len(ways) > 1:
-                right = (heading[1], -heading[0])
-                ways.sort(key=lambda w, at=at, right=right: (w[0] - at[0], w[1] - at[1]) != right)
-            to = ways.pop(0)
-            if not ways:
-                del out[at]
-            heading, at = (to[0] - at[0], to[1] - at[1]), to
-            if at == first:
-                break
-            ring.append(at)
-        rings.append(ring)
-    area = [sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(r, [*r[1:], r[0]], strict=True)) / 2 for r in rings]
-    return pd.DataFrame({"group": pdf["group"].iloc[0], "component": pdf["component"].iloc[0], "ring": range(len(rings)), "hole": [x < 0 for x in area], "area": [abs(x) for x in area], "points": [[list(p) for p in r] for r in rings]})
+_EDGE = "group string, component long, edge long, next long, r1 long, c1 long, r2 long, c2 long"
+
+
+def followed(sides: DataFrame) -> DataFrame:
+    """Outline edges with their number and that of the edge after them; at a corner that two cells share the ring turns right.
+
+    Numbers come from an edge's start and heading, so they are the same in every run.
+    """
+    heading = F.when(F.col("c2") > F.col("c1"), 0).when(F.col("r2") > F.col("r1"), 1).when(F.col("c2") < F.col("c1"), 2).otherwise(3)
+    own = sides.withColumn("heading", heading).withColumn("edge", F.shiftleft(F.shiftleft("r1", 30) + F.col("c1"), 2) + F.col("heading"))
+    then = own.select("group", "component", F.col("r1").alias("r2"), F.col("c1").alias("c2"), F.col("edge").alias("next"), F.col("heading").alias("turned"))
+    met = own.join(then, ["group", "component", "r2", "c2"])
+    right = F.when(F.pmod(F.col("turned") - F.col("heading"), F.lit(4)) == 1, 0).otherwise(1)
+    key = ["group", "component", "edge", "r1", "c1", "r2", "c2"]
+    return met.groupBy(*key).agg(F.min_by("next", right).alias("next")).select("group", "component", "edge", "next", "r1", "c1", "r2", "c2")
+
+
+def _runs_of_tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Edges of one tile with the run they are in and their place in it; a run begins where the ring comes in, or at the ring's least edge."""
+    follow = dict(zip(pdf.edge.tolist(), pdf["next"].tolist(), strict=True))
+    heads = [e for e in follow if e not in set(follow.values())]
+    run, place, after = {}, {}, {}
+    for start in [*heads, *sorted(follow)]:
+        if start in run:
+            continue
+        at, k = start, 0
+        while at in follow and at not in run:
+            run[at], place[at] = start, k
+            at, k = follow[at], k + 1
+        after[start] = at
+    return pdf.assign(run=[run[e] for e in pdf.edge], place=[place[e] for e in pdf.edge], after=[after[run[e]] for e in pdf.edge])
+
+
+def ring_points(labelled: DataFrame) -> DataFrame:
+    """group, component, ring, nth, r, c: the corners of every ring in order, from the least edge of the ring on.
+
+    Edges become runs in bounded tiles; runs of a ring are joined by pointer jumping, which finds the ring's least run and
+    then every run's place, each in rounds by the logarithm of the tiles that the ring passes. No task sees a component.
+    """
+    tile = [F.floor(F.col(c) / TILE).cast("long").alias(f"t_{c}") for c in ("r1", "c1")]
+    edge = followed(edges(labelled))
+    placed = written(edge.groupBy("group", "component", *tile).applyInPandas(_runs_of_tile, _EDGE + ", run long, place long, after long"))
+    key = ["group", "component"]
+    runs = placed.groupBy(*key, "run").agg(F.first("after").alias("after"), F.count(F.lit(1)).alias("n"))
+    spark, home = labelled.sparkSession, folder(labelled.sparkSession)
+    ring = written(runs.withColumns({"next": F.col("after"), "low": F.col("run")}), f"{home}/low-0")
+    for i in count(1):
+        there = ring.select(*key, F.col("run").alias("next"), F.col("next").alias("over"), F.col("low").alias("lower"))
+        step = ring.join(there, [*key, "next"]).select(*key, "run", "after", "n", F.col("over").alias("next"), F.least("low", "lower").alias("low"), (F.col("lower") < F.col("low")).alias("changed"))
+        ring = written(step, f"{home}/low-{i}")
+        removed(spark, f"{home}/low-{i - 1}")
+        if ring.where("changed").isEmpty():
+            break
+    # the ring is cut before its least run; what is left of it from each run on
+    rest = written(ring.select(*key, "run", "low", F.when(F.col("after") != F.col("low"), F.col("after")).alias("next"), F.col("n").alias("left")), f"{home}/left-0")
+    for i in count(1):
+        there = rest.select(*key, F.col("run").alias("next"), F.col("next").alias("over"), F.col("left").alias("more"))
+        step = rest.join(there, [*key, "next"], "left").select(*key, "run", "low", F.col("over").alias("next"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left"))
+        rest = written(step, f"{home}/left-{i}")
+        removed(spark, f"{home}/left-{i - 1}")
+        if rest.where("next is not null").isEmpty():
+            break
+    whole = rest.where("run = low").select(*key, "low", F.col("left").alias("all"))
+    begins = rest.join(whole, [*key, "low"]).select(*key, "run", F.col("low").alias("ring"), (F.col("all") - F.col("left")).alias("begin"))
+    return placed.join(begins, [*key, "run"]).select(*key, "ring", (F.col("begin") + F.col("place")).alias("nth"), F.col("r1").alias("r"), F.col("c1").alias("c"), "r2", "c2")
 
 
 def outlines(labelled: DataFrame) -> DataFrame:
-    """Rings of each component, holes marked; only outline edges reach the task that joins them."""
-    schema = "group string, component long, ring int, hole boolean, area double, points array<array<int>>"
-    return edges(labelled).groupBy("group", "component").applyInPandas(_rings, schema)
+    """group, component, ring, sides, area and hole of every ring: sums over its edges, so that no ring is put together."""
+    each = (F.col("c") * F.col("r2") - F.col("c2") * F.col("r")) / 2
+    rings = ring_points(labelled).groupBy("group", "component", "ring").agg(F.count(F.lit(1)).alias("sides"), F.sum(each).alias("signed"))
+    return rings.select("group", "component", "ring", "sides", F.abs("signed").alias("area"), (F.col("signed") < 0).alias("hole"))
+
+
+def geojson(points: DataFrame, cell: float = 10.0, west: float = 0.0, north: float = 0.0) -> DataFrame:
+    """group, component and its outline as a GeoJSON polygon: the outer ring, then holes by number; x grows with columns, y falls with rows.
+
+    Corners on straight sides are left out first. A component becomes one row here: for what is to be exported.
+    """
+    order = W.partitionBy("group", "component", "ring").orderBy("nth")
+    back = lambda c: F.coalesce(F.lag(c).over(order), F.last(c).over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    turns = points.withColumns({"pr": back("r"), "pc": back("c")}).where((F.col("r") - F.col("pr") != F.col("r2") - F.col("r")) | (F.col("c") - F.col("pc") != F.col("c2") - F.col("c")))
+    xy = F.array(F.lit(west) + F.col("c") * cell, F.lit(north) - F.col("r") * cell)
+    area = F.sum((F.col("c") * F.col("r2") - F.col("c2") * F.col("r")) / 2)
+    hole = points.groupBy("group", "component", "ring").agg((area < 0).alias("hole"))
+    rings = turns.groupBy("group", "component", "ring").agg(F.sort_array(F.collect_list(F.struct("nth", xy.alias("xy")))).alias("p")).join(hole, ["group", "component", "ring"])
+    closed = F.transform(F.concat("p", F.slice("p", 1, 1)), lambda p: p["xy"])
+    whole = rings.groupBy("group", "component").agg(F.sort_array(F.collect_list(F.struct("hole", "ring", closed.alias("points")))).alias("rings"))
+    shape = F.struct(F.lit("Polygon").alias("type"), F.transform("rings", lambda r: r["points"]).alias("coordinates"))
+    return whole.select("group", "component", F.to_json(shape).alias("geometry"))
 
 
 def enclosed(cells: DataFrame, width: int, height: int, unknown: str = "raw = -96", cutoff: float = 40.0) -> DataFrame:

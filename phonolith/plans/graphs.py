@@ -44,7 +44,15 @@ select l.source "group", l.component, sum(4 - (select count(*) from l m where m.
 def _(cells):
     rings = op.outlines(op.components(quiet(cells), 120))
     sign = F.when(F.col("hole"), -1.0).otherwise(1.0)
-    return rings.groupBy("group", "component").agg(F.sum(F.size("points")).alias("sides"), F.sum(sign * F.col("area")).alias("area"))
+    return rings.groupBy("group", "component").agg(F.sum("sides").alias("sides"), F.sum(sign * F.col("area")).alias("area"))
+
+
+@query("rs3_outline_polygons", CELLS)
+def _(cells):
+    """Components of four cells and more as GeoJSON, in metres from the grid's corner."""
+    labelled = op.components(quiet(cells), 120)
+    large = labelled.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").drop("n")
+    return op.geojson(op.ring_points(labelled.join(large, ["group", "component"])))
 
 
 @query("rs4_enclosed_unknown", CELLS)
