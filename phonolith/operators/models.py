@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from phonolith.sources.scratch import folder, removed, written
+
 
 def standardise(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, dict[str, tuple[float, float]]]:
     """Columns less their mean over their standard deviation (1 where it is 0), and the two for each; nulls stay."""
@@ -38,45 +40,95 @@ def _terms(x: np.ndarray, y: np.ndarray, below: np.ndarray, w: np.ndarray, beta:
     return float(w @ like), score.T @ w, (score * w[:, None]).T @ score
 
 
-def censored_regression(df: DataFrame, features: Sequence[str], level: str, below: str, weight: str, floor: float | None = None, steps: int = 25, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Coefficients (constant first) and standard deviation; with a floor the mean is floor + softplus(x b).
+def _sums(own: DataFrame, beta: np.ndarray, log_sd: float, floor: float | None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Likelihood, gradient and outer products of scores over all rows: sums by partition, then one small row to the driver."""
+    k = len(beta) + 1
 
-    Each step sums the likelihood, its gradient and the scores' outer products by partition; only those sums reach the
-    driver, which takes a step by the outer-product approximation and halves it until the likelihood does not fall.
-    """
-    k = len(features) + 2
-    own = df.select(F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features]).alias("x"), F.col(level).cast("double").alias("y"), F.col(below).alias("below"), F.col(weight).cast("double").alias("w")).dropna(subset=["y"]).cache()
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = np.zeros(1 + k + k * k)
+        for pdf in batches:
+            if len(pdf):
+                a, g, h = _terms(np.stack(pdf.x), pdf.y.to_numpy(), pdf.below.to_numpy(bool), pdf.w.to_numpy(), beta, log_sd, floor)
+                out += np.concatenate([[a], g, h.ravel()])
+        yield pd.DataFrame({"i": np.arange(len(out)), "v": out})
+
+    sums = own.mapInPandas(work, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas().v.to_numpy()
+    return sums[0], sums[1 : 1 + k], sums[1 + k :].reshape(k, k)
+
+
+def _free_step(at: np.ndarray, gradient: np.ndarray, products: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A step of the outer-product approximation over the coefficients that no bound holds; those that it would push past one stay."""
+    free = ~((at <= low) & (gradient < 0) | (at >= high) & (gradient > 0))
+    step = np.zeros(len(at))
+    if free.any():
+        step[free] = np.linalg.solve(products[np.ix_(free, free)] + 1e-6 * np.eye(free.sum()), gradient[free])
+    return step
 
-    def total(beta: np.ndarray, log_sd: float) -> tuple[float, np.ndarray, np.ndarray]:
-        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out = np.zeros(1 + k + k * k)
-            for pdf in batches:
-                if len(pdf):
-                    a, g, h = _terms(np.stack(pdf.x), pdf.y.to_numpy(), pdf.below.to_numpy(bool), pdf.w.to_numpy(), beta, log_sd, floor)
-                    out += np.concatenate([[a], g, h.ravel()])
-            yield pd.DataFrame({"i": np.arange(len(out)), "v": out})
 
-        sums = own.mapInPandas(work, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").toPandas().v.to_numpy()
-        return sums[0], sums[1 : 1 + k], sums[1 + k :].reshape(k, k)
+def censored_regression(
+    df: DataFrame, features: Sequence[str], level: str, below: str, weight: str, floor: float | None = None, steps: int = 25, tolerance: float = 1e-6,
+    bounds: dict[str, tuple[float | None, float | None]] | None = None,
+) -> tuple[np.ndarray, float]:
+    """Coefficients (constant first) and standard deviation; with a floor the mean is floor + softplus(x b).
 
+    bounds: least and greatest coefficient by feature (None: free). Each step sums the likelihood, its gradient and the
+    scores' outer products by partition; only those sums reach the driver. It takes a step over the coefficients that no
+    bound holds back (the active set is chosen anew each time), brings what leaves the bounds back onto them, and halves the
+    step until the likelihood does not fall. Rows are written once and read by every step. The logarithm of the deviation
+    stays within -5 and 5. Rows without a level, a feature or a positive weight raise ValueError, as do bounds that cross.
+    """
+    home = folder(df.sparkSession)
+    own = df.select(F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features]).alias("x"), F.col(level).cast("double").alias("y"), F.col(below).alias("below"), F.col(weight).cast("double").alias("w"))
+    own = written(own, home)
+    if not own.where("y is null or isnan(y) or below is null or not coalesce(w > 0, false) or exists(x, v -> v is null or isnan(v))").isEmpty():
+        raise ValueError("every row needs a level, features and a positive weight")
+    limit = [(bounds or {}).get(f, (None, None)) for f in features]
+    low = np.array([-np.inf, *(-np.inf if a is None else a for a, _ in limit), -5.0])
+    high = np.array([np.inf, *(np.inf if b is None else b for _, b in limit), 5.0])
+    if (low > high).any():
+        raise ValueError("a least coefficient is above the greatest")
     mean, sd = own.agg(F.avg("y"), F.stddev_pop("y")).first()
-    beta, log_sd = np.zeros(k - 1), math.log(sd or 1.0)
-    beta[0] = mean if floor is None else math.log(math.expm1(max(mean - floor, 0.1)))
-    at = total(beta, log_sd)
+    at = np.zeros(len(low))
+    at[0] = (mean or 0.0) if floor is None else math.log(math.expm1(max((mean or 0.0) - floor, 0.1)))
+    at[-1] = math.log(sd or 1.0)
+    at = np.clip(at, low, high)
+    now = _sums(own, at[:-1], at[-1], floor)
     for _ in range(steps):
-        step, size = np.linalg.solve(at[2] + 1e-6 * np.eye(k), at[1]), 1.0
+        step, size = _free_step(at, now[1], now[2], low, high), 1.0
         while size > 1e-3:
-            new = total(beta + size * step[:-1], log_sd + size * step[-1])
-            if new[0] >= at[0]:
+            there = np.clip(at + size * step, low, high)
+            new = _sums(own, there[:-1], there[-1], floor)
+            if new[0] >= now[0]:
                 break
             size /= 2
         else:
             break
-        beta, log_sd, gain, at = beta + size * step[:-1], log_sd + size * step[-1], new[0] - at[0], new
-        if gain < tolerance * abs(at[0]):
+        gain, at, now = new[0] - now[0], there, new
+        if gain <= tolerance * abs(now[0]):
             break
-    own.unpersist()
-    return beta, math.exp(log_sd)
+    removed(df.sparkSession, home)
+    return at[:-1], math.exp(at[-1])
+
+
+def held_out(df: DataFrame, by: str, features: Sequence[str], level: str, below: str, weight: str, cutoff: Column, floor: float | None = None, most: int = 64, **fit) -> DataFrame:
+    """Predictions of every row by a model that was fitted without its group: leave one group out, for each group.
+
+    Scaling is taken from the rows that the fit sees. Every group costs a fit over the others, so more than `most` raise
+    ValueError; groups without an observed row keep their predictions. Rows without a group are in no fit and get none.
+    """
+    home = folder(df.sparkSession)
+    own = written(df.where(F.col(by).isNotNull()), home)  # read by every fit, and by what is returned
+    groups = [r[0] for r in own.select(by).distinct().limit(most + 1).collect()]
+    if len(groups) > most:
+        raise ValueError(f"more than {most} groups")
+    out = None
+    for g in sorted(groups):
+        seen, scale = standardise(own.where(F.col(by) != g), features)
+        beta, sd = censored_regression(seen, features, level, below, weight, floor, **fit)
+        rest = own.where(F.col(by) == g).withColumns({f: (F.col(f) - m) / s for f, (m, s) in scale.items()})
+        held = predict(rest, features, beta, sd, cutoff, floor)
+        out = held if out is None else out.unionByName(held)
+    return out if out is not None else predict(own, features, np.zeros(len(features) + 1), 1.0, cutoff, floor)
 
 
 def least_squares(df: DataFrame, features: Sequence[str], level: str) -> np.ndarray:
