@@ -175,7 +175,7 @@ def error_metrics(df: DataFrame, by: Sequence[str], observed: str, predicted: st
     return own.groupBy(*group).agg(
         F.count(F.lit(1)).alias("n"), (F.sum(w * F.abs("_e")) / F.sum(w)).alias("mae"), F.sqrt(F.sum(w * F.col("_e") * F.col("_e")) / F.sum(w)).alias("rmse"),
         (F.sum(w * F.col("_e")) / F.sum(w)).alias("bias"), F.percentile(F.abs("_e"), F.lit(0.5)).alias("median_ae"), F.percentile(F.abs("_e"), F.lit(0.9)).alias("p90"),
-        (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective_n"), F.corr("_ro", "_rp").alias("spearman"),
+        (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective_n"), F.try_divide(F.covar_pop("_ro", "_rp"), F.stddev_pop("_ro") * F.stddev_pop("_rp")).alias("spearman"),
         *([(F.sum(w * (F.col(chance) - F.col(happened).cast("double")) ** 2) / F.sum(w)).alias("brier")] if chance and happened else []),
     )
 

@@ -11,8 +11,8 @@ from phonolith.sources import fixtures as fx
 
 #: Stars around 25 places; every second has a hole, every fourth an island in it.
 SHAPES = """
-select n_nationkey polygon_id, ring, seq, cast(533000 + mod(n_nationkey * 7919, 14000) + floor(cos(6.283185307179586 * seq / corners) * (size + mod(n_nationkey * 97 + seq * 53, half))) as double) x,
-  cast(173000 + mod(n_nationkey * 104729, 14000) + floor(sin(6.283185307179586 * seq / corners) * (size + mod(n_nationkey * 97 + seq * 53, half))) as double) y
+select n_nationkey polygon_id, ring, seq, cast(533000 + mod(n_nationkey * 7919, 14000) + floor(cos(6.283185307179586 * seq / corners) * (size + mod(n_nationkey * 97 + seq * 53, half)) + 0.25) as double) x,
+  cast(173000 + mod(n_nationkey * 104729, 14000) + floor(sin(6.283185307179586 * seq / corners) * (size + mod(n_nationkey * 97 + seq * 53, half)) + 0.25) as double) y
 from {nation} cross join (values (0, 12, 900, 1200), (1, 6, 300, 250), (2, 4, 60, 90)) r(ring, corners, size, half) cross join (values (0),(1),(2),(3),(4),(5),(6),(7),(8),(9),(10),(11)) s(seq)
 where seq < corners and (ring = 0 or ring = 1 and mod(n_nationkey, 2) = 0 or ring = 2 and mod(n_nationkey, 4) = 0)
 """
