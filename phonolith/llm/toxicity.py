@@ -7,15 +7,15 @@ Toxic and ordinary text each have a bigram model of their own, a distribution ov
     P(w | h)   = max(n(h, w) - D, 0) / n(h) + D t(h) / n(h) P(w)           interpolated Kneser-Ney over both classes
     P(w)       = max(t(w) - D, 0) / t + D words / t / (words + 1)          shared continuation counts
 
-n' are the class's counts scaled so that both classes are equally large; A is a share of that size, so that what is rare
+n' are the class's counts scaled so that both classes are equally large; A is a number of occurrences, so that what is rare
 in a class is left to the backoff; L_c and Z_c make sums 1. r_c(w) is the class's rate of a word against the shared
 one, with KAPPA occurrences of prior. A text's score is its log-likelihood under the toxic less that under the ordinary
 model, by length, calibrated on labelled texts that were not counted.
 
 Where both counts of a bigram are within A, shared probabilities cancel: its ratio is a number of the context plus a
-number of the word. So the model is a table of words, which grows with the labelled text, and the few bigrams above A, at
-most 1 / SHARE of each class. The most frequent words and those bigrams go out with the tasks; all other words of the
-texts are joined to the table.
+number of the word. So the model is a table of words and a table of the bigrams above A, which both grow with the labelled
+text. Frequent words, by their share of all words, go out with the tasks, as do the bigrams while they are few; all other
+words of the texts, and bigrams beyond that, are joined to the tables.
 """
 
 from __future__ import annotations
@@ -32,12 +32,14 @@ from phonolith.llm.common import Scratch, broadcast_if_small, fold, word_hashes
 from phonolith.llm.quality import isotonic
 
 DISCOUNT = 0.75
-#: The classes' own discount A: a share of the smaller class's number of words, and this many occurrences at least.
-SHARE, LEAST = 2e-5, 20.0
+#: The classes' own discount A, in occurrences: the same however much text there is, so bigrams of a class grow with it.
+OWN_DISCOUNT = 20.0
 #: Occurrences that a class's rate of a word starts from: the more, the nearer a rare word's rate is to 1.
 KAPPA = 2.0
-#: Words that go out with the tasks: the most frequent ones, at most so many.
-HEAD = 1 << 18
+#: A word is frequent if it makes up this share of all words or more, whatever else the vocabulary holds; so no more than its inverse are.
+FREQUENT = 2.0**-20
+#: Bigrams above A that go out with the tasks; where there are more, they are joined.
+SENT_BIGRAMS = 1 << 20
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 #: One in so many labelled texts is not counted but calibrates ...
@@ -105,9 +107,11 @@ class Models:
     #: What every text adds, and what a word adds that was never counted.
     once: float
     unseen: float
-    #: Keys and numbers of the most frequent words, and keys and corrections of bigrams above the classes' own discount.
+    #: Keys and numbers of the frequent words.
     head: tuple[np.ndarray, np.ndarray]
-    strong: tuple[np.ndarray, np.ndarray]
+    #: The written table (key, v) of corrections of bigrams above the classes' own discount, and what of it goes out with the tasks: all or nothing.
+    bigrams: DataFrame
+    strong: tuple[np.ndarray, np.ndarray] | None
 
 
 def _sorted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +129,7 @@ def train(scratch: Scratch, known: DataFrame) -> Models | None:
     if not n0 or not n1:
         return None
     sizes, least = (n0, n1), min(n0, n1)
-    own_discount, spread = max(LEAST, SHARE * least), DISCOUNT * n_words / t / (n_words + 1)
+    own_discount, spread = OWN_DISCOUNT, DISCOUNT * n_words / t / (n_words + 1)
     rates = [(F.col(f"u{c}") + KAPPA) / ((F.col("u0") + F.col("u1")) * F.lit(sizes[c] / (n0 + n1)) + KAPPA) for c in (0, 1)]
     continuation = F.greatest(F.col("t") - DISCOUNT, F.lit(0.0)) / t + spread
     rated = words.select("word", (F.col("u0") + F.col("u1")).alias("n"), continuation.alias("p"), *[r.alias(f"r{c}") for c, r in enumerate(rates)])
@@ -148,23 +152,17 @@ def train(scratch: Scratch, known: DataFrame) -> Models | None:
     table = scratch.keep(table.select("key", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("f", F.lit(0.0)).alias("f"), F.coalesce("g", F.lit(unseen)).alias("g")), "model")
     edges = {r.key: r for r in table.where(F.col("key").isin(int(START), int(END))).collect()}
     by_word = table.where(~F.col("key").isin(int(START), int(END))).select("key", "n", (F.col("f") + F.col("g")).alias("v"))
-    step = F.floor(16 * F.log2(F.greatest("n", F.lit(1)))).cast("int")  # words by steps of their number, some hundred rows
-    taken, least_step = 0, 1 << 30
-    for at, words_there in sorted(by_word.groupBy(step.alias("step")).count().collect(), reverse=True):
-        taken += words_there
-        if taken > HEAD:
-            break
-        least_step = at
-    head = _sorted(by_word.where(step >= least_step).select("key", "v").toArrow())
-
-    above = F.broadcast(pairs.where((scaled[0] > own_discount) | (scaled[1] > own_discount)))  # at most 1 / SHARE bigrams a class
-    strong = rated.join(above, "word").select("context", "word", "n0", "n1", "p", "r0", "r1")
-    strong = contexts.join(F.broadcast(strong), "context")
+    head = _sorted(by_word.where(F.col("n") >= max(1.0, FREQUENT * (n0 + n1))).select("key", "v").toArrow())
+
+    above = scratch.keep(pairs.where((scaled[0] > own_discount) | (scaled[1] > own_discount)), "above")
+    n_above = above.count()
+    strong = rated.join(broadcast_if_small(above, n_above), "word").select("context", "word", "n0", "n1", "p", "r0", "r1")
+    strong = contexts.join(broadcast_if_small(strong, n_above), "context")
     shared = left / F.col("h") + F.col("back") * F.col("p")
     likely = [F.when(F.col(f"q{c}") > 0, F.greatest(scaled[c] - own_discount, F.lit(0.0)) / F.col(f"q{c}")).otherwise(0.0) + F.col(f"o{c}") * shared * F.col(f"r{c}") / F.col(f"z{c}") for c in (0, 1)]
-    strong = _sorted(strong.select(bigram_key("context", "word").alias("key"), (F.log(likely[1] / likely[0]) - f - g).alias("v")).toArrow())
-    scratch.drop("pairs", "words", "contexts")
-    return Models(by_word.select("key", "v"), edges[int(START)].g + edges[int(END)].f, unseen, head, strong)
+    bigrams = scratch.keep(strong.select(bigram_key("context", "word").alias("key"), (F.log(likely[1] / likely[0]) - f - g).alias("v")), "bigrams")
+    scratch.drop("pairs", "words", "contexts", "above")
+    return Models(by_word.select("key", "v"), edges[int(START)].g + edges[int(END)].f, unseen, head, bigrams, _sorted(bigrams.toArrow()) if n_above <= SENT_BIGRAMS else None)
 
 
 def _looked_up(keys: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -181,22 +179,26 @@ def ratios(scratch: Scratch, docs: DataFrame, models: Models) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((models.head, models.strong))
     once = models.once
 
-    @F.arrow_udf("n long, total double, usual double, others array<long>")
+    @F.arrow_udf("n long, total double, usual double, others array<long>, steps array<long>")
     def looked_up(texts: pa.Array) -> pa.Array:
         head, strong = sent.value
         out: list[tuple] = []
         for text in texts:
             words = words_of(text)
             found, values = _looked_up(words, head)
-            _, corrections = _looked_up(bigram_keys(*steps_of(words)), strong)
-            out.append((len(words), once + values.sum() + corrections.sum(), np.median(values) if len(values) else 0.0, words[~found].view(np.int64)))
-        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["n", "total", "usual", "others"])
+            keys = bigram_keys(*steps_of(words)) if len(words) else np.zeros(0, np.uint64)
+            corrections = _looked_up(keys, strong)[1] if strong is not None else np.zeros(0)
+            out.append((len(words), once + values.sum() + corrections.sum(), np.median(values) if len(values) else 0.0, words[~found].view(np.int64), keys.view(np.int64) if strong is None else None))
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["n", "total", "usual", "others", "steps"])
 
     scanned = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", looked_up("text").alias("s"))
     scanned = scratch.keep(scanned.select("row", "doc_id", "s.*"), "scanned")
     asked = scanned.select("row", F.explode("others").alias("key"))
-    answers = asked.join(models.words, "key").groupBy("row").agg(F.sum("v").alias("more"), F.count(F.lit(1)).alias("known"))
+    answers = asked.join(models.words, "key").select("row", "v", F.lit(1).alias("word"))
+    if models.strong is None:
+        answers = answers.unionByName(scanned.select("row", F.explode("steps").alias("key")).join(models.bigrams, "key").select("row", "v", F.lit(0).alias("word")))
+    answers = answers.groupBy("row").agg(F.sum("v").alias("more"), F.sum("word").alias("known"))
     joined = scanned.select("row", "doc_id", "n", "total", "usual", F.size("others").alias("asked")).join(answers, "row", "left")
     total = F.col("total") + F.coalesce("more", F.lit(0.0)) + F.lit(models.unseen) * (F.col("asked") - F.coalesce("known", F.lit(0)))
     return joined.select("doc_id", F.when(F.col("n") > 0, total / (F.col("n") + 1)).alias("llr"), "usual")
@@ -236,7 +238,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
     found, calibrated = None, None
     if models is not None:
         found = scratch.keep(ratios(scratch, own, models), "ratios")
-        scratch.drop("scanned", "model")
+        scratch.drop("scanned", "model", "bigrams")
         cut = int(1_000_000 * min(1.0, CALIBRATION_ROWS * CALIBRATES / max(1, rows)))
         held = known.where("calibrates").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < cut).drop("calibrates")
         seen = found.join(F.broadcast(held), "doc_id").where("llr is not null").select("llr", "usual", "label").toArrow()

@@ -295,11 +295,12 @@ def test_toxicity_finds_marked_words(spark):
     assert sum(p == t for p, t in held) / len(held) > 0.97
 
 
-def test_toxicity_against_brute_force_on_strings(spark, monkeypatch):
-    """Each class's probabilities sum to 1 after every context, and llr is the mean of their log ratios, with words and bigrams above and below each bound."""
-    monkeypatch.setattr(toxicity, "SHARE", 2e-3)
-    monkeypatch.setattr(toxicity, "LEAST", 0.5)
-    monkeypatch.setattr(toxicity, "HEAD", 20)
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_toxicity_against_brute_force_on_strings(spark, monkeypatch, sent):
+    """Each class's probabilities sum to 1 after every context, and llr is the mean of their log ratios, with words and bigrams above and below each bound, sent or joined."""
+    monkeypatch.setattr(toxicity, "OWN_DISCOUNT", 5.0)
+    monkeypatch.setattr(toxicity, "FREQUENT", 0.004)
+    monkeypatch.setattr(toxicity, "SENT_BIGRAMS", sent)
     rng = random.Random(3)
     texts = {i: " ".join([*words(i, 8), *(f"rare{rng.randrange(200)} w{i}x{j}" for j in range(60)), *(["vile", "deed"] * 3 if i % 3 == 0 else ["good", "deed"])]) for i in range(90)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
@@ -329,7 +330,7 @@ def test_toxicity_against_brute_force_on_strings(spark, monkeypatch):
     def distribution(h, c):
         z = sum(shared(h, w) * r[c][w] for w in vocabulary)
         own = {w: pair[c][h, w] * least / totals[c] for w in vocabulary}
-        size, a = sum(own.values()), toxicity.SHARE * least
+        size, a = sum(own.values()), toxicity.OWN_DISCOUNT
         rest = sum(min(x, a) for x in own.values()) / size if size else 1.0
         return {w: (max(own[w] - a, 0) / size if size else 0) + rest * shared(h, w) * r[c][w] / z for w in vocabulary}
 
