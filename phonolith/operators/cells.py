@@ -230,6 +230,33 @@ def availability(cells: DataFrame, qualification: DataFrame) -> DataFrame:
     return own.withColumn("availability", kind).rollup("source", "qualification", "availability").agg(F.count(F.lit(1)).alias("n"))
 
 
+def reconciled(table: DataFrame, expected: DataFrame, by: Sequence[str], group: str, n: str = "n") -> DataFrame:
+    """A rolled-up table whose totals are proved: every subtotal is the sum of its parts, and each group's total is the expected one.
+
+    table: columns `by` in the order of the rollup (null: all), n; expected: group, cells. A total that fails raises an error
+    when the row is read. Values of `by` must not be null themselves.
+    """
+    out = table
+    for i in range(len(by)):
+        above, here = list(by[:i]), by[i]
+        rest = F.lit(True)
+        for c in by[i + 1 :]:
+            rest = rest & F.col(c).isNull()
+        parts = table.where(F.col(here).isNotNull() & rest).groupBy(*above).agg(F.sum(n).alias("_parts"))
+        is_total = F.col(here).isNull() & rest
+        for c in above:
+            is_total = is_total & F.col(c).isNotNull()
+        joined = out.join(parts, above, "left") if above else out.crossJoin(F.broadcast(parts))  # one row: the sum of all
+        wrong = is_total & ~F.col(n).eqNullSafe(F.col("_parts"))
+        out = joined.withColumn(n, F.when(wrong, F.raise_error(F.concat(F.lit("a total is not the sum of its parts at "), F.lit(here))).cast("long")).otherwise(F.col(n))).drop("_parts")
+    whole = F.col(group).isNotNull()
+    for c in by:
+        whole = whole & (F.lit(True) if c == group else F.col(c).isNull())
+    out = out.join(expected.select(F.col(group).alias("_group"), F.col("cells").alias("_cells")), F.col(group) == F.col("_group"), "left")
+    failed = F.raise_error(F.concat(F.lit("cells do not add up in "), F.col(group))).cast("long")
+    return out.withColumn(n, F.when(whole & ~F.col(n).eqNullSafe(F.col("_cells")), failed).otherwise(F.col(n))).select(*by, n)
+
+
 def band_qualification(states: DataFrame, depends: DataFrame) -> DataFrame:
     """Qualification of a derived band from its sources' states: rejected withholds it, outside limits it."""
     severity = F.when(F.col("state") == "rejected", 2).when(F.col("state") == "outside", 1).otherwise(0)

@@ -178,13 +178,20 @@ def ring_points(labelled: DataFrame) -> DataFrame:
     return placed.join(begins, [*key, "run"]).select(*key, "ring", (F.col("begin") + F.col("place")).alias("nth"), F.col("r1").alias("r"), F.col("c1").alias("c"), "r2", "c2")
 
 
-def outlines(labelled: DataFrame) -> DataFrame:
-    """group, component, ring, sides, area and hole of every ring: sums over its edges, so that no ring is put together."""
+def ring_sums(points: DataFrame) -> DataFrame:
+    """group, component, ring, sides, area and hole of every ring of ring_points: sums over its edges, so that no ring is put together."""
     each = (F.col("c") * F.col("r2") - F.col("c2") * F.col("r")) / 2
-    rings = ring_points(labelled).groupBy("group", "component", "ring").agg(F.count(F.lit(1)).alias("sides"), F.sum(each).alias("signed"))
+    rings = points.groupBy("group", "component", "ring").agg(F.count(F.lit(1)).alias("sides"), F.sum(each).alias("signed"))
     return rings.select("group", "component", "ring", "sides", F.abs("signed").alias("area"), (F.col("signed") < 0).alias("hole"))
 
 
+def outlines(labelled: DataFrame) -> DataFrame:
+    """ring_sums and the points of every ring as one array, for what is to be exported; ring_points has them as rows."""
+    points = ring_points(labelled)
+    gathered = points.groupBy("group", "component", "ring").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "r", "c"))), lambda p: F.array(p["r"], p["c"])).alias("points"))
+    return ring_sums(points).join(gathered, ["group", "component", "ring"])
+
+
 def geojson(points: DataFrame, cell: float = 10.0, west: float = 0.0, north: float = 0.0) -> DataFrame:
     """group, component and its outline as a GeoJSON polygon: the outer ring, then holes by number; x grows with columns, y falls with rows.
 

@@ -180,6 +180,26 @@ def error_metrics(df: DataFrame, by: Sequence[str], observed: str, predicted: st
     )
 
 
+def sliced_errors(df: DataFrame, slices: Sequence[str], observed: str, predicted: str, weight: str) -> DataFrame:
+    """Errors of every slice, each value of each column of `slices`, and of all rows, in one pass by grouping sets.
+
+    `slice` names the column (all: every row) and `value` its value as text; a null value is a value like others.
+    """
+    e, w = F.col("_e"), F.col(weight)
+    own = df.withColumn("_e", F.col(predicted) - F.col(observed)).select("_e", weight, *[F.col(c).cast("string").alias(c) for c in slices])
+    sets = [[F.col(c)] for c in slices] + [[]]
+    out = own.groupingSets(sets, *slices).agg(
+        F.grouping_id().alias("_set"), F.count(F.lit(1)).alias("n"), (F.sum(w * F.abs(e)) / F.sum(w)).alias("mae"), F.sqrt(F.sum(w * e * e) / F.sum(w)).alias("rmse"), (F.sum(w * e) / F.sum(w)).alias("bias"),
+        F.percentile(F.abs(e), F.lit(0.9)).alias("p90"),
+    )
+    last = len(slices) - 1  # a bit is set for each column that a set leaves out
+    kept = lambda i: F.col("_set").bitwiseAND(F.lit(1 << (last - i))) == 0
+    name, value = F.lit("all"), F.lit(None).cast("string")
+    for i, c in reversed(list(enumerate(slices))):
+        name, value = F.when(kept(i), F.lit(c)).otherwise(name), F.when(kept(i), F.col(c)).otherwise(value)
+    return out.select(name.alias("slice"), value.alias("value"), "n", "mae", "rmse", "bias", "p90")
+
+
 def calibration(df: DataFrame, by: Sequence[str], chance: str, happened: str, key: str, bins: int = 10) -> DataFrame:
     """Equal-count bins of a predicted chance with what was predicted and what happened."""
     tile = F.ntile(bins).over(W.partitionBy(*by).orderBy(chance, key))

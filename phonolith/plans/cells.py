@@ -278,6 +278,16 @@ def _(cells: DataFrame) -> DataFrame:
     return op.availability(cells, states_of(cells).select("tile_row", "tile_col", "source", F.col("state").alias("qualification")))
 
 
+@query("ag12_reconciled_availability", CELLS, "with " + READ + ", " + STATES + """
+select source, state qualification, case status when 'reported_model_value' then 'value' when 'verified_below_cutoff' then 'below' else 'missing' end availability, count(*) n
+from c join st using (source) where st.tile_row = row_i // 10 and st.tile_col = col_i // 10 group by rollup (source, qualification, availability)""")
+def _(cells: DataFrame) -> DataFrame:
+    """The cross-table with its subtotals held against the cells of each source."""
+    table = op.availability(cells, states_of(cells).select("tile_row", "tile_col", "source", F.col("state").alias("qualification")))
+    expected = cells.groupBy("source").agg(F.count(F.lit(1)).alias("cells"))
+    return op.reconciled(table, expected, ["source", "qualification", "availability"], "source")
+
+
 @query("ag13_band_qualification", CELLS, "with " + STATES + """, d(source, band) as (values ('road', 'road_rail_upper'), ('rail', 'road_rail_upper'), ('aircraft', 'airport_lower'), ('road', 'combined_lower'), ('rail', 'combined_lower'), ('aircraft', 'combined_lower'))
 select tile_row, tile_col, band, case max(case state when 'rejected' then 2 when 'outside' then 1 else 0 end) when 2 then 'withheld' when 1 then 'limited' else 'qualified' end qualification
 from st join d using (source) group by 1, 2, 3""")

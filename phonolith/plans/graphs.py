@@ -42,7 +42,7 @@ def _(cells):
 select l.source "group", l.component, sum(4 - (select count(*) from l m where m.source = l.source and m.component = l.component and abs(m.cell // 120 - l.cell // 120) + abs(m.cell % 120 - l.cell % 120) = 1))::bigint sides,
   count(*)::double area from l group by 1, 2""")
 def _(cells):
-    rings = op.outlines(op.components(quiet(cells), 120))
+    rings = op.ring_sums(op.ring_points(op.components(quiet(cells), 120)))
     sign = F.when(F.col("hole"), -1.0).otherwise(1.0)
     return rings.groupBy("group", "component").agg(F.sum("sides").alias("sides"), F.sum(sign * F.col("area")).alias("area"))
 

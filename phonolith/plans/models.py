@@ -37,6 +37,15 @@ def _(rows):
     return out.withColumns({c: F.round(c, 6) for c in out.columns if c not in ("band", "n")})
 
 
+@query("ag31_error_slices", ROWS, """
+with r as (select *, predicted - observed e, region::varchar r1, (floor(observed / 10) * 10)::bigint::varchar r2, (weight >= 3)::varchar r3 from {t} x),
+l as (select 'region' slice, r1 "value", e, weight from r union all select 'band', r2, e, weight from r union all select 'heavy', r3, e, weight from r union all select 'all', null, e, weight from r)
+select slice, "value", count(*) n, round(sum(weight * abs(e)) / sum(weight), 6) mae, round(sqrt(sum(weight * e * e) / sum(weight)), 6) rmse, round(sum(weight * e) / sum(weight), 6) bias, round(quantile_cont(abs(e), 0.9), 6) p90 from l group by 1, 2""")
+def _(rows):
+    own = rows.withColumns({"band": (F.floor(F.col("observed") / 10) * 10).cast("long"), "heavy": F.col("weight") >= 3})
+    return op.sliced_errors(own, ["region", "band", "heavy"], "observed", "predicted", "weight").withColumns({c: F.round(c, 6) for c in ("mae", "rmse", "bias", "p90")})
+
+
 @query("ag32_calibration_bins", ROWS, """
 with r as (select *, ntile(10) over (partition by region order by predicted, "key")::int bin from {t} x)
 select region, bin, count(*) n, round(avg(predicted), 6) predicted, round(avg((observed > 30)::int), 6) observed from r group by 1, 2""")

@@ -70,12 +70,33 @@ def weather(lines: DataFrame) -> DataFrame:
     )
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(tile, band, status, sha256) from a nested JSON manifest {tiles: {id: {bands: {name: {status, sha256}}}}}."""
+def strict_json(text: Column) -> Column:
+    """A JSON text as a VARIANT; a key that repeats within an object, or text that is no JSON, is an error."""
+    return F.parse_json(text)
+
+
+def sorted_json(text: Column) -> Column:
+    """The same JSON with the keys of every object in order and no spaces: equal for equal content, so that it can be hashed."""
+    return F.to_json(strict_json(text))
+
+
+def manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(tile, band, status, sha256) of manifests: see identified_manifests."""
+    return identified_manifests(spark, path, lines).drop("digest")
+
+
+def identified_manifests(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(tile, band, status, sha256, digest) from nested JSON manifests {tiles: {id: {bands: {name: {status, sha256}}}}}.
+
+    A file is one manifest (lines: a line is). Repeated keys are an error, not the last one's win; digest is of the whole
+    manifest, whatever the order of its keys. A manifest without tiles is an error.
+    """
     schema = "tiles map<string, struct<bands: map<string, struct<status: string, sha256: string>>>>"
-    read = spark.read.json(path, schema=schema, multiLine=True, mode="FAILFAST")
-    tiles = read.select(F.explode("tiles").alias("tile", "t"))
-    return tiles.select("tile", F.explode("t.bands").alias("band", "b")).select("tile", "band", "b.status", "b.sha256")
+    text = spark.read.text(path, wholetext=not lines).where("trim(value) <> ''").select(sorted_json(F.col("value")).alias("whole"))
+    read = text.select(F.sha2("whole", 256).alias("digest"), F.from_json("whole", schema, {"mode": "FAILFAST"}).alias("m"))
+    read = read.select("digest", F.when(F.col("m.tiles").isNotNull(), F.col("m.tiles")).otherwise(F.raise_error(F.lit("a manifest without tiles"))).alias("tiles"))
+    tiles = read.select("digest", F.explode("tiles").alias("tile", "t"))
+    return tiles.select("digest", "tile", F.explode("t.bands").alias("band", "b")).select("tile", "band", "b.status", "b.sha256", "digest")
 
 
 def cells(tiles: DataFrame) -> DataFrame:
