@@ -348,8 +348,9 @@ class _Sets:
         asked = asked.distinct()
         for part in self.parts:
             asked = asked.join(part.select("node"), "node", "left_anti")
-        asked = self.scratch.keep(asked.join(self.nodes.select("node", F.col("doc_id").alias("own_id")), "node"), f"sets-asked-{name}")
-        own = self.text.join(broadcast_if_small(asked, asked.count()), F.col("doc_id").eqNullSafe(F.col("own_id"))).select("node", "text")
+        asked = self.scratch.keep(asked.join(self.nodes.select("node", F.col("doc_id").alias("own_id"), "text_key"), "node"), f"sets-asked-{name}")
+        # by the text's hash as well: texts without an id, or with a repeated one, meet the sets of equal texts only
+        own = self.text.join(broadcast_if_small(asked, asked.count()), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.xxhash64("text") == F.col("text_key"))).select("node", "text")
         self.parts.append(self.scratch.keep(own.mapInArrow(_full_sets, _SETS).dropDuplicates(["node"]), f"sets-{name}"))
         out = self.parts[0]
         for part in self.parts[1:]:
@@ -379,7 +380,7 @@ def near_components(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, Da
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = scratch.keep(text.select("doc_id", F.xxhash64("text").alias("text_key"), sketch("text").alias("s")).select("doc_id", "text_key", "s.*"), "sketches")
     first = sketches.where("n_shingles > 0").groupBy(F.col("set_key").alias("node"))
-    nodes = scratch.keep(first.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    nodes = scratch.keep(first.agg(F.min("doc_id").alias("doc_id"), F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("text_key"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     in_bucket = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     shared = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("weight")).where("n > 1")
     chunks = F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("weight") / WEIGHT)).cast("int")

@@ -147,3 +147,30 @@ def test_large_ids_beside_nulls(spark):
     assert two[big].keep_id == big and two[big].kept and two[big + 2].keep_id == big and not two[big + 2].kept
     near = {r.doc_id: r.component_id for r in nd.near_dedup(spark, docs).collect() if r.doc_id}
     assert near == {big: big, big + 2: big}
+
+
+def test_texts_without_ids_meet_equal_texts_only(spark, monkeypatch):
+    """A third of the rows has no id: each asked set meets the texts that equal its own, and links are those of brute force."""
+    seen = []
+    kept = nd.Scratch.keep
+    monkeypatch.setattr(nd.Scratch, "keep", lambda self, df, name: (seen.append((name, kept(self, df, name))), seen[-1][1])[1])
+    rng = random.Random(8)
+    texts = []
+    for g in range(20):
+        base = [f"w{g}x{rng.randint(0, 400)}" for _ in range(60)]
+        for _ in range(6):
+            t = list(base)
+            t[rng.randrange(60)] = f"e{rng.randint(0, 9)}"
+            texts.append(" ".join(t))
+    rows = [(None if i % 3 == 0 else i, t) for i, t in enumerate(texts)]
+    got = nd.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    roots = components_of(len(texts), jaccard_links(texts))
+    least = {}
+    for i, root in enumerate(roots):
+        if rows[i][0] is not None:
+            least[root] = min(least.get(root, i), i)
+    want = sorted((rows[i][0] or -1, least.get(root, -1)) for i, root in enumerate(roots))
+    assert sorted((r.doc_id or -1, -1 if r.component_id is None else r.component_id) for r in got) == want
+    sets = [df.count() for name, df in seen if name.startswith("sets-") and not name.startswith("sets-asked")]
+    asked = [df.count() for name, df in seen if name.startswith("sets-asked")]
+    assert sets == asked
