@@ -129,9 +129,13 @@ def followed(sides: DataFrame) -> DataFrame:
 
 
 def _runs_of_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Edges of one tile with the run they are in and their place in it; a run begins where the ring comes in, or at the ring's least edge."""
+    """Edges of one tile with the run they are in and their place in it; a run begins where the ring comes in, or at the ring's least edge.
+
+    A directed edge has one cell on its right, so its number tells components apart as well.
+    """
     follow = dict(zip(pdf.edge.tolist(), pdf["next"].tolist(), strict=True))
-    heads = [e for e in follow if e not in set(follow.values())]
+    reached = set(follow.values())
+    heads = [e for e in follow if e not in reached]
     run, place, after = {}, {}, {}
     for start in [*heads, *sorted(follow)]:
         if start in run:
@@ -152,7 +156,7 @@ def ring_points(labelled: DataFrame) -> DataFrame:
     """
     tile = [F.floor(F.col(c) / TILE).cast("long").alias(f"t_{c}") for c in ("r1", "c1")]
     edge = followed(edges(labelled))
-    placed = written(edge.groupBy("group", "component", *tile).applyInPandas(_runs_of_tile, _EDGE + ", run long, place long, after long"))
+    placed = written(edge.groupBy("group", *tile).applyInPandas(_runs_of_tile, _EDGE + ", run long, place long, after long"))
     key = ["group", "component"]
     runs = placed.groupBy(*key, "run").agg(F.first("after").alias("after"), F.count(F.lit(1)).alias("n"))
     spark, home = labelled.sparkSession, folder(labelled.sparkSession)
