@@ -337,7 +337,8 @@ def _solve_patch(pdf: pd.DataFrame) -> pd.DataFrame:
     """Nearest, inverse-distance and harmonic estimates of one patch's hidden cells from the cells around it."""
     hidden, known = pdf[pdf.hidden], pdf[~pdf.hidden & (pdf.raw > 0)]
     if not len(hidden) or not len(known):
-        return pd.DataFrame({"source": [], "patch": [], "row_i": [], "col_i": [], "raw": [], "nearest": [], "idw": [], "harmonic": []})
+        # no rows, but of the right types: an empty column has none of its own, and Arrow does not make text of it
+        return hidden[:0].reset_index()[["source", "patch", "row_i", "col_i", "raw"]].assign(nearest=0.0, idw=0.0, harmonic=0.0)
     hr, hc, kr, kc, kv = (x.to_numpy(float) for x in (hidden.row_i, hidden.col_i, known.row_i, known.col_i, known.raw))
     d2 = (hr[:, None] - kr) ** 2 + (hc[:, None] - kc) ** 2
     order = np.argsort(d2 * 1e6 + kr * 1e3 + kc, axis=1)

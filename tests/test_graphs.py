@@ -154,3 +154,11 @@ def test_enclosed_components_of_every_source(spark):
     got = sorted((r.cells, r.ring_cells, r.size, r.ring) for r in op.enclosed(cells, 20, 20).collect())
     assert got == [(1, 8, "1-4", "lowest_5db_band"), (32, 28, "26-100", "lowest_5db_band")]
     assert [tuple(r) for r in op.inventory(op.enclosed(cells, 20, 20)).orderBy("size").collect()] == [("aircraft", "1-4", "lowest_5db_band", 1, 1), ("aircraft", "26-100", "lowest_5db_band", 1, 32)]
+
+
+def test_patches_without_a_known_cell_around_have_no_estimates(spark):
+    cells = [("road", r, c, 40.0 + r + c) for r in range(4) for c in range(4)] + [("rail", r, c, 50.0 if r in (1, 2) and c in (1, 2) else -96.0) for r in range(4) for c in range(4)]
+    cells = spark.createDataFrame(cells, "source string, row_i long, col_i long, raw double")
+    held = cells.where("row_i in (1, 2) and col_i in (1, 2)").selectExpr("source", "'0:0' as patch", "row_i", "col_i", "raw")
+    got = op.interpolated(cells, held, 2).collect()
+    assert [r.source for r in got] == ["road"] * 4 and all(abs(r.harmonic - r.raw) < 1e-9 for r in got)
