@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phonolith.functions import acoustics as ac
-from phonolith.operators.spatial import ENDS, near_pairs
+from phonolith.operators.spatial import ENDS, back, near_pairs, nearest_of_kind
 
 # Reference air where a station says nothing, and the ranges within which its values count.
 REFERENCE_AIR = {"temperature_c": 10.0, "humidity": 70.0, "pressure_kpa": 101.325}
@@ -52,10 +52,10 @@ def imputed_traffic(links: DataFrame, direct: DataFrame, sources: DataFrame, rea
     middle = F.median("flow")
     by_no = known.where("road_no is not null").groupBy("road_no").agg(middle.alias("no_flow"), F.count(F.lit(1)).alias("no_n"))
     open_links = links.join(direct.select("link_id"), "link_id", "left_anti").join(by_no.select("road_no"), "road_no", "left_anti")
-    points = open_links.select(F.col("link_id"), F.col("road_class"), mid("x1", "x2").alias("x"), mid("y1", "y2").alias("y"))
-    pairs = near_pairs(points, known.select(F.col("link_id").alias("donor"), F.col("road_class").alias("d_class"), "flow", *ENDS), reach).where("d_class = road_class")
-    near = pairs.withColumn("n", F.row_number().over(W.partitionBy("link_id").orderBy("dist", "donor"))).where(F.col("n") <= donors)
-    near = near.groupBy("link_id").agg(middle.alias("near_flow"), F.count(F.lit(1)).alias("near_n"))
+    points = open_links.select("link_id", "road_class", mid("x1", "x2").alias("x"), mid("y1", "y2").alias("y"))
+    rings = [r for r in (reach / 4, reach / 2, reach)]
+    near = nearest_of_kind(points, known.select(F.struct(F.col("link_id"), F.col("flow")).alias("donor"), "road_class", *ENDS), "link_id", "donor", "road_class", donors, rings)
+    near = near.select("link_id", F.explode("near.donor.flow").alias("flow")).groupBy("link_id").agg(middle.alias("near_flow"), F.count(F.lit(1)).alias("near_n"))
     grouped = lambda rows, by, name: F.broadcast(rows.groupBy(*by).agg(middle.alias(f"{name}_flow"), F.count(F.lit(1)).alias(f"{name}_n")))  # noqa: E731  a row per class, or class and area
     everywhere = sources.agg(middle.alias("all_flow"), F.count(F.lit(1)).alias("all_n"))
     out = links.join(direct.withColumnRenamed("flow", "own_flow"), "link_id", "left").withColumn("own_n", F.lit(1).cast("long")).join(by_no, "road_no", "left").join(near, "link_id", "left")
@@ -76,24 +76,26 @@ def one_way_signs(links: DataFrame, evidence: DataFrame, corridor: float = 10.0,
     (by `fine` places along it), each of the probes needs a line, headings must agree, and all signs must be one.
     """
     at = lambda t, a, b: F.col(a) + (F.col(b) - F.col(a)) * t
-    places = links.select("link_id", "road_no", (F.col("x2") - F.col("x1")).alias("lx"), (F.col("y2") - F.col("y1")).alias("ly"), *ENDS)
+    like, own = [*ENDS, "road_no"], [f"l_{c}" for c in ENDS]
+    places = links.select(*like).distinct().withColumns({f"l_{c}": F.col(c) for c in ENDS} | {"lx": F.col("x2") - F.col("x1"), "ly": F.col("y2") - F.col("y1")})
 
     def spread(count: int, first: float, width: float) -> DataFrame:
         t = first + width * F.col("i") / (count - 1)
-        return places.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select("link_id", "road_no", "lx", "ly", "i", at(t, "x1", "x2").alias("x"), at(t, "y1", "y2").alias("y"))
+        return places.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).select(*own, "road_no", "lx", "ly", "i", at(t, "x1", "x2").alias("x"), at(t, "y1", "y2").alias("y"))
 
-    lines = evidence.select("e_id", "e_no", "e_sign", *ENDS)
-    covered = near_pairs(spread(fine, 0.0, 1.0), lines, corridor).where("road_no = e_no").groupBy("link_id").agg((F.countDistinct("i") / fine).alias("covered"))
+    lines, link = evidence.select("e_no", "e_sign", *ENDS).distinct(), [*[F.col(f"l_{c}").alias(c) for c in ENDS], "road_no"]
+    covered = near_pairs(spread(fine, 0.0, 1.0), lines, corridor).where("road_no = e_no").groupBy(*link).agg((F.countDistinct("i") / fine).alias("covered"))
     pairs = near_pairs(spread(probes, 0.05, 0.9), lines, corridor).where("road_no = e_no")
-    pairs = pairs.withColumn("least", F.min("dist").over(W.partitionBy("link_id", "i"))).where(F.col("dist") <= F.col("least") + slack)
+    pairs = pairs.withColumn("least", F.min("dist").over(W.partitionBy(*own, "road_no", "i"))).where(F.col("dist") <= F.col("least") + slack)
     ex, ey = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     both = F.sqrt(F.col("lx") * F.col("lx") + F.col("ly") * F.col("ly")) * F.sqrt(ex * ex + ey * ey)
     cos = (F.col("lx") * ex + F.col("ly") * ey) / F.nullif(both, F.lit(0.0))  # a link or line without length has no heading
-    signs = pairs.withColumn("cos", cos).groupBy("link_id").agg(
+    signs = pairs.withColumn("cos", cos).groupBy(*link).agg(
         F.countDistinct("i").alias("probes"), F.count_if(F.abs("cos") < F.cos(F.radians(F.lit(turn)))).alias("turned"),
         F.min(F.signum("cos") * F.col("e_sign")).alias("low"), F.max(F.signum("cos") * F.col("e_sign")).alias("high"),
     )
-    out = links.select("link_id").join(covered, "link_id", "left").join(signs, "link_id", "left")
+    # a probe that meets a line lies on a cover place's road, but not always within reach of one: both sides are kept
+    out = back(back(links.select("link_id", *like), covered, like, "left"), signs, like, "left")
     reason = (
         F.when(F.col("covered").isNull(), "no_line").when(F.col("covered") < cover, "not_covered").when(F.coalesce("probes", F.lit(0)) < probes, "probe_without_line")
         .when((F.col("turned") > 0) | F.col("low").isNull(), "headings_differ").when(F.col("low") != F.col("high"), "signs_differ").otherwise("supported")
