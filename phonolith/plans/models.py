@@ -8,6 +8,7 @@ from phonolith.operators import models as op
 from phonolith.operators import spatial
 from phonolith.plans.registry import query
 from phonolith.sources import fixtures as fx
+from phonolith.sources.scratch import written
 
 #: Receptors with an exact integer stand-in for a level and a prediction, so that both engines sum the same numbers.
 ROWS = """
@@ -80,14 +81,14 @@ def _(rows):
 
 
 def training(spark, d):
-    """Receptors with two features of their exposure and a level that is censored at 40 dB."""
+    """Receptors with two features of their exposure and a level that is censored at 40 dB; written once, as scaling, fit and prediction all read it."""
     points, links = fx.derived(spark, d, fx.RECEPTORS), fx.derived(spark, d, fx.LINKS)
     near = spatial.exposure(points.select("receptor_id", "x", "y"), links, 2000.0)
     own = points.join(near, "receptor_id").select("receptor_id", "region_id", F.log10(F.col("line_energy") + 1).alias("energy"), F.log10(F.col("nearest") + 10).alias("near"))
     noise = (F.pmod(F.xxhash64("receptor_id"), F.lit(2000)) - 1000) / 250.0
     level = 42.0 + 3.0 * F.col("energy") - 4.0 * F.col("near") + noise
     own = own.withColumn("level", F.round(level, 2))
-    return own.withColumns({"below": F.col("level") < 40, "level": F.greatest("level", F.lit(40.0)), "weight": F.lit(1.0)})
+    return written(own.withColumns({"below": F.col("level") < 40, "level": F.greatest("level", F.lit(40.0)), "weight": F.lit(1.0)}))
 
 
 @query("ml2_ml4_censored_fit")
