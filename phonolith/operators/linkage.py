@@ -60,8 +60,8 @@ def link_counts(
 
     points: point_id, x, y, year, flow, hgv_flow, road_type, road_name, method; lines: link_id, parts (one part), road_class,
     form_of_way, structure, fictitious; occupied: link_id of links with a count of their own. bounds (west, south, east,
-    north) of an extract: a point nearer to them than the search is refused, as its rivals may lie outside. Limits count as
-    kept when met exactly. Several points on one link refuse each other. Repeated or null ids, and occupied links that the
+    north) of an extract: a point nearer to them than the search is refused, as its rivals may lie outside. Limits
+    are held against values to the micrometre, so one met exactly counts as kept whatever the last bit. Several points on one link refuse each other. Repeated or null ids, and occupied links that the
     network lacks, raise ValueError.
     """
     if _repeats(points, "point_id") or _repeats(lines, "link_id"):
@@ -74,9 +74,10 @@ def link_counts(
     physical = lines.where(~F.coalesce("fictitious", F.lit(False)))
     edge = polylines.edges(physical)
     place = F.col("chainage") + F.col("length") * geo.along(F.col("x"), F.col("y"), *[F.col(c) for c in ENDS])
-    pairs = near_pairs(points.where(sound).select("point_id", "x", "y"), edge, search)
+    fine = lambda c: F.round(c, 6)
+    pairs = near_pairs(points.where(sound).select("point_id", "x", "y"), edge, search + 1e-6).where(fine(F.col("dist")) <= search)
     each = pairs.groupBy("point_id", "link_id").agg(F.min(F.struct("dist", place.alias("at"))).alias("best"))
-    order = W.partitionBy("point_id").orderBy("best.dist", "link_id")
+    order = W.partitionBy("point_id").orderBy(fine(F.col("best.dist")), "link_id")
     ranked = each.withColumns({"n": F.row_number().over(order), "next": F.lead("best.dist").over(order), "candidates": F.count(F.lit(1)).over(W.partitionBy("point_id"))}).where("n = 1")
     near = ranked.select("point_id", F.col("link_id").alias("near_id"), F.col("best.dist").alias("dist"), F.col("best.at").alias("at"), (F.col("next") - F.col("best.dist")).alias("margin"), "candidates")
     chosen = physical.join(near.select(F.col("near_id").alias("link_id")).distinct(), "link_id", "left_semi")
@@ -88,14 +89,14 @@ def link_counts(
         facts = facts.withColumn("taken", F.lit(False))
     edge_margin = F.least(F.col("x") - bounds[0], F.lit(bounds[2]) - F.col("x"), F.col("y") - bounds[1], F.lit(bounds[3]) - F.col("y")) if bounds is not None else F.lit(None).cast("double")
     out = points.join(near, "point_id", "left").join(facts.withColumnRenamed("link_id", "near_id"), "near_id", "left")
-    proposed = F.col("dist") <= limit
+    proposed = fine(F.col("dist")) <= limit
     clearance = F.least(F.col("at"), F.col("length") - F.col("at"))
     no = lambda c: ~F.coalesce(c, F.lit(False))
     rules = [
         (no((F.col("year") == year) & sound & (F.col("flow") > 0) & F.col("hgv_flow").between(0, F.col("flow"))), BAD_TRAFFIC),
         (no((F.col("road_type") == "Minor") & F.upper(F.trim("road_name")).isin("C", "U")), BAD_ROAD),
         (no(F.col("method").isin("Counted", "Estimated")), BAD_METHOD), (edge_margin < search, BAD_MARGIN), (no(proposed), NO_ROAD), (no(F.col("road_class") == kind), BAD_CLASS),
-        (no((~F.col("fictitious")) & (F.col("form_of_way") == form) & (F.col("structure") == "") & ~F.col("bent")), BAD_FORM), (F.coalesce("taken", F.lit(False)), OCCUPIED), (clearance < clear, NEAR_END), (F.col("margin") < margin, RIVAL),
+        (no((~F.col("fictitious")) & (F.col("form_of_way") == form) & (F.col("structure") == "") & ~F.col("bent")), BAD_FORM), (F.coalesce("taken", F.lit(False)), OCCUPIED), (fine(clearance) < clear, NEAR_END), (fine(F.col("margin")) < margin, RIVAL),
     ]
     reason = F.coalesce(*(F.when(condition, F.lit(said)) for condition, said in rules), F.lit(ACCEPTED))
     out = out.withColumns({"reason": reason, "clearance": clearance, "network_margin": edge_margin})

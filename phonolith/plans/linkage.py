@@ -36,16 +36,16 @@ c as (select distinct a.link_id from k a join k z on z.link_id = a.link_id and z
   union select a.link_id from k a join k z on z.link_id = a.link_id and z.n = a.n + 1 and (a.x2-a.x1)*(z.y2-a.y1)-(a.y2-a.y1)*(z.x2-a.x1) = 0 and (a.x2-a.x1)*(z.x2-z.x1)+(a.y2-a.y1)*(z.y2-z.y1) < 0),
 t as (select p.point_id, k.*, least(1.0, greatest(0.0, ((p.x-x1)*(x2-x1)+(p.y-y1)*(y2-y1))/(length*length))) t, p.x, p.y from {P} p join k on not fictitious and abs(p.x - (x1 + x2) / 2) <= 25 + length and abs(p.y - (y1 + y2) / 2) <= 25 + length),
 d as (select *, sqrt(pow(x-(x1+t*(x2-x1)),2)+pow(y-(y1+t*(y2-y1)),2)) dist from t),
-g as (select point_id, link_id, min(dist) dist, first(chainage + t * length order by dist, chainage + t * length) "at", any_value(road_class) road_class, any_value(form_of_way) form_of_way, any_value(structure) structure from d where dist <= 25 group by 1, 2),
-n as (select *, row_number() over o i, lead(dist) over o - dist margin, count(*) over (partition by point_id) candidates from g window o as (partition by point_id order by dist, link_id)),
+g as (select point_id, link_id, min(dist) dist, first(chainage + t * length order by dist, chainage + t * length) "at", any_value(road_class) road_class, any_value(form_of_way) form_of_way, any_value(structure) structure from d where round(dist, 6) <= 25 group by 1, 2),
+n as (select *, row_number() over o i, lead(dist) over o - dist margin, count(*) over (partition by point_id) candidates from g window o as (partition by point_id order by round(dist, 6), link_id)),
 f as (select n.*, least("at", whole - "at") clearance, ring or c.link_id is not null bent, n.link_id % 13 = 0 taken from n join b on b.link_id = n.link_id left join c on c.link_id = n.link_id where i = 1),
 r as (select p.point_id, f.link_id, f.dist, f.clearance, f.margin, coalesce(f.candidates, 0) candidates,
   case when p."year" <> 2021 or p.flow <= 0 or p.hgv_flow < 0 or p.hgv_flow > p.flow then 'invalid_or_wrong_year_traffic' when p.road_type <> 'Minor' or upper(trim(p.road_name)) not in ('C', 'U') then 'unsupported_minor_road_identity'
     when p."method" not in ('Counted', 'Estimated') then 'unqualified_traffic_quality_flag' when least(p.x - {BOUNDS[0]}, {BOUNDS[2]} - p.x, p.y - {BOUNDS[1]}, {BOUNDS[3]} - p.y) < 25 then 'insufficient_network_margin'
-    when f.dist is null or f.dist > 10 then 'no_road_within_distance_limit' when f.road_class <> 'minor' then 'nearest_road_class_incompatible' when f.form_of_way <> 'Single Carriageway' or f.structure <> '' or f.bent then 'carriageway_or_structure_unqualified'
-    when f.taken then 'existing_direct_evidence_protected' when f.clearance < 20 then 'near_link_endpoint_or_junction' when f.margin < 15 then 'competing_road_ambiguous' else 'unique_local_geometric_support' end reason from {P} p left join f on f.point_id = p.point_id),
+    when f.dist is null or round(f.dist, 6) > 10 then 'no_road_within_distance_limit' when f.road_class <> 'minor' then 'nearest_road_class_incompatible' when f.form_of_way <> 'Single Carriageway' or f.structure <> '' or f.bent then 'carriageway_or_structure_unqualified'
+    when f.taken then 'existing_direct_evidence_protected' when round(f.clearance, 6) < 20 then 'near_link_endpoint_or_junction' when round(f.margin, 6) < 15 then 'competing_road_ambiguous' else 'unique_local_geometric_support' end reason from {P} p left join f on f.point_id = p.point_id),
 s as (select *, count(*) filter (reason = 'unique_local_geometric_support') over (partition by link_id) times, reason not in ('invalid_or_wrong_year_traffic', 'unsupported_minor_road_identity', 'unqualified_traffic_quality_flag', 'insufficient_network_margin') searched from r),
-z as (select *, reason = 'unique_local_geometric_support' and times = 1 good, searched and coalesce(dist <= 10, false) shown from s)
+z as (select *, reason = 'unique_local_geometric_support' and times = 1 good, searched and coalesce(round(dist, 6) <= 10, false) shown from s)
 select point_id, case when good then 'accepted_provisional' else 'rejected' end status, case when reason = 'unique_local_geometric_support' and times > 1 then 'multiple_count_points_on_one_link' else reason end reason, case when good then link_id end accepted_link_id,
   case when shown then link_id end proposed_link_id, case when shown then round(dist, 4) end dist, case when shown then round(clearance, 4) end clearance, case when shown then round(margin, 4) end margin, case when searched then candidates end candidates from z""")
 def _(spark, d):

@@ -91,3 +91,23 @@ def test_search_through_the_county(spark):
     for r in sorted(places.search(queries, table).collect(), key=lambda r: (r.query_id, r.rank)):
         found.setdefault(r.query_id, []).append((r.id, r.cost))
     assert found == {1: [(2, 6), (3, 6)], 2: [(2, 3), (3, 3)], 3: [(4, 3)], 5: [(4, 3)]}
+
+
+def test_a_limit_met_exactly_is_kept_whatever_the_last_bit(spark):
+    """A count 3 m beside a line and 20 m from its end: in floating point the 20 m come out a bit short."""
+    import math
+
+    from phonolith.operators import linkage, polylines
+
+    found, n = [], 0
+    rows, points = [], []
+    for dx in range(1, 120, 7):  # lines of many directions, each far from the others
+        length, y = math.hypot(dx, 57), 1000.0 * n
+        ux, uy = dx / length, 57 / length
+        rows += [(n, 0, k, 531000.0 + k * 3 * dx, 171000.0 + y + k * 3 * 57, "minor", "Single Carriageway", "", False) for k in range(2)]
+        points.append((n, 531000.0 + 20 * ux - 3 * uy, 171000.0 + y + 20 * uy + 3 * ux, 2021, 100.0, 1.0, "Minor", "C", "Counted"))
+        n += 1
+    lines = polylines.lines_of(spark.createDataFrame(rows, "link_id long, part int, seq int, x double, y double, road_class string, form_of_way string, structure string, fictitious boolean"), "road_class", "form_of_way", "structure", "fictitious")
+    counts = spark.createDataFrame(points, "point_id long, x double, y double, year int, flow double, hgv_flow double, road_type string, road_name string, method string")
+    found = {r.reason for r in linkage.link_counts(counts, lines).collect()}
+    assert found == {"unique_local_geometric_support"}
