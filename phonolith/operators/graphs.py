@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from phonolith.sources.scratch import folder, removed, written
 
 #: Cells along one side of the tiles that are labelled in one go; a tile is bounded whatever the input.
-TILE = 64
+TILE = 256
 
 
 def _label_tile(pdf: pd.DataFrame, eight: bool) -> pd.DataFrame:
@@ -55,8 +55,9 @@ def components(cells: DataFrame, width: int, eight: bool = False) -> DataFrame:
     look = border.select("group", F.col("local").alias("a"), there.alias("at")).select("group", "a", F.col("at.row_i").alias("row_i"), F.col("at.col_i").alias("col_i"))
     touch = look.join(local.select("group", "row_i", "col_i", F.col("local").alias("b")), ["group", "row_i", "col_i"]).where("a <> b").select("group", "a", "b").distinct()
     both = written(touch.union(touch.select("group", "b", "a")).distinct())
-    label = contracted(both, local.select("group", F.col("local").alias("a")).distinct())
-    return local.join(label.withColumnRenamed("a", "local"), ["group", "local"]).select("group", "row_i", "col_i", F.col("root").alias("component"))
+    # labels that touch no other tile's are their own roots; only the others go through the rounds
+    label = contracted(both, both.select("group", "a").distinct())
+    return local.join(label.withColumnRenamed("a", "local"), ["group", "local"], "left").select("group", "row_i", "col_i", F.coalesce("root", "local").alias("component"))
 
 
 def contracted(both: DataFrame, nodes: DataFrame) -> DataFrame:
