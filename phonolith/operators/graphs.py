@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -260,54 +262,105 @@ def patches(cells: DataFrame, side: int, every: int) -> DataFrame:
     return held.join(whole.select("source", "patch"), ["source", "patch"]).select("source", "patch", "row_i", "col_i", "raw")
 
 
-def _window(column: Column, key: str, reach: int, by: list[str], how=F.max) -> Column:
-    """how of a column over cells at most `reach` away along one axis."""
-    return how(column).over(W.partitionBy("source", *by).orderBy(key).rangeBetween(-reach, reach))
+def _in_tiles(rows: DataFrame, halo: int) -> DataFrame:
+    """rows with (t_r, t_c) of their tile, and again for each tile that they lie at most `halo` cells off; rows and columns count from 0."""
+    near = lambda c: F.sequence(F.floor(F.greatest(F.col(c) - halo, F.lit(0)) / TILE).cast("long"), F.floor((F.col(c) + halo) / TILE).cast("long"))
+    return rows.withColumn("t_r", F.explode(near("row_i"))).withColumn("t_c", F.explode(near("col_i")))
+
+
+def _swept(values: np.ndarray, reach: int, fill, how: np.ufunc) -> np.ndarray:
+    """how of a raster over the square of cells at most `reach` away, rows and columns in turn."""
+    for axis in (0, 1):
+        wide = np.pad(values, [(reach, reach) if k == axis else (0, 0) for k in (0, 1)], constant_values=fill)
+        n = values.shape[axis]
+        values = how.reduce([np.take(wide, range(k, k + n), axis) for k in range(2 * reach + 1)])
+    return values
+
+
+def _candidates_of_tile(key: tuple, pdf: pd.DataFrame, side: int, half: int) -> pd.DataFrame:
+    """Middles of full squares in one tile, whose cells come with a border of `half`, and the highest level on their rings."""
+    source, t_r, t_c = key
+    level = np.full((side + 2 * half, side + 2 * half), -np.inf)
+    there = np.zeros(level.shape, bool)
+    at = pdf.row_i.to_numpy() - t_r * side + half, pdf.col_i.to_numpy() - t_c * side + half
+    level[at], there[at] = pdf.raw.to_numpy(), True
+    inner, steps = slice(half, half + side), range(2 * half + 1)
+    full = _swept(there, half, False, np.logical_and)[inner, inner]
+    along = np.maximum.reduce([level[:, k : k + side] for k in steps])
+    tall = np.maximum.reduce([level[k : k + side] for k in steps])
+    ring = np.maximum.reduce([along[:side], along[2 * half :], tall[:, :side], tall[:, 2 * half :]])
+    r, c = np.nonzero(full)
+    return pd.DataFrame({"source": source, "row_i": r + t_r * side, "col_i": c + t_c * side, "ring_max": ring[r, c]})
 
 
 def candidate_squares(cells: DataFrame, size: int, cutoff: float = 40.0) -> DataFrame:
     """Middles of squares of size x size cells whose cells and one-cell ring are all reported (raw > 0), with their stratum.
 
     The stratum comes from the ring alone: near_reporting_floor if its highest level is within 5 dB of the cutoff. size is
-    odd. Counts and maxima over squares are windows along rows, then along columns, so no cell is copied to its neighbours.
+    odd. Squares are looked for in bounded tiles, so only cells at a tile's border are copied.
     """
-    half = size // 2 + 1
-    own = cells.where("raw > 0").select("source", "row_i", "col_i", "raw")
-    one = F.count(F.lit(1)).over(W.partitionBy("source", "row_i").orderBy("col_i").rangeBetween(-half, half))
-    along = own.withColumns({"full": F.when(one == size + 2, 1).otherwise(0), "level": _window(F.col("raw"), "col_i", half, ["row_i"])})
-    tall = along.withColumns({"rows": _window(F.col("full"), "row_i", half, ["col_i"], F.sum), "tall": _window(F.col("raw"), "row_i", half, ["col_i"])})
-    # the ring: the row-wide maxima above and below, the column-tall maxima left and right
-    far = lambda c, key, by, d: F.first(c).over(W.partitionBy("source", by).orderBy(key).rangeBetween(d, d))
-    sides = [far("level", "row_i", "col_i", -half), far("level", "row_i", "col_i", half), far("tall", "col_i", "row_i", -half), far("tall", "col_i", "row_i", half)]
-    ring = tall.withColumn("ring_max", F.greatest(*sides)).where(F.col("rows") == size + 2)
-    return ring.select("source", "row_i", "col_i", "ring_max", F.when(F.col("ring_max") <= cutoff + 5, "near_reporting_floor").otherwise("higher_reported").alias("stratum"))
+    half, side = size // 2 + 1, TILE
+    own = _in_tiles(cells.where("raw > 0").select("source", "row_i", "col_i", "raw"), half)
+    ring = own.groupBy("source", "t_r", "t_c").applyInPandas(lambda key, pdf: _candidates_of_tile(key, pdf, side, half), "source string, row_i long, col_i long, ring_max double")
+    return ring.withColumn("stratum", F.when(F.col("ring_max") <= cutoff + 5, "near_reporting_floor").otherwise("higher_reported"))
+
+
+#: Cells around a tile that are looked at to decide about its squares.
+HALO = 32
+
+
+def _settled_in_tile(key: tuple, pdf: pd.DataFrame, side: int, reach: int, halo: int) -> pd.DataFrame:
+    """Squares of one tile that are taken for sure, and those still open; what is overlapped by a taken one is left out.
+
+    A square is taken for sure if it comes first of all open ones that it overlaps and all of these are in sight.
+    """
+    source, t_r, t_c = key
+    rows, cols = pdf.row_i.to_numpy(), pdf.col_i.to_numpy()
+    r0, c0 = rows.min(), cols.min()
+    at = rows - r0, cols - c0
+    shape = at[0].max() + 1, at[1].max() + 1
+    none = len(pdf) + 1
+    order = np.lexsort((cols, rows, pdf.h.to_numpy(), pdf.s.to_numpy()))
+    place = np.empty(len(pdf), np.int64)
+    place[order] = np.arange(len(pdf))
+    before, taken, sure, turn = np.zeros(shape, bool), np.zeros(shape, bool), np.zeros(shape, bool), np.full(shape, none)
+    before[at] = pdf.won.to_numpy()
+    off = [x - t * side + halo for x, t in ((rows, t_r), (cols, t_c))]
+    sure[at] = np.logical_and.reduce([(o >= reach) & (o < side + 2 * halo - reach) for o in off])
+    turn[at] = place
+    turn[_swept(before, reach, False, np.logical_or)] = none
+    while True:
+        first = sure & (turn < none) & (turn == _swept(turn, reach, none, np.minimum))
+        if not first.any():
+            break
+        taken |= first
+        turn[_swept(first, reach, False, np.logical_or)] = none
+    own = np.logical_and.reduce([(o >= halo) & (o < side + halo) for o in off]) & (taken[at] | (turn[at] < none))
+    return pd.DataFrame({"source": source, "row_i": rows[own], "col_i": cols[own], "s": pdf.s.to_numpy()[own], "h": pdf.h.to_numpy()[own], "won": taken[at][own]})
 
 
 def disjoint_squares(candidates: DataFrame, size: int, width: int, height: int, seed: str = "") -> DataFrame:
-    """Candidates whose squares, rings included, do not overlap, and to which none could be added.
+    """Candidates whose squares, rings included, do not overlap, and to which none could be added; of a raster of width x height cells.
 
-    Candidates draw a number from their place, those of the near_reporting_floor stratum first. In each round those with the
-    least number of all that they overlap are taken and what they overlap goes, so the set is what taking them one by one
-    would give, whatever the partitions. Least numbers and hits pass over the raster (width x height cells) in windows along
-    rows and columns: a round is two shuffles of cells, and rounds grow with the logarithm of the candidates.
+    Candidates draw a number from their place, those of the near_reporting_floor stratum first. Those with the least number
+    of all that they overlap are taken and what they overlap goes, again and again, so the set is what taking them one by one
+    would give, whatever the partitions. A tile decides all it can from the candidates up to HALO cells around it; what hangs
+    on squares further off goes through another pass, with the squares just taken. Chains of falling numbers are short, so
+    passes after the first see few candidates.
     """
-    spark, home, reach = candidates.sparkSession, folder(candidates.sparkSession), size + 1
-    turn = F.struct(F.when(F.col("stratum") == "near_reporting_floor", 0).otherwise(1).alias("s"), F.xxhash64(F.lit(seed), "source", "row_i", "col_i").alias("h"), "row_i", "col_i")
-    grid = spark.range(width * height).select(F.floor(F.col("id") / width).cast("long").alias("row_i"), F.pmod("id", F.lit(width)).alias("col_i"))
-    grid = grid.crossJoin(F.broadcast(candidates.select("source").distinct()))  # noise sources: a fixed few
+    home, reach = folder(candidates.sparkSession), size + 1
+    halo, side = max(HALO, reach), TILE
+    own = written(candidates.where((F.col("row_i") < height) & (F.col("col_i") < width)), f"{home}/candidates")
     key = ["source", "row_i", "col_i"]
-    left = written(grid.join(candidates.withColumn("turn", turn).select(*key, "turn"), key, "left").withColumn("won", F.lit(False)), f"{home}/0")
-    row = W.partitionBy("source", "row_i").orderBy("col_i").rangeBetween(-reach, reach)
-    column = W.partitionBy("source", "col_i").orderBy("row_i").rangeBetween(-reach, reach)
+    rank = F.when(F.col("stratum") == "near_reporting_floor", 0).otherwise(1).alias("s"), F.xxhash64(F.lit(seed), *key).alias("h")
+    left, taken = own.select(*key, *rank, F.lit(False).alias("won")), []
     for i in count(1):
-        if left.where("turn is not null").isEmpty():
+        step = _in_tiles(left, halo).groupBy("source", "t_r", "t_c").applyInPandas(lambda tile, pdf: _settled_in_tile(tile, pdf, side, reach, halo), "source string, row_i long, col_i long, s int, h long, won boolean")
+        left = written(step, f"{home}/{i}")
+        taken.append(left.where("won").select(*key))
+        if left.where("not won").isEmpty():
             break
-        low = left.withColumn("low", F.min("turn").over(row)).withColumn("low", F.min("low").over(column))
-        now = low.withColumn("now", F.coalesce(F.col("turn") == F.col("low"), F.lit(False)))
-        hit = now.withColumn("hit", F.max("now").over(column)).withColumn("hit", F.max("hit").over(row))
-        left = written(hit.select(*key, F.when(~F.col("hit"), F.col("turn")).alias("turn"), (F.col("won") | F.col("now")).alias("won")), f"{home}/{i}")
-        removed(spark, f"{home}/{i - 1}")
-    return left.where("won").select(*key).join(candidates, key)
+    return reduce(DataFrame.unionByName, taken).join(own, key)
 
 
 def hidden_cells(squares: DataFrame, cells: DataFrame, size: int) -> DataFrame:
@@ -334,40 +387,65 @@ def patch_summary(estimates: DataFrame, strata: DataFrame) -> DataFrame:
     )
 
 
-def _solve_patch(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Nearest, inverse-distance and harmonic estimates of one patch's hidden cells from the cells around it."""
-    hidden, known = pdf[pdf.hidden], pdf[~pdf.hidden & (pdf.raw > 0)]
-    if not len(hidden) or not len(known):
-        # no rows, but of the right types: an empty column has none of its own, and Arrow does not make text of it
-        return hidden[:0].reset_index()[["source", "patch", "row_i", "col_i", "raw"]].assign(nearest=0.0, idw=0.0, harmonic=0.0)
-    hr, hc, kr, kc, kv = (x.to_numpy(float) for x in (hidden.row_i, hidden.col_i, known.row_i, known.col_i, known.raw))
-    d2 = (hr[:, None] - kr) ** 2 + (hc[:, None] - kc) ** 2
-    order = np.argsort(d2 * 1e6 + kr * 1e3 + kc, axis=1)
-    near = np.take_along_axis(np.broadcast_to(kv, d2.shape), order[:, :8], 1)
-    weight = 1 / np.take_along_axis(d2, order[:, :8], 1)
-    at = {(int(r), int(c)): i for i, (r, c) in enumerate(zip(hr, hc, strict=True))}
-    fixed = {(int(r), int(c)): v for r, c, v in zip(kr, kc, kv, strict=True)}
-    a, b = np.zeros((len(at), len(at))), np.zeros(len(at))
-    for (r, c), i in at.items():
-        for p in ((r - 1, c), (r + 1, c), (r, c - 1), (r, c + 1)):
+def _operators(r: np.ndarray, c: np.ndarray, hidden: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For hidden cells of patches of one shape: the eight nearest known cells, their weights, and the system of the harmonic estimate."""
+    hr, hc, kr, kc = r[hidden], c[hidden], r[known], c[known]
+    d2 = ((hr[:, None] - kr) ** 2 + (hc[:, None] - kc) ** 2).astype(float)
+    order = np.argsort(d2 * 1e6 + kr * 1e3 + kc, axis=1)[:, :8]
+    at = {p: i for i, p in enumerate(zip(hr.tolist(), hc.tolist(), strict=True))}
+    fixed = {p: i for i, p in enumerate(zip(kr.tolist(), kc.tolist(), strict=True))}
+    a, b = np.zeros((len(at), len(at))), np.zeros((len(at), len(fixed)))
+    for (row, col), i in at.items():
+        for p in ((row - 1, col), (row + 1, col), (row, col - 1), (row, col + 1)):
             if p in at:
                 a[i, i] += 1
                 a[i, at[p]] -= 1
             elif p in fixed:
                 a[i, i] += 1
-                b[i] += fixed[p]
-    harmonic = np.linalg.lstsq(a, b, rcond=None)[0]
-    return pd.DataFrame({"source": hidden.source, "patch": hidden.patch, "row_i": hidden.row_i, "col_i": hidden.col_i, "raw": hidden.raw, "nearest": near[:, 0], "idw": (near * weight).sum(1) / weight.sum(1), "harmonic": harmonic})
+                b[i, fixed[p]] += 1
+    return order, 1 / np.take_along_axis(d2, order, 1), a, b
+
+
+_ESTIMATES = "source string, patch string, row_i long, col_i long, raw double, nearest double, idw double, harmonic double"
+
+
+def _solve_patches(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Nearest, inverse-distance and harmonic estimates of patches' hidden cells from the cells around them.
+
+    A row is a patch with its cells by row and column; patches whose cells lie alike are solved together. A patch without a
+    known cell around has no estimates.
+    """
+    for pdf in pdfs:
+        alike: dict[tuple, list[int]] = {}
+        cells = []
+        for i, (rows, cols, raw, hidden) in enumerate(zip(pdf.rows, pdf.cols, pdf.raws, pdf.hides, strict=True)):
+            r, c, v, h = np.asarray(rows), np.asarray(cols), np.asarray(raw, float), np.asarray(hidden, bool)
+            known = ~h & (v > 0)
+            cells.append((r, c, v))
+            if known.any() and h.any():
+                alike.setdefault(((r - r[0]).tobytes(), (c - c[0]).tobytes(), h.tobytes(), known.tobytes()), []).append(i)
+        for shape, members in alike.items():
+            h, known = (np.frombuffer(x, bool) for x in shape[2:])
+            r, c, v = (np.stack([cells[i][k] for i in members]) for k in range(3))
+            order, weight, a, b = _operators(r[0] - r[0, 0], c[0] - c[0].min(), h, known)
+            level = v[:, known]
+            near = level[:, order]
+            harmonic = np.linalg.lstsq(a, b @ level.T, rcond=None)[0].T
+            n = int(h.sum())
+            yield pd.DataFrame({
+                "source": np.repeat(pdf.source.to_numpy()[members], n), "patch": np.repeat(pdf.patch.to_numpy()[members], n), "row_i": r[:, h].ravel(), "col_i": c[:, h].ravel(), "raw": v[:, h].ravel(),
+                "nearest": near[:, :, 0].ravel(), "idw": ((near * weight).sum(2) / weight.sum(1)).ravel(), "harmonic": harmonic.ravel(),
+            })
 
 
 def interpolated(cells: DataFrame, held: DataFrame, side: int) -> DataFrame:
-    """Estimates of held-out patches; one task sees one patch and the ring around it, at most (side + 2)^2 cells."""
+    """Estimates of held-out patches; a patch is one row with the ring around it, at most (side + 2)^2 cells."""
     around = F.explode(F.array(*[F.struct((F.col("row_i") + r).alias("row_i"), (F.col("col_i") + c).alias("col_i")) for r in (-1, 0, 1) for c in (-1, 0, 1)]))
-    seen = held.select("source", "patch", around.alias("at")).select("source", "patch", "at.*").distinct().join(cells, ["source", "row_i", "col_i"])
-    own = held.select("source", "patch", "row_i", "col_i", F.lit(True).alias("hidden"))
-    seen = seen.join(own, ["source", "patch", "row_i", "col_i"], "left").withColumn("hidden", F.coalesce("hidden", F.lit(False)))
-    schema = "source string, patch string, row_i long, col_i long, raw double, nearest double, idw double, harmonic double"
-    return seen.select("source", "patch", "row_i", "col_i", "raw", "hidden").groupBy("source", "patch").applyInPandas(_solve_patch, schema)
+    seen = held.select("source", "patch", around.alias("at"), F.col("row_i").alias("r"), F.col("col_i").alias("c")).select("source", "patch", "at.*", ((F.col("at.row_i") == F.col("r")) & (F.col("at.col_i") == F.col("c"))).alias("hidden"))
+    seen = seen.groupBy("source", "patch", "row_i", "col_i").agg(F.max("hidden").alias("hidden")).join(cells.select("source", "row_i", "col_i", "raw"), ["source", "row_i", "col_i"])
+    each = seen.groupBy("source", "patch").agg(F.sort_array(F.collect_list(F.struct("row_i", "col_i", "raw", "hidden"))).alias("c"))
+    each = each.select("source", "patch", *[F.col(f"c.{c}").alias(n) for c, n in (("row_i", "rows"), ("col_i", "cols"), ("raw", "raws"), ("hidden", "hides"))])
+    return each.mapInPandas(_solve_patches, _ESTIMATES)
 
 
 def patch_errors(estimates: DataFrame) -> DataFrame:

@@ -118,6 +118,22 @@ def test_squares_match_a_greedy_pick(spark, size):
     assert op.disjoint_squares(found.limit(0), size, 40, 30).count() == 0
 
 
+def test_squares_are_decided_in_few_passes_over_candidates(spark, monkeypatch):
+    """Tiles of 6 cells that see 2 around: the same squares as one tile gives, from tables of candidates and not of the raster."""
+    _, rows = world(6, 60, 50)
+    cells = spark.createDataFrame(rows, "source string, row_i long, col_i long, raw double")
+    want = {(r.row_i, r.col_i) for r in op.disjoint_squares(op.candidate_squares(cells, 1), 1, 50, 60).collect()}
+    tables = []
+    monkeypatch.setattr(op, "written", lambda df, path=None: (tables.append(scratch.written(df, path)), tables[-1])[1])
+    monkeypatch.setattr(op, "TILE", 6)
+    monkeypatch.setattr(op, "HALO", 2)
+    found = op.candidate_squares(cells, 1)
+    got = {(r.row_i, r.col_i) for r in op.disjoint_squares(found, 1, 50, 60).collect()}
+    assert got == want and len(got) > 20
+    sizes, n = [t.count() for t in tables], found.count()
+    assert 3 <= len(sizes) <= 10 and max(sizes) <= n < 60 * 50
+
+
 def test_estimates_of_a_square(spark):
     """Nearest and inverse-distance by hand, harmonic by relaxation; the summary's 90 % is over patches."""
     level, rows = world(8)
