@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from phonolith.plans.registry import query
 from phonolith.sources import fixtures as fx
-from phonolith.sources.scratch import streamed, streamed_in_turn
+from phonolith.sources.scratch import streamed, streamed_in_turn, written
 from phonolith.streaming import intervals as op
 
 
@@ -49,7 +49,8 @@ c as (select h.*, least(end_s, (w + 1) * 7200) - greatest(start_s, w * 7200) s,
 
 
 def in_runs(x):
-    """The rows of each run, which lie in each other's past."""
+    """The rows of each run, which lie in each other's past; written once, as every run picks its own from all."""
+    x = written(x)
     a, b = x.agg(F.min("start_s"), F.max("start_s")).first()
     run = F.least(F.lit(RUNS - 1), F.floor((F.col("start_s") - a) * 4.0 / (b - a + 1)))
     return [x.where(run == i) for i in range(RUNS)]

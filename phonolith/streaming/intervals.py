@@ -51,10 +51,15 @@ def quiet_runs(intervals: DataFrame, quiet_db: float = 40.0) -> DataFrame:
     return intervals.groupBy("receiver_id").applyInPandasWithState(update, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
+#: Receivers whose ids agree in all but so many last bits share a group, so that what a group costs is paid once for up to 256 of them.
+BLOCK_BITS = 8
+
+
 class QuietTime(StatefulProcessor):
-    """State of a receiver: the quiet run it is in, the end of what was heard, the longest run. It ends `idle_s` after that end.
+    """State of a block of receivers, for each: the quiet run it is in, the end of what was heard, the longest run. It ends `idle_s` after that end.
 
-    A timer for the end is set anew with every batch, so state is held for receivers that are still heard and no others.
+    A block has one timer, for the earliest of its receivers' ends; it is set anew with every batch, so state is held for
+    receivers that are still heard and no others.
     """
 
     def __init__(self, quiet_db: float, idle_s: int):
@@ -62,33 +67,52 @@ class QuietTime(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.heard = handle.getValueState("heard", "run_s long, last_end long, longest long")
-
-    def _said(self, key: tuple, kind: str, start: int | None, end: int, longest: int) -> pd.DataFrame:
-        return pd.DataFrame({"receiver_id": [key[0]], "kind": [kind], "start_s": pd.array([start], "Int64"), "end_s": [end], "longest_quiet_s": [longest]})
+        self.heard = handle.getMapState("heard", "receiver_id long", "run_s long, last_end long, longest long")
+
+    def _said(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
+        """rows of id, kind, start, end, longest; receivers without an id are a block of their own."""
+        ids, kinds, starts, ends, longest = zip(*rows, strict=True)
+        ids = [None] * len(ids) if key[0] is None else ids
+        return pd.DataFrame({"receiver_id": pd.array(ids, "Int64"), "kind": kinds, "start_s": pd.array(starts, "Int64"), "end_s": ends, "longest_quiet_s": longest})
+
+    def _set_timer(self, held: dict[int, tuple]) -> None:
+        due = min(last for _, last, _ in held.values()) * 1000 + self.idle_ms if held else None
+        timers = list(self.handle.listTimers())
+        for timer in timers:
+            if timer != due:
+                self.handle.deleteTimer(timer)
+        if due is not None and due not in timers:
+            self.handle.registerTimer(due)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        run, last, longest = self.heard.get() if self.heard.exists() else (0, None, 0)
-        own = pd.concat(list(rows)).sort_values(["start_s", "end_s"])
-        late = []
-        for start, end, level in zip(own.start_s, own.end_s, own.level_db, strict=True):
+        held = {int(k[0]): tuple(map(int, v)) for k, v in self.heard.iterator()}
+        own = pd.concat(list(rows))
+        own = own.assign(receiver_id=own.receiver_id.fillna(0).astype("int64")).sort_values(["receiver_id", "start_s", "end_s"])
+        late, seen = [], set()
+        for receiver, start, end, level in zip(*[own[c].tolist() for c in ("receiver_id", "start_s", "end_s", "level_db")], strict=True):
+            run, last, longest = held.get(receiver, (0, None, 0))
             if last is not None and start < last:
-                late.append((int(start), int(end)))
+                late.append((receiver, start, end))
                 continue
             run = (run if start == last else 0) + (end - start) if level < self.quiet_db else 0
-            last, longest = int(end), max(longest, int(run))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last * 1000 + self.idle_ms)
-        self.heard.update((int(run), last, longest))
-        for start, end in late:
-            yield self._said(key, "late", start, end, longest)
-        yield self._said(key, "heard", None, last, longest)
+            held[receiver] = run, end, max(longest, run)
+            seen.add(receiver)
+        for receiver in seen:
+            self.heard.updateValue((receiver,), held[receiver])
+        self._set_timer(held)
+        out = [(receiver, "late", start, end, held[receiver][2]) for receiver, start, end in late]
+        yield self._said(key, out + [(receiver, "heard", None, *held[receiver][1:]) for receiver in sorted(seen | {r for r, _, _ in late})])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        _, last, longest = self.heard.get()
-        self.heard.clear()
-        yield self._said(key, "ended", None, last, longest)
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) - self.idle_ms
+        held = {int(k[0]): tuple(map(int, v)) for k, v in self.heard.iterator()}
+        ended = sorted(r for r, (_, last, _) in held.items() if last * 1000 <= upto)
+        out = [(r, "ended", None, *held.pop(r)[1:]) for r in ended]
+        for r in ended:
+            self.heard.removeKey((r,))
+        self._set_timer(held)
+        if out:
+            yield self._said(key, out)
 
     def close(self) -> None:
         pass
@@ -101,6 +125,7 @@ def quiet_time(intervals: DataFrame, quiet_db: float = 40.0, late: str = "1 hour
     heard, which changes nothing; ended: nothing was heard for idle_s, the receiver's state is gone, and what it sends next
     begins anew. Intervals that begin before the watermark are dropped and counted by Spark. Needs the RocksDB state store.
     """
-    own = intervals.select("receiver_id", "start_s", "end_s", "level_db", F.timestamp_seconds("start_s").alias("at")).withWatermark("at", late)
+    block = F.shiftright("receiver_id", BLOCK_BITS).alias("block")
+    own = intervals.select(block, "receiver_id", "start_s", "end_s", "level_db", F.timestamp_seconds("start_s").alias("at")).withWatermark("at", late)
     schema = "receiver_id long, kind string, start_s long, end_s long, longest_quiet_s long"
-    return own.groupBy("receiver_id").transformWithStateInPandas(QuietTime(quiet_db, idle_s), schema, "Update", "EventTime")
+    return own.groupBy("block").transformWithStateInPandas(QuietTime(quiet_db, idle_s), schema, "Update", "EventTime")

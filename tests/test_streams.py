@@ -37,3 +37,24 @@ def test_state_ends_with_silence(spark):
         (2, 2, "heard", None, 40 * HOUR + 9, 150), (2, 1, "ended", None, 1200, 1200), (3, 2, "heard", None, 40 * HOUR + 100, 150), (3, 1, "heard", None, 41 * HOUR + 5, 5),
     }
     assert [f["state"] for f in figures] == [2, 2, 1, 2] and figures[3]["dropped"] == 1
+
+
+def test_receivers_of_a_block_share_a_group(spark, monkeypatch):
+    """Ends of many receivers by one timer, ids that are negative or null, and far fewer groups than receivers."""
+    own, groups = op.QuietTime.handleInputRows, spark.sparkContext.accumulator(0)
+
+    class Counted(op.QuietTime):
+        def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+            groups.add(1)
+            return own(self, key, rows, timerValues)
+
+    monkeypatch.setattr(op, "QuietTime", Counted)
+    ids = [None, -300, -1, *range(100)]
+    first = [(r, 0 if r is None else r % 7, 60, 30.0) for r in ids]
+    batches = frames(spark, first, [(5, 30 * HOUR, 30 * HOUR + 10, 30.0)], [(5, 30 * HOUR + 10, 30 * HOUR + 15, 30.0)])
+    out, figures = streamed_in_turn(batches, lambda s: op.quiet_time(s, idle_s=DAY), "update", rocks=True)
+    rows = out.collect()
+    ended = {(r.receiver_id, r.end_s - 100 * DAY, r.longest_quiet_s) for r in rows if r.kind == "ended"}
+    assert ended == {(r, 60, 60 - (0 if r is None else r % 7)) for r in ids if r != 5} and len([r for r in rows if r.kind == "ended"]) == len(ids) - 1
+    assert [(r.end_s - 100 * DAY - 30 * HOUR, r.longest_quiet_s) for r in rows if r.receiver_id == 5 and r.batch == 2] == [(15, 55)]
+    assert figures[0]["state"] == len(ids) and figures[2]["state"] == 1 and 0 < groups.value < 10
