@@ -15,13 +15,15 @@ model, by length, calibrated on labelled texts that were not counted.
 Where both counts of a bigram are within A, shared probabilities cancel: its ratio is a number of the context plus a
 number of the word. So the model is a table of words and a table of the bigrams above A, which both grow with the labelled
 text. Frequent words, by their share of all words, go out with the tasks, as do the bigrams while they are few; all other
-words of the texts, and bigrams beyond that, are joined to the tables.
+words of the texts, and bigrams beyond that, are joined to the tables. Shuffles of bigrams and of words go share by share,
+so that disk holds a part of them beside the written tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,11 @@ CALIBRATES = 4
 CALIBRATION_ROWS = 50_000
 #: Words that a task counts before it hands them on.
 _FLUSH = 1_000_000
+#: Bigrams are counted in so many passes over the labelled text, each for its share of the contexts, and words are looked up in as many, each for its
+#: share of the keys: only one share is shuffled at a time.
+SLICES = 4
+#: Words come again within a file: with room for them in its dictionary, a table holds their numbers.
+PACKED = {"compression": "zstd", "parquet.dictionary.page.size": str(8 << 20)}
 #: Bits by which a word's hash is turned before its context's is laid over it: hashes are mixed, so this is as good as a hash of both.
 TURN = 21
 START, END = np.uint64(0), np.uint64(1)
@@ -73,14 +80,16 @@ def bigram_key(context: str, word: str) -> Column:
     return F.col(context).bitwiseXOR(F.shiftleft(word, TURN).bitwiseOR(F.shiftrightunsigned(word, 64 - TURN)))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigrams with their numbers in ordinary and in toxic text, counted within the task."""
+def _count(batches: Iterator[pa.RecordBatch], share: int, slices: int) -> Iterator[pa.RecordBatch]:
+    """Bigrams of a share of the contexts with their numbers in ordinary and in toxic text, counted within the task."""
     held, labels, size = [], [], 0
 
     def counted() -> pa.RecordBatch:
         contexts, words = (np.concatenate(x) for x in zip(*map(steps_of, held), strict=True))
+        own = contexts % np.uint64(slices) == share
+        contexts, words = contexts[own], words[own]
         keys, first, of = np.unique(bigram_keys(contexts, words), return_index=True, return_inverse=True)
-        toxic = np.repeat(np.array(labels, bool), [len(w) + 1 for w in held])
+        toxic = np.repeat(np.array(labels, bool), [len(w) + 1 for w in held])[own]
         n1 = np.bincount(of[toxic], minlength=len(keys))
         n0 = np.bincount(of, minlength=len(keys)) - n1
         return pa.RecordBatch.from_pydict({"context": contexts[first].view(np.int64), "word": words[first].view(np.int64), "n0": n0, "n1": n1})
@@ -122,8 +131,17 @@ def _sorted(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def train(scratch: Scratch, known: DataFrame) -> Models | None:
     """The models of known(text, label); None unless both classes have words."""
-    counted = known.mapInArrow(_count, "context long, word long, n0 long, n1 long")
-    pairs = scratch.keep(counted.groupBy("context", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "pairs")
+    slices = SLICES
+
+    def counting(share: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        return lambda batches: _count(batches, share, slices)
+
+    shares = []
+    for k in range(slices):
+        counted = known.mapInArrow(counting(k), "context long, word long, n0 long, n1 long")
+        counted = counted.groupBy("context", "word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        shares.append(scratch.keep(counted.sortWithinPartitions("context", "word"), f"pairs-{k}", **PACKED))
+    pairs = reduce(DataFrame.unionByName, shares)
     words = scratch.keep(pairs.groupBy("word").agg(F.sum("n0").alias("u0"), F.sum("n1").alias("u1"), F.count(F.lit(1)).alias("t")), "words")
     n0, n1, t, n_words = words.agg(F.sum("u0"), F.sum("u1"), F.sum("t"), F.count(F.lit(1))).first()
     if not n0 or not n1:
@@ -136,14 +154,18 @@ def train(scratch: Scratch, known: DataFrame) -> Models | None:
     whole = [x + spread for x in rated.agg(*[F.sum(F.col("p") * F.col(f"r{c}")) for c in (0, 1)]).first()]
 
     both, scaled = F.col("n0") + F.col("n1"), [F.col(f"n{c}") * F.lit(least / sizes[c]) for c in (0, 1)]
-    met = pairs.join(broadcast_if_small(rated.select("word", "r0", "r1"), n_words), "word")
     left = F.greatest(both - DISCOUNT, F.lit(0.0))
     sums = [F.sum(x).alias(k) for k, x in (("h", both), *[(f"z{c}", left * F.col(f"r{c}")) for c in (0, 1)], *[(f"q{c}", scaled[c]) for c in (0, 1)], *[(f"l{c}", F.least(scaled[c], F.lit(own_discount))) for c in (0, 1)])]
-    of_context = met.groupBy("context").agg(F.count(F.lit(1)).alias("t"), *sums)
     back = F.lit(DISCOUNT) * F.col("t") / F.col("h")
     z = [F.col(f"z{c}") / F.col("h") + back * F.lit(whole[c]) for c in (0, 1)]
     own = [F.when(F.col(f"q{c}") > 0, F.col(f"l{c}") / F.col(f"q{c}")).otherwise(1.0) for c in (0, 1)]
-    contexts = scratch.keep(of_context.select("context", "h", back.alias("back"), "q0", "q1", *[x.alias(k) for k, x in zip(("z0", "z1", "o0", "o1"), (*z, *own), strict=True)]), "contexts")
+
+    def of_contexts(pairs: DataFrame) -> DataFrame:
+        met = pairs.join(broadcast_if_small(rated.select("word", "r0", "r1"), n_words), "word")
+        sides = [x.alias(k) for k, x in zip(("z0", "z1", "o0", "o1"), (*z, *own), strict=True)]
+        return met.groupBy("context").agg(F.count(F.lit(1)).alias("t"), *sums).select("context", "h", back.alias("back"), "q0", "q1", *sides)
+
+    contexts = reduce(DataFrame.unionByName, [scratch.keep(of_contexts(share), f"contexts-{k}") for k, share in enumerate(shares)])
 
     f = F.log(F.col("r1") / F.col("r0"))
     g = F.log(F.col("o1") / F.col("o0")) - F.log(F.col("z1") / F.col("z0"))
@@ -161,7 +183,7 @@ def train(scratch: Scratch, known: DataFrame) -> Models | None:
     shared = left / F.col("h") + F.col("back") * F.col("p")
     likely = [F.when(F.col(f"q{c}") > 0, F.greatest(scaled[c] - own_discount, F.lit(0.0)) / F.col(f"q{c}")).otherwise(0.0) + F.col(f"o{c}") * shared * F.col(f"r{c}") / F.col(f"z{c}") for c in (0, 1)]
     bigrams = scratch.keep(strong.select(bigram_key("context", "word").alias("key"), (F.log(likely[1] / likely[0]) - f - g).alias("v")), "bigrams")
-    scratch.drop("pairs", "words", "contexts", "above")
+    scratch.drop(*[f"{name}-{k}" for name in ("pairs", "contexts") for k in range(slices)], "words", "above")
     return Models(by_word.select("key", "v"), edges[int(START)].g + edges[int(END)].f, unseen, head, bigrams, _sorted(bigrams.toArrow()) if n_above <= SENT_BIGRAMS else None)
 
 
@@ -193,12 +215,20 @@ def ratios(scratch: Scratch, docs: DataFrame, models: Models) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["n", "total", "usual", "others", "steps"])
 
     scanned = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", looked_up("text").alias("s"))
-    scanned = scratch.keep(scanned.select("row", "doc_id", "s.*"), "scanned")
-    asked = scanned.select("row", F.explode("others").alias("key"))
-    answers = asked.join(models.words, "key").select("row", "v", F.lit(1).alias("word"))
-    if models.strong is None:
-        answers = answers.unionByName(scanned.select("row", F.explode("steps").alias("key")).join(models.bigrams, "key").select("row", "v", F.lit(0).alias("word")))
-    answers = answers.groupBy("row").agg(F.sum("v").alias("more"), F.sum("word").alias("known"))
+    scanned = scratch.keep(scanned.select("row", "doc_id", "s.*"), "scanned", **PACKED)
+
+    def answered(asked: str, table: DataFrame, word: int, share: int) -> DataFrame:
+        own = lambda key: F.pmod(key, F.lit(SLICES)) == share
+        keys = scanned.select("row", F.explode(F.filter(asked, own)).alias("key"))
+        return keys.join(table.where(own(F.col("key"))), "key").select("row", "v", F.lit(word).alias("word"))
+
+    parts = []
+    for k in range(SLICES):
+        found = answered("others", models.words, 1, k)
+        if models.strong is None:
+            found = found.unionByName(answered("steps", models.bigrams, 0, k))
+        parts.append(scratch.keep(found.groupBy("row").agg(F.sum("v").alias("more"), F.sum("word").alias("known")), f"answers-{k}"))
+    answers = reduce(DataFrame.unionByName, parts).groupBy("row").agg(F.sum("more").alias("more"), F.sum("known").alias("known"))
     joined = scanned.select("row", "doc_id", "n", "total", "usual", F.size("others").alias("asked")).join(answers, "row", "left")
     total = F.col("total") + F.coalesce("more", F.lit(0.0)) + F.lit(models.unseen) * (F.col("asked") - F.coalesce("known", F.lit(0)))
     return joined.select("doc_id", F.when(F.col("n") > 0, total / (F.col("n") + 1)).alias("llr"), "usual")
@@ -238,7 +268,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str
     found, calibrated = None, None
     if models is not None:
         found = scratch.keep(ratios(scratch, own, models), "ratios")
-        scratch.drop("scanned", "model", "bigrams")
+        scratch.drop("scanned", *[f"answers-{k}" for k in range(SLICES)], "model", "bigrams")
         cut = int(1_000_000 * min(1.0, CALIBRATION_ROWS * CALIBRATES / max(1, rows)))
         held = known.where("calibrates").where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < cut).drop("calibrates")
         seen = found.join(F.broadcast(held), "doc_id").where("llr is not null").select("llr", "usual", "label").toArrow()

@@ -342,6 +342,35 @@ def test_toxicity_against_brute_force_on_strings(spark, monkeypatch, sent):
         assert abs(got[i] - sum(l) / len(l)) < 1e-9
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_toxicity_shuffles_share_by_share(spark, monkeypatch, sent):
+    """Bigrams and answers come in shares that no other share holds, none with most of the rows, and scores are those of one share."""
+    monkeypatch.setattr(toxicity, "OWN_DISCOUNT", 2.0)
+    monkeypatch.setattr(toxicity, "FREQUENT", 0.01)
+    monkeypatch.setattr(toxicity, "SENT_BIGRAMS", sent)
+    docs = spark.createDataFrame([(i, " ".join([*words(i, 40), *(["vile", "deed"] * 3 if i % 3 == 0 else ["good", "deed"])])) for i in range(90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    kept, keep = {}, toxicity.Scratch.keep
+
+    def seen(self, df, name, **options):
+        out = keep(self, df, name, **options)
+        if name.startswith(("pairs", "answers")):
+            kept[slices, name] = out.collect()
+        return out
+
+    monkeypatch.setattr(toxicity.Scratch, "keep", seen)
+    scores = {}
+    for slices in (1, 5):
+        monkeypatch.setattr(toxicity, "SLICES", slices)
+        scores[slices] = {r.doc_id: (r.score, r.llr) for r in toxicity.toxicity(spark, docs, labels).collect()}
+    pairs = [[(r.context, r.word, r.n0, r.n1) for r in kept[5, f"pairs-{k}"]] for k in range(5)]
+    assert sorted(sum(pairs, [])) == sorted((r.context, r.word, r.n0, r.n1) for r in kept[1, "pairs-0"])
+    assert sum(len({r[0] for r in p}) for p in pairs) == len({r[0] for p in pairs for r in p})
+    assert max(map(len, pairs)) < 0.6 * sum(map(len, pairs))
+    assert max(sum(r.known for r in kept[5, f"answers-{k}"]) for k in range(5)) < 0.6 * sum(r.known for r in kept[1, "answers-0"])
+    assert all(abs(a - b) < 1e-9 for i in scores[1] for a, b in zip(scores[1][i], scores[5][i], strict=True))
+
+
 def test_licenses_match_in_whole_and_in_part(spark, edge_docs, empty_docs):
     notice = licenses.TEMPLATES["apache-2.0-notice"].split()
     texts = {
