@@ -31,11 +31,11 @@ def _terms(x: np.ndarray, y: np.ndarray, below: np.ndarray, w: np.ndarray, beta:
     soft = np.logaddexp(0, eta) if floor is not None else eta
     mu, slope = (floor + soft, 1 / (1 + np.exp(-eta))) if floor is not None else (eta, np.ones(len(eta)))
     z = (y - mu) / sd
-    pdf = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    cdf = np.maximum(0.5 * (1 + _erf(z / math.sqrt(2))), 1e-12)
-    like = np.where(below, np.log(cdf), -z * z / 2 - log_sd - 0.5 * math.log(2 * math.pi))
-    d_mu = np.where(below, -pdf / cdf / sd, z / sd)
-    d_sd = np.where(below, -z * pdf / cdf, z * z - 1)
+    like, d_mu, d_sd = -z * z / 2 - log_sd - 0.5 * math.log(2 * math.pi), z / sd, z * z - 1
+    cut = z[below]  # only censored rows need the distribution function
+    pdf = np.exp(-cut * cut / 2) / math.sqrt(2 * math.pi)
+    cdf = np.maximum(0.5 * (1 + _erf(cut / math.sqrt(2))), 1e-12)
+    like[below], d_mu[below], d_sd[below] = np.log(cdf), -pdf / cdf / sd, -cut * pdf / cdf
     score = np.column_stack([x * (d_mu * slope)[:, None], d_sd])
     return float(w @ like), score.T @ w, (score * w[:, None]).T @ score
 
@@ -48,7 +48,8 @@ def _sums(own: DataFrame, beta: np.ndarray, log_sd: float, floor: float | None)
         out = np.zeros(1 + k + k * k)
         for pdf in batches:
             if len(pdf):
-                a, g, h = _terms(np.stack(pdf.x), pdf.y.to_numpy(), pdf.below.to_numpy(bool), pdf.w.to_numpy(), beta, log_sd, floor)
+                x = np.column_stack([np.ones(len(pdf)), *[pdf[f"x{i}"].to_numpy() for i in range(1, len(beta))]])
+                a, g, h = _terms(x, pdf.y.to_numpy(), pdf.below.to_numpy(bool), pdf.w.to_numpy(), beta, log_sd, floor)
                 out += np.concatenate([[a], g, h.ravel()])
         yield pd.DataFrame({"i": np.arange(len(out)), "v": out})
 
@@ -78,9 +79,11 @@ def censored_regression(
     stays within -5 and 5. Rows without a level, a feature or a positive weight raise ValueError, as do bounds that cross.
     """
     home = folder(df.sparkSession)
-    own = df.select(F.array(F.lit(1.0), *[F.col(f).cast("double") for f in features]).alias("x"), F.col(level).cast("double").alias("y"), F.col(below).alias("below"), F.col(weight).cast("double").alias("w"))
+    named = [f"x{i}" for i in range(1, len(features) + 1)]  # plain columns reach numpy without an object for each row
+    own = df.select(*[F.col(f).cast("double").alias(x) for f, x in zip(features, named, strict=True)], F.col(level).cast("double").alias("y"), F.col(below).alias("below"), F.col(weight).cast("double").alias("w"))
     own = written(own, home)
-    if not own.where("y is null or isnan(y) or below is null or not coalesce(w > 0, false) or exists(x, v -> v is null or isnan(v))").isEmpty():
+    bad = " or ".join(f"{c} is null or isnan({c})" for c in ("y", *named))
+    if not own.where(f"below is null or not coalesce(w > 0, false) or {bad}").isEmpty():
         raise ValueError("every row needs a level, features and a positive weight")
     limit = [(bounds or {}).get(f, (None, None)) for f in features]
     low = np.array([-np.inf, *(-np.inf if a is None else a for a, _ in limit), -5.0])

@@ -76,3 +76,17 @@ def test_held_out_groups_are_not_seen(spark):
     assert off[3] > 15 and all(off[k] < 0 for k in (0, 1, 2))
     with pytest.raises(ValueError, match="groups"):
         op.held_out(df, "region", ["b"], "level", "below", "weight", F.lit(42.0), most=3)
+
+
+@pytest.mark.parametrize("floor", [None, 30.0])
+def test_only_censored_rows_ask_for_the_distribution(monkeypatch, floor):
+    own, asked, erf = rows(200), [], op._erf
+    monkeypatch.setattr(op, "_erf", lambda x: (asked.append(len(x)), erf(x))[1])
+    x, (y, below, w), beta, sd = np.array([[1.0, r[0], r[1]] for r in own]), (np.array([r[i] for r in own]) for i in (2, 3, 4)), np.array([44.0 if floor is None else 14.0, 2.5, -1.5]), 1.2
+    got = op._terms(x, y, below, w, beta, math.log(sd), floor)[0]
+    want = 0.0
+    for r in own:
+        eta = beta @ [1.0, r[0], r[1]]
+        z = (r[2] - (eta if floor is None else floor + math.log1p(math.exp(eta)))) / sd
+        want += r[4] * (math.log(0.5 * (1 + math.erf(z / math.sqrt(2)))) if r[3] else -z * z / 2 - math.log(sd) - 0.5 * math.log(2 * math.pi))
+    assert asked == [sum(r[3] for r in own)] and 0 < asked[0] < 200 and math.isclose(got, want, rel_tol=1e-9)
