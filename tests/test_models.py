@@ -90,3 +90,11 @@ def test_only_censored_rows_ask_for_the_distribution(monkeypatch, floor):
         z = (r[2] - (eta if floor is None else floor + math.log1p(math.exp(eta)))) / sd
         want += r[4] * (math.log(0.5 * (1 + math.erf(z / math.sqrt(2)))) if r[3] else -z * z / 2 - math.log(sd) - 0.5 * math.log(2 * math.pi))
     assert asked == [sum(r[3] for r in own)] and 0 < asked[0] < 200 and math.isclose(got, want, rel_tol=1e-9)
+
+
+def test_training_rows_are_joined_once(spark):
+    """Scaling, every step of a fit and the prediction read what was written, not the distance join behind it."""
+    from phonolith.plans.models import training
+
+    out = training(spark, "/root/testdata/sf0.001")
+    assert out.count() > 0 and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
