@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from phonolith.functions import geometry as geo
 from phonolith.operators import polylines
 from phonolith.operators.spatial import ENDS, near_pairs
+from phonolith.sources.scratch import written
 
 # Reasons of decisions.
 BAD_TRAFFIC, BAD_ROAD, BAD_METHOD, BAD_MARGIN = "invalid_or_wrong_year_traffic", "unsupported_minor_road_identity", "unqualified_traffic_quality_flag", "insufficient_network_margin"
@@ -34,6 +35,14 @@ def _repeats(df: DataFrame, key: str) -> bool:
     return not df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(f"n > 1 or {key} is null").isEmpty()
 
 
+def fine(c: Column) -> Column:
+    """round(c, 6) to the last bit. Only what lies close to a half, or is large, goes through the decimal arithmetic that makes it slow."""
+    c = F.col(c) if isinstance(c, str) else c
+    millionths = c * 1e6
+    plain = (F.abs(c) < 1e6) & (F.abs(millionths - F.floor(millionths) - 0.5) > 1e-3)
+    return F.when(plain, F.floor(millionths + 0.5) / F.lit(1e6)).otherwise(F.round(c, 6))
+
+
 def closed_or_crossing(lines: DataFrame) -> DataFrame:
     """link_id and `bent`: the line ends where it begins, or two of its edges meet other than one after the other.
 
@@ -62,8 +71,10 @@ def link_counts(
     form_of_way, structure, fictitious; occupied: link_id of links with a count of their own. bounds (west, south, east,
     north) of an extract: a point nearer to them than the search is refused, as its rivals may lie outside. Limits
     are held against values to the micrometre, so one met exactly counts as kept whatever the last bit. Several points on one link refuse each other. Repeated or null ids, and occupied links that the
-    network lacks, raise ValueError.
+    network lacks, raise ValueError. Points in the same place are measured once; a link's distance is rounded after its
+    edges are one row, as the condition of the join would repeat its formula.
     """
+    points, lines = written(points), written(lines)
     if _repeats(points, "point_id") or _repeats(lines, "link_id"):
         raise ValueError("missing or repeated identity")
     if occupied is not None and not occupied.join(lines, "link_id", "left_anti").isEmpty():
@@ -74,12 +85,13 @@ def link_counts(
     physical = lines.where(~F.coalesce("fictitious", F.lit(False)))
     edge = polylines.edges(physical)
     place = F.col("chainage") + F.col("length") * geo.along(F.col("x"), F.col("y"), *[F.col(c) for c in ENDS])
-    fine = lambda c: F.round(c, 6)
-    pairs = near_pairs(points.where(sound).select("point_id", "x", "y"), edge, search + 1e-6).where(fine(F.col("dist")) <= search)
-    each = pairs.groupBy("point_id", "link_id").agg(F.min(F.struct("dist", place.alias("at"))).alias("best"))
-    order = W.partitionBy("point_id").orderBy(fine(F.col("best.dist")), "link_id")
-    ranked = each.withColumns({"n": F.row_number().over(order), "next": F.lead("best.dist").over(order), "candidates": F.count(F.lit(1)).over(W.partitionBy("point_id"))}).where("n = 1")
-    near = ranked.select("point_id", F.col("link_id").alias("near_id"), F.col("best.dist").alias("dist"), F.col("best.at").alias("at"), (F.col("next") - F.col("best.dist")).alias("margin"), "candidates")
+    here = ["x", "y"]
+    pairs = near_pairs(points.where(sound).select(*here).distinct(), edge, search + 1e-6)
+    each = pairs.groupBy(*here, "link_id").agg(F.min(F.struct("dist", place.alias("at"))).alias("best")).select(*here, "link_id", "best.*")
+    each = each.withColumn("rounded", fine("dist")).where(F.col("rounded") <= search)
+    order = W.partitionBy(*here).orderBy("rounded", "link_id")
+    ranked = each.withColumns({"n": F.row_number().over(order), "next": F.lead("dist").over(order), "candidates": F.count(F.lit(1)).over(W.partitionBy(*here))}).where("n = 1")
+    near = written(ranked.select(*here, F.col("link_id").alias("near_id"), "dist", "at", (F.col("next") - F.col("dist")).alias("margin"), "candidates"))
     chosen = physical.join(near.select(F.col("near_id").alias("link_id")).distinct(), "link_id", "left_semi")
     facts = chosen.select("link_id", "road_class", "form_of_way", "structure", "fictitious").join(closed_or_crossing(chosen), "link_id")
     facts = facts.join(polylines.orientations(chosen).select("link_id", "length"), "link_id")
@@ -88,7 +100,7 @@ def link_counts(
     else:
         facts = facts.withColumn("taken", F.lit(False))
     edge_margin = F.least(F.col("x") - bounds[0], F.lit(bounds[2]) - F.col("x"), F.col("y") - bounds[1], F.lit(bounds[3]) - F.col("y")) if bounds is not None else F.lit(None).cast("double")
-    out = points.join(near, "point_id", "left").join(facts.withColumnRenamed("link_id", "near_id"), "near_id", "left")
+    out = points.join(near, here, "left").join(facts.withColumnRenamed("link_id", "near_id"), "near_id", "left")
     proposed = fine(F.col("dist")) <= limit
     clearance = F.least(F.col("at"), F.col("length") - F.col("at"))
     no = lambda c: ~F.coalesce(c, F.lit(False))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from phonolith.operators import linkage as op
@@ -13,18 +15,41 @@ LINES = f"""
 select link_id, part, seq, x, y, road_class, case when mod(link_id, 7) = 3 then 'Dual Carriageway' else 'Single Carriageway' end form_of_way, case when mod(link_id, 11) = 4 then 'Bridge' else '' end structure,
   mod(link_id, 17) = 5 fictitious from ({fx.VERTICES}) v where part = 0
 """
-#: A count a part, beside the middle of an edge of some link.
-COUNTED = f"""
-select p_partkey point_id, x + mod(p_partkey, 9) - 4 x, y + mod(p_partkey, 8) - 4 y, cast(case when mod(p_partkey, 23) = 0 then 2020 else 2021 end as int) as year,
+#: What a count of a part holds, from the part and the middle of its edge (x, y), and these middles; the last point of a link has none.
+HOLDS = """
+p_partkey point_id, x + mod(p_partkey, 9) - 4 x, y + mod(p_partkey, 8) - 4 y, cast(case when mod(p_partkey, 23) = 0 then 2020 else 2021 end as int) as year,
   cast(mod(p_partkey * 7, 900) as double) flow, cast(case when mod(p_partkey, 29) = 0 then -1 else mod(p_partkey, 5) end as double) hgv_flow, case when mod(p_partkey, 19) = 0 then 'Major' else 'Minor' end road_type,
   case when mod(p_partkey, 13) = 0 then 'B4044' when mod(p_partkey, 2) = 0 then ' u' else 'C' end road_name, case when mod(p_partkey, 31) = 0 then 'Modelled' else 'Estimated' end as method
+""".strip()
+MIDDLES = f"select link_id, seq, (x + lead(x) over w) / 2 x, (y + lead(y) over w) / 2 y from ({LINES}) l window w as (partition by link_id order by seq)"
+#: A count a part, beside the middle of an edge of some link.
+COUNTED = f"""
+select {HOLDS}
 from {{part}} join (select x, y, cast(count(*) over () as bigint) total, cast(row_number() over (order by link_id, seq) as bigint) nth
-  from (select link_id, seq, (x + lead(x) over w) / 2 x, (y + lead(y) over w) / 2 y from ({LINES}) l window w as (partition by link_id order by seq)) m where x is not null) e on e.nth = 1 + mod(p_partkey * 7919, total)
+  from ({MIDDLES}) m where x is not null) e on e.nth = 1 + mod(p_partkey * 7919, total)
 """
+#: Links whose edges are numbered together.
+LINKS_A_BLOCK = 4096
 BOUNDS = (530000.0, 170000.0, 549500.0, 189000.0)
 P, L = f"({fx.plain(COUNTED)})", f"({fx.plain(LINES)})"
 
 
+def counted(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of COUNTED. Its condition holds the total, so as it stands every part is tried with every edge.
+
+    Here the total is known before the join, which goes by equality, and edges are numbered within blocks of links, after
+    a small table of blocks.
+    """
+    middles = fx.derived(spark, d, MIDDLES).where("x is not null").withColumn("block", F.expr(f"link_id div {LINKS_A_BLOCK}"))
+    sizes = middles.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(F.col("block").alias("b"), F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(W.partitionBy("block").orderBy("link_id", "seq"))
+    edges = middles.withColumn("within", within).join(before, F.col("block").eqNullSafe(F.col("b"))).select("x", "y", (F.col("before") + F.col("within")).alias("nth"))
+    parts = fx.derived(spark, d, "select * from {part}").crossJoin(F.broadcast(sizes.agg(F.sum("n").alias("total"))))
+    asked = parts.withColumn("nth", F.expr("1 + mod(p_partkey * 7919, nullif(total, 0))"))
+    return spark.sql(f"select {HOLDS} from {{asked}} join {{edges}} using (nth)", asked=asked, edges=edges)
+
+
 @query("jn8_linkage_policy", sql=f"""
 with v as (select *, lead(x) over w x2, lead(y) over w y2, row_number() over w edge from {L} q window w as (partition by link_id order by seq)),
 e as (select link_id, edge, x x1, y y1, x2, y2, sqrt(pow(x2 - x, 2) + pow(y2 - y, 2)) length, any_value(road_class) over (partition by link_id) road_class, form_of_way, structure, fictitious from v where x2 is not null and (x <> x2 or y <> y2)),
@@ -51,5 +76,5 @@ select point_id, case when good then 'accepted_provisional' else 'rejected' end
 def _(spark, d):
     vertices = fx.derived(spark, d, LINES)
     lines = polylines.lines_of(vertices, "road_class", "form_of_way", "structure", "fictitious")
-    out = op.link_counts(fx.derived(spark, d, COUNTED), lines, lines.where("link_id % 13 = 0 and not fictitious").select("link_id"), bounds=BOUNDS)
+    out = op.link_counts(counted(spark, d), lines, lines.where("link_id % 13 = 0 and not fictitious").select("link_id"), bounds=BOUNDS)
     return out.withColumns({c: F.round(c, 4) for c in ("dist", "clearance", "margin")})
