@@ -37,7 +37,7 @@ CHUNK, BLOCK = 2048, 1024
 #: The lower bound of the calibrated recall, two standard errors below the mean, that ends the widening.
 RECALL = 0.93
 #: Bytes of the vectors of a shard, about, and candidates that are scored exactly or held for a query in one go.
-SHARD_BYTES, SCORED, HELD = 32 << 20, 1 << 11, 4
+SHARD_BYTES, SCORED, HELD = 48 << 20, 1 << 11, 4
 KEY = 32
 
 
@@ -333,7 +333,8 @@ def _partial(block: int, entries: _Entries, queries: np.ndarray, keys: bytes, ro
     own = (np.frombuffer(keys, np.uint64).reshape(-1, KEY // 8)[at] == entries.keys[code]).all(1)
     flat = np.repeat(entries.first[code], entries.n_ids[code]) + _counted(entries.n_ids[code])
     named = np.concatenate([rows.astype(np.uint64)[:, None], np.frombuffer(keys, np.uint64).reshape(-1, KEY // 8)], 1).tobytes()
-    columns = [rows[at].astype(np.int32), score, own, entries.leaf[code], entries.n_ids[code].astype(np.int32), pa.array(entries.ids[flat], mask=entries.no_id[flat])]
+    leaf = entries.leaf[code] if reached is None else np.zeros(len(code), np.int64)  # only calibration asks for it
+    columns = [rows[at].astype(np.int32), score, own, leaf, entries.n_ids[code].astype(np.int32), pa.array(entries.ids[flat], mask=entries.no_id[flat])]
     lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in columns]
     return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([named]), *lists], ["block", "asked", "row", "score", "own", "leaf", "n_ids", "ids"])
 
